@@ -5,19 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderly.llm import quality, sql
+from orderly.llm import packing, quality, sql
 from orderly.sources.tables import table
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the packing query; it is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fields = [c for c in quality.SCHEMA.fieldNames() if c != "clean_text"]
     return quality.annotate(docs).select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in fields])
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op6_best_fit_packing": op6_best_fit_packing,
     }
 
 
