@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderly.llm import packing, quality, sql
+from orderly.llm import jaccard, packing, quality, sql
 from orderly.sources.tables import table
 
 
@@ -22,6 +22,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.annotate(docs).select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in fields])
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
@@ -29,6 +33,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op6_best_fit_packing": op6_best_fit_packing,
     }
 
