@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderly.llm import jaccard, packing, quality, sql
+from orderly.llm import jaccard, packing, quality, sql, toxicity
 from orderly.sources.tables import table
 
 
@@ -30,11 +30,23 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, table(spark, sf_dir, "labels"), out="score")
+    return scored.select(
+        "doc_id",
+        (toxicity.remainder(F.col("doc_id")) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op8_toxicity": op8_toxicity,
     }
 
 
