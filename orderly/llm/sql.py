@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orderly.llm import quality
+from orderly.llm import quality, warc
 
 _PHRASES = " OR ".join(f"contains(lower(line), '{p.decode()}')" for p in quality.BOILERPLATE)
 
@@ -48,6 +48,45 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM b
 """
 
+OP7 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+l AS (SELECT conv_id, max(CASE WHEN contains(text, '<s>') OR contains(text, '</s>') THEN 1 ELSE 0 END) AS level FROM t GROUP BY conv_id),
+e AS (
+  SELECT t.*, CASE WHEN level = 0 THEN text ELSE replace(replace(replace(text, '\', '\\'), '</s>', '<\/s>'), '<s>', '<\s>') END AS shown
+  FROM t JOIN l USING (conv_id)
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + length(shown) + 10)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+OP10 = f"""
+WITH p AS (
+  SELECT page_id, coalesce(floor(page_id / {warc.PER_FILE}.0), -1)::BIGINT AS file,
+    'WARC/1.0' || crlf || 'WARC-Type: resource' || crlf || 'WARC-Target-URI: ' || coalesce(url, '') || crlf || 'WARC-Record-ID: <urn:page:' ||
+    coalesce(page_id::VARCHAR, '') || '>' || crlf || 'Content-Type: text/html' || crlf || 'Content-Length: ' || strlen(coalesce(html, ''))::VARCHAR ||
+    crlf || crlf || coalesce(html, '') || crlf || crlf AS record
+  FROM pages, (SELECT chr(13) || chr(10) AS crlf)
+),
+i AS (
+  SELECT page_id, file, record, strlen(record)::BIGINT AS length, sha256(record) AS digest,
+    (sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id, sha256(record) ROWS UNBOUNDED PRECEDING) - strlen(record))::BIGINT AS "offset"
+  FROM p
+)
+SELECT page_id, file, "offset", length, digest,
+  CASE WHEN page_id % 64 = 1 THEN sha256(left(record, length(record) - 1) || chr(13)) WHEN page_id % 64 = 2 THEN NULL ELSE digest END AS replica_digest,
+  CASE WHEN page_id % 64 = 1 THEN 'changed' WHEN page_id % 64 = 2 THEN 'missing' ELSE 'ok' END AS verdict
+FROM i
+"""
+
 ORACLE_SQL = {
+    "op7_chat_format": OP7,
+    "op10_warc_fixity": OP10,
     "op1_quality_rules": OP1,
 }
