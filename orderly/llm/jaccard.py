@@ -10,12 +10,12 @@ model: keys written, against texts whose empty subsets outweigh e.
 Empty subsets write no key; the weight of a text's empty segments counts against e instead.
 
 Texts that share a key are candidates and are verified on their whole sets (as 64-bit hashes of the shingles). In a
-bucket of a few texts all pairs are candidates. A larger bucket offers pairs with its first text and between
-neighbours, which links groups of copies; where those links leave texts of several components in it, it stays open. A
+bucket of a few texts all pairs are candidates. A larger bucket offers the pairs with its first text, which links
+groups of copies; where those links leave texts of several components in it, it stays open. A
 similar pair is then missed only if, for both its texts, open and empty segments together weigh more than e. Such
 texts (few, by the choice of e) are joined among themselves by the shingles that are rarest among them: in the order
 of rarity, two similar sets share one of their first n - ceil(t n) + 1. Buckets of that join that stay open verify all
-pairs between their components. So no link between components is lost and no group of copies is expanded.
+pairs between their components whose places in that order leave room for the overlap. So no link between components is lost and no group of copies is expanded.
 
 Equal sets are joined once, under their fingerprint. Null and empty texts have no shingles and are linked with
 nothing: their component is their own id. Repeated rows share a component. Rows with a null id take part; a component
@@ -164,12 +164,10 @@ def candidates(rows: DataFrame, light: int = LIGHT) -> tuple[DataFrame, DataFram
     key = Window.partitionBy("key")
     shared = rows.withColumn("c", F.count("*").over(key.orderBy("fp").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("c > 1")
     order = key.orderBy("fp")
-    before = F.when(F.col("c") <= light, F.collect_list("fp").over(order.rowsBetween(-(light - 1), -1))).otherwise(
-        F.array(F.first("fp").over(order), F.lag("fp").over(order))
-    )
-    offered = materialize(shared.withColumn("before", before).select("key", "fp", "c", "before"))
+    before = F.when(F.col("c") <= light, F.collect_list("fp").over(order.rowsBetween(-(light - 1), -1))).otherwise(F.array(F.first("fp").over(order)))
+    offered = materialize(shared.withColumn("before", before))
     pairs = offered.select(F.explode("before").alias("a"), F.col("fp").alias("b")).where("a < b").distinct()
-    return pairs, offered.where(F.col("c") > light).select("key", "fp")
+    return pairs, offered.where(F.col("c") > light).select(*rows.columns)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -182,18 +180,19 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def open_buckets(heavy: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows (key, fp, root) of those large buckets in which the links found leave several components."""
-    named = heavy.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    named = heavy.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     several = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
     return materialize(named.join(several.select("key"), "key"))
 
 
 def rarest(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, fp): of each set the shingles that it shares with any set similar to it, in the order of rarity."""
+    """(key, fp, n, i): of each set the first shingles in the order of rarity, of which it shares one with any set
+    similar to it. n is the set's size and i the shingle's place, from 0."""
     tokens = sets.select("fp", F.size("tokens").alias("n"), F.explode("tokens").alias("key"))
     often = tokens.groupBy("key").count()
     ranked = tokens.join(often, "key").groupBy("fp", "n").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("t"))
     first = F.expr(f"cast(n - ceil(n * {percent} / 100) + 1 as int)")
-    return ranked.select(F.explode(F.slice("t", F.lit(1), first)).alias("t"), "fp").select("t.key", "fp")
+    return ranked.select(F.posexplode(F.slice("t", F.lit(1), first)).alias("i", "t"), "fp", "n").select("t.key", "fp", "n", "i")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, light: int = LIGHT) -> DataFrame:
@@ -233,9 +232,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         pairs, heavy = candidates(rarest(hard, percent), light)
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(pairs, hard, percent))
         roots = components(links)
-        rest = open_buckets(heavy, roots).join(reps.select("fp", "n"), "fp")
-        other = rest.select("key", F.col("fp").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-        near = f"100 * least(n, n_b) >= {percent} * greatest(n, n_b)"
+        rest = open_buckets(heavy, roots)
+        other = rest.select("key", F.col("fp").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("i").alias("j"))
+        # At the first shingle that two sets share, the i and j rarer ones before it differ.
+        near = f"100 * least(n, n_b) >= {percent} * greatest(n, n_b) AND {100 + percent} * (i + j) <= {100 - percent} * (n + n_b)"
         pairs = materialize(rest.join(other, "key").where(f"fp < b AND root != root_b AND {near}").select(F.col("fp").alias("a"), "b").distinct())
         if pairs.limit(1).count():
             links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(pairs, hard, percent))
