@@ -22,8 +22,8 @@ from orderly.session import materialize
 
 SLOTS = 4096
 SIZES = (3, 4, 5)
-STEPS = 40
-RIDGE = 0.0005
+STEPS = 50
+RIDGE = 0.0002
 
 # The rules as (verdict, host, path).
 RULES = (
@@ -127,7 +127,7 @@ def train(table: DataFrame, slots: int = SLOTS, steps: int = STEPS, ridge: float
         for i, g in slope.items():
             g += 0.0 if i == slots else ridge * weights[i]
             square[i] += g * g
-            move = 0.5 * g / math.sqrt(square[i])
+            move = 1.0 * g / math.sqrt(square[i])
             if i == slots:
                 bias -= move
             else:
