@@ -193,10 +193,10 @@ def first_n(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(25)
 
 
-@query("U1_union", """SELECT 'part' AS origin, p_name AS word FROM part UNION ALL SELECT 'nation', n_name FROM nation""")
+@query("U1_union", """SELECT 'part' AS origin, p_name AS word FROM part UNION ALL SELECT 'customer', c_name FROM customer""")
 def union(spark, sf):
     a = table(spark, sf, "part").select(F.lit("part").alias("origin"), F.col("p_name").alias("word"))
-    return a.unionByName(table(spark, sf, "nation").select(F.lit("nation").alias("origin"), F.col("n_name").alias("word")))
+    return a.unionByName(table(spark, sf, "customer").select(F.lit("customer").alias("origin"), F.col("c_name").alias("word")))
 
 
 @query("U2_intersection", """SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier""")
@@ -216,8 +216,8 @@ def inventory(spark, sf):
     return ids.unionByName(spark.range(1).select(F.lit("<blank>").alias("phone"), F.lit(0).alias("id")))
 
 
-@query("U5_union_keys", """SELECT r_regionkey AS key, r_name AS name, NULL::INTEGER AS region FROM region UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation""")
+@query("U5_union_keys", """SELECT p_partkey AS key, p_name AS name, NULL::BIGINT AS nation FROM part UNION ALL SELECT s_suppkey, s_name, s_nationkey::BIGINT FROM supplier""")
 def union_keys(spark, sf):
-    a = table(spark, sf, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
-    b = table(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    a = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"))
+    b = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("long").alias("nation"))
     return a.unionByName(b, allowMissingColumns=True)

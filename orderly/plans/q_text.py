@@ -90,12 +90,14 @@ def learning_rate(spark, sf):
     return table(spark, sf, "events").select("event_id", r6(S.learning_rate(F.col("event_id"), 100, 800, 0.001)).alias("lr"))
 
 
-@query("F25_map_inversion", """SELECT n_name AS k, n_nationkey AS v FROM nation WHERE n_nationkey IN (SELECT min(n_nationkey) FROM nation GROUP BY n_name)""")
+@query("F25_map_inversion", """SELECT conv_id, role || ':' || length(text) AS k, max(turn) AS v FROM conversations GROUP BY 1, 2""")
 def map_inversion(spark, sf):
-    pairs = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
-    one = table(spark, sf, "nation").agg(F.map_from_entries(pairs).alias("m"))  # a dimension of 25 rows
-    turned = F.map_from_entries(F.transform(F.map_entries("m"), lambda e: F.struct(e["value"].alias("k"), e["key"].alias("v"))))
-    return one.select(F.explode(turned).alias("k", "v"))
+    """turn to role and length as a map for each conversation, turned round; of equal values the last turn stays."""
+    pairs = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(":", "role", F.length("text").cast("string")).alias("v"))))
+    one = table(spark, sf, "conversations").groupBy("conv_id").agg(F.map_from_entries(pairs).alias("m"))
+    values = F.array_distinct(F.map_values("m"))
+    turned = F.map_from_arrays(values, F.transform(values, lambda v: F.array_max(F.map_keys(F.map_filter("m", lambda _, w: w == v)))))
+    return one.select("conv_id", F.explode(turned).alias("k", "v"))
 
 
 @query("W19_collapse", """WITH c AS (SELECT conv_id, turn, length(text) % 3 AS x FROM conversations), r AS (SELECT *, lag(x) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM c)

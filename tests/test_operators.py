@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orderly.functions import scalar as S
 from orderly.operators import checks, cohort, frames, intervals, lexicon, measure, seqdp, split
+from orderly.sources import readers, writers
 from orderly.streaming import logs
 
 
@@ -195,3 +196,26 @@ def test_stream_keeps_state(spark, tmp_path):
     q = logs.early_stop_stream(stream, "run", 0.01, 2).writeStream.outputMode("update").format("memory").queryName("stops").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert max(r.stopped_at for r in spark.sql("SELECT * FROM stops").collect()) == 3
+
+
+def test_audio_headers_and_manifest(spark, tmp_path):
+    import hashlib
+    import wave
+
+    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(2)
+        w.setframerate(16000)
+        w.writeframes(b"\0" * 400)
+    row = readers.audio_headers(spark, str(tmp_path)).first()
+    assert (row.bytes, row.channels, row.rate, row.bits) == (444, 2, 16000, 16)
+    assert checks.manifest(spark, str(tmp_path)).first().sha256 == hashlib.sha256((tmp_path / "a.wav").read_bytes()).hexdigest()
+
+
+def test_strict_readers_and_writers(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("\ufefffile_name,text\na.wav,hello\n", encoding="utf-8")
+    assert readers.csv(spark, str(tmp_path / "x.csv"), "file_name string, text string", exact=True).first().text == "hello"
+    with pytest.raises(Exception):
+        readers.csv(spark, str(tmp_path / "x.csv"), "name string, text string", exact=True).collect()
+    with pytest.raises(Exception, match="not finite"):
+        writers.json(spark.createDataFrame([(float("nan"),)], "v double"), str(tmp_path / "nan"))
