@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderly.functions import scalar as S
+from orderly.operators.quantiles import exact
 
 
 def by(rec: str = "rec", i: str = "i") -> Window:
@@ -110,8 +111,8 @@ def moving_rms(frames: DataFrame, value: str, half: int, zero_padded: bool = Fal
 
 def log_bounds(frames: DataFrame, value: str = "f", low: float = 0.05, high: float = 0.95) -> DataFrame:
     """One row: lo and hi, quantiles taken in the logarithm (linear interpolation)."""
-    both = F.exp(F.percentile(F.log(value), F.array(F.lit(low), F.lit(high)))[0]), F.exp(F.percentile(F.log(value), F.array(F.lit(low), F.lit(high)))[1])
-    return frames.agg(both[0].alias("lo"), both[1].alias("hi"))
+    lo, hi = exact(frames, F.log(value), (low, high))
+    return frames.sparkSession.range(1).select(F.exp(F.lit(lo).cast("double")).alias("lo"), F.exp(F.lit(hi).cast("double")).alias("hi"))
 
 
 def five_level(frames: DataFrame, bounds: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderly.functions import scalar as S
-from orderly.operators import checks, cohort, frames, intervals, lexicon, measure, seqdp, split
+from orderly.operators import checks, cohort, frames, intervals, lexicon, measure, quantiles, seqdp, split
 from orderly.sources import readers, writers
 from orderly.streaming import logs
 
@@ -219,3 +219,14 @@ def test_strict_readers_and_writers(spark, tmp_path):
         readers.csv(spark, str(tmp_path / "x.csv"), "name string, text string", exact=True).collect()
     with pytest.raises(Exception, match="not finite"):
         writers.json(spark.createDataFrame([(float("nan"),)], "v double"), str(tmp_path / "nan"))
+
+
+def test_exact_quantiles_close_in(spark):
+    rng = np.random.default_rng(5)
+    values = np.round(rng.lognormal(size=30_000), 3)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(4)
+    shares = (0.0, 0.05, 0.5, 0.9501, 1.0)
+    assert quantiles.exact(df, F.col("v"), shares, most=500) == pytest.approx([float(np.quantile(values, s)) for s in shares])
+    ties = spark.range(5000).select((F.col("id") % 2).cast("double").alias("v"))
+    assert quantiles.exact(ties, F.col("v"), (0.25, 0.75), most=100) == [0.0, 1.0]
+    assert quantiles.exact(ties.limit(0), F.col("v"), (0.5,)) == [None]
