@@ -134,8 +134,10 @@ def assign(
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **parameters) -> DataFrame:
-    """docs with every row as often as its source's weight asks for, with the columns of docs."""
-    extra = materialize(assign(docs, id_col, text_col, source_col, **parameters).where("copies > 1").select(F.col(id_col).alias("__id"), F.col("h").alias("__h"), "copies").distinct())
+    """docs with every row as often as its source's weight asks for, with the columns of docs. Rows that repeat an id and
+    a text all come as often as the most frequent of them."""
+    planned = assign(docs, id_col, text_col, source_col, **parameters).where("copies > 1")
+    extra = materialize(planned.groupBy(F.col(id_col).alias("__id"), F.col("h").alias("__h")).agg(F.max("copies").alias("__copies")))
     again = docs.join(extra, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__h")))
-    more = again.withColumn("__copy", F.explode(F.sequence(F.lit(2), F.col("copies")))).select(*docs.columns)
+    more = again.withColumn("__copy", F.explode(F.sequence(F.lit(2), F.col("__copies")))).select(*docs.columns)
     return docs.unionByName(more)
