@@ -186,7 +186,7 @@ def features(codec: int, samples: np.ndarray) -> str:
 
 def digest(docs: DataFrame, media_col: str = "media", out: str = "digest") -> DataFrame:
     """docs with a struct column ``out``: what reading the stored bytes back gives. ADPCM files of a batch are decoded
-    together, about ``4 MB`` of blocks at a time."""
+    together, about a megabyte of blocks at a time."""
 
     @F.pandas_udf(DIGEST)
     def digested(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -210,7 +210,7 @@ def digest(docs: DataFrame, media_col: str = "media", out: str = "digest") -> Da
                 if codec == ADPCM:
                     group.append(i)
                     size += len(data)
-                    if size > 4_000_000:
+                    if size > 1_000_000:
                         flush()
                         size = 0
                 else:
