@@ -232,14 +232,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         pairs, heavy = candidates(rarest(hard, percent), light)
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(pairs, hard, percent))
         roots = components(links)
-        rest = open_buckets(heavy, roots)
-        other = rest.select("key", F.col("fp").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("i").alias("j"))
-        # At the first shingle that two sets share, the i and j rarer ones before it differ.
-        near = f"100 * least(n, n_b) >= {percent} * greatest(n, n_b) AND {100 + percent} * (i + j) <= {100 - percent} * (n + n_b)"
-        pairs = materialize(rest.join(other, "key").where(f"fp < b AND root != root_b AND {near}").select(F.col("fp").alias("a"), "b").distinct())
-        if pairs.limit(1).count():
-            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(pairs, hard, percent))
-            roots = components(links)
+        rest = open_buckets(heavy, roots).join(hard, "fp")
+        other = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("fp", "root", "n", "i", "tokens")])
+        # At the first shingle that two sets share, the i and i_b rarer ones before it differ. What passes is verified in
+        # the bucket, so that near misses are never written out as pairs.
+        near = f"100 * least(n, n_b) >= {percent} * greatest(n, n_b) AND {100 + percent} * (i + i_b) <= {100 - percent} * (n + n_b)"
+        alike = f"{100 + percent} * size(array_intersect(tokens, tokens_b)) >= {percent} * (n + n_b)"
+        pairs = rest.join(other, "key").where(f"fp < fp_b AND root != root_b AND {near} AND {alike}")
+        found = materialize(pairs.select(F.col("fp").alias("a"), F.col("fp_b").alias("b")).distinct())
+        if found.limit(1).count():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
 
     rooted = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("id", "n", F.coalesce("root", "fp").alias("root"))
     named = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least"))
