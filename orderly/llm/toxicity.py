@@ -29,8 +29,8 @@ WINDOW = 48
 STRIDE = 32
 HIDDEN = 8
 THRESHOLD = 0.3
-MAX_TOXIC = 1500
-MAX_CLEAN = 3000
+MAX_TOXIC = 800
+MAX_CLEAN = 1600
 FOLDS = 4
 WORD_SLOTS = 1 << 17
 GRAMS = ((3, 1 << 15), (5, 1 << 17))
@@ -92,9 +92,10 @@ class Presence:
         self.tables = [np.zeros((2, n)) for n in (WORD_SLOTS, *(s for _, s in GRAMS))]
 
     def add(self, words: list[bytes], label: int) -> None:
+        """Count a document of these words."""
         self.docs[label] += 1
         if words:
-            word, grams = slots_of(list(set(words)))
+            word, grams = slots_of(words)
             for table, slots in zip(self.tables, [word, *(s for s, _ in grams)], strict=True):
                 table[label, np.unique(slots)] += 1
 
@@ -126,8 +127,8 @@ def windows_of(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     for doc, n in enumerate(lengths):
         if n:
             grid = window_starts(n)[:, None] + np.arange(WINDOW)
-            places.append(np.where(grid < n, grid + at, -1))
-            owners.append(np.full(len(grid), doc))
+            places.append(np.where(grid < n, grid + at, -1).astype(np.int32))
+            owners.append(np.full(len(grid), doc, np.int32))
         at += n
     if not places:
         return np.zeros((0, WINDOW), np.int64), np.zeros(0, np.int64)
@@ -181,6 +182,16 @@ class Network:
             keep.append((states, share, pooled))
         return pooled @ self.w["o"] + self.w["b"][0]
 
+    def logits(self, inputs: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Logits of many windows, some at a time, with the gates of the words in them only."""
+        out = [np.zeros(0, np.float32)]
+        for k in range(0, len(places), 2048):
+            rows = places[k : k + 2048]
+            used = np.unique(rows[rows >= 0])
+            gates = np.concatenate([self.project(inputs[used]), np.zeros((2, 1, 3 * HIDDEN), np.float32)], 1)
+            out.append(self.forward(gates, np.where(rows >= 0, np.searchsorted(used, rows), -1)))
+        return np.concatenate(out)
+
     def gradients(self, inputs: np.ndarray, places: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
         keep: list = []
         h = HIDDEN
@@ -263,28 +274,30 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: float = 1e-2) -> np.ndarray:
 
 def fit(texts: list[str | None], labels: list[int], epochs: int = 24, batch: int = 128, seed: int = 7) -> Model | None:
     """A model from labelled texts, or None where a label is missing."""
-    docs = [words_of(t) for t in texts]
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return None
+    number: dict[bytes, int] = {}
+    ids = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
+    lexicon = list(number)
+    del number
     parts = [Presence() for _ in range(FOLDS)]
-    for k, (ws, label) in enumerate(zip(docs, labels, strict=True)):
-        parts[k % FOLDS].add(ws, int(label))
+    for k, (ws, label) in enumerate(zip(ids, labels, strict=True)):
+        parts[k % FOLDS].add([lexicon[i] for i in np.unique(ws)], int(label))
     whole = Presence()
     for part in parts:
         whole = whole.plus(part)
-    number: dict[bytes, int] = {}
-    ids = [np.array([number.setdefault(w, len(number)) for w in ws], np.int64) for ws in docs]
-    lexicon = list(number)
     known = []
     for fold in range(FOLDS):
         rest = Presence()
         for k, part in enumerate(parts):
             if k != fold:
                 rest = rest.plus(part)
-        known.append(rest.odds().inputs(lexicon))
+        odds = rest.odds()
+        known.append(np.concatenate([odds.inputs(lexicon[k : k + 50_000]) for k in range(0, len(lexicon), 50_000)] or [odds.inputs([])]))
     flat = np.concatenate([known[k % FOLDS][ws] for k, ws in enumerate(ids)])
-    places, owner = windows_of([len(ws) for ws in docs])
+    places, owner = windows_of([len(ws) for ws in ids])
+    del known, lexicon, ids
     if not len(places):
         return None
     network, rng = Network(seed), np.random.default_rng(seed)
@@ -292,14 +305,13 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 24, batch: int
     first = np.searchsorted(owner[order], np.unique(owner))
     kinds = y[owner[first]]
     weights = np.where(kinds == 1, len(kinds) / (2 * max(1, (kinds == 1).sum())), len(kinds) / (2 * max(1, (kinds == 0).sum())))
-    strong = flat[:, 0] + flat[:, 3]
-    logit = np.where(places >= 0, strong[places], 0).max(1)
+    strong = np.append(flat[:, 0] + flat[:, 3], 0)  # the last stands for places beyond a text's end
+    logit = strong[places].max(1)
     mean, var = ({k: np.zeros_like(v) for k, v in network.w.items()} for _ in range(2))
     step = 0
     for epoch in range(epochs):
         if epoch and epoch % 4 == 0:
-            gates = np.concatenate([network.project(flat), np.zeros((2, 1, 3 * HIDDEN), np.float32)], 1)
-            logit = np.concatenate([network.forward(gates, places[k : k + 2048]) for k in range(0, len(places), 2048)])
+            logit = network.logits(flat, places)
         best = np.lexsort((-logit, owner))[first]  # the window that stands out in each document
         mixed = rng.permutation(len(best))
         for k in range(0, len(best), batch):
@@ -314,8 +326,7 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 24, batch: int
                 var[name] = 0.99 * var[name] + 0.01 * value**2
                 rate = 0.01 / (1 + 0.1 * epoch)
                 network.w[name] -= rate * (mean[name] / (1 - 0.9**step)) / (np.sqrt(var[name] / (1 - 0.99**step)) + 1e-7)
-    gates = np.concatenate([network.project(flat), np.zeros((2, 1, 3 * HIDDEN), np.float32)], 1)
-    logit = np.concatenate([network.forward(gates, places[k : k + 2048]) for k in range(0, len(places), 2048)])
+    logit = network.logits(flat, places)
     top = np.maximum.reduceat(logit[order], first)
     many = np.log1p(np.diff(np.append(first, len(order))))
     calibration = logistic(np.stack([top, many, np.ones(len(top))], 1), kinds, 1.0)
