@@ -31,7 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,9 +136,13 @@ SIGNED = T.StructType(
 )
 
 
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def signatures(docs: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
-    """id with fp (the set's fingerprint), n (its size), its band, and for the pairs of its own band and of the next
-    one: keys and spare."""
+    """id with h (a hash of the text), fp (the set's fingerprint), n (its size), its band, and for the pairs of its own
+    band and of the next one: keys and spare."""
 
     @F.pandas_udf(SIGNED)
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -156,7 +160,7 @@ def signatures(docs: DataFrame, text_col: str, words: int, percent: int) -> Data
             out = pd.DataFrame(rows, columns=SIGNED.fieldNames())
             yield out.assign(fp=out["fp"].astype("Int64"))
 
-    return docs.withColumn("s", signed.asNondeterministic()(F.col(text_col).cast("string"))).select("id", "s.*")
+    return docs.withColumn("s", signed.asNondeterministic()(F.col(text_col).cast("string"))).select("id", text_hash(text_col).alias("h"), "s.*")
 
 
 def candidates(rows: DataFrame, light: int = LIGHT) -> tuple[DataFrame, DataFrame]:
@@ -195,14 +199,13 @@ def rarest(sets: DataFrame, percent: int) -> DataFrame:
     return ranked.select(F.posexplode(F.slice("t", F.lit(1), first)).alias("i", "t"), "fp", "n").select("t.key", "fp", "n", "i")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, light: int = LIGHT) -> DataFrame:
-    """One row per row of docs: id_col, n_shingles, component_id. Two texts link where the Jaccard similarity of their
-    sets of ``words``-word shingles reaches ``percent`` in a hundred."""
+def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, light: int = LIGHT) -> DataFrame:
+    """One row per row of docs: id, h (a hash of the text), n and root, which texts of a component share (NULL: no shingles)."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = materialize(signatures(docs, "text", words, percent))
-    members = signed.select("id", "fp", "n")
+    members = signed.select("id", "h", "fp", "n")
     full = signed.where("fp IS NOT NULL")
-    reps = full.groupBy("fp", "n", "band", "spare").agg(F.min("id").alias("id"))
+    reps = full.groupBy("fp", "n", "band", "spare").agg(F.min("id").alias("id"), F.coalesce(F.min_by("h", "id"), F.min("h")).alias("h"))
     rows = full.select("fp", "keys").dropDuplicates(["fp"]).select(F.explode("keys").alias("key"), "fp")
     pairs, heavy = candidates(rows, light)
     pairs = materialize(pairs)
@@ -212,8 +215,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     def tokens(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, words).view(np.int64) for t in texts])
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(reps, "fp").unionByName(reps.where(weak)).select("fp", F.col("id").alias("rep")).distinct()
-    sets = docs.join(asked, F.col("id").eqNullSafe(F.col("rep"))).withColumn("tokens", tokens(F.col("text").cast("string")))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(reps, "fp").unionByName(reps.where(weak)).select("fp", F.col("id").alias("rep"), "h").distinct()
+    sets = docs.withColumn("th", text_hash("text")).join(asked, F.col("id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("h"))).withColumn("tokens", tokens(F.col("text").cast("string")))
     if members.groupBy("id").count().where("count > 1").limit(1).count():  # several texts under an id: take the one meant
 
         @F.pandas_udf(T.LongType())
@@ -243,7 +246,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
         if found.limit(1).count():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
 
-    rooted = members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("id", "n", F.coalesce("root", "fp").alias("root"))
+    return members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("id", "h", "n", F.coalesce("root", "fp").alias("root"))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, light: int = LIGHT) -> DataFrame:
+    """One row per row of docs: id_col, n_shingles, component_id. Two texts link where the Jaccard similarity of their
+    sets of ``words``-word shingles reaches ``percent`` in a hundred."""
+    rooted = grouped(docs, id_col, text_col, words, percent, light).drop("h")
     named = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least"))
     return rooted.join(named, "root", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id")
@@ -251,10 +260,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose component has a smaller id; of rows that repeat an id, one stays."""
-    found = materialize(join(docs, id_col, text_col, words, percent))
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
-    if found.groupBy(id_col).count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
+    """One row of each component: that of the least id (null ids last), then of the least hash of the text. Rows are told apart by id and
+    text, so repeated and null ids lose no other text. Texts without shingles stay, each as its own group. Of rows that
+    repeat id and text one stays, that with the least other columns; null ids without shingles are nobody's copies."""
+    found = materialize(grouped(docs, id_col, text_col, words, percent).select("id", "h", "root"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id1"), F.col("h").alias("h1")))
+    best = found.where("root IS NOT NULL").groupBy("root").agg(first.alias("b")).select("root", "b.id1", "b.h1")
+    gone = found.join(best, "root").where("NOT (id <=> id1 AND h = h1)").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (text_hash(text_col) == F.col("__h"))
+    kept = docs.join(gone, same, "left_anti")
+    often = found.groupBy("id", "h").agg(F.count("*").alias("c"), F.max("root").alias("root")).where("c > 1 AND (root IS NOT NULL OR id IS NOT NULL)")
+    often = materialize(often.select(F.col("id").alias("__id"), F.col("h").alias("__h")))
+    if often.limit(1).count():
+        one = kept.join(often, same, "left_semi").groupBy(F.col(id_col).alias("__id"), text_hash(text_col).alias("__h"))
+        one = one.agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+        kept = kept.join(often, same, "left_anti").unionByName(one)
     return kept.select(*docs.columns)

@@ -77,6 +77,17 @@ def test_jaccard_join_of_repeated_and_null_ids(spark):
     assert sorted(r.doc_id for r in kept) == [0, 1] or sorted(r.doc_id for r in kept) == [0, 1, 2]
 
 
+def test_deduplicate_tells_rows_apart_by_id_and_text(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (None, c, "x"), (None, d, "x"), (None, a, "x"), (7, c + " more", "x"), (8, d, "z"), (8, d, "y")]
+    rows += [(9, None, "x"), (9, "", "x"), (None, None, "x"), (None, " ", "x"), (None, " ", "x"), (4, "", "x"), (4, "", "w")]
+    kept = jaccard.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    expected = [(3, a, "x"), (5, b, "x"), (7, c + " more", "x"), (8, d, "y"), (9, None, "x"), (9, "", "x"), (None, None, "x"), (None, " ", "x"), (None, " ", "x"), (4, "", "w")]
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, expected))
+    nobody = spark.createDataFrame([(None, a), (None, b), (None, b + " more")], "doc_id long, text string")
+    assert len({r.text[0] for r in jaccard.deduplicate(nobody).collect()}) == jaccard.deduplicate(nobody).count() == 2
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
