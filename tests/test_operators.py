@@ -1,7 +1,9 @@
 """Known answers of the ordered-data operators on small tables made by hand."""
 
+import hashlib
 import math
 import os
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from orderly.functions import scalar as S
 from orderly.operators import checks, cohort, frames, intervals, lexicon, measure, quantiles, seqdp, split
+from orderly.plans import catalog
 from orderly.sources import readers, writers
 from orderly.streaming import logs
 
@@ -146,6 +149,20 @@ def test_edit_operations():
     assert seqdp.edit_operations(list("abc"), list("acd")) == [("match", 0, 0), ("substitution", 1, 1), ("substitution", 2, 2)]
 
 
+def test_lexicon_hits_of_whole_texts(spark, tmp_path):
+    texts = ["peru " * 30 + "chad", "", "x" * 60 + "perux"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([("PERU",), ("CHAD",)], "n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    got = {(r.item_id, r.i): (r.hits, r.whole) for r in catalog.QUERIES["J9_lexicon"](spark, str(tmp_path)).collect()}
+    expected = {}
+    for k, text in enumerate(texts):
+        for i, ch in enumerate(text):
+            at = [(w, i - j) for w in ("peru", "chad") for j, c in enumerate(w) if c == ch]
+            if at:
+                expected[k, i] = (len(at), sum(p >= 0 and text.startswith(w, p) for w, p in at))
+    assert got == expected and max(i for _, i in got) == 153
+
+
 def test_targets_find_hills_and_valleys():
     t = np.arange(60) * 0.01
     found = seqdp.find_targets(3 * np.sin(t * 2 * np.pi / 0.3), t)
