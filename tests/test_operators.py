@@ -149,6 +149,20 @@ def test_edit_operations():
     assert seqdp.edit_operations(list("abc"), list("acd")) == [("match", 0, 0), ("substitution", 1, 1), ("substitution", 2, 2)]
 
 
+def test_edit_operations_of_whole_texts(spark, tmp_path):
+    texts = [" ".join(f"w{k % 7}" for k in range(90)), " ".join(f"w{k % 5}" for k in range(70)) + " end"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = catalog.QUERIES["J16_edit_alignment"](spark, str(tmp_path)).collect()
+    assert sorted(r.i for r in rows if r.i >= 0) == list(range(90)) and sorted(r.j for r in rows if r.j >= 0) == list(range(71))
+    a, b = (t.split(" ") for t in texts)
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    assert sum(r.op != "match" for r in rows) == row[-1]
+
+
 def test_lexicon_hits_of_whole_texts(spark, tmp_path):
     texts = ["peru " * 30 + "chad", "", "x" * 60 + "perux"]
     spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
