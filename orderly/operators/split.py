@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderly.session import materialize
+
 
 def by_hash(group: Column, dev: int = 10, test: int = 10, seed: str = "1") -> Column:
     """train, dev or test from a hash of the group: whole groups move together, on any cluster alike."""
@@ -12,38 +14,40 @@ def by_hash(group: Column, dev: int = 10, test: int = 10, seed: str = "1") -> Co
     return F.when(bucket < dev, "dev").when(bucket < dev + test, "test").otherwise("train")
 
 
-def greedy(records: DataFrame, group: str, tokens: str, seed: str = "1", share: float = 0.1) -> DataFrame:
-    """group, split: whole groups in hash order go to dev and then to test while they fit the row target, unless they
-    would take the last training occurrence of a token. ``tokens`` is an array column.
-
-    The choice is sequential over groups. It runs on the few groups that can matter: those first in hash order until twice the
-    two targets are covered (the rest is train), as rows (group, rows, token counts) in one ordered pass."""
-    sized = records.groupBy(group).agg(F.count("*").alias("rows"), F.flatten(F.collect_list(tokens)).alias("tokens"))
-    ordered = sized.withColumn("h", F.sha2(F.concat(F.lit(seed), F.col(group).cast("string")), 256))
-    total = records.count()
-    target = round(total * share)
-    upto = F.sum("rows").over(Window.orderBy("h", group).rowsBetween(Window.unboundedPreceding, -1))
-    head = ordered.withColumn("before", F.coalesce(upto, F.lit(0))).where(F.col("before") <= 4 * target).orderBy("h", group)
-    have = {r["t"]: r["n"] for r in records.select(F.explode(tokens).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
+def greedy(records: DataFrame, group: str, tokens: str, seed: str = "1", share: float = 0.1, block: int = 2000) -> DataFrame:
+    """group, split: whole groups in hash order go to dev while they fit the row target, unless they would take the last
+    training occurrence of a token; then the rest go to test alike. ``tokens`` is an array column.
+
+    The choice is sequential over groups: each pass reads them in hash order, about ``block`` at a time, until its target
+    is met or no group is left. A group is a row with its number of rows and its count of each token, added up in
+    Spark. The driver holds the counts of all tokens and the groups chosen. Groups beyond the target can never fit."""
+    target = round(records.count() * share)
+    each = records.select(group, F.explode(tokens).alias("t")).groupBy(group, "t").agg(F.count("*").alias("n"))
+    each = materialize(each)
+    have = {r["t"]: r["n"] for r in each.groupBy("t").agg(F.sum("n").alias("n")).collect()}
+    counts = each.groupBy(F.col(group).alias("__g")).agg(F.collect_list(F.struct("t", "n")).alias("counts"))
+    sized = materialize(records.groupBy(group).agg(F.count("*").alias("rows")))
+    small = sized.where(F.col("rows") <= target).join(counts, F.col(group).eqNullSafe(F.col("__g")), "left").drop("__g")
+    hashed = small.withColumn("h", F.sha2(F.concat(F.lit(seed), F.col(group).cast("string")), 256))
+    groups = materialize(hashed)
+    blocks = groups.repartitionByRange(-(-groups.count() // block) or 1, "h", group).sortWithinPartitions("h", group)
     chosen: dict = {}
-    filled = {"dev": 0, "test": 0}
-    for row in head.toLocalIterator():
-        name = next((s for s in ("dev", "test") if filled[s] + row["rows"] <= target), None)
-        if name is None:
-            continue
-        used: dict = {}
-        for t in row["tokens"]:
-            used[t] = used.get(t, 0) + 1
-        if any(have[t] - n < 1 for t, n in used.items()):
-            continue
-        for t, n in used.items():
-            have[t] -= n
-        filled[name] += row["rows"]
-        chosen[row[group]] = name
-    spark = records.sparkSession
+    for name in ("dev", "test"):
+        room = target
+        for row in blocks.toLocalIterator() if room else ():
+            used = row["counts"] or []
+            if row[group] in chosen or row["rows"] > room or any(have[t] - n < 1 for t, n in used):
+                continue
+            for t, n in used:
+                have[t] -= n
+            room -= row["rows"]
+            chosen[row[group]] = name
+            if not room:
+                break
     kind = records.schema[group].dataType.simpleString()
-    picked = spark.createDataFrame(list(chosen.items()), f"{group} {kind}, split string")
-    return records.select(group).distinct().join(picked, group, "left").select(group, F.coalesce("split", F.lit("train")).alias("split"))
+    picked = records.sparkSession.createDataFrame(list(chosen.items()), f"__g {kind}, split string")
+    split = F.coalesce("split", F.lit("train")).alias("split")
+    return sized.join(picked, F.col(group).eqNullSafe(F.col("__g")), "left").select(group, split)
 
 
 def status(missing: Column, conflict: Column, excluded: Column) -> Column:

@@ -203,6 +203,36 @@ def test_status_cascade_and_splits(spark):
     assert len(parts) == 30 and counts["dev"] == 30 and counts["test"] == 30
 
 
+def greedy_by_hand(rows, seed="1", share=0.1):
+    sizes, have, counts = Counter(g for g, _ in rows), Counter(t for _, ts in rows for t in ts or []), {}
+    for g, ts in rows:
+        counts.setdefault(g, Counter()).update(ts or [])
+    out, target = dict.fromkeys(sizes, "train"), round(len(rows) * share)
+    for name in ("dev", "test"):
+        filled = 0
+        for g in sorted(sizes, key=lambda g: hashlib.sha256(f"{seed}{g}".encode()).hexdigest()):
+            if out[g] == "train" and filled + sizes[g] <= target and all(have[t] > n for t, n in counts[g].items()):
+                out[g] = name
+                filled += sizes[g]
+                have.subtract(counts[g])
+    return out
+
+
+@pytest.mark.parametrize("case", ["large", "rare", "sizes"])
+def test_greedy_split_looks_at_all_groups(spark, case):
+    groups = sorted((f"g{k}" for k in range(60)), key=lambda g: hashlib.sha256(f"1{g}".encode()).hexdigest())
+    rows = [(g, ["a", "b" if k % 3 else "c"]) for k, g in enumerate(groups) for _ in range(1 + k % 4 * (case == "sizes"))]
+    if case == "large":  # first in hash order, more than 40 % of all rows
+        rows += [(groups[0], ["a"])] * 60
+    if case == "rare":  # the first half hold tokens that nobody else has
+        rows = [(g, ts + [g] * (k < 30)) for k, (g, ts) in enumerate(rows)]
+    if case == "sizes":  # the first groups fit no more once dev is nearly full
+        rows += [(groups[2], None)] * 9 + [(groups[5], [])] * 3
+    df = spark.createDataFrame(rows, "g string, tokens array<string>")
+    got = {r.g: r.split for r in split.greedy(df, "g", "tokens", block=7).collect()}
+    assert got == greedy_by_hand(rows) and {"dev", "test"} <= set(got.values())
+
+
 def test_checks(spark):
     left = spark.createDataFrame([("a", "1", 1), ("b", "2", 2), ("c", "3", 3)], "path string, sha256 string, bytes long")
     right = spark.createDataFrame([("a", "1", 1), ("b", "x", 2), ("d", "4", 4)], "path string, sha256 string, bytes long")
