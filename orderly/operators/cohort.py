@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -70,10 +70,10 @@ def cluster_statistics(rows: DataFrame, clusters: DataFrame, by: str, cluster: s
     )
 
 
-def bootstrap(statistics: DataFrame, by: str, cluster: str, replicates: int = 2000, seed: int = 20260914, block: int = 50) -> DataFrame:
-    """Percentile intervals of the mean and the hit share of every cohort by a cluster bootstrap: the weight of a
+def replicate_sums(statistics: DataFrame, by: str, cluster: str, replicates: int = 2000, seed: int = 20260914, block: int = 50) -> DataFrame:
+    """by, rep, n, total, hits: weighted sums of every cohort in every replicate of a cluster bootstrap. The weight of a
     cluster in a replicate is Poisson(1), drawn from a stream seeded by cluster and block of replicates, so clusters need never
-    meet in one task: weighted sums are added up by replicate."""
+    meet in one task, and all cohorts see the same weights."""
     cohort_type = statistics.schema[by].dataType.simpleString()
     schema = f"{by} {cohort_type}, rep int, n double, total double, hits double"
     width = -(-replicates // block)
@@ -89,8 +89,44 @@ def bootstrap(statistics: DataFrame, by: str, cluster: str, replicates: int = 20
                 yield pd.DataFrame({by: cohort, "rep": np.arange(replicates, dtype=np.int32), "n": sums[:, 0], "total": sums[:, 1], "hits": sums[:, 2]})
 
     hashed = statistics.select(by, "n", "total", "hits", F.xxhash64(cluster).alias("h"))
-    reps = hashed.mapInPandas(drawn, schema).groupBy(by, "rep").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("hits").alias("hits"))
+    return hashed.mapInPandas(drawn, schema).groupBy(by, "rep").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("hits").alias("hits"))
+
+
+def bootstrap(statistics: DataFrame, by: str, cluster: str, replicates: int = 2000, seed: int = 20260914, block: int = 50) -> DataFrame:
+    """Percentile intervals of the mean and the hit share of every cohort by a cluster bootstrap."""
+    reps = replicate_sums(statistics, by, cluster, replicates, seed, block)
     rates = reps.select(by, F.try_divide("total", "n").alias("mean"), F.try_divide("hits", "n").alias("share"))
     return rates.groupBy(by).agg(
         *[F.percentile(c, F.lit(q)).alias(f"{c}_{name}") for c in ("mean", "share") for q, name in ((0.025, "low"), (0.975, "high"))]
     )
+
+
+def contrasts(statistics: DataFrame, by: str, cluster: str, terms: dict[str, dict[str, int]], replicates: int = 2000, seed: int = 20260914, block: int = 50) -> DataFrame:
+    """by, and for mean and share the estimate and its percentile interval, of every term: a sum of cohorts with signs, formed
+    within each replicate. defined counts the replicates in which all its cohorts have rows; the others have no value."""
+    reps = replicate_sums(statistics, by, cluster, replicates, seed, block)
+    sums = [F.sum(c).cast("double").alias(c) for c in ("n", "total", "hits")]
+    whole = statistics.groupBy(by).agg(F.lit(-1).alias("rep"), *sums)
+    cohorts = sorted({c for signs in terms.values() for c in signs})
+    rates = {"mean": F.try_divide("total", "n"), "share": F.try_divide("hits", "n")}
+    of = {(m, c): f"{m}_{k}" for m in rates for k, c in enumerate(cohorts)}
+    wide = reps.unionByName(whole).groupBy("rep").agg(*[F.max(F.when(F.col(by) == c, rates[m])).alias(name) for (m, c), name in of.items()])
+
+    def value(metric: str, signs: dict[str, int]) -> Column:
+        first, *rest = [F.col(of[metric, c]) * sign for c, sign in signs.items()]
+        return sum(rest, first).alias(metric)
+
+    rows = F.array(*[F.struct(F.lit(t).alias(by), *[value(m, signs) for m in rates]) for t, signs in terms.items()])
+    long = wide.select("rep", F.inline(rows))
+    drawn = {m: F.when(F.col("rep") >= 0, F.col(m)) for m in rates}
+    return long.groupBy(by).agg(
+        *[
+            c
+            for m in rates
+            for c in (
+                F.max(F.when(F.col("rep") < 0, F.col(m))).alias(m),
+                *[F.percentile(drawn[m], F.lit(q)).alias(f"{m}_{name}") for q, name in ((0.025, "low"), (0.975, "high"))],
+            )
+        ],
+        F.count(drawn["mean"]).alias("defined"),
+    )

@@ -145,7 +145,19 @@ def point(spark, sf):
 
 @query("A20_bootstrap_ci")
 def bootstrap_ci(spark, sf):
-    return C.bootstrap(statistics(spark, sf), "grp", "source")
+    """Intervals of the cohorts, their contrasts and the interaction. strict: without the rows that P6_status excludes explicitly."""
+    cells = {g: {g: 1} for g in ("good_clean", "good_toxic", "poor_clean", "poor_toxic")}
+    terms = cells | {
+        "good_effect_clean": {"good_clean": 1, "poor_clean": -1},
+        "good_effect_toxic": {"good_toxic": 1, "poor_toxic": -1},
+        "toxic_effect_poor": {"poor_toxic": 1, "poor_clean": -1},
+        "toxic_effect_good": {"good_toxic": 1, "good_clean": -1},
+        "interaction": {"good_toxic": 1, "poor_toxic": -1, "good_clean": -1, "poor_clean": 1},
+    }
+    rows, sources = cohorts(spark, sf), table(spark, sf, "documents")
+    strict = rows.withColumn("d_st", F.when(F.col("doc_id") % 7 != 0, F.col("d_st")))
+    found = [C.contrasts(C.cluster_statistics(r, sources, "grp", "source", "d_st"), "grp", "source", terms).select(F.lit(v).alias("variant"), "*") for v, r in (("agreement", rows), ("strict", strict))]
+    return found[0].unionByName(found[1])
 
 
 @query("A22_extremes", """WITH {FR} SELECT kind, arg_max(eid, (value, eid)) AS at_max, arg_min(eid, (value, eid)) AS at_min FROM fr GROUP BY kind""")

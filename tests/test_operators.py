@@ -120,6 +120,36 @@ def test_bootstrap_brackets_the_mean(spark):
     assert row.mean_low < 2.0 < row.mean_high and row.share_low < 0.1 < row.share_high
 
 
+def test_contrasts_against_numpy(spark):
+    cells = ("pa", "pb", "qa", "qb")
+    rows = [(g, f"c{k}", 1 + (k * 7 + i) % 5, float((k * 3 + i * i) % 11), (k + i) % 3) for i, g in enumerate(cells) for k in range(20)]
+    df = spark.createDataFrame(rows, "grp string, cl string, n long, total double, hits long")
+    terms = {"p": {"pa": 1, "pb": -1}, "interaction": {"pa": 1, "pb": -1, "qa": -1, "qb": 1}}
+    got = {r.grp: r for r in cohort.contrasts(df, "grp", "cl", terms, 200).collect()}
+    reps = cohort.replicate_sums(df, "grp", "cl", 200).toPandas().sort_values("rep")
+    for k, (metric, top) in enumerate((("mean", "total"), ("share", "hits"))):
+        drawn = {g: (p[top] / p["n"]).to_numpy() for g, p in reps.groupby("grp")}
+        whole = {g: sum(r[3 + k] for r in rows if r[0] == g) / sum(r[2] for r in rows if r[0] == g) for g in cells}
+        for name, signs in terms.items():
+            low, high = np.quantile(sum(s * drawn[g] for g, s in signs.items()), [0.025, 0.975])
+            assert (got[name][f"{metric}_low"], got[name][f"{metric}_high"]) == pytest.approx((low, high))
+            assert got[name][metric] == pytest.approx(sum(s * whole[g] for g, s in signs.items()))
+    assert got["p"].defined == 200
+
+
+def test_bootstrap_query_has_all_contrasts(spark, tmp_path):
+    docs = [(k, "en", f"s{k % 9}", 300 + 37 * k % 5000) for k in range(1, 200)]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k // 2 % 2, k % 2) for k in range(1, 200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {(r.variant, r.grp): r for r in catalog.QUERIES["A20_bootstrap_ci"](spark, str(tmp_path)).collect()}
+    named = {"good_effect_clean", "good_effect_toxic", "toxic_effect_poor", "toxic_effect_good", "interaction"}
+    assert {v for v, _ in got} == {"agreement", "strict"} and named <= {g for _, g in got} and len(got) == 18
+    point = catalog.QUERIES["A20_point"](spark, str(tmp_path)).first()
+    assert got["agreement", "interaction"].mean == pytest.approx(point.interaction, abs=1e-6)
+    assert all(r.mean_low < r.mean_high and r.defined > 0 for r in got.values())
+    assert got["strict", "interaction"].mean != got["agreement", "interaction"].mean
+
+
 def test_lattice_and_paths():
     logp = np.full((5, 3), -12.0)
     for t, label in enumerate([0, 1, 0, 1, 0]):
