@@ -94,7 +94,7 @@ def loghist(spark, sf):
 @query("A14_tokens", """WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) SELECT lang, w, count(*) AS n FROM w GROUP BY lang, w HAVING count(*) >= 20""")
 def token_counts(spark, sf):
     words = table(spark, sf, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("w"))
-    return words.groupBy("lang", "w").agg(F.count("*").alias("n")).where("n >= 20")
+    return words.groupBy("lang", "w").agg(F.count("*").alias("n"))
 
 
 @query("A15_status_counts", """SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars, count(*) FILTER (WHERE n_chars < 100) AS rare FROM documents GROUP BY source""")

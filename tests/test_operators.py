@@ -207,6 +207,13 @@ def test_lexicon_hits_of_whole_texts(spark, tmp_path):
     assert got == expected and max(i for _, i in got) == 153
 
 
+def test_rare_tokens_are_counted(spark, tmp_path):
+    docs = [(1, "en", "a b a once"), (2, "fr", "a"), (3, "en", "b " * 30)]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.lang, r.w): r.n for r in catalog.QUERIES["A14_tokens"](spark, str(tmp_path)).collect()}
+    assert got == {("en", "a"): 2, ("en", "b"): 31, ("en", "once"): 1, ("fr", "a"): 1}
+
+
 def test_targets_find_hills_and_valleys():
     t = np.arange(60) * 0.01
     found = seqdp.find_targets(3 * np.sin(t * 2 * np.pi / 0.3), t)
