@@ -56,18 +56,22 @@ class Encoder:
 
         with open(tokenizer_path, encoding="utf-8") as file:
             spec = json.load(file)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         # Byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
 
+    def encode_added(self, text: str) -> bytes:
+        """encode, with added tokens inside the text as their single ids: what the tokenizer does by default."""
+        return np.array(self.encoding.encode(text, allowed_special="all"), "<u4").tobytes()
+
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids: full ones but for the first, which takes the rest."""
@@ -85,7 +89,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         for texts in batches:
             out = []
             for text in texts:
-                ids = encoder.encode(text or "") + end
+                ids = encoder.encode_added(text or "") + end
                 out.append(
                     [
                         {"piece": k, "start": s, "length": n, "ids_crc32": zlib.crc32(ids[4 * s : 4 * (s + n)])}
@@ -176,11 +180,10 @@ def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, eta: float = ETA) -> list[tuple[dict[int, int], int]]:
     """Patterns with whole numbers of uses that hold every piece of the histogram exactly once: the linear program
-    rounded down and filled up, or the filling alone where that needs fewer sequences."""
-    tries = [filled(counts, capacity, [])]
+    rounded down and filled up, or the filling alone where rounding costs so much that it needs strictly fewer sequences."""
     part = {n: c for n, c in counts.items() if 0 < c and n < capacity}
-    if part and rounds:
-        tries.append(filled(counts, capacity, fractional(part, capacity, rounds, eta)))
+    tries = [filled(counts, capacity, fractional(part, capacity, rounds, eta))] if part and rounds else []
+    tries.append(filled(counts, capacity, []))
     return min(tries, key=lambda p: sum(times for _, times in p))
 
 

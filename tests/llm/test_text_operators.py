@@ -187,6 +187,18 @@ def test_ids_are_the_tokenizers(tokenizer):
         assert np.frombuffer(own.encode(t), "<u4").tolist() == theirs.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_the_tokenizers(spark, tokenizer):
+    from tokenizers import Tokenizer
+
+    theirs, end = Tokenizer.from_file(tokenizer), np.array([packing.END_ID], "<u4").tobytes()
+    added = ["<|endoftext|>", "a<|endoftext|> b <|endoftext|><|endoftext|>\n c", "<|endoftext", "<<|endoftext|>> é 漢字", "x <|ENDOFTEXT|>"]
+    texts = [*added, "", "a  b\n\n c \t d", "<|endoftext|>it's 12 34's  !!" * 9]
+    rows = {r.doc_id: r for r in packing.pieces(docs_of(spark, texts), tokenizer).collect()}
+    for k, t in enumerate(texts):
+        ids = theirs.encode(t, add_special_tokens=False).ids
+        assert (rows[k].length, rows[k].ids_crc32) == (len(ids) + 1, zlib.crc32(np.array(ids, "<u4").tobytes() + end)), t
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=12))
 def test_plans_hold_every_piece_once(counts):
@@ -204,6 +216,14 @@ def test_plan_is_close_to_the_bound():
     assert sum(t for _, t in packing.plan(counts, 64)) <= 1.02 * bound + 1
 
 
+def test_plan_is_that_of_the_linear_program():
+    counts = {17: 40, 23: 40, 24: 40, 31: 10, 33: 10}
+    rounded = packing.filled(counts, 64, packing.fractional(counts, 64, packing.ROUNDS, packing.ETA))
+    filled = packing.filled(counts, 64, [])
+    assert sum(t for _, t in rounded) == sum(t for _, t in filled) and rounded != filled
+    assert packing.plan(counts, 64) == rounded
+
+
 def test_packing_places_pieces(spark, tokenizer):
     df = docs_of(spark, [*EDGES, *(f"text number {k} " * (k % 40) for k in range(200))], sequence_id=5)
     rows = packing.pack(df, tokenizer).collect()
