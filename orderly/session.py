@@ -26,19 +26,43 @@ def get_session(app: str = "orderly", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where that is unset (tests on one
-    machine) a temporary folder takes its place."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary folder takes its place in
+    local mode only: on a cluster, executors would write to different disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="orderly-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here, and a lost
-    executor costs a read instead of the whole computation before it."""
+    executor costs a read instead of the whole computation before it. The shuffle files behind it are of no more use
+    and are removed when the write ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/orderly-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once all that was derived from them has been written."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            if path.rsplit("/", 1)[-1].startswith("orderly-"):
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
