@@ -1,25 +1,28 @@
 """Set similarity join of texts by word shingles: universe partition and pigeonhole, verified exactly.
 
-Two sets of sizes within one size band or two neighbouring ones that reach the Jaccard threshold differ in at most H
-tokens, where H follows from the band. Every token is hashed to one of m segments. Segments are indexed by their
-subset alone (they match where nothing differs) or by their subset and its one-deletion neighbourhood (they match
-where at most one token differs); with weights 1 and 2 that add up to H + 1 + e, matching segments of a similar pair
-weigh at least 1 + e. The allocation of segments to the two kinds and the spare weight e are chosen per band by a cost
-model: keys written, against texts whose empty subsets outweigh e.
-
-Empty subsets write no key; the weight of a text's empty segments counts against e instead.
-
-Texts that share a key are candidates and are verified on their whole sets (as 64-bit hashes of the shingles). In a
-bucket of a few texts all pairs are candidates. A larger bucket offers the pairs with its first text, which links
-groups of copies; where those links leave texts of several components in it, it stays open. A
-similar pair is then missed only if, for both its texts, open and empty segments together weigh more than e. Such
-texts (few, by the choice of e) are joined among themselves by the shingles that are rarest among them: in the order
-of rarity, two similar sets share one of their first n - ceil(t n) + 1. Buckets of that join that stay open verify all
-pairs between their components whose places in that order leave room for the overlap. So no link between components is lost and no group of copies is expanded.
-
-Equal sets are joined once, under their fingerprint. Null and empty texts have no shingles and are linked with
-nothing: their component is their own id. Repeated rows share a component. Rows with a null id take part; a component
-is named after its least id that is not null. Input columns other than id and text are ignored.
+Sizes fall into bands; the pairs of a band are those whose larger set lies in it. For these the universe of tokens is
+hashed to m segments, of which the first x also index their one-deletion neighbourhoods. A set of n tokens differs from
+any set similar to it in at most H(n) tokens. It writes its segments in order until the pieces of weight in them come
+to H(n) + 1 + s: a plain segment with tokens weighs 1 (it matches where nothing in it differs), a segment with
+neighbourhoods weighs up to 2 (it matches where at most one token differs). As H bounds the difference of a pair from
+either side, the set that stops first shares at least 1 + s of weight with its partner. x, m and the spare weight s are
+chosen per band by a cost model: keys written, candidate pairs expected from partly similar texts, and sets that are
+left to the exact way for the rest.
+
+Texts that share a key are candidates. In a bucket of a few texts all pairs are; a larger bucket offers the pairs with
+its first text, which links groups of copies, and stays open where those links leave its texts in several components.
+Pairs are first compared by size and by a parity sketch (bits that each token flips; two sketches differ in no more
+bits than the sets in tokens, so no similar pair is lost), then on their whole sets (64-bit hashes of the shingles).
+A similar pair is missed only if all that it shares is open, so only where for both its texts the open segments weigh
+more than their spare. Such texts (few, by the choice of s) are joined among themselves by the shingles that are rarest
+among them: in the order of rarity, two similar sets share one of their first n - ceil(t n) + 1. Buckets of that join
+that stay open are cut into blocks, and pairs of blocks are compared in separate tasks. So no link between components
+is lost and no group of copies is expanded.
+
+Copies are set aside before any text is read by Python: equal texts (by their 64-bit hash) are signed once, and equal
+sets are joined once, under their fingerprint. Null and empty texts have no shingles and are linked with nothing: their
+component is their own id. Repeated rows share a component. Rows with a null id take part; a component is named after
+its least id that is not null. Input columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -31,15 +34,27 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderly.llm.components import components
-from orderly.session import materialize
+from orderly.session import materialize, release
 
-BAND_BITS = 12
+# The low bits of a key: the band of the pairs that it serves, and whether it comes from a segment with neighbourhoods.
+BAND_BITS = 11
+KEY_BITS = BAND_BITS + 1
 LIGHT = 8
+BLOCK = 256
+# What the cost model takes for granted, in units of a written key: the texts that share a part with a given one, evenly
+# spread in similarity (some for every text, and more the shorter it is); the cost of a candidate pair, and per token of one that has to be
+# compared whole; the share of texts that hold a popular passage, and the cost per token of a set left to the exact way.
+PARTNERS = 4.0
+SHORT_PARTNERS = 400.0
+PAIR_COST = 12.0
+TOKEN_COST = 0.3
+POPULAR = 0.1
+REST_COST = 10.0
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
@@ -62,61 +77,109 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(splitmix(out))
 
 
-@lru_cache(4096)
+@lru_cache(64)
 def bands(percent: int) -> np.ndarray:
-    """The least size of each size band: a band ends where a larger set could no longer be similar to its least."""
+    """The least size of each size band. A band spans twice the ratio that similar sets may differ by, so that a pair
+    lies in one band or in two that follow each other, and only the larger half of a band meets the next one."""
     least = [1]
-    while least[-1] < 1 << 40 and len(least) < 1 << BAND_BITS:
-        least.append(least[-1] * 100 // percent + 1)
+    while least[-1] < 1 << 40:
+        n = least[-1]
+        least.append(max(n + 1, n * 10_000 // percent**2 + 1, n + n // 50))
     return np.array(least)
 
 
+def most_differing(n: int, other: int, percent: int) -> int:
+    """The most tokens in which sets of these two sizes may differ and still be similar."""
+    return (100 - percent) * (n + other) // (100 + percent)
+
+
+def reach(n: int, band: int, percent: int) -> int | None:
+    """The most tokens in which a set of n may differ from a set similar to it in the pairs of a band, or None where
+    none is in reach."""
+    least = bands(percent)
+    other = min(int(least[band + 1]) - 1, n * 100 // percent)
+    return most_differing(n, other, percent) if n >= least[band] or other >= least[band] else None
+
+
+def above(rate: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """About the chance that a Poisson variable exceeds ``most`` (a logistic curve in place of the normal one)."""
+    return 1 / (1 + np.exp(np.clip(1.7 * (most + 0.5 - rate) / np.sqrt(rate + 0.05), -40, 40)))
+
+
+def expected_cost(n: int, need: np.ndarray, m: np.ndarray, x: np.ndarray, s: np.ndarray, percent: int) -> np.ndarray:
+    """The cost, in keys, of a set of n tokens that has to gather the weight ``need``, of which s is spare, from m
+    segments, for arrays of choices."""
+    mean = n / m
+    deep = np.minimum(x, (need + 1) // 2)
+    plain = np.minimum(m - x, np.maximum(0, need - 2 * deep))
+    short = above(np.exp(-mean) * ((m - x) + x * (2 + mean)), m + x - need)
+    pairs = stuck = 0.0
+    for k in range(20):
+        alike = (k + 0.5) / 20 * percent / 100
+        differing = 2 * n * (1 - alike) / (1 + alike)
+        rate = differing / m  # a segment's tokens that the partner lacks
+        chance = -np.expm1(-np.exp(-rate) * (plain + deep * (1 + rate)))
+        pairs += (PARTNERS + SHORT_PARTNERS / n) / 20 * chance * (PAIR_COST + TOKEN_COST * n * (differing < 1.5 * (need - s)))
+        rate = (1 - alike) * mean  # a segment's tokens that lie outside the passage
+        stuck += above(np.exp(-rate) * (plain + 2 * deep * (1 + rate)), s) / 20
+    return plain + deep * (1 + mean) + pairs + REST_COST * n * (short + POPULAR * stuck)
+
+
 @lru_cache(4096)
 def allocation(percent: int, band: int) -> tuple[int, int, int]:
-    """(segments m, of them with one-deletion neighbourhoods x, spare weight e) for pairs whose larger set is in band."""
+    """(segments m, the first x of them with one-deletion neighbourhoods, spare weight s) for the pairs of a band."""
     least = bands(percent)
-    largest = int(least[band + 1]) - 1
-    smallest = int(least[max(0, band - 1)])
-    h = (100 - percent) * 2 * largest // (100 + percent)
-    best = (math.inf, 1, 0, 0)
-    for x in sorted({0, 1, (h + 1) // 4, (h + 1) // 2}):
-        for e in sorted({0, 1, 2, 3, 4, 6, 8, 12, *(h * k // 100 for k in (3, 6, 10, 15, 20, 25, 30, 40))}):
-            m = h + 1 + e - x
-            if x > m or 2 * x > h + 1 + e:
-                continue
-            mean = smallest / m
-            keys = (m - x) + x * (1 + mean)
-            none = math.exp(-mean)
-            weak = (m - x) * none + 2 * x * none * (1 + mean)
-            term, tail = math.exp(-weak), 1.0
-            for k in range(e + 1):  # Poisson: the chance that more than e of the weight is empty
-                tail -= term
-                term *= weak / (k + 1)
-            cost = keys + max(0.0, tail) * 20 * largest
-            if cost < best[0]:
-                best = (cost, m, x, e)
-    return best[1:]
+    low, high = int(least[band]), int(least[band + 1]) - 1
+    sizes = sorted({low, (low + high) // 2, high, max(1, -(-low * percent // 100))})
+    needs = [(n, h + 1) for n in sizes if (h := reach(n, band, percent)) is not None]
+    most = max(h for _, h in needs)
+    spare = sorted({0, 1, 2, 3, 4, 5, 6, 8, 10, 12, *(most * k // 100 for k in (2, 4, 6, 8, 10, 15))})
+    grid = [
+        (x, s, max(1, x, most + s - x + more))
+        for s in spare
+        for x in sorted({*range(min(7, (most + s + 1) // 2 + 1)), *((most + s) * k // 200 for k in range(0, 101, 5))})
+        for more in sorted({0, 1, 2, 3, *((most + s) * k // 100 for k in (1, 2, 4, 8, 12, 20, 30))})
+    ]
+    x, s, m = np.array(grid).T
+    best = int(sum(expected_cost(n, h + s, m, x, s, percent) / n for n, h in needs).argmin())
+    return int(m[best]), int(x[best]), int(s[best])
 
 
 def keys_of(tokens: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, int]:
-    """Keys of one set in the pairs of a band (the band stands in their low bits), and the number of them that may
-    stay open before the set depends on them."""
-    m, x, e = allocation(percent, band)
+    """Keys of one set in the pairs of a band, and the weight that may stay open before the set depends on it."""
+    differing = reach(len(tokens), band, percent)
+    if differing is None:
+        return np.zeros(0, np.int64), 0
+    m, x, s = allocation(percent, band)
     value = splitmix(tokens ^ splitmix(np.array([band], np.uint64)))
     segment = ((value >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
+    count = np.bincount(segment, minlength=m)
+    weight = np.minimum(count, 1)
+    weight[:x] = np.minimum(count[:x], 2)
+    gathered = np.cumsum(weight)
+    need = differing + 1 + s
+    used = min(m, int(np.searchsorted(gathered, need)) + 1)
     low = np.bincount(segment, (value & np.uint64(0xFFFFFFFF)).astype(float), m)
     high = np.bincount(segment, (value >> np.uint64(32)).astype(float), m)
     total = low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(32))
-    count = np.bincount(segment, minlength=m)
     salt = splitmix(np.arange(m, dtype=np.uint64) + np.uint64(band << 32))
-    keys = splitmix(total + salt)[count > 0]
-    spare = e - int((count[x:] == 0).sum())
+    own = np.flatnonzero(count[:used])
+    mask = ~np.uint64((1 << KEY_BITS) - 1)
+    plain = own[own >= x]
+    keys = (splitmix(total[plain] + salt[plain]) & mask) | np.uint64(band << 1)
     if x:
-        near = (segment < x) & (count[segment] > 1)
-        keys = np.concatenate([keys, splitmix(total[segment[near]] - value[near] + salt[segment[near]])])
-        spare = (spare - 2 * int((count[:x] < 2).sum())) // 2
-    mask = np.uint64((1 << BAND_BITS) - 1)
-    return ((np.unique(keys) & ~mask) | np.uint64(band)).view(np.int64), spare
+        deep = own[own < x]
+        near = (segment < min(x, used)) & (count[segment] > 1)
+        both = np.concatenate([total[deep] + salt[deep], total[segment[near]] - value[near] + salt[segment[near]]])
+        keys = np.concatenate([keys, (splitmix(both) & mask) | np.uint64(band << 1 | 1)])
+    return np.unique(keys).view(np.int64), s - max(0, need - int(gathered[used - 1]))
+
+
+def sketch(tokens: np.ndarray, band: int, percent: int) -> np.ndarray:
+    """Parity bits of a set, as many for all sets in the pairs of a band: each token flips one."""
+    bits = 64 * max(1, most_differing(int(bands(percent)[band + 1]), int(bands(percent)[band + 1]), percent) * 8 // 64)
+    flips = np.bincount((splitmix(tokens) % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
 
 
 def fingerprint(tokens: np.ndarray) -> int | None:
@@ -131,6 +194,8 @@ SIGNED = T.StructType(
         T.StructField("n", T.LongType()),
         T.StructField("band", T.IntegerType()),
         T.StructField("spare", T.ArrayType(T.IntegerType())),
+        T.StructField("deep", T.ArrayType(T.IntegerType())),
+        T.StructField("bits", T.ArrayType(T.ArrayType(T.LongType()))),
         T.StructField("keys", T.ArrayType(T.LongType())),
     ]
 )
@@ -140,9 +205,15 @@ def text_hash(text_col: str) -> Column:
     return F.xxhash64(F.col(text_col).cast("string"))
 
 
-def signatures(docs: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
-    """id with h (a hash of the text), fp (the set's fingerprint), n (its size), its band, and for the pairs of its own
-    band and of the next one: keys and spare."""
+def one_of_each(texts: DataFrame, often: DataFrame) -> DataFrame:
+    """(h, text): one row for every h of texts; often has the h that occur more than once."""
+    alone = texts.join(often, "h", "left_anti")
+    return alone.unionByName(texts.join(often, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text")))
+
+
+def signatures(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """h with fp (the set's fingerprint), n (its size), its band, and for the pairs of its own band and of the next
+    one: spare, deep (the number of segments with neighbourhoods), bits (the parity sketch) and keys."""
 
     @F.pandas_udf(SIGNED)
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -151,27 +222,55 @@ def signatures(docs: DataFrame, text_col: str, words: int, percent: int) -> Data
             rows = []
             for text in texts:
                 tokens = shingles(text, words)
-                band, keys, spare = 0, np.zeros(0, np.int64), []
-                if len(tokens):
-                    band = int(np.searchsorted(least, len(tokens), "right")) - 1
-                    both = [keys_of(tokens, b, percent) for b in (band, band + 1)]
-                    keys, spare = np.concatenate([k for k, _ in both]), [s for _, s in both]
-                rows.append((fingerprint(tokens), len(tokens), band, spare, keys))
+                if not len(tokens):
+                    rows.append((None, 0, 0, [], [], [], []))
+                    continue
+                band = int(np.searchsorted(least, len(tokens), "right")) - 1
+                both = [keys_of(tokens, b, percent) for b in (band, band + 1)]
+                deep = [allocation(percent, b)[1] for b in (band, band + 1)]
+                bits = [sketch(tokens, b, percent) for b in (band, band + 1)]
+                rows.append((fingerprint(tokens), len(tokens), band, [s for _, s in both], deep, bits, np.concatenate([k for k, _ in both])))
             out = pd.DataFrame(rows, columns=SIGNED.fieldNames())
             yield out.assign(fp=out["fp"].astype("Int64"))
 
-    return docs.withColumn("s", signed.asNondeterministic()(F.col(text_col).cast("string"))).select("id", text_hash(text_col).alias("h"), "s.*")
+    return texts.withColumn("s", signed.asNondeterministic()(F.col("text").cast("string"))).select("h", "s.*")
 
 
 def candidates(rows: DataFrame, light: int = LIGHT) -> tuple[DataFrame, DataFrame]:
-    """From (key, fp): candidate pairs (a, b), a < b, and the rows of buckets too large to offer all their pairs."""
-    key = Window.partitionBy("key")
-    shared = rows.withColumn("c", F.count("*").over(key.orderBy("fp").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("c > 1")
-    order = key.orderBy("fp")
-    before = F.when(F.col("c") <= light, F.collect_list("fp").over(order.rowsBetween(-(light - 1), -1))).otherwise(F.array(F.first("fp").over(order)))
-    offered = materialize(shared.withColumn("before", before))
-    pairs = offered.select(F.explode("before").alias("a"), F.col("fp").alias("b")).where("a < b").distinct()
-    return pairs, offered.where(F.col("c") > light).select(*rows.columns)
+    """From distinct (key, fp, ...): candidate pairs (a, b), a < b, and the rows of buckets too large to offer all their
+    pairs. Keys are counted first, so that those of a single set (most) are neither sorted nor kept, and the rows of
+    one hot key may be split between tasks."""
+    counts = materialize(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
+    shared = materialize(rows.join(counts, "key"))
+    release(counts)
+    few = shared.where(F.col("c") <= light).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("f"))
+    every = F.flatten(F.transform("f", lambda a, i: F.transform(F.slice("f", i + 2, F.lit(light)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    many = shared.where(F.col("c") > light)
+    first = materialize(many.groupBy("key").agg(F.min("fp").alias("a")))
+    starred = many.join(first, "key").select("a", F.col("fp").alias("b")).where("a < b")
+    pairs = materialize(few.select(F.explode(every).alias("p")).select("p.*").unionByName(starred).distinct())
+    return pairs, many.select(*rows.columns)
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parity sketches do not rule out. sets: fp, n, band, bits."""
+    left, right = (sets.select(F.col("fp").alias(s), F.struct("n", "band", "bits").alias(f"s{s}")) for s in "ab")
+    met = pairs.join(left, "a").join(right, "b")
+    group = "greatest(sa.band, sb.band)"
+    flipped = f"aggregate(zip_with(sa.bits[{group} - sa.band], sb.bits[{group} - sb.band], (x, y) -> bit_count(x ^ y)), 0, (acc, c) -> acc + c)"
+    near = f"100 * least(sa.n, sb.n) >= {percent} * greatest(sa.n, sb.n)"
+    return met.where(f"CASE WHEN {near} THEN {100 + percent} * {flipped} <= {100 - percent} * (sa.n + sb.n) ELSE false END").select("a", "b")
+
+
+def token_sets(texts: DataFrame, often: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """(fp, tokens) of the sets asked for (fp, h)."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def tokens(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, words).view(np.int64) for t in texts])
+
+    found = one_of_each(texts.join(asked, "h", "left_semi"), often).join(asked, "h")
+    return materialize(found.select("fp", tokens(F.col("text").cast("string")).alias("tokens")))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -183,10 +282,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def open_buckets(heavy: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows (key, fp, root) of those large buckets in which the links found leave several components."""
+    """The rows (key, fp, root, c) of those large buckets in which the links found leave several components; c is the
+    number of sets in the bucket."""
     named = heavy.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    several = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
-    return materialize(named.join(several.select("key"), "key"))
+    several = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c")).where("r0 != r1")
+    return materialize(named.join(materialize(several.select("key", "c")), "key"))
 
 
 def rarest(sets: DataFrame, percent: int) -> DataFrame:
@@ -199,63 +299,75 @@ def rarest(sets: DataFrame, percent: int) -> DataFrame:
     return ranked.select(F.posexplode(F.slice("t", F.lit(1), first)).alias("i", "t"), "fp", "n").select("t.key", "fp", "n", "i")
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, light: int = LIGHT) -> DataFrame:
-    """One row per row of docs: id, h (a hash of the text), n and root, which texts of a component share (NULL: no shingles)."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = materialize(signatures(docs, "text", words, percent))
-    members = signed.select("id", "h", "fp", "n")
+def within(rest: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """The similar pairs (a, b) between components inside open buckets. rest: key, fp, root, n, i, c. A bucket is cut
+    into blocks of about ``block`` sets, and two blocks meet under a key of their own, so the pairs of a large bucket
+    are dealt to many tasks. What passes is verified on the spot, so that near misses are never written out as pairs."""
+    blocks = F.ceil(F.col("c") / block).cast("int")
+    cut = rest.join(sets, "fp").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    left = cut.withColumn("to", F.explode(F.sequence("block", F.col("blocks") - 1))).select("key", F.col("block").alias("from"), "to", "fp", "root", "n", "i", "tokens")
+    right = cut.withColumn("from", F.explode(F.sequence(F.lit(0), "block"))).select(
+        "key", "from", F.col("block").alias("to"), *[F.col(c).alias(f"{c}_b") for c in ("fp", "root", "n", "i", "tokens")]
+    )
+    # At the first shingle that two sets share, the i and i_b rarer ones before it differ.
+    near = f"100 * least(n, n_b) >= {percent} * greatest(n, n_b) AND {100 + percent} * (i + i_b) <= {100 - percent} * (n + n_b)"
+    alike = f"{100 + percent} * size(array_intersect(tokens, tokens_b)) >= {percent} * (n + n_b)"
+    once = F.expr("`from` != `to` OR fp < fp_b")
+    met = left.join(right, ["key", "from", "to"]).where(once & F.expr(f"root != root_b AND {near} AND {alike}"))
+    return met.select(F.least("fp", "fp_b").alias("a"), F.greatest("fp", "fp_b").alias("b")).distinct()
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, light: int = LIGHT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """One row per row of docs: id, h (a hash of the text) and fp (NULL: no shingles). And one row per set: fp, n, root
+    (shared by the sets of a component) and least, the component's least id."""
+    texts = docs.select(text_hash(text_col).alias("h"), F.col(text_col).alias("text"))
+    members = materialize(docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("h")))
+    often = materialize(members.groupBy("h").count().where("count > 1").select("h"))
+    signed = materialize(signatures(one_of_each(texts, often), words, percent))
     full = signed.where("fp IS NOT NULL")
-    reps = full.groupBy("fp", "n", "band", "spare").agg(F.min("id").alias("id"), F.coalesce(F.min_by("h", "id"), F.min("h")).alias("h"))
-    rows = full.select("fp", "keys").dropDuplicates(["fp"]).select(F.explode("keys").alias("key"), "fp")
-    pairs, heavy = candidates(rows, light)
-    pairs = materialize(pairs)
-    weak = F.array_min("spare") < 0
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def tokens(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, words).view(np.int64) for t in texts])
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(reps, "fp").unionByName(reps.where(weak)).select("fp", F.col("id").alias("rep"), "h").distinct()
-    sets = docs.withColumn("th", text_hash("text")).join(asked, F.col("id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("h"))).withColumn("tokens", tokens(F.col("text").cast("string")))
-    if members.groupBy("id").count().where("count > 1").limit(1).count():  # several texts under an id: take the one meant
-
-        @F.pandas_udf(T.LongType())
-        def print_of(arrays: pd.Series) -> pd.Series:
-            return pd.Series([fingerprint(np.asarray(a, np.int64).view(np.uint64)) for a in arrays], dtype="Int64")
-
-        sets = sets.where(F.col("fp") == print_of("tokens")).dropDuplicates(["fp"])
-    sets = materialize(sets.select("fp", "tokens"))
-
-    links = materialize(verified(pairs, sets, percent))
-    roots = components(links)
-    left = open_buckets(heavy, roots).groupBy("fp", F.col("key").bitwiseAND((1 << BAND_BITS) - 1).alias("at")).count()
-    depends = left.join(reps, "fp").where(F.col("count") > F.expr("spare[cast(at as int) - band]"))
-    hard = materialize(sets.join(depends.select("fp").unionByName(reps.where(weak).select("fp")).distinct(), "fp"))
+    reps = materialize(full.drop("keys").groupBy("fp", "n", "band").agg(F.min_by(F.struct("h", "spare", "deep", "bits"), "h").alias("s"), F.count("*").alias("c")).select("fp", "n", "band", "s.*", "c"))
+    twice = materialize(reps.where("c > 1").select(F.col("fp").alias("same"), F.col("h").alias("kept")))
+    once = full.select("fp", "h", "keys").join(twice, (F.col("fp") == F.col("same")) & (F.col("h") != F.col("kept")), "left_anti")
+    pairs, heavy = candidates(once.select(F.explode("keys").alias("key"), "fp"), light)
+    members = materialize(members.join(signed.select("h", "fp"), "h"))
+    release(signed)
+
+    maybe = materialize(possible(pairs, reps, percent))
+    asked = materialize(maybe.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(reps, "fp").select("fp", "h"))
+    sets = token_sets(texts, often, asked, words)
+    roots = components(materialize(verified(maybe, sets, percent)))
+    release(pairs, maybe, asked, sets)
+
+    at = F.shiftright(F.col("key"), 1).bitwiseAND((1 << BAND_BITS) - 1).cast("int")
+    kind = F.col("key").bitwiseAND(1)
+    left = open_buckets(heavy, roots).groupBy("fp", at.alias("at")).agg(F.count_if(kind == 0).alias("plain"), F.count_if(kind == 1).alias("deep_keys"))
+    depends = left.join(reps, "fp").where("plain + 2 * least(deep_keys, deep[at - band]) > spare[at - band]")
+    weak = reps.where(F.array_min("spare") < 0)
+    hard = materialize(depends.select("fp", "h").unionByName(weak.select("fp", "h")).distinct())
     if hard.limit(1).count():
-        pairs, heavy = candidates(rarest(hard, percent), light)
-        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(pairs, hard, percent))
+        sets = token_sets(texts, often, hard, words)
+        pairs, heavy = candidates(rarest(sets, percent), light)
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(possible(pairs, reps, percent), sets, percent))
         roots = components(links)
-        rest = open_buckets(heavy, roots).join(hard, "fp")
-        other = rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("fp", "root", "n", "i", "tokens")])
-        # At the first shingle that two sets share, the i and i_b rarer ones before it differ. What passes is verified in
-        # the bucket, so that near misses are never written out as pairs.
-        near = f"100 * least(n, n_b) >= {percent} * greatest(n, n_b) AND {100 + percent} * (i + i_b) <= {100 - percent} * (n + n_b)"
-        alike = f"{100 + percent} * size(array_intersect(tokens, tokens_b)) >= {percent} * (n + n_b)"
-        pairs = rest.join(other, "key").where(f"fp < fp_b AND root != root_b AND {near} AND {alike}")
-        found = materialize(pairs.select(F.col("fp").alias("a"), F.col("fp_b").alias("b")).distinct())
+        rest = open_buckets(heavy, roots)
+        found = materialize(within(rest, sets, percent, block))
         if found.limit(1).count():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+        release(pairs, rest, sets, found)
 
-    return members.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("id", "h", "n", F.coalesce("root", "fp").alias("root"))
+    least = members.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id"))
+    rooted = reps.select("fp", "n").join(least, "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    rooted = materialize(rooted.withColumn("root", F.coalesce("root", "fp")))
+    named = materialize(rooted.groupBy("root").agg(F.min("id").alias("least")))
+    return members, materialize(rooted.drop("id").join(named, "root").select("fp", "n", "root", "least"))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, light: int = LIGHT) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, light: int = LIGHT, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id. Two texts link where the Jaccard similarity of their
     sets of ``words``-word shingles reaches ``percent`` in a hundred."""
-    rooted = grouped(docs, id_col, text_col, words, percent, light).drop("h")
-    named = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least"))
-    return rooted.join(named, "root", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id")
+    members, sets = grouped(docs, id_col, text_col, words, percent, light, block)
+    return members.join(sets, "fp", "left").select(
+        F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("least", "id").alias("component_id")
     )
 
 
@@ -263,10 +375,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row of each component: that of the least id (null ids last), then of the least hash of the text. Rows are told apart by id and
     text, so repeated and null ids lose no other text. Texts without shingles stay, each as its own group. Of rows that
     repeat id and text one stays, that with the least other columns; null ids without shingles are nobody's copies."""
-    found = materialize(grouped(docs, id_col, text_col, words, percent).select("id", "h", "root"))
+    members, sets = grouped(docs, id_col, text_col, words, percent)
+    found = materialize(members.join(sets.select("fp", "root"), "fp", "left").select("id", "h", "root"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id1"), F.col("h").alias("h1")))
-    best = found.where("root IS NOT NULL").groupBy("root").agg(first.alias("b")).select("root", "b.id1", "b.h1")
-    gone = found.join(best, "root").where("NOT (id <=> id1 AND h = h1)").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
+    best = materialize(found.where("root IS NOT NULL").groupBy("root").agg(first.alias("b")).select("root", "b.id1", "b.h1"))
+    gone = materialize(found.join(best, "root").where("NOT (id <=> id1 AND h = h1)").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct())
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (text_hash(text_col) == F.col("__h"))
     kept = docs.join(gone, same, "left_anti")
     often = found.groupBy("id", "h").agg(F.count("*").alias("c"), F.max("root").alias("root")).where("c > 1 AND (root IS NOT NULL OR id IS NOT NULL)")

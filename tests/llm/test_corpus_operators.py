@@ -62,11 +62,46 @@ def family_texts(rng, n=260):
 def test_jaccard_join_against_brute_force(spark, words, percent):
     texts = family_texts(random.Random(words))
     expected, sizes = brute_components(texts, words, percent)
-    rows = jaccard.join(docs_of(spark, texts), words=words, percent=percent, light=3).collect()
+    rows = jaccard.join(docs_of(spark, texts), words=words, percent=percent, light=3, block=5).collect()
     assert {r.doc_id: r.component_id for r in rows} == expected
     assert [r.n_shingles for r in sorted(rows, key=lambda r: r.doc_id)] == sizes
 
 
+@pytest.mark.parametrize("percent", [90, 80, 60])
+def test_allocation_uses_both_kinds_of_segments(percent):
+    plans = [jaccard.allocation(percent, b) for b in range(60) if jaccard.bands(percent)[b] < 5000]
+    assert any(x > 0 for _, x, _ in plans) and any(m > x for m, x, _ in plans)
+    assert all(m >= max(1, x) and x >= 0 and s >= 0 for m, x, s in plans)
+
+
+@pytest.mark.parametrize("percent", [90, 80, 60])
+def test_similar_sets_share_a_key_or_know_that_they_are_weak(percent):
+    rng, weak = np.random.default_rng(percent), 0
+    for size in [*range(1, 40), 75, 150, 400, 1000] * 3:
+        one = rng.integers(0, 2**63, size).astype(np.uint64)
+        lost = int(rng.integers(0, jaccard.most_differing(size, size, percent) + 1))
+        other = np.unique(np.concatenate([one[lost // 2 :], rng.integers(0, 2**63, lost - lost // 2).astype(np.uint64)]))
+        both = len(np.intersect1d(one, other))
+        if not both or 100 * both < percent * (len(one) + len(other) - both):
+            continue
+        bands = [int(np.searchsorted(jaccard.bands(percent), len(x), "right")) - 1 for x in (one, other)]
+        (a, spare), (b, spare_b) = (jaccard.keys_of(np.sort(x), max(bands), percent) for x in (one, other))
+        weak += spare < 0 and spare_b < 0
+        assert len(np.intersect1d(a, b)) or (spare < 0 and spare_b < 0)
+        flips = [np.unpackbits(jaccard.sketch(x, max(bands), percent).view(np.uint8)) for x in (one, other)]
+        assert (flips[0] != flips[1]).sum() <= len(one) + len(other) - 2 * both
+    assert weak < 15
+
+
+def test_jaccard_join_of_long_texts_and_clashing_names(spark):
+    long = " ".join(f"w{k % 30_011}" for k in range(60_000))
+    texts = [long, long + " end", long.upper(), None, "", "a b c"]
+    docs = docs_of(spark, texts).withColumnRenamed("source", "fp").withColumns({c: F.lit(c) for c in ("h", "id", "key", "root", "n", "component_id")})
+    got = {r.doc_id: r.component_id for r in jaccard.join(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5}
+    assert sorted(r.doc_id for r in jaccard.deduplicate(docs).collect()) == [0, 3, 4, 5]
+
+
 def test_jaccard_join_of_repeated_and_null_ids(spark):
     text, other = "a b c d e f g h", "p q r s t u v w"
     df = spark.createDataFrame([(3, text), (3, text), (None, text), (5, other), (5, text), (9, other)], "doc_id long, text string")
