@@ -19,7 +19,8 @@ def from_semitones(st: Column, ref: float = 100.0) -> Column:
 
 
 def cents(a: Column, b: Column) -> Column:
-    return 1200 * F.log2(a / b)
+    """NULL where either is not above 0."""
+    return 1200 * F.log2(F.try_divide(a, b))
 
 
 def log_edges(lo: Column, hi: Column, bands: int = 5) -> Column:
@@ -36,11 +37,13 @@ def band(f: Column, edges: Column, bands: int = 5) -> Column:
 
 
 def t_value(f: Column, lo: Column, hi: Column) -> Column:
-    return 5 * (F.log(f) - F.log(lo)) / (F.log(hi) - F.log(lo))
+    """NULL where the bounds coincide or f is not above 0."""
+    return F.try_divide(5 * (F.log(f) - F.log(lo)), F.log(hi) - F.log(lo))
 
 
 def log_z(f: Column, mean: Column, std: Column) -> Column:
-    return (F.log(f) - mean) / std
+    """NULL where all values are the same."""
+    return F.try_divide(F.log(f) - mean, std)
 
 
 def dbfs(rms: Column) -> Column:

@@ -5,6 +5,7 @@ window is partitioned by the recording, so frames of different recordings never
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +30,11 @@ def jump_mask(frames: DataFrame, limit: float = 7.0) -> DataFrame:
     return jump_pairs(frames, limit).withColumn("jump", F.max("jump_pair").over(around))
 
 
-def screen(frames: DataFrame, min_strength: float = 0.6, min_rms: float = -45.0) -> DataFrame:
-    """reliable: voiced, strong and loud enough, and not near a jump."""
+def screen(frames: DataFrame, min_strength: float = 0.6, min_rms: float = -45.0, min_run: int = 5) -> DataFrame:
+    """reliable: voiced, strong and loud enough, not near a jump, and in a run of at least so many frames like that."""
     ok = (F.col("f") > 0) & (F.col("strength") >= min_strength) & (F.col("rms") >= min_rms) & ~F.col("jump")
-    return jump_mask(frames).withColumn("reliable", F.coalesce(ok, F.lit(False)))
+    passed = label_runs(jump_mask(frames).withColumn("__ok", F.coalesce(ok, F.lit(False))), "__ok", "__run")
+    return passed.withColumn("reliable", F.coalesce(F.col("__run_length") >= min_run, F.lit(False))).drop("__ok", "__run", "__run_length")
 
 
 def label_runs(frames: DataFrame, mask: str, out: str = "run") -> DataFrame:
@@ -73,40 +75,66 @@ def fill_gaps(frames: DataFrame, value: str, most: int = 3) -> DataFrame:
         near("t", after, False).alias("__t1"),
         near("i", after, False).alias("__i1"),
     )
-    line = F.col("__v0") + (F.col("__v1") - F.col("__v0")) * (F.col("t") - F.col("__t0")) / (F.col("__t1") - F.col("__t0"))
+    line = F.col("__v0") + F.try_divide((F.col("__v1") - F.col("__v0")) * (F.col("t") - F.col("__t0")), F.col("__t1") - F.col("__t0"))
     fits = (F.col("__i1") - F.col("__i0") - 1) <= most
     return ext.withColumn(f"{value}_filled", F.coalesce(F.col(value), F.when(fits, line))).drop("__v0", "__t0", "__i0", "__v1", "__t1", "__i1")
 
 
-def median5(frames: DataFrame, value: str) -> DataFrame:
-    """``value``_median over five frames; the ends repeat their outermost value. NULL where a frame of the five is missing."""
-    around = [F.lag(value, -k).over(by()) if k > 0 else F.lag(value, -k).over(by()) for k in (-2, -1, 0, 1, 2)]
-    first, last = F.first(value).over(by()), F.last(value).over(by().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    n, place = F.count("*").over(Window.partitionBy("rec")), F.row_number().over(by())
-    five = [
-        F.when(place + k < 1, first).when(place + k > n, last).otherwise(around[k + 2]) for k in (-2, -1, 0, 1, 2)
-    ]
-    whole = F.array(*five)
-    return frames.withColumn(
-        f"{value}_median", F.when(~F.exists(whole, lambda x: x.isNull()), F.element_at(F.array_sort(whole), 3))
-    )
+def whole_runs(frames: DataFrame, value: str, at_least: int = 5) -> DataFrame:
+    """The frames of all runs of at least so many known values, with run, run_length and k, the place in the run from 0."""
+    known = label_runs(frames.withColumn("__known", F.col(value).isNotNull()), "__known").where(F.col("run_length") >= at_least)
+    return known.withColumn("k", (F.col("i") - F.col("run")).cast("int")).drop("__known")
+
+
+def in_run() -> Window:
+    return Window.partitionBy("rec", "run").orderBy("i")
+
+
+def median5(runs: DataFrame, value: str) -> DataFrame:
+    """``value``_median over five frames of a run (from whole_runs), whose ends repeat their outermost value."""
+    first = F.first(value).over(in_run())
+    last = F.last(value).over(in_run().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    five = []
+    for step in (-2, -1, 0, 1, 2):
+        place = F.col("k") + step
+        five.append(F.when(place < 0, first).when(place >= F.col("run_length"), last).otherwise(F.lag(value, -step).over(in_run())))
+    return runs.withColumn(f"{value}_median", F.element_at(F.array_sort(F.array(*five)), 3))
 
 
-SAVGOL9 = (-21, 14, 39, 54, 59, 54, 39, 14, -21)
+def smoothing_weights(points: int) -> list[list[float]]:
+    """For each place among so many points, the weights that give the value there of the parabola fitted to them all."""
+    powers = np.vander(np.arange(points) - points // 2, 3).astype(float)
+    return (powers @ np.linalg.pinv(powers)).round(12).tolist()
 
 
-def savgol9(frames: DataFrame, value: str) -> DataFrame:
-    """``value``_smooth: the nine-point quadratic filter at interior frames, NULL elsewhere."""
-    total = sum((F.lag(value, 4 - k).over(by()) * w for k, w in enumerate(SAVGOL9)), F.lit(0.0))
-    return frames.withColumn(f"{value}_smooth", total / 231)
+def savgol9(runs: DataFrame, value: str) -> DataFrame:
+    """``value``_smooth: Savitzky-Golay over nine frames of a run (from whole_runs; over the greatest odd number of frames
+    where it is shorter), of second order. Near a run's ends the parabola of the outermost window is read off."""
+    around = F.collect_list(value).over(in_run().rowsBetween(-8, 8))
+    half = F.floor((F.least(F.lit(9), F.col("run_length")) - 1) / 2).cast("int")
+    middle = F.greatest(half, F.least(F.col("k"), F.col("run_length").cast("int") - 1 - half))
+    first = F.least(F.col("k"), F.lit(8)) + middle - half - F.col("k")  # the window's begin in the frames around
+    out = F.lit(None).cast("double")
+    for points in (5, 7, 9):
+        table = F.lit(smoothing_weights(points))
+        weights = F.element_at(table, F.col("k") - middle + points // 2 + 1)
+        window = F.slice("__around", first + 1, F.lit(points))
+        total = F.aggregate(F.zip_with(window, weights, lambda x, w: x * w), F.lit(0.0), lambda acc, x: acc + x)
+        out = F.when(half == points // 2, total).otherwise(out)
+    return runs.withColumn("__around", around).withColumn(f"{value}_smooth", out).drop("__around")
 
 
 def moving_rms(frames: DataFrame, value: str, half: int, zero_padded: bool = False) -> DataFrame:
-    """``value``_rms over 2 half + 1 frames; zero_padded divides by the full width at the ends."""
-    window = by().rowsBetween(-half, half)
+    """``value``_rms over 2 half + 1 frames. Beyond the ends the outermost value is repeated, or counts as zero."""
+    width = 2 * half + 1
     square = F.col(value) * F.col(value)
-    mean = F.sum(square).over(window) / (2 * half + 1) if zero_padded else F.avg(square).over(window)
-    return frames.withColumn(f"{value}_rms", F.sqrt(mean))
+    total = F.sum(square).over(by().rowsBetween(-half, half))
+    if not zero_padded:
+        place, n = F.row_number().over(by()), F.count("*").over(Window.partitionBy("rec"))
+        whole = by().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        before, behind = F.greatest(half + 1 - place, F.lit(0)), F.greatest(half - (n - place), F.lit(0))
+        total = total + before * F.first(square).over(whole) + behind * F.last(square).over(whole)
+    return frames.withColumn(f"{value}_rms", F.sqrt(total / width))
 
 
 def log_bounds(frames: DataFrame, value: str = "f", low: float = 0.05, high: float = 0.95) -> DataFrame:

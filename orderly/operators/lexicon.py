@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 def occurrences(texts: DataFrame, lexicon: DataFrame, text_id: str, text: str) -> DataFrame:
     """Every character of every text with the lexicon words it is part of: a join on the character with the word's
-    place in the text as residual flag ``whole`` (the word stands there in full)."""
-    chars = texts.select(text_id, F.col(text).alias("__text"), F.posexplode(F.split(text, "")).alias("i", "char")).where("char != ''")
+    place in the text as residual flag ``whole`` (the word stands there in full). A row carries what surrounds its
+    character as far as the longest word reaches, not the text."""
+    reach = lexicon.agg(F.max(F.length("word"))).first()[0] or 1
+    padded = F.concat(F.lit("\n" * (reach - 1)), F.col(text), F.lit("\n" * (reach - 1)))
+    around = F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("char"), F.substring(padded, i + 1, F.lit(2 * reach - 1)).alias("near")))
+    chars = texts.select(text_id, F.posexplode(around).alias("i", "c")).select(text_id, "i", "c.*").where("char != ''")
     words = lexicon.select("*", F.posexplode(F.split("word", "")).alias("j", "char")).where("char != ''")
-    at = F.col("i") - F.col("j")
-    whole = (at >= 0) & (F.substring(F.col("__text"), at + 1, F.length("word")) == F.col("word"))
-    return chars.join(words, "char").withColumn("whole", whole).drop("__text")
+    whole = (F.col("i") >= F.col("j")) & (F.substring(F.col("near"), reach - F.col("j"), F.length("word")) == F.col("word"))
+    return chars.join(words, "char").withColumn("whole", whole).drop("near")
 
 
 def ranked(candidates: DataFrame, keys: list[str], same: str, order: list[str], most: int = 6) -> DataFrame:

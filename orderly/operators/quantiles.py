@@ -6,9 +6,11 @@ shows how many values lie before it, and the bracket shrinks until what it holds
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderly.session import materialize
+
 MOST = 1_000_000
 ACCURACY = 10_000
 
@@ -53,3 +55,44 @@ def exact(df: DataFrame, value: Column, shares: tuple[float, ...], most: int = M
         a, b = value_at(values, rank, n, most)
         out.append(a + (b - a) * (place - rank))
     return out
+
+
+def dealt_by_range(rows: DataFrame, group: str, order: list[str], weight: Column) -> DataFrame:
+    """rows with upto, the running total of the weight within their group in the given order, and whole, the group's total.
+    Ranges of (group, order) are summed one by one and what lies before each is added, so no group is sorted in one task."""
+    cut = materialize(rows.withColumn("__w", weight).repartitionByRange(group, *order).withColumn("__p", F.spark_partition_id()))
+    sums = cut.groupBy(group, "__p").agg(F.sum("__w").alias("__s"))  # a row for each range and group in it
+    before = Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+    starts = sums.select(
+        F.col(group).alias("__g"), F.col("__p").alias("__q"), (F.sum("__s").over(before) - F.col("__s")).alias("__start"), F.sum("__s").over(Window.partitionBy(group)).alias("whole")
+    )
+    inside = Window.partitionBy(group, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = cut.withColumn("upto", F.sum("__w").over(inside))
+    joined = summed.join(starts, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")))
+    return joined.withColumn("upto", F.col("upto") + F.col("__start")).drop("__w", "__p", "__g", "__q", "__start")
+
+
+def exact_by(df: DataFrame, group: str, value: Column, shares: dict[str, float], most: int = MOST) -> DataFrame:
+    """group with a column for each of the named quantiles of its values that are not NULL. Groups of up to ``most``
+    values are aggregated as they are; larger ones are counted by value and ranked over ranges of values."""
+    values = df.select(group, value.cast("double").alias("v")).where("v IS NOT NULL")
+    largest = values.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    if largest <= most:
+        return values.groupBy(group).agg(*[F.percentile("v", F.lit(float(s))).alias(n) for n, s in shares.items()])
+    ranked = dealt_by_range(values.groupBy(group, "v").count(), group, ["v"], F.col("count"))
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("upto") > rank, F.col("v")))
+
+    found = []
+    for name, share in shares.items():
+        place = share * (F.col("whole") - 1)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        found.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return ranked.groupBy(group).agg(*found)
+
+
+def ranked_share(df: DataFrame, group: str, value: str, tie: str) -> DataFrame:
+    """df with share: the row's rank in its group by value and tie, divided by the group's number of rows."""
+    ranked = dealt_by_range(df, group, [value, tie], F.lit(1))
+    return ranked.withColumn("share", F.col("upto") / F.col("whole")).drop("upto", "whole")

@@ -35,14 +35,14 @@ def micros(ts: Column) -> Column:
 
 FR_SQL = f"""fr AS (
   SELECT user_id AS rec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_id AS eid, event_type AS kind, value,
-    epoch_us(ts) - {EPOCH_US} AS us, CASE WHEN event_type <> 'error' THEN value END AS f, (event_id * 37 % 100) / 100.0::DOUBLE AS strength,
+    epoch_us(ts) - {EPOCH_US} AS us, CASE WHEN event_type <> 'error' AND value > 0 THEN value END AS f, (event_id * 37 % 100) / 100.0::DOUBLE AS strength,
     (event_id * 13 % 60 - 60)::DOUBLE AS rms, (event_id * 29 % 60 - 70)::DOUBLE AS rms2,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 0.01::DOUBLE AS t
   FROM events)"""
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as frames of 10 ms: the user is the recording, errors are unvoiced."""
+    """events as frames of 10 ms: the user is the recording; errors and frequencies of 0 are unvoiced (NULL)."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     eid = F.col("event_id")
     return (
@@ -50,7 +50,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("i", F.row_number().over(order).cast("long"))
         .select(
             F.col("user_id").alias("rec"), "i", eid.alias("eid"), F.col("event_type").alias("kind"), "value",
-            (micros(F.col("ts")) - EPOCH_US).alias("us"), F.when(F.col("event_type") != "error", F.col("value")).alias("f"),
+            (micros(F.col("ts")) - EPOCH_US).alias("us"), F.when((F.col("event_type") != "error") & (F.col("value") > 0), F.col("value")).alias("f"),
             (eid * 37 % 100 / 100.0).alias("strength"), (eid * 13 % 60 - 60).cast("double").alias("rms"),
             (eid * 29 % 60 - 70).cast("double").alias("rms2"), (F.col("i") * F.lit(0.01)).alias("t"),
         )
@@ -62,15 +62,22 @@ TOK_SQL = """tok AS (
   FROM (SELECT DISTINCT rec, (i - 1) // 12 AS tok FROM fr))"""
 
 
+def token_span() -> dict[str, Column]:
+    """Start a and end b of the token of a block."""
+    a = (F.col("tok") * 12 + 1) * F.lit(0.01)
+    return {"a": a, "b": a + (10 + (F.col("tok") * 7 + F.col("rec")) % 4) * F.lit(0.01)}
+
+
 def tokens(fr: DataFrame) -> DataFrame:
     """Blocks of 12 frames as tokens of 100 to 130 ms."""
-    found = fr.select("rec", F.expr("(i - 1) div 12").alias("tok")).distinct()
-    a = (F.col("tok") * 12 + 1) * F.lit(0.01)
-    return found.select("rec", "tok", a.alias("a"), (a + (10 + (F.col("tok") * 7 + F.col("rec")) % 4) * F.lit(0.01)).alias("b"))
+    return fr.select("rec", F.expr("(i - 1) div 12").alias("tok")).distinct().withColumns(token_span())
 
 
 def token_frames(fr: DataFrame, halo: float = 0.03) -> DataFrame:
-    """tokens with the frames around them: an equi-join on the block, with its neighbours, and the range as its rest."""
-    near = tokens(fr).withColumn("block", F.explode(F.array(F.col("tok") - 1, F.col("tok"), F.col("tok") + 1)))
-    cells = fr.withColumn("block", F.expr("(i - 1) div 12"))
-    return near.join(cells, ["rec", "block"]).where((F.col("t") >= F.col("a") - halo) & (F.col("t") < F.col("b") + halo)).drop("block")
+    """tokens with the frames around them. A token's place follows from its block, so each frame is dealt to its own block
+    and to the two beside it and no table is joined; the range is what remains to be tested."""
+    block = F.expr("(i - 1) div 12")
+    last = F.max(block).over(Window.partitionBy("rec"))
+    dealt = fr.withColumns({"last": last, "tok": F.explode(F.array(block - 1, block, block + 1))}).where("tok BETWEEN 0 AND last")
+    near = dealt.withColumns(token_span())
+    return near.where((F.col("t") >= F.col("a") - halo) & (F.col("t") < F.col("b") + halo)).drop("last")

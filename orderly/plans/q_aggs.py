@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orderly.functions import scalar as S
 from orderly.operators import cohort as C
+from orderly.operators.quantiles import exact_by
 from orderly.plans.base import frames, micros, query, r6
 from orderly.sources.tables import table
 
@@ -29,13 +30,14 @@ def rounded(df, *names):
 @query("A2_profile", """WITH {FR} SELECT kind, count(value) AS n, """ + ", ".join(f"round(quantile_cont(value, {q}), 6) AS q{int(q * 100)}" for q in (0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1)) + " FROM fr GROUP BY kind")
 def profile(spark, sf):
     shares = (0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1)
-    q = F.percentile("value", F.array(*[F.lit(float(s)) for s in shares]))
-    one = frames(spark, sf).groupBy("kind").agg(F.count("value").alias("n"), q.alias("q"))
-    return one.select("kind", "n", *[r6(F.col("q")[k]).alias(f"q{int(s * 100)}") for k, s in enumerate(shares)])
+    fr = frames(spark, sf).select("kind", "value")
+    marks = exact_by(fr, "kind", F.col("value"), {f"q{int(q * 100)}": q for q in shares})
+    counts = fr.groupBy("kind").agg(F.count("value").alias("n"))
+    return counts.join(marks, "kind", "left").select("kind", "n", *[r6(f"q{int(q * 100)}").alias(f"q{int(q * 100)}") for q in shares])
 
 
-@query("A4_log_z", """WITH {FR}, s AS (SELECT kind, avg(ln(value)) AS m, stddev_pop(ln(value)) AS s FROM fr GROUP BY kind)
-SELECT fr.kind, count(*) AS n, round(max((ln(value) - m) / s), 6) AS z_max, round(min((ln(value) - m) / s), 6) AS z_min FROM fr JOIN s ON s.kind = fr.kind GROUP BY fr.kind""")
+@query("A4_log_z", """WITH {FR}, s AS (SELECT kind, avg(ln(nullif(value, 0))) AS m, stddev_pop(ln(nullif(value, 0))) AS s FROM fr GROUP BY kind)
+SELECT fr.kind, count(*) AS n, round(max((ln(nullif(value, 0)) - m) / nullif(s, 0)), 6) AS z_max, round(min((ln(nullif(value, 0)) - m) / nullif(s, 0)), 6) AS z_min FROM fr JOIN s ON s.kind = fr.kind GROUP BY fr.kind""")
 def log_z(spark, sf):
     fr = frames(spark, sf)
     stats = fr.groupBy("kind").agg(F.avg(F.log("value")).alias("m"), F.stddev_pop(F.log("value")).alias("s"))
@@ -52,7 +54,7 @@ def segment_stats(spark, sf):
     )
 
 
-@query("A8_tumbling", """WITH {FR} SELECT us // 600000000 AS win, count(*) AS n, round(median(value), 6) AS p50, round(exp(quantile_cont(ln(value), 0.05)), 6) AS p5, round(exp(quantile_cont(ln(value), 0.95)), 6) AS p95 FROM fr GROUP BY 1""")
+@query("A8_tumbling", """WITH {FR} SELECT us // 600000000 AS win, count(*) AS n, round(median(value), 6) AS p50, round(exp(quantile_cont(ln(nullif(value, 0)), 0.05)), 6) AS p5, round(exp(quantile_cont(ln(nullif(value, 0)), 0.95)), 6) AS p95 FROM fr GROUP BY 1""")
 def tumbling(spark, sf):
     log = F.log("value")
     return frames(spark, sf).groupBy(F.expr("us div 600000000").alias("win")).agg(
@@ -82,7 +84,8 @@ def breakdowns(spark, sf):
 @query("A12_trace_median", """WITH v AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) SELECT label, (pos - 1)::INT AS pos, round(median(x::DOUBLE), 6) AS median FROM v GROUP BY label, pos""")
 def trace_median(spark, sf):
     long = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
-    return long.groupBy("label", "pos").agg(r6(F.percentile(F.col("x").cast("double"), F.lit(0.5))).alias("median"))
+    cells = long.select(F.struct("label", "pos").alias("cell"), "x")
+    return exact_by(cells, "cell", F.col("x"), {"median": 0.5}).select("cell.*", r6("median").alias("median"))
 
 
 @query("A13_loghist", """WITH {FR} SELECT floor(ln(value / 0.5::DOUBLE) / ln(650 / 0.5::DOUBLE) * 109)::BIGINT AS bin, count(*) AS n FROM fr WHERE value >= 0.5 AND value < 650 GROUP BY 1""")
@@ -91,7 +94,7 @@ def loghist(spark, sf):
     return frames(spark, sf).where("value >= 0.5 AND value < 650").groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("A14_tokens", """WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) SELECT lang, w, count(*) AS n FROM w GROUP BY lang, w HAVING count(*) >= 20""")
+@query("A14_tokens", """WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) SELECT lang, w, count(*) AS n FROM w GROUP BY lang, w""")
 def token_counts(spark, sf):
     words = table(spark, sf, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("w"))
     return words.groupBy("lang", "w").agg(F.count("*").alias("n"))

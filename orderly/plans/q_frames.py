@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from orderly.functions import scalar as S
 from orderly.operators import frames as O
 from orderly.operators import measure as M
+from orderly.operators.quantiles import exact, exact_by, ranked_share
 from orderly.plans.base import frames, query, r6, token_frames, tokens
+from orderly.session import materialize
 
 SCREEN = """
+vo AS (SELECT * REPLACE (200 + f / 4 AS f, 0.5 + strength / 2 AS strength, rms * 0.9::DOUBLE AS rms) FROM fr),
 st AS (SELECT *, coalesce(f > 0 AND lead(f) OVER w > 0 AND abs(12 * log2(greatest(lead(f) OVER w, 1) / greatest(f, 1))) > 7, false) AS jump_pair
-  FROM fr WINDOW w AS (PARTITION BY rec ORDER BY i)),
+  FROM vo WINDOW w AS (PARTITION BY rec ORDER BY i)),
 jm AS (SELECT *, bool_or(jump_pair) OVER (PARTITION BY rec ORDER BY i ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS jump FROM st),
-sc AS (SELECT *, coalesce(f > 0 AND strength >= 0.6 AND rms >= -45 AND NOT jump, false) AS reliable FROM jm)"""
+pr AS (SELECT *, coalesce(f > 0 AND strength >= 0.6 AND rms >= -45 AND NOT jump, false) AS ok FROM jm),
+isl AS (SELECT *, i - row_number() OVER (PARTITION BY rec, ok ORDER BY i) AS island FROM pr),
+sc AS (SELECT *, ok AND count(*) OVER (PARTITION BY rec, ok, island) >= 5 AS reliable FROM isl)"""
 LEVELS = f"""
 WITH {{FR}}, {SCREEN},
 b AS (SELECT exp(quantile_cont(ln(f), 0.05)) AS lo, exp(quantile_cont(ln(f), 0.95)) AS hi FROM sc WHERE reliable),
@@ -22,15 +27,23 @@ v AS (SELECT f, lo, hi, 1 + (f >= exp(ln(lo) + 1 * (ln(hi) - ln(lo)) / 5))::INT
   + (f >= exp(ln(lo) + 3 * (ln(hi) - ln(lo)) / 5))::INT + (f >= exp(ln(lo) + 4 * (ln(hi) - ln(lo)) / 5))::INT AS level FROM sc, b WHERE reliable)"""
 
 
+def voice(spark, sf):
+    """The frames with pitch and quality as steady as those of a voice, so that runs of reliable frames occur."""
+    return frames(spark, sf).withColumns({"f": 200 + F.col("f") / 4, "strength": 0.5 + F.col("strength") / 2, "rms": F.col("rms") * 0.9})
+
+
 @query("F1_five_level", LEVELS + """
 SELECT d.level::INT AS level, count(f) AS n, count(f) FILTER (WHERE f < lo OR f > hi) AS saturated, round(median(f), 6) AS median_f
 FROM (SELECT unnest(range(1, 6)) AS level) d LEFT JOIN v ON v.level = d.level GROUP BY d.level""")
 def five_level(spark, sf):
-    ok = O.screen(frames(spark, sf)).where("reliable")
+    ok = O.screen(voice(spark, sf)).where("reliable")
     levels = O.five_level(ok, O.log_bounds(ok))
     grid = spark.range(1, 6).select(F.col("id").cast("int").alias("level"))
-    return grid.join(levels, "level", "left").groupBy("level").agg(
-        F.count("f").alias("n"), F.count_if("saturated").alias("saturated"), r6(F.percentile("f", F.lit(0.5))).alias("median_f")
+    levels = materialize(levels.select("level", "f", "saturated"))
+    medians = exact_by(levels, "level", F.col("f"), {"median_f": 0.5})
+    counts = levels.groupBy("level").agg(F.count("f").alias("n"), F.count_if("saturated").alias("saturated"))
+    return grid.join(counts, "level", "left").join(medians, "level", "left").select(
+        "level", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("saturated", F.lit(0)).alias("saturated"), r6("median_f").alias("median_f")
     )
 
 
@@ -38,7 +51,7 @@ def five_level(spark, sf):
 SELECT level::INT AS level, round(min(5 * (ln(f) - ln(lo)) / (ln(hi) - ln(lo))), 6) AS t_min, round(max(5 * (ln(f) - ln(lo)) / (ln(hi) - ln(lo))), 6) AS t_max
 FROM v GROUP BY level""")
 def t_values(spark, sf):
-    ok = O.screen(frames(spark, sf)).where("reliable")
+    ok = O.screen(voice(spark, sf)).where("reliable")
     return O.five_level(ok, O.log_bounds(ok)).groupBy("level").agg(r6(F.min("t_value")).alias("t_min"), r6(F.max("t_value")).alias("t_max"))
 
 
@@ -46,7 +59,7 @@ def t_values(spark, sf):
 SELECT rec, count(*) AS total, count(f) AS voiced, count(*) FILTER (WHERE reliable) AS reliable, count(*) FILTER (WHERE jump) AS near_jump,
   round(avg(reliable::INT), 6) AS fraction FROM sc GROUP BY rec""")
 def screen(spark, sf):
-    return O.screen(frames(spark, sf)).groupBy("rec").agg(
+    return O.screen(voice(spark, sf)).groupBy("rec").agg(
         F.count("*").alias("total"), F.count("f").alias("voiced"), F.count_if("reliable").alias("reliable"), F.count_if("jump").alias("near_jump"),
         r6(F.avg(F.col("reliable").cast("int"))).alias("fraction"),
     )
@@ -54,13 +67,14 @@ def screen(spark, sf):
 
 @query("P18_dominance", """WITH {FR} SELECT kind, count(*) FILTER (WHERE rms - rms2 >= 6) AS dominant, round(median(rms - rms2), 6) AS median_db FROM fr GROUP BY kind""")
 def dominance(spark, sf):
-    d = F.col("rms") - F.col("rms2")
-    return frames(spark, sf).groupBy("kind").agg(F.count_if(d >= 6).alias("dominant"), r6(F.percentile(d, F.lit(0.5))).alias("median_db"))
+    fr = frames(spark, sf).select("kind", (F.col("rms") - F.col("rms2")).alias("d"))
+    medians = exact_by(fr, "kind", F.col("d"), {"median_db": 0.5})
+    return fr.groupBy("kind").agg(F.count_if(F.col("d") >= 6).alias("dominant")).join(medians, "kind", "left").withColumn("median_db", r6("median_db"))
 
 
 @query("W1_jump_mask", f"""WITH {{FR}}, {SCREEN} SELECT rec, i, jump_pair, jump FROM sc""")
 def jump_mask(spark, sf):
-    return O.jump_mask(frames(spark, sf)).select("rec", "i", "jump_pair", "jump")
+    return O.jump_mask(voice(spark, sf)).select("rec", "i", "jump_pair", "jump")
 
 
 RUNS = """
@@ -96,31 +110,44 @@ def gap_fill(spark, sf):
     return O.fill_gaps(fr, "st").select("rec", "i", r6("st").alias("st"), r6("st_filled").alias("filled"))
 
 
-@query("W6_median5", """WITH {FR}, n AS (SELECT *, max(i) OVER (PARTITION BY rec) AS m FROM fr),
-p AS (SELECT a.rec, a.i, count(b.f) AS c, median(b.f) AS md FROM n a, (SELECT unnest(range(-2, 3)) AS k) o JOIN fr b ON b.rec = a.rec AND b.i = least(greatest(a.i + o.k, 1), a.m) GROUP BY a.rec, a.i)
-SELECT rec, i, CASE WHEN c = 5 THEN round(md, 6) END AS f_median FROM p""")
+WHOLE = """
+kn AS (SELECT rec, i, f, i - row_number() OVER (PARTITION BY rec, f IS NOT NULL ORDER BY i) AS island FROM fr),
+wr AS (SELECT rec, i, f, min(i) OVER u AS run, count(*) OVER u AS n, i - min(i) OVER u AS k FROM kn WHERE f IS NOT NULL WINDOW u AS (PARTITION BY rec, island) QUALIFY n >= 5),
+md AS (SELECT a.rec, a.i, a.run, a.n, a.k, median(b.f) AS f FROM wr a, (SELECT unnest(range(-2, 3)) AS o) o JOIN wr b ON b.rec = a.rec AND b.run = a.run AND b.k = least(greatest(a.k + o.o, 0), a.n - 1) GROUP BY ALL)"""
+
+
+@query("W6_median5", f"""WITH {{FR}}, {WHOLE} SELECT rec, i, run, round(f, 6) AS f_median FROM md""")
 def median5(spark, sf):
-    return O.median5(frames(spark, sf), "f").select("rec", "i", r6("f_median").alias("f_median"))
+    return O.median5(O.whole_runs(frames(spark, sf), "f"), "f").select("rec", "i", "run", r6("f_median").alias("f_median"))
+
+
+def savgol_sql() -> str:
+    """The parabola's weights by window, place of the value and place of the point, as rows."""
+    rows = [f"({n}, {at}, {k}, {w!r}::DOUBLE)" for n in (5, 7, 9) for at, ws in enumerate(O.smoothing_weights(n)) for k, w in enumerate(ws)]
+    return f"""WITH {{FR}}, {WHOLE}, wt(points, place, k, w) AS (VALUES {", ".join(rows)}),
+c AS (SELECT *, (least(9, n) - 1) // 2 AS h, greatest((least(9, n) - 1) // 2, least(k, n - 1 - (least(9, n) - 1) // 2)) AS mid FROM md)
+SELECT c.rec, c.i, c.run, round(sum(b.f * wt.w), 6) AS smooth FROM c JOIN md b ON b.rec = c.rec AND b.run = c.run AND b.k BETWEEN c.mid - c.h AND c.mid + c.h
+  JOIN wt ON wt.points = 2 * c.h + 1 AND wt.place = c.k - c.mid + c.h AND wt.k = b.k - c.mid + c.h GROUP BY ALL"""
 
 
-@query("W7_savgol9", """WITH {FR} SELECT rec, i, round((-21 * lag(f, 4) OVER w + 14 * lag(f, 3) OVER w + 39 * lag(f, 2) OVER w + 54 * lag(f, 1) OVER w + 59 * f
-  + 54 * lead(f, 1) OVER w + 39 * lead(f, 2) OVER w + 14 * lead(f, 3) OVER w - 21 * lead(f, 4) OVER w) / 231, 6) AS smooth FROM fr WINDOW w AS (PARTITION BY rec ORDER BY i)""")
+@query("W7_savgol9", savgol_sql())
 def savgol9(spark, sf):
-    return O.savgol9(frames(spark, sf), "f").select("rec", "i", r6("f_smooth").alias("smooth"))
+    flat = O.median5(O.whole_runs(frames(spark, sf), "f"), "f")
+    return O.savgol9(flat, "f_median").select("rec", "i", "run", r6("f_median_smooth").alias("smooth"))
 
 
-@query("W8_moving_rms", """WITH {FR} SELECT rec, i, round(sqrt(avg(value * value) OVER w), 6) AS near, round(sqrt(sum(value * value) OVER w / 3), 6) AS padded
-FROM fr WINDOW w AS (PARTITION BY rec ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
+@query("W8_moving_rms", """WITH {FR}, n AS (SELECT *, max(i) OVER (PARTITION BY rec) AS m FROM fr),
+p AS (SELECT a.rec, a.i, o.k, b.value FROM n a, (SELECT unnest(range(-2, 3)) AS k) o JOIN fr b ON b.rec = a.rec AND b.i = least(greatest(a.i + o.k, 1), a.m))
+SELECT p.rec, p.i, round(sqrt(avg(p.value * p.value)), 6) AS near, round(sqrt(sum(CASE WHEN p.i + p.k BETWEEN 1 AND n.m THEN p.value * p.value ELSE 0 END) / 5), 6) AS padded
+FROM p JOIN n ON n.rec = p.rec AND n.i = p.i GROUP BY p.rec, p.i""")
 def moving_rms(spark, sf):
-    fr = O.moving_rms(frames(spark, sf), "value", 1).withColumnRenamed("value_rms", "near")
-    return O.moving_rms(fr, "value", 1, True).select("rec", "i", r6("near").alias("near"), r6("value_rms").alias("padded"))
+    fr = O.moving_rms(frames(spark, sf), "value", 2).withColumnRenamed("value_rms", "near")
+    return O.moving_rms(fr, "value", 2, True).select("rec", "i", r6("near").alias("near"), r6("value_rms").alias("padded"))
 
 
 @query("W9_ecdf", """WITH {FR} SELECT kind, eid, round(row_number() OVER (PARTITION BY kind ORDER BY value, eid) / count(*) OVER (PARTITION BY kind), 6) AS share FROM fr""")
 def ecdf(spark, sf):
-    w = Window.partitionBy("kind")
-    share = F.row_number().over(w.orderBy("value", "eid")) / F.count("*").over(w)
-    return frames(spark, sf).select("kind", "eid", r6(share).alias("share"))
+    return ranked_share(frames(spark, sf).select("kind", "value", "eid"), "kind", "value", "eid").select("kind", "eid", r6("share").alias("share"))
 
 
 @query("W10_steps", """WITH {FR}, v AS (SELECT rec, (i - 1) // 12 AS tok, t, i, 12 * log2(f / 100) AS st FROM fr WHERE f IS NOT NULL),
@@ -207,8 +234,8 @@ g AS (SELECT *, i - row_number() OVER (PARTITION BY rec, quiet ORDER BY i) AS gr
 SELECT rec, min(i) AS start, max(i) + 1 AS "end", count(*) AS length FROM g WHERE quiet GROUP BY rec, grp HAVING count(*) >= 3""")
 def quiet_spans(spark, sf):
     fr = frames(spark, sf)
-    level = fr.agg(F.greatest(F.lit(1e-5), 0.2 * F.percentile("value", F.lit(0.95))).alias("q"))
-    return O.runs(fr.crossJoin(F.broadcast(level)).withColumn("quiet", F.col("value") < F.col("q")), "quiet", 3)
+    (high,) = exact(fr, F.col("value"), (0.95,))
+    return O.runs(fr.withColumn("quiet", F.col("value") < max(1e-5, 0.2 * (high or 0.0))), "quiet", 3)
 
 
 @query("W22_boundaries", f"""WITH {{FR}}, {{TOK}}, n AS (SELECT *, lead(a) OVER (PARTITION BY rec ORDER BY tok) AS next_a FROM tok),

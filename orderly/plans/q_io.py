@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from orderly.functions import scalar as S
 from orderly.operators import intervals as I
 from orderly.operators import seqdp as D
+from orderly.operators.quantiles import exact
 from orderly.plans.base import frames, query, r6, tokens
 from orderly.session import shared_dir
 from orderly.sources import readers as R
@@ -137,29 +140,55 @@ def remap(spark, sf):
 @query("P22_saturation", """WITH {FR}, b AS (SELECT quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM fr) SELECT rec, bool_or(value < lo OR value > hi) AS any_out, round(count(*) FILTER (WHERE value >= lo AND value <= hi) / greatest(count(*), 1), 6) AS coverage FROM fr, b GROUP BY rec""")
 def saturation(spark, sf):
     fr = frames(spark, sf)
-    bounds = fr.agg(F.percentile("value", F.lit(0.05)).alias("lo"), F.percentile("value", F.lit(0.95)).alias("hi"))
-    out = (F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))
-    return fr.crossJoin(F.broadcast(bounds)).groupBy("rec").agg(F.bool_or(out).alias("any_out"), r6(S.ratio(F.count_if(~out), F.count("*"))).alias("coverage"))
+    lo, hi = (F.lit(x).cast("double") for x in exact(fr, F.col("value"), (0.05, 0.95)))
+    out = (F.col("value") < lo) | (F.col("value") > hi)
+    return fr.groupBy("rec").agg(F.bool_or(out).alias("any_out"), r6(S.ratio(F.count_if(~out), F.count("*"))).alias("coverage"))
+
+
+def emissions(spark, sf):
+    """Vectors as emissions in blocks of 24."""
+    return table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 24).alias("utt"), "vec_id", F.col("embedding").alias("logp"))
+
+
+def readings(utt: int) -> list[list[list[int]]]:
+    """Three characters with two readings of two labels each."""
+    return [[[1 + (utt + 9 * c + k) % 60, 1 + (utt + 9 * c + 3 * k) % 60] for k in (1, 2)] for c in range(3)]
 
 
 @query("FDP2_lattice")
 def lattice(spark, sf):
-    """Vectors as emissions in blocks of 24, aligned to three characters with two readings each."""
-    import numpy as np
-    import pandas as pd
+    """The readings on the best path of each utterance, among all and with the first of each character only."""
+
+    def one(ids: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        logp = np.array(rows.sort_values("vec_id")["logp"].tolist(), float)
+        out = {"utt": ids[0], "readings": None, "score": None, "first_score": None}
+        try:
+            path = D.lattice_path(logp, readings(ids[0]))
+            out |= {"readings": pd.Series(path.option).groupby(path.char).max().drop(-1, errors="ignore").tolist(), "score": round(path.score, 6)}
+            out["first_score"] = round(D.lattice_path(logp, readings(ids[0]), first_only=True).score, 6)
+        except ValueError:
+            pass
+        return pd.DataFrame([out])
+
+    return emissions(spark, sf).groupBy("utt").applyInPandas(one, "utt long, readings array<int>, score double, first_score double")
+
 
-    e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 24).alias("utt"), "vec_id", F.col("embedding").alias("logp"))
+@query("FDP5_evidence")
+def path_evidence(spark, sf):
+    """What the best path of each utterance says of its characters: one row each; utterances without a path have none."""
+    schema = "utt long, char int, option int, start double, end double, anchor double, posterior double, labels array<struct<label:int,start:double,end:double,peak:double>>"
 
     def one(ids: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         logp = np.array(rows.sort_values("vec_id")["logp"].tolist(), float)
-        chars = [[[1 + (ids[0] + 9 * c + k) % 60, 1 + (ids[0] + 9 * c + 3 * k) % 60] for k in (1, 2)] for c in range(3)]
+        logp -= np.logaddexp.reduce(logp, axis=1, keepdims=True)
         try:
-            path, score = D.align_lattice(logp, chars)
+            path = D.lattice_path(logp, readings(ids[0]))
         except ValueError:
-            return pd.DataFrame([{"utt": ids[0], "readings": None, "score": None}])
-        return pd.DataFrame([{"utt": ids[0], "readings": [max(o for c, o, _ in path if c == k) for k in range(3)], "score": round(score, 6)}])
+            return pd.DataFrame(columns=["utt", "char", "option", "start", "end", "anchor", "posterior", "labels"])
+        centres = (np.arange(len(logp)) * 320 + 199.5) / 16000
+        return pd.DataFrame([{"utt": ids[0], **c} for c in D.evidence(logp, path, centres, 0.02, len(logp) * 0.02)])
 
-    return e.groupBy("utt").applyInPandas(one, "utt long, readings array<int>, score double")
+    return emissions(spark, sf).groupBy("utt").applyInPandas(one, schema)
 
 
 @query("V6_manifest", """SELECT 'doc/' || doc_id AS path, sha256(text) AS sha256, strlen(text)::BIGINT AS bytes FROM documents""")

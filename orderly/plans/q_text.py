@@ -127,7 +127,7 @@ def edit_distance(spark, sf):
     return p.join(b, "p_partkey").select("p_partkey", F.levenshtein("p_name", "other").alias("d"))
 
 
-@query("J9_lexicon", """WITH c AS (SELECT item_id, unnest(range(1, 41)) AS i, text FROM benchmark), ch AS (SELECT item_id, (i - 1)::INT AS i, text[i] AS ch, text FROM c WHERE i <= length(text)),
+@query("J9_lexicon", """WITH c AS (SELECT item_id, unnest(range(1, length(text) + 1)) AS i, text FROM benchmark), ch AS (SELECT item_id, (i - 1)::INT AS i, text[i] AS ch, text FROM c WHERE i <= length(text)),
 w AS (SELECT n_name AS word, unnest(range(1, length(n_name) + 1)) AS j, lower(n_name) AS low FROM nation), m AS (SELECT item_id, i, word, j, (i + 1 - j >= 0 AND substr(text, i + 2 - j, length(word)) = low) AS whole FROM ch JOIN w ON low[j] = ch)
 SELECT item_id, i, count(*) AS hits, count(*) FILTER (WHERE whole) AS whole FROM m GROUP BY item_id, i""")
 def lexicon(spark, sf):

@@ -37,6 +37,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+# Arrow batches in Python functions over texts: so many rows and bytes at most.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep the batches that Python workers are handed small, so that their memory doesn't grow with long texts. Smaller
+    settings of the session stay as they are."""
+    for key, most in BATCH.items():
+        value = spark.conf.get(key, None)
+        if value is None or not value.isdigit() or not 0 < int(value) <= most:
+            spark.conf.set(key, str(most))
+
+
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -1,6 +1,7 @@
 """Known answers of the ordered-data operators on small tables made by hand."""
 
 import hashlib
+import itertools
 import math
 import os
 from collections import Counter
@@ -53,13 +54,56 @@ def test_gap_filling(spark):
     assert wide[1:5] == [None] * 4
 
 
-def test_savgol_keeps_parabolas_and_median_edges(spark):
-    values = [k * k for k in range(12)]
-    smooth = [r.f_smooth for r in frames.savgol9(track(spark, values), "f").orderBy("i").collect()]
-    assert smooth[4:8] == pytest.approx(values[4:8]) and smooth[0] is None
-    med = [r.f_median for r in frames.median5(track(spark, [5, 1, 9, 2, 8]), "f").orderBy("i").collect()]
-    padded = np.pad([5, 1, 9, 2, 8], 2, mode="edge")
-    assert med == [float(np.median(padded[k : k + 5])) for k in range(5)]
+def smooth_by_hand(values, runs):
+    """Median of five with repeated ends, then the parabola fitted to the nearest window, run by run."""
+    out = {}
+    for start, end in runs:
+        y = np.array(values[start:end], float)
+        n = len(y)
+        padded = np.pad(y, 2, mode="edge")
+        med = np.array([np.median(padded[k : k + 5]) for k in range(n)])
+        w = min(9, n if n % 2 else n - 1)
+        for k in range(n):
+            c = min(max(k, w // 2), n - 1 - w // 2)
+            x = np.arange(c - w // 2, c + w // 2 + 1)
+            out[start + k + 1] = (med[k], np.polyval(np.polyfit(x - k, med[x], 2), 0))
+    return out
+
+
+def test_smoothing_stays_within_runs(spark):
+    rng = np.random.default_rng(1)
+    values = [*rng.normal(100, 10, 23), None, *rng.normal(90, 9, 6), None, *rng.normal(80, 9, 4), None, None, *rng.normal(70, 5, 5), None, *rng.normal(60, 5, 8)]
+    expected = smooth_by_hand(values, [(0, 23), (24, 30), (37, 42), (43, 51)])
+    runs = frames.median5(frames.whole_runs(track(spark, values), "f"), "f")
+    got = {r.i: (r.f_median, r.f_median_smooth) for r in frames.savgol9(runs, "f_median").collect()}
+    assert set(got) == set(expected)
+    for i, pair in expected.items():
+        assert got[i] == pytest.approx(pair)
+    interior = frames.smoothing_weights(9)[4]
+    assert interior == pytest.approx([w / 231 for w in (-21, 14, 39, 54, 59, 54, 39, 14, -21)])
+
+
+def test_moving_rms_repeats_the_ends(spark):
+    values = [3.0, 1.0, 4.0, 1.0, 5.0]
+    for half in (1, 2):
+        rows = frames.moving_rms(frames.moving_rms(track(spark, values), "f", half).withColumnRenamed("f_rms", "near"), "f", half, True).orderBy("i").collect()
+        for mode, name in (("edge", "near"), ("constant", "f_rms")):
+            padded = np.pad(np.square(values), half, mode=mode)
+            assert [r[name] for r in rows] == pytest.approx([np.sqrt(padded[k : k + 2 * half + 1].mean()) for k in range(5)])
+
+
+def test_screen_needs_runs_of_five(spark):
+    df = track(spark, [100.0] * 4 + [0.0] + [100.0] * 5 + [None] + [100.0]).withColumns({"strength": F.lit(1.0), "rms": F.lit(0.0)})
+    assert [r.i for r in frames.screen(df).where("reliable").orderBy("i").collect()] == [6, 7, 8, 9, 10]
+
+
+def test_zero_frequencies_and_flat_ranges_give_null(spark):
+    df = spark.createDataFrame([(0.0, 100.0, 50.0), (100.0, 0.0, 50.0), (100.0, 100.0, 50.0)], "f double, g double, lo double")
+    row = df.select(S.cents(F.col("f"), F.col("g")).alias("c"), S.semitones(F.col("f")).alias("s"), S.t_value(F.col("f"), F.col("lo"), F.col("lo")).alias("t"), S.log_z(F.col("f"), F.col("lo"), F.lit(0.0)).alias("z")).collect()
+    assert [r.c for r in row] == [None, None, 0.0] and [r.s for r in row] == [None, 0.0, 0.0]
+    assert [r.t for r in row] == [None] * 3 and [r.z for r in row] == [None] * 3
+    flat = frames.five_level(track(spark, [100.0, 100.0]), frames.log_bounds(track(spark, [100.0, 100.0]))).collect()
+    assert [r.t_value for r in flat] == [None] * 2
 
 
 def onset(spark, values, b, mode, skip=()):
@@ -217,10 +261,122 @@ def test_rare_tokens_are_counted(spark, tmp_path):
 def test_targets_find_hills_and_valleys():
     t = np.arange(60) * 0.01
     found = seqdp.find_targets(3 * np.sin(t * 2 * np.pi / 0.3), t)
-    assert [r["label"] for r in found] == ["H", "L", "H", "L"]
+    assert [(r["label"], r["edge_context"]) for r in found] == [("H", True), ("L", False), ("H", False), ("L", True)]
     assert seqdp.find_targets(np.zeros(5), t[:5]) == []
 
 
+def slow_targets(y, t):
+    """The definition, frame by frame."""
+    n, rows = len(y), []
+    for label, s in (("H", y), ("L", -y)):
+        peaks = []
+        for i in range(1, n - 1):
+            j = i
+            while j + 1 < n and s[j + 1] == s[i]:
+                j += 1
+            if s[i] > s[i - 1] and j + 1 < n and s[j + 1] < s[i]:
+                peaks.append((i + j) // 2)
+        kept = []
+        for p in sorted(peaks, key=lambda p: (-s[p], p)):
+            if all(abs(p - q) >= 12 for q in kept):
+                kept.append(p)
+        for p in sorted(kept):
+            bases = []
+            for side in (range(p - 1, -1, -1), range(p + 1, n)):
+                low = s[p]
+                for q in side:
+                    if s[q] > s[p]:
+                        break
+                    low = min(low, s[q])
+                bases.append(low)
+            if s[p] - max(bases) >= 0.8 and 3 <= p < n - 3:
+                rows.append((label, p, s[p] - max(bases), False))
+    w = min(25, n // 2)
+    for k, near, far in ((2, y[:5], y[w - 3 : w + 2]), (n - 3, y[-5:], y[n - w - 2 : n - w + 3])):
+        d = np.median(near) - np.median(far)
+        if abs(d) >= 1.2:
+            rows.append(("H" if d > 0 else "L", k, abs(d), True))
+    chosen = []
+    for r in sorted(rows, key=lambda r: -r[2]):
+        if all(r[0] != c[0] or abs(t[r[1]] - t[c[1]]) >= 0.12 for c in chosen):
+            chosen.append(r)
+    out = []
+    for label, k, height, at_edge in sorted(chosen, key=lambda r: r[1]):
+        near = [abs(v - y[k]) <= 0.15 for v in y]
+        a = next((q + 1 for q in range(k, -1, -1) if not near[q]), 0)
+        b = next((q - 1 for q in range(k, n) if not near[q]), n - 1)
+        out.append((label, k, pytest.approx(height), t[a], t[b], t[b] - t[a] >= 0.1, at_edge))
+    return out
+
+
+def test_targets_against_the_definition(spark):
+    rng = np.random.default_rng(4)
+    rows, expected = [], {}
+    for run in range(12):
+        y = np.round(np.cumsum(rng.normal(0, 0.6, int(rng.integers(10, 90)))), 1)  # rounded: plateaus occur
+        t = np.arange(len(y)) * 0.01
+        expected[run % 3, run] = slow_targets(y, t)
+        rows += [(run % 3, run, float(a), float(b)) for a, b in zip(t, y)]
+    got = {}
+    for r in seqdp.targets(spark.createDataFrame(rows, "rec long, run long, t double, y double"), "rec").collect():
+        got.setdefault((r.rec, r.run), []).append((r.label, r.k, r.prominence, r.start, r.end, r.plateau, r.edge_context))
+    assert {k: sorted(v, key=lambda r: r[1]) for k, v in got.items()} == {k: v for k, v in expected.items() if v}
+    assert any(r[-1] for v in got.values() for r in v) and any(not r[-1] for v in got.values() for r in v)
+
+
+def lattice_readings(chars, first_only):
+    return {tuple(x for o in pick for x in o) for pick in itertools.product(*[c[:1] if first_only else c for c in chars])}
+
+
+@pytest.mark.parametrize("first_only", [False, True])
+def test_lattice_against_all_paths(first_only):
+    rng = np.random.default_rng(11)
+    for _ in range(40):
+        logp = np.log(rng.dirichlet(np.ones(3), int(rng.integers(2, 7))))
+        chars = [[rng.integers(1, 3, rng.integers(1, 3)).tolist() for _ in range(rng.integers(1, 4))] for _ in range(rng.integers(1, 3))]
+        wanted = lattice_readings(chars, first_only)
+        scores = [
+            sum(logp[t, s] for t, s in enumerate(p))
+            for p in itertools.product(range(3), repeat=len(logp))
+            if tuple(s for k, s in enumerate(p) if s and (k == 0 or p[k - 1] != s)) in wanted
+        ]
+        if not scores:
+            with pytest.raises(ValueError, match="no complete path"):
+                seqdp.lattice_path(logp, chars, first_only=first_only)
+            continue
+        path = seqdp.lattice_path(logp, chars, first_only=first_only)
+        assert path.score == pytest.approx(max(scores)) == sum(logp[t, s] for t, s in enumerate(path.label))
+        said = seqdp.evidence(logp, path, np.arange(len(logp)) * 0.02, 0.02, 0.05)
+        assert [[x["label"] for x in c["labels"]] for c in said] == [chars[c["char"]][c["option"]] for c in said] and len(said) == len(chars)
+
+
+def test_evidence_by_hand():
+    logp = np.log(np.array([[0.1, 0.8, 0.1], [0.1, 0.6, 0.3], [0.8, 0.1, 0.1], [0.1, 0.2, 0.7]]))
+    path = seqdp.lattice_path(logp, [[[1]], [[2]]])
+    one, two = seqdp.evidence(logp, path, np.array([0.01, 0.03, 0.05, 0.07]), 0.02, 0.075)
+    assert (one["start"], one["end"]) == pytest.approx((0.0, 0.04)) and (two["start"], two["end"]) == pytest.approx((0.06, 0.075))
+    assert one["anchor"] == pytest.approx((0.8 * 0.01 + 0.6 * 0.03) / 1.4) and one["posterior"] == pytest.approx(0.7) and two["labels"][0]["peak"] == pytest.approx(0.7)
+
+
+def test_edit_distance_of_lists():
+    assert seqdp.edit_distance(["ab", "c"], ["ab", "d", "c"]) == 1 and seqdp.edit_distance([], [1, 2]) == 2
+    assert seqdp.edit_operations(["a", "b"], ["b"]) == [("deletion", 0, -1), ("match", 1, 0)]
+
+
+def test_quantiles_by_group_over_ranges(spark):
+    rng = np.random.default_rng(9)
+    rows = [("a", float(v)) for v in np.round(rng.normal(size=3000), 2)] + [("b", float(k % 2)) for k in range(40)] + [("c", None), (None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = {"low": 0.05, "half": 0.5, "top": 1.0}
+    for most in (10, 10**6):
+        got = {r.g: (r.low, r.half, r.top) for r in quantiles.exact_by(df, "g", F.col("v"), shares, most).collect()}
+        assert set(got) == {"a", "b", None}
+        for g in ("a", "b", None):
+            assert got[g] == pytest.approx(tuple(np.quantile([v for k, v in rows if k == g], list(shares.values()))))
+    share = quantiles.ranked_share(df.where("v IS NOT NULL").withColumn("k", F.monotonically_increasing_id()), "g", "v", "k").collect()
+    assert sorted(r.share for r in share if r.g == "b") == pytest.approx([(k + 1) / 40 for k in range(40)])
+
+
 def test_parse_needs_one_reading(spark):
     initials = spark.createDataFrame([("", ""), ("p", "p"), ("ph", "P")], "initial string, initial_ipa string")
     finals = spark.createDataFrame([("a", "a"), ("ha", "ha")], "final string, final_ipa string")
