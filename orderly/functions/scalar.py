@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
@@ -124,6 +125,35 @@ def html_escape(value: Column) -> Column:
     return value
 
 
+def budget_left(elapsed: Column, inner: float, outer: float) -> Column:
+    """Seconds that remain of a run: at most ``inner``, and nothing beyond ``outer`` since the start."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(inner), outer - elapsed))
+
+
+def private_json(names: tuple[str, ...]):
+    """A column function over JSON texts: some object at any depth has one of the keys, or some string is an absolute path.
+    NULL and texts that are no JSON give NULL."""
+
+    def found(value) -> bool:
+        if isinstance(value, dict):
+            return any(k in names or found(v) for k, v in value.items())
+        if isinstance(value, list):
+            return any(map(found, value))
+        return isinstance(value, str) and value.startswith("/")
+
+    def judged(text: str | None) -> bool | None:
+        try:
+            return None if text is None else found(json.loads(text))
+        except ValueError:
+            return None
+
+    @F.pandas_udf(T.BooleanType())
+    def private(texts: pd.Series) -> pd.Series:
+        return texts.map(judged).astype("boolean")
+
+    return private
+
+
 @F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))

@@ -8,7 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+MOST_COHORTS = 1000
 
 def summary(rows: DataFrame, by: list[str], value: str, cluster: str, thresholds: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
     """Per cohort: population, measured (value not NULL) and its share, clusters, median, mean, 90th percentile, and
@@ -64,7 +66,11 @@ def cluster_statistics(rows: DataFrame, clusters: DataFrame, by: str, cluster: s
     """Sufficient statistics of every cluster in every cohort; clusters without rows stay, with zeros."""
     v = F.col(value)
     found = rows.groupBy(by, cluster).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.count_if(v >= 2).alias("hits"))
-    grid = clusters.select(cluster).distinct().join(F.broadcast(rows.select(by).distinct()), how="cross")
+    names = [r[0] for r in rows.where(F.col(by).isNotNull()).select(by).distinct().limit(MOST_COHORTS + 1).collect()]
+    if len(names) > MOST_COHORTS:
+        raise ValueError(f"more than {MOST_COHORTS} cohorts: every cluster has a row for each")
+    cohorts = F.array(*map(F.lit, names)) if names else F.array().cast(T.ArrayType(rows.schema[by].dataType))
+    grid = clusters.select(cluster).distinct().withColumn(by, F.explode(cohorts))
     return grid.join(found, [by, cluster], "left").select(
         by, cluster, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("hits", F.lit(0)).alias("hits")
     )

@@ -42,6 +42,27 @@ def in_intervals(points: DataFrame, intervals: DataFrame, key: str, t: str, star
     return left.join(cut, inside, how).drop("__at", "__b", "__k")
 
 
+def first_in_intervals(points: DataFrame, intervals: DataFrame, key: str, t: str, start: str, end: str, bucket: float, order: str) -> DataFrame:
+    """Every point once, with the first (by ``order``) of the intervals of its key that hold it, or NULLs. Repeated points
+    come once."""
+    names = [c for c in intervals.columns if c not in (key, start, end)]
+    met = in_intervals(points.distinct(), intervals, key, t, start, end, bucket, "left")
+    first = F.min_by(F.struct(*names), F.struct(order, *[c for c in names if c != order])).alias("__first")
+    return met.groupBy(*points.columns).agg(first).select(*points.columns, "__first.*")
+
+
+def zip_positions(left: DataFrame, right: DataFrame, keys: list[str], same: list[str] | None = None) -> DataFrame:
+    """Rows of two ordered lists side by side by key and position, as far as the shorter goes. Columns in ``same`` stand on
+    both sides and must agree; a pair that differs is an error."""
+    same = same or []
+    other = right.withColumnsRenamed({c: f"__{c}" for c in same})
+    paired = left.join(other, keys)
+    for c in same:
+        bad = ~F.col(c).eqNullSafe(F.col(f"__{c}"))
+        paired = paired.withColumn(c, F.when(bad, F.raise_error(F.concat(F.lit(f"{c} differs at "), F.to_json(F.struct(*keys))))).otherwise(F.col(c)))
+    return paired.drop(*[f"__{c}" for c in same])
+
+
 def union_length(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """The length of the union of each key's intervals, with the number of merged ones; touching intervals merge."""
     order = Window.partitionBy(key).orderBy(start, end)

@@ -81,6 +81,51 @@ def three_points(run_frames: DataFrame, keys: list[str], shares: tuple[float, ..
     )
 
 
+def character_points(valid: DataFrame, keys: list[str], shares: tuple[float, ...] = (0.2, 0.5, 0.8), half: float = 0.02, at_least: int = 5) -> DataFrame:
+    """keys, pos and median: the medians of f within ``half`` seconds of the shares of the longest run (the earliest of
+    equal ones) of at least so many successive frames. valid: the reliable frames of each token (keys, i, t, f)."""
+    order = Window.partitionBy(*keys).orderBy("i")
+    numbered = valid.withColumn("__run", F.col("i") - F.row_number().over(order))
+    runs = numbered.groupBy(*keys, "__run").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("n")).where(F.col("n") >= at_least)
+    best = runs.groupBy(*keys).agg(F.max_by(F.struct("start", "end"), F.struct("n", (-F.col("start")).alias("s"))).alias("r")).select(*keys, "r.*")
+    points = best.select(*keys, "start", "end", F.posexplode(F.array(*[F.lit(s) for s in shares])).alias("pos", "share"))
+    near = F.abs(F.col("t") - (F.col("start") + F.col("share") * (F.col("end") - F.col("start")))) <= half + SLACK
+    return points.join(valid, keys).where(near).groupBy(*keys, "pos").agg(F.percentile("f", F.lit(0.5)).alias("median"))
+
+
+def quiet_spans(frames: DataFrame, quiet: Column, at_least: float) -> DataFrame:
+    """rec, qs, qe: first and last time of the runs of quiet frames that span at least so many seconds."""
+    order = Window.partitionBy("rec").orderBy("i")
+    runs = frames.where(quiet).withColumn("__run", F.col("i") - F.row_number().over(order))
+    spans = runs.groupBy("rec", "__run").agg(F.min("t").alias("qs"), F.max("t").alias("qe"))
+    return spans.where(F.col("qe") - F.col("qs") >= at_least - SLACK).select("rec", "qs", "qe")
+
+
+def boundaries(supports: DataFrame, spans: DataFrame, frames: DataFrame, least_gap: float, wide: float, bucket: float = 1.0) -> DataFrame:
+    """rec, tok, rule, end_t and start_t (of the next token) between neighbouring tokens with supports a to b. The longest (then the
+    earliest) quiet span that covers ``least_gap`` seconds of the gap between the supports stays a pause; else a gap
+    of ``wide`` seconds is cut at its quietest frame; else in the middle. Gaps meet spans and frames by time bucket."""
+    order = Window.partitionBy("rec").orderBy("tok")
+    gaps = supports.select("rec", "tok", F.col("b").alias("lo"), F.lead("a").over(order).alias("hi")).where("hi IS NOT NULL")
+
+    def cells(rows: DataFrame, start: str, end: str) -> DataFrame:
+        return rows.withColumn("__cell", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))))
+
+    cut = cells(gaps, "lo", "hi")
+    left, right = F.greatest("lo", "qs"), F.least("hi", "qe")
+    met = cut.join(cells(spans, "qs", "qe"), ["rec", "__cell"]).where(right - left >= least_gap - SLACK)
+    longest = F.max_by(F.struct(left.alias("l"), right.alias("r")), F.struct(F.round(right - left, 6).alias("n"), (-left).alias("s")))
+    pauses = met.groupBy("rec", "tok").agg(longest.alias("p"))
+    inside = cut.join(frames.withColumn("__cell", F.floor(F.col("t") / bucket)), ["rec", "__cell"]).where("t >= lo AND t < hi")
+    lowest = inside.groupBy("rec", "tok").agg(F.min_by("t", F.struct("rms", "i")).alias("quietest"))
+    pause, broad = F.col("p").isNotNull(), F.col("hi") - F.col("lo") >= wide - SLACK
+    point = F.when(broad, F.col("quietest")).otherwise((F.col("lo") + F.col("hi")) / 2)
+    return gaps.join(pauses, ["rec", "tok"], "left").join(lowest, ["rec", "tok"], "left").select(
+        "rec", "tok", F.when(pause, "quiet_gap").when(broad, "quietest").otherwise("midpoint").alias("rule"),
+        F.when(pause, F.col("p.l")).otherwise(point).alias("end_t"), F.when(pause, F.col("p.r")).otherwise(point).alias("start_t"),
+    )
+
+
 def clean_gate(d: Column, clean: Column, gap: Column, jump: Column, dominance: Column, most_gap: float = 20.001) -> Column:
     """The strict quality gate; NULL in any part fails it."""
     return F.coalesce(S.finite(d) & clean & (gap <= most_gap) & ~jump & (dominance >= 6), F.lit(False))

@@ -211,6 +211,17 @@ def three_point(spark, sf):
     return M.three_points(spans, ["rec", "start"]).select("rec", "start", "pos", "n", r6("median").alias("median"))
 
 
+@query("W14_character", """WITH {FR}, {TOK}, x AS (SELECT tok.rec, tok.tok, fr.i, fr.t, fr.f FROM tok JOIN fr ON fr.rec = tok.rec AND fr.t >= tok.a AND fr.t < tok.b WHERE fr.f >= 5),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY rec, tok ORDER BY i) AS grp FROM x),
+r AS (SELECT rec, tok, min(t) AS s, max(t) AS e, count(*) AS n FROM g GROUP BY rec, tok, grp HAVING count(*) >= 5 QUALIFY row_number() OVER (PARTITION BY rec, tok ORDER BY n DESC, s) = 1)
+SELECT r.rec, r.tok, p.pos::INT AS pos, round(median(x.f), 6) AS median FROM r, (VALUES (0, 0.2::DOUBLE), (1, 0.5::DOUBLE), (2, 0.8::DOUBLE)) p(pos, share)
+  JOIN x ON x.rec = r.rec AND x.tok = r.tok AND abs(x.t - (s + share * (e - s))) <= 0.02::DOUBLE + 1e-9 GROUP BY r.rec, r.tok, p.pos""")
+def character_points(spark, sf):
+    """The read-out inside a token: medians within 20 ms around three points of its longest run of five frames or more."""
+    inside = token_frames(frames(spark, sf), 0.0).where("f >= 5").select("rec", "tok", "i", "t", "f")
+    return M.character_points(inside, ["rec", "tok"]).select("rec", "tok", "pos", r6("median").alias("median"))
+
+
 @query("W16_edge_target", f"""WITH {{FR}}, {RUNS}, x AS (SELECT lr.rec, lr.start, lr.length, fr.i - lr.start AS k, 12 * log2(fr.f / 100) AS st FROM runs lr JOIN fr ON fr.rec = lr.rec AND fr.i >= lr.start AND fr.i < lr."end" WHERE length >= 10)
 SELECT rec, start, round(median(st) FILTER (WHERE k < 5) - median(st) FILTER (WHERE abs(k - least(25, length // 2)) <= 2), 6) AS rise,
   abs(median(st) FILTER (WHERE k < 5) - median(st) FILTER (WHERE abs(k - least(25, length // 2)) <= 2)) >= 1.2 AS target FROM x GROUP BY rec, start""")
@@ -238,19 +249,25 @@ def quiet_spans(spark, sf):
     return O.runs(fr.withColumn("quiet", F.col("value") < max(1e-5, 0.2 * (high or 0.0))), "quiet", 3)
 
 
-@query("W22_boundaries", f"""WITH {{FR}}, {{TOK}}, n AS (SELECT *, lead(a) OVER (PARTITION BY rec ORDER BY tok) AS next_a FROM tok),
-g AS (SELECT n.rec, n.tok, n.b, n.next_a, n.next_a - n.b AS gap, arg_min(fr.t, (fr.rms, fr.i)) AS quietest FROM n LEFT JOIN fr ON fr.rec = n.rec AND fr.t >= least(n.b, n.next_a) - 0.025::DOUBLE AND fr.t <= greatest(n.b, n.next_a) + 0.025::DOUBLE
-  WHERE next_a IS NOT NULL GROUP BY ALL)
-SELECT rec, tok, CASE WHEN gap >= 0.01::DOUBLE - 1e-9 THEN 'quietest' ELSE 'midpoint' END AS rule, round(CASE WHEN gap >= 0.01::DOUBLE - 1e-9 THEN quietest ELSE (b + next_a) / 2 END, 6) AS boundary FROM g""")
+@query("W22_boundaries", """WITH {FR}, sg AS (SELECT rec, (i - 1) // 12 AS tok, min(t) FILTER (WHERE (i - 1) % 12 BETWEEN 1 AND 3 + (i - 1) // 12 % 7) AS a, max(t) FILTER (WHERE (i - 1) % 12 BETWEEN 1 AND 3 + (i - 1) // 12 % 7) AS b FROM fr GROUP BY 1, 2),
+n AS (SELECT * FROM (SELECT rec, tok, b AS lo, lead(a) OVER (PARTITION BY rec ORDER BY tok) AS hi FROM sg WHERE a IS NOT NULL) WHERE hi IS NOT NULL),
+q AS (SELECT rec, min(t) AS qs, max(t) AS qe FROM (SELECT rec, t, i - row_number() OVER (PARTITION BY rec ORDER BY i) AS grp FROM fr WHERE rms < -30) GROUP BY rec, grp HAVING max(t) - min(t) >= 0.02::DOUBLE - 1e-9),
+p AS (SELECT n.rec, n.tok, greatest(lo, qs) AS left_t, least(hi, qe) AS right_t FROM n JOIN q ON q.rec = n.rec AND least(hi, qe) - greatest(lo, qs) >= 0.02::DOUBLE - 1e-9
+  QUALIFY row_number() OVER (PARTITION BY n.rec, n.tok ORDER BY round(least(hi, qe) - greatest(lo, qs), 6) DESC, greatest(lo, qs)) = 1),
+m AS (SELECT n.rec, n.tok, arg_min(fr.t, (fr.rms, fr.i)) AS quietest FROM n JOIN fr ON fr.rec = n.rec AND fr.t >= lo AND fr.t < hi GROUP BY 1, 2)
+SELECT n.rec, n.tok, CASE WHEN p.rec IS NOT NULL THEN 'quiet_gap' WHEN hi - lo >= 0.05::DOUBLE - 1e-9 THEN 'quietest' ELSE 'midpoint' END AS rule,
+  round(CASE WHEN p.rec IS NOT NULL THEN left_t WHEN hi - lo >= 0.05::DOUBLE - 1e-9 THEN quietest ELSE (lo + hi) / 2 END, 6) AS end_t,
+  round(CASE WHEN p.rec IS NOT NULL THEN right_t WHEN hi - lo >= 0.05::DOUBLE - 1e-9 THEN quietest ELSE (lo + hi) / 2 END, 6) AS start_t
+FROM n LEFT JOIN p ON p.rec = n.rec AND p.tok = n.tok LEFT JOIN m ON m.rec = n.rec AND m.tok = n.tok""")
 def boundaries(spark, sf):
+    """Where one token ends and the next begins: some frames of each block of 12 are the support of its token."""
     fr = frames(spark, sf)
-    pairs = tokens(fr).withColumn("next_a", F.lead("a").over(Window.partitionBy("rec").orderBy("tok"))).where("next_a IS NOT NULL")
-    cells = pairs.withColumn("block", F.explode(F.array(F.col("tok"), F.col("tok") + 1, F.col("tok") + 2)))
-    near = cells.join(fr.withColumn("block", F.expr("(i - 1) div 12")).select("rec", "block", "t", "rms", "i"), ["rec", "block"], "left")
-    inside = (F.col("t") >= F.least("b", "next_a") - 0.025) & (F.col("t") <= F.greatest("b", "next_a") + 0.025)
-    quiet = near.groupBy("rec", "tok", "b", "next_a").agg(F.min_by(F.when(inside, F.col("t")), F.when(inside, F.struct("rms", "i"))).alias("quietest"))
-    wide = F.col("next_a") - F.col("b") >= 0.01 - 1e-9
-    return quiet.select("rec", "tok", F.when(wide, "quietest").otherwise("midpoint").alias("rule"), r6(F.when(wide, F.col("quietest")).otherwise((F.col("b") + F.col("next_a")) / 2)).alias("boundary"))
+    tok, place = F.expr("(i - 1) div 12"), (F.col("i") - 1) % 12
+    held = fr.withColumn("tok", tok).where((place >= 1) & (place <= 3 + F.col("tok") % 7))
+    supports = held.groupBy("rec", "tok").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    spans = M.quiet_spans(fr, F.col("rms") < -30, 0.02)
+    found = M.boundaries(supports, spans, fr.select("rec", "i", "t", "rms"), 0.02, 0.05)
+    return found.select("rec", "tok", "rule", r6("end_t").alias("end_t"), r6("start_t").alias("start_t"))
 
 
 @query("P13_strict_gate", """WITH {FR}, {TOK}, x AS (SELECT tok.rec, tok.tok, count(f) AS n, median(rms - rms2) AS dom, max(f) - min(f) AS d FROM tok JOIN fr ON fr.rec = tok.rec AND fr.t >= tok.a AND fr.t < tok.b GROUP BY 1, 2)

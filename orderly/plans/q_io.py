@@ -123,10 +123,67 @@ def routing(spark, sf):
     return frames(spark, sf).groupBy(tier.alias("tier")).agg(F.count("*").alias("n"), F.sum("eid").alias("ids"))
 
 
-@query("P16_private_keys", """SELECT event_id, list_has_any(json_keys(props), ['k', 'secret', 'path']) OR regexp_matches(props, '"/[a-z]') AS private FROM events""")
+@query("P16_private_keys", """WITH j AS (SELECT event_id, '{"outer": [1, {"deep": ' || props || '}], "at": "' || CASE WHEN event_id % 5 = 0 THEN '/tmp/x' ELSE 'x' END || '"}' AS j FROM events)
+SELECT j.event_id, bool_or(coalesce(t.key, '') IN ('k', 'secret') OR (t.type = 'VARCHAR' AND t.atom->>'$' LIKE '/%')) AS private FROM j, json_tree(j.j::JSON) t GROUP BY j.event_id""")
 def private_keys(spark, sf):
-    keys = F.arrays_overlap(F.json_object_keys("props"), F.array(*map(F.lit, ("k", "secret", "path"))))
-    return table(spark, sf, "events").select("event_id", (keys | F.col("props").rlike('"/[a-z]')).alias("private"))
+    end = F.when(F.col("event_id") % 5 == 0, "/tmp/x").otherwise("x")
+    nested = F.concat(F.lit('{"outer": [1, {"deep": '), "props", F.lit('}], "at": "'), end, F.lit('"}'))
+    return table(spark, sf, "events").select("event_id", S.private_json(("k", "secret"))(nested).alias("private"))
+
+
+@query("P5_filters", """SELECT doc_id, doc_id IN (3, 5, 8) AS listed, regexp_matches(source, '^src[0-9]') AS prefixed FROM documents WHERE doc_id IN (3, 5, 8) OR doc_id BETWEEN 20 AND 400 AND regexp_matches(source, '^src[0-9]')""")
+def filters(spark, sf):
+    listed, prefixed = F.col("doc_id").isin(3, 5, 8), F.col("source").rlike("^src[0-9]")
+    return table(spark, sf, "documents").where(listed | F.col("doc_id").between(20, 400) & prefixed).select("doc_id", listed.alias("listed"), prefixed.alias("prefixed"))
+
+
+@query("P12_prefixed", """WITH {FR} SELECT rec, """ + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {k}_n, round(max(f) FILTER (WHERE kind = '{k}'), 6) AS {k}_top" for k in ("click", "purchase", "signup")) + " FROM fr GROUP BY rec")
+def prefixed_columns(spark, sf):
+    """A column for each measure of each kind, named by both."""
+    found = frames(spark, sf).groupBy("rec").agg(
+        *[c for k in ("click", "purchase", "signup") for c in (F.count_if(F.col("kind") == k).alias(f"{k}_n"), r6(F.max(F.when(F.col("kind") == k, F.col("f")))).alias(f"{k}_top"))]
+    )
+    return found
+
+
+@query("A24_summary", """WITH t AS (SELECT conv_id, role, CASE WHEN length(text) > 200 THEN 'long' WHEN length(text) = 0 THEN 'empty' ELSE 'plain' END AS status FROM conversations)
+SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS parents, count(*) FILTER (WHERE status = 'long') AS long, count(*) FILTER (WHERE status = 'empty') AS empty FROM t GROUP BY role""")
+def summaries(spark, sf):
+    """Counts by status over the children that parents hold as arrays."""
+    size = F.length("text")
+    status = F.when(size > 200, "long").when(size == 0, "empty").otherwise("plain")
+    parents = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role", status.alias("status"))).alias("turns"))
+    turns = parents.select("conv_id", F.explode("turns").alias("t")).select("conv_id", "t.*")
+    return turns.groupBy("role").agg(
+        F.count("*").alias("turns"), F.countDistinct("conv_id").alias("parents"), F.count_if(F.col("status") == "long").alias("long"), F.count_if(F.col("status") == "empty").alias("empty")
+    )
+
+
+@query("F23_budget", """WITH {FR} SELECT eid, round(greatest(0.0::DOUBLE, least(6000.0::DOUBLE, 6500.0::DOUBLE - (us // 1000000) % 7000)), 6) AS left_s, us >= 1209600000000 AS after FROM fr""")
+def budgets(spark, sf):
+    """What is left of a time budget, and whether a date has passed."""
+    fr = frames(spark, sf)
+    elapsed = F.expr("us div 1000000") % 7000
+    passed = F.timestamp_seconds(F.lit(1_704_067_200) + F.expr("us div 1000000")) >= F.timestamp_seconds(F.lit(1_705_276_800))  # 15 January 2024
+    return fr.select("eid", r6(S.budget_left(elapsed, 6000.0, 6500.0)).alias("left_s"), passed.alias("after"))
+
+
+@query("FDP4_token_distance")
+def token_distance(spark, sf):
+    """Edit distance of neighbouring texts, word by word."""
+    words = table(spark, sf, "benchmark").select("item_id", F.split("text", " ").alias("w"))
+    following = words.select((F.col("item_id") - 1).alias("item_id"), F.col("w").alias("v"))
+    return words.join(following, "item_id").select("item_id", D.token_distance("w", "v").alias("d"))
+
+
+@query("S2_strict", """SELECT lpad(doc_id::VARCHAR, 9, '0') AS id, lang, source, true AS placed FROM documents""")
+def strict_csv(spark, sf):
+    """Rows with ids that fit a pattern and occur once, and the line of its file on which each stands."""
+    path = place(spark)
+    rows = table(spark, sf, "documents").select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("id"), "lang", "source")
+    rows.write.option("header", "true").csv(path)
+    back = R.strict_csv(spark, path, ["id", "lang", "source"], "id", "[0-9]{9}")
+    return back.select("id", "lang", "source", (F.col("line") >= 2).alias("placed"))
 
 
 @query("P21_remap", """WITH w AS (SELECT p_partkey, list_transform(string_split(p_type, ' '), lambda x: CASE WHEN x[1] = 'P' AND len(x) > 1 THEN x[2:] ELSE x END) AS ph FROM part)

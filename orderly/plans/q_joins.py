@@ -41,19 +41,22 @@ def range_join(spark, sf):
     return found.groupBy("rec", "tok").agg(F.count("*").alias("n"), r6(F.sum("value")).alias("total"))
 
 
-@query("J5_point_in_interval", """WITH {FR}, {TOK}, s AS (SELECT rec, tok, a, a + 0.05::DOUBLE AS b FROM tok) SELECT fr.rec, fr.i, s.tok FROM fr LEFT JOIN s ON s.rec = fr.rec AND t >= a AND t < b""")
+@query("J5_point_in_interval", """WITH {FR}, {TOK}, s AS (SELECT rec, tok, a, a + 0.2::DOUBLE AS b FROM tok)
+SELECT fr.rec, fr.i, s.tok FROM fr LEFT JOIN s ON s.rec = fr.rec AND t >= a AND t < b QUALIFY row_number() OVER (PARTITION BY fr.rec, fr.i ORDER BY s.tok) = 1""")
 def point_in_interval(spark, sf):
+    """Intervals overlap here: the first that holds a point counts."""
     fr = frames(spark, sf)
-    short = tokens(fr).withColumn("b", F.col("a") + F.lit(0.05))
-    return I.in_intervals(fr.select("rec", "i", "t"), short, "rec", "t", "a", "b", 0.2, "left").select("rec", "i", "tok")
+    long = tokens(fr).withColumn("b", F.col("a") + F.lit(0.2))
+    return I.first_in_intervals(fr.select("rec", "i", "t"), long, "rec", "t", "a", "b", 0.2, "tok").select("rec", "i", "tok")
 
 
 @query("J6_zip", """WITH c AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations)
 SELECT u.conv_id, u.k, length(u.text)::BIGINT AS asked, length(a.text)::BIGINT AS said FROM c u JOIN c a ON a.conv_id = u.conv_id AND a.k = u.k WHERE u.role = 'user' AND a.role = 'assistant'""")
 def zipped(spark, sf):
     c = table(spark, sf, "conversations").withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")).cast("long"))
-    u = c.where("role = 'user'").select("conv_id", "k", F.length("text").cast("long").alias("asked"))
-    return u.join(c.where("role = 'assistant'").select("conv_id", "k", F.length("text").cast("long").alias("said")), ["conv_id", "k"])
+    u = c.where("role = 'user'").select("conv_id", "k", F.length("text").cast("long").alias("asked"), (F.col("k") % 2).alias("parity"))
+    a = c.where("role = 'assistant'").select("conv_id", "k", F.length("text").cast("long").alias("said"), (F.col("k") % 2).alias("parity"))
+    return I.zip_positions(u, a, ["conv_id", "k"], ["parity"]).drop("parity")
 
 
 @query("J7_left_default", """SELECT d.doc_id, coalesce(l.quality, -1)::INT AS quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")

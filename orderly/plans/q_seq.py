@@ -44,21 +44,35 @@ def event_stream(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf}/events.parquet*")
 
 
-def drained(spark, stream, mode: str):
-    """Everything that a stream has at hand, run to its end: the sink keeps the last version of the result, or all appended rows."""
+def drained(spark, stream, mode: str, keys: tuple[str, ...] = ()):
+    """Everything that a stream has at hand, run to its end. In update mode every trigger appends the rows that it
+    changed, and the last version of each key counts; state behind the watermark is dropped. In complete mode (session windows, which
+    have no update mode) the sink keeps the last version of the whole result."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def sink(batch, number):
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+        batch.withColumn("__trigger", F.lit(number)).write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
 
     stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(sink).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    out = spark.read.parquet(f"{base}/out")
+    if mode == "complete":
+        return out.drop("__trigger")
+    names = [c for c in out.columns if c not in (*keys, "__trigger")]
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*names), "__trigger").alias("last")).select(*keys, "last.*")
 
 
 @query("stream_tumbling", """SELECT time_bucket(INTERVAL '1 hour', ts)::TIMESTAMP AS start, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1""")
 def stream_tumbling(spark, sf):
     windows = L.tumbling(event_stream(spark, sf).select("ts", "value"), "ts", "1 hour", "1 day", "value")
-    out = drained(spark, windows, "complete")
+    out = drained(spark, windows, "update", ("start",))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", r6("total").alias("total"))
+
+
+@query("stream_sliding", """WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts)::TIMESTAMP - k * INTERVAL '1 hour' AS start, value FROM events, (SELECT unnest(range(0, 3)) AS k))
+SELECT start, count(*) AS n, round(sum(value), 6) AS total FROM w GROUP BY start""")
+def stream_sliding(spark, sf):
+    windows = L.sliding(event_stream(spark, sf).select("ts", "value"), "ts", "3 hours", "1 hour", "1 day", "value")
+    out = drained(spark, windows, "update", ("start",))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", r6("total").alias("total"))
 
 
@@ -73,7 +87,7 @@ def stream_session(spark, sf):
 
 @query("stream_latest", """SELECT user_id, event_id, event_type, round(value, 6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
 def stream_latest(spark, sf):
-    out = drained(spark, L.latest(event_stream(spark, sf).select("user_id", "event_id", "event_type", "value"), "user_id", "event_id"), "complete")
+    out = drained(spark, L.latest(event_stream(spark, sf).select("user_id", "event_id", "event_type", "value"), "user_id", "event_id"), "update", ("user_id",))
     return out.select("user_id", "event_id", "event_type", r6("value").alias("value"))
 
 

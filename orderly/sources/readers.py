@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderly.session import materialize
+
 
 def csv(spark: SparkSession, path: str, schema: T.StructType | str, exact: bool = False) -> DataFrame:
     """CSV with a header. exact: the header must be the schema's names in order; otherwise an error, at reading. A byte
@@ -14,6 +16,31 @@ def csv(spark: SparkSession, path: str, schema: T.StructType | str, exact: bool
     return reader.schema(schema).option("enforceSchema", str(not exact).lower()).csv(path)
 
 
+def strict_csv(spark: SparkSession, path: str, columns: list[str], id_col: str, pattern: str) -> DataFrame:
+    """CSV files of one record a line as strings, with path and line (from 1, the header's). It is an error, at reading, if a
+    header is not the columns in order, an id doesn't match the pattern in full or occurs twice in all files. Lines are numbered by
+    counting those before each split of a file, so a large file is no single task's work."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    lines = materialize(lines)
+    splits = lines.groupBy("path", "start").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = lines.join(splits.withColumn("before", F.sum("n").over(before) - F.col("n")), ["path", "start"])
+    number = F.col("row") - F.col("first") + F.col("before") + 1
+    text = F.regexp_replace("value", "^\ufeff", "")
+    schema = ", ".join(f"`{c}` STRING" for c in columns)
+    cells = placed.select("path", number.alias("line"), text.alias("text"), F.from_csv(text, schema, {"escape": '"', "mode": "FAILFAST"}).alias("r"))
+
+    def complain(what: str):
+        return F.raise_error(F.concat(F.lit(f"{what} in "), "path", F.lit(", line "), F.col("line").cast("string")))
+
+    header = F.when((F.col("line") == 1) & (F.col("text") != ",".join(columns)), complain("wrong header")).otherwise(F.col("line") > 1)
+    rows = cells.where(header).select("path", "line", "r.*")
+    named = F.when(F.coalesce(~F.col(id_col).rlike(f"^(?:{pattern})$"), F.lit(True)), complain("malformed id")).otherwise(F.col(id_col))
+    once = Window.partitionBy(id_col).orderBy("path", "line")
+    again = F.when(F.row_number().over(once) > 1, complain("repeated id")).otherwise(F.col(id_col))
+    return rows.withColumn(id_col, named).withColumn(id_col, again)
+
+
 def cells(spark: SparkSession, path: str, sep: str, at_least: int) -> DataFrame:
     """Lines of text without a header as arrays of cells, in files whose lines may differ in length; shorter ones are left out."""
     rows = spark.read.text(path).select(F.split("value", F.lit(sep), -1).alias("cells"))
@@ -46,9 +73,10 @@ def json_documents(spark: SparkSession, glob: str, schema: T.StructType | str) -
 
 
 def audio_headers(spark: SparkSession, path: str) -> DataFrame:
-    """path, bytes, channels, rate and bits of canonical WAV files, from their first 44 bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    head = F.substring(F.hex("content"), 1, 88)
+    """path, bytes, channels, rate and bits of canonical WAV files, from their first 44 bytes. The source reads whole files
+    all the same, each into one row, so files are limited to 2 GB."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length >= 44")
+    head = F.hex(F.substring("content", 1, 44))
 
     def number(at: int, size: int) -> Column:
         swapped = F.concat(*[F.substring(head, 2 * (at + k) + 1, 2) for k in reversed(range(size))])

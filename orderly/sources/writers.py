@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,21 @@ def json(df: DataFrame, path: str) -> None:
     df.select(*checks).write.json(path)
 
 
+def publish(df: DataFrame, path: str) -> None:
+    """JSON lines that appear under ``path`` all at once: written beside it first, then renamed. What was there before goes
+    only when the new folder is complete, and a write that fails leaves it as it was."""
+    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    json(df, fresh)
+    spark = df.sparkSession
+    new, old, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, f"{fresh}.old", path))
+    files = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if files.exists(target):
+        files.rename(target, old)
+    if not files.rename(new, target):
+        raise OSError(f"could not move {fresh} to {path}")
+    files.delete(old, True)
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Nested cells as JSON text."""
     nested = (T.ArrayType, T.StructType, T.MapType)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,17 +23,66 @@ def latest(events: DataFrame, key: str, order: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(F.struct(*fields), F.col(order)).alias("last")).select(key, "last.*")
 
 
-def tumbling(events: DataFrame, time: str, length: str, late: str, value: str) -> DataFrame:
+def tumbling(events: DataFrame, at: str, length: str, late: str, value: str) -> DataFrame:
     """Counts and sums in windows of fixed length; rows later than ``late`` are left out of a stream."""
-    timed = events.withColumn(time, F.col(time).cast("timestamp"))
-    grouped = timed.withWatermark(time, late).groupBy(F.window(time, length))
+    timed = events.withColumn(at, F.col(at).cast("timestamp"))
+    grouped = timed.withWatermark(at, late).groupBy(F.window(at, length))
     return grouped.agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), "n", "total")
 
 
-def sessions(events: DataFrame, key: str, time: str, gap: str, late: str) -> DataFrame:
+def sliding(events: DataFrame, at: str, length: str, slide: str, late: str, value: str) -> DataFrame:
+    """Counts and sums in windows of fixed length that begin every ``slide``."""
+    timed = events.withColumn(at, F.col(at).cast("timestamp"))
+    grouped = timed.withWatermark(at, late).groupBy(F.window(at, length, slide))
+    return grouped.agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), "n", "total")
+
+
+def changes(events: DataFrame, key: str, order: str, value: str, ends: tuple[str, ...] = ()) -> DataFrame:
+    """The rows (key, order, value: text) of a stream whose value differs from that of the row before, in order within each
+    trigger; after one of the ``ends`` nothing more comes of that key. Rows older than the last one are left out."""
+    kind = events.schema[key].dataType.simpleString()
+
+    def update(ids: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, last = state.get if state.exists else (None, None)
+        rows = pd.concat(list(parts)).sort_values(order)
+        out = []
+        for step, now in rows[[order, value]].itertuples(index=False):
+            if last in ends or (at is not None and step <= at):
+                continue
+            if now != last:
+                out.append({key: ids[0], order: int(step), value: now})
+            at, last = int(step), now
+        if at is not None:
+            state.update((at, last))
+        yield pd.DataFrame(out, columns=[key, order, value])
+
+    return events.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, {order} long, {value} string", "at long, last string", "append", GroupStateTimeout.NoTimeout)
+
+
+def append_log(events: DataFrame, path: str, checkpoint: str):
+    """A writer of JSON lines that only ever adds files to a folder. Started again with the same checkpoint it goes on after what
+    was committed."""
+    return events.writeStream.format("json").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+
+
+def run_for(writer, seconds: float, done=None, poll: float = 0.5) -> str:
+    """Start a stream and stop it gracefully at the end of a time budget, or as soon as ``done()`` holds, when what has arrived is processed:
+    'finished' (it ended by itself), 'done' or 'stopped'. Progress stays in the writer's checkpoint."""
+    running, end = writer.start(), time.monotonic() + seconds
+    while not running.awaitTermination(poll):
+        over = time.monotonic() >= end
+        if over or (done is not None and done()):
+            if not over:
+                running.processAllAvailable()
+            running.stop()
+            return "stopped" if over else "done"
+    return "finished"
+
+
+def sessions(events: DataFrame, key: str, at: str, gap: str, late: str) -> DataFrame:
     """Runs of a key's rows with less than ``gap`` between neighbours."""
-    timed = events.withColumn(time, F.col(time).cast("timestamp"))
-    grouped = timed.withWatermark(time, late).groupBy(key, F.session_window(time, gap))
+    timed = events.withColumn(at, F.col(at).cast("timestamp"))
+    grouped = timed.withWatermark(at, late).groupBy(key, F.session_window(at, gap))
     return grouped.agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 

@@ -484,3 +484,111 @@ def test_exact_quantiles_close_in(spark):
     ties = spark.range(5000).select((F.col("id") % 2).cast("double").alias("v"))
     assert quantiles.exact(ties, F.col("v"), (0.25, 0.75), most=100) == [0.0, 1.0]
     assert quantiles.exact(ties.limit(0), F.col("v"), (0.5,)) == [None]
+
+
+def test_first_of_overlapping_intervals(spark):
+    points = spark.createDataFrame([(1, 0.05), (1, 0.15), (1, 0.95), (2, 0.15)], "k long, t double")
+    spans = spark.createDataFrame([(1, 0.0, 0.2, "b"), (1, 0.1, 0.3, "a"), (1, 0.0, 0.0, "c")], "k long, a double, b double, name string")
+    got = {(r.k, r.t): r.name for r in intervals.first_in_intervals(points, spans, "k", "t", "a", "b", 0.07, "name").collect()}
+    assert got == {(1, 0.05): "b", (1, 0.15): "a", (1, 0.95): None, (2, 0.15): None}
+
+
+def test_zip_stops_with_the_shorter_and_fails_where_sides_differ(spark):
+    left = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (1, 3, "z")], "u long, k long, ch string")
+    right = spark.createDataFrame([(1, 1, "x", 5), (1, 2, "y", 6)], "u long, k long, ch string, v long")
+    assert sorted((r.k, r.ch, r.v) for r in intervals.zip_positions(left, right, ["u", "k"], ["ch"]).collect()) == [(1, "x", 5), (2, "y", 6)]
+    with pytest.raises(Exception, match="ch differs at"):
+        intervals.zip_positions(left, right.withColumn("ch", F.lit("q")), ["u", "k"], ["ch"]).collect()
+
+
+def test_private_keys_at_any_depth(spark):
+    texts = ['{"a": [1, {"secret": 2}]}', '{"a": {"b": "/root"}}', '{"a": "secret", "b": ["x/y"]}', "[]", "no json", None]
+    df = spark.createDataFrame([(t,) for t in texts], "j string")
+    assert [r[0] for r in df.select(S.private_json(("secret",))(F.col("j"))).collect()] == [True, True, False, False, None, None]
+
+
+def test_strict_csv(spark, tmp_path):
+    one, two = tmp_path / "a" / "x.csv", tmp_path / "b" / "x.csv"
+    for path, text in ((one, "\ufeffid,text\n001,\"a, \"\"b\"\"\"\n002,c\n"), (two, "id,text\n003,d\n003,e\n")):
+        path.parent.mkdir()
+        path.write_text(text, encoding="utf-8")
+    rows = readers.strict_csv(spark, str(one.parent), ["id", "text"], "id", "[0-9]{3}").orderBy("line").collect()
+    assert [(r.line, r.id, r.text) for r in rows] == [(2, "001", 'a, "b"'), (3, "002", "c")]
+    for path, columns, pattern, message in ((two, ["id", "text"], "[0-9]{3}", "repeated id in .*line 3"), (one, ["id", "text"], "[0-9]{2}", "malformed id in .*line 2"), (one, ["id", "name"], "[0-9]{3}", "wrong header in .*line 1")):
+        with pytest.raises(Exception, match=message):
+            readers.strict_csv(spark, str(path.parent), columns, "id", pattern).collect()
+
+
+def test_publish_replaces_a_folder_at_once(spark, tmp_path):
+    path = str(tmp_path / "out")
+    writers.publish(spark.range(3).select(F.col("id").cast("double").alias("v")), path)
+    writers.publish(spark.range(2).select(F.col("id").cast("double").alias("v")), path)
+    assert spark.read.json(path).count() == 2 and os.listdir(tmp_path) == ["out"]
+    with pytest.raises(Exception, match="not finite"):
+        writers.publish(spark.createDataFrame([(float("inf"),)], "v double"), path)
+    assert spark.read.json(path).count() == 2
+
+
+def log_files(folder, batches):
+    folder.mkdir(exist_ok=True)
+    for n, lines in batches.items():
+        (folder / f"{n}.json").write_text("\n".join(lines))
+        os.utime(folder / f"{n}.json", (1_000_000 + n, 1_000_000 + n))
+
+
+def test_changes_end_with_a_final_state(spark, tmp_path):
+    def line(step, state):
+        return f'{{"run":"a","step":{step},"state":"{state}"}}'
+
+    log_files(tmp_path / "log", {0: [line(1, "training"), line(2, "training")], 1: [line(3, "saving"), line(4, "training")], 2: [line(5, "finished"), line(6, "training")], 3: [line(7, "failed")]})
+    stream = logs.changes(logs.tail(spark, str(tmp_path / "log"), "run string, step long, state string"), "run", "step", "state", ("finished", "failed"))
+    logs.append_log(stream, str(tmp_path / "out"), str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = [(r.step, r.state) for r in spark.read.json(str(tmp_path / "out")).orderBy("step").collect()]
+    assert got == [(1, "training"), (3, "saving"), (4, "training"), (5, "finished")]
+
+
+def test_streams_stop_by_budget_and_resume(spark, tmp_path):
+    log_files(tmp_path / "log", {0: ['{"v":1}'], 1: ['{"v":2}']})
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+
+    def writer():
+        return logs.append_log(logs.tail(spark, str(tmp_path / "log"), "v long"), out, state).trigger(processingTime="200 milliseconds")
+
+    def rows():
+        return sorted(r.v for r in spark.read.schema("v long").json(out).collect()) if os.path.isdir(out) else []
+
+    assert logs.run_for(writer(), 60, lambda: len(rows()) == 2) == "done"
+    log_files(tmp_path / "log", {2: ['{"v":3}']})
+    assert logs.run_for(writer(), 4, None, 0.2) == "stopped"
+    assert rows() == [1, 2, 3]  # the second run went on where the first one stopped
+
+
+def test_sliding_windows_overlap(spark):
+    rows = spark.sql("SELECT timestamp'2024-01-01 01:30:00' AS ts, 2.0D AS v")
+    got = {str(r.start): (r.n, r.total) for r in logs.sliding(rows, "ts", "2 hours", "1 hour", "1 day", "v").collect()}
+    assert got == {"2024-01-01 00:00:00": (1, 2.0), "2024-01-01 01:00:00": (1, 2.0)}
+
+
+def test_late_rows_are_left_out_of_windows(spark, tmp_path):
+    def line(hour):
+        return f'{{"ts":"2024-01-01T{hour:02d}:10:00","v":1.0}}'
+
+    log_files(tmp_path / "log", {0: [line(1)], 1: [line(20)], 2: [line(21)], 3: [line(1), line(19)]})
+    stream = logs.tumbling(logs.tail(spark, str(tmp_path / "log"), "ts timestamp, v double"), "ts", "1 hour", "3 hours", "v")
+    logs.append_log(stream, str(tmp_path / "out"), str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = {r.start[11:13]: r.n for r in spark.read.json(str(tmp_path / "out")).collect()}
+    assert got == {"01": 1}  # closed after the row at 20 h; the second row at 1 h came too late, and the others are open yet
+
+
+def test_boundary_rules(spark):
+    supports = spark.createDataFrame([(1, 0, 0.0, 0.1), (1, 1, 0.3, 0.4), (1, 2, 0.42, 0.5), (1, 3, 0.6, 0.7)], "rec long, tok long, a double, b double")
+    quiet = [*range(12, 15), *range(17, 25)]
+    fr = spark.createDataFrame([(1, i, i * 0.01, -50.0 if i in quiet else -25.0 if i == 55 else -10.0) for i in range(80)], "rec long, i long, t double, rms double")
+    out = measure.boundaries(supports, measure.quiet_spans(fr, F.col("rms") < -30, 0.02), fr, 0.02, 0.05).orderBy("tok").collect()
+    assert [(r.rule, pytest.approx(r.end_t), pytest.approx(r.start_t)) for r in out] == [("quiet_gap", 0.17, 0.24), ("midpoint", 0.41, 0.41), ("quietest", 0.55, 0.55)]
+
+
+def test_character_points_use_the_longest_run(spark):
+    frames_ = [(1, i, i * 0.01, float(100 + i)) for i in [*range(0, 5), *range(10, 21), *range(30, 34)]]
+    got = {r.pos: r.median for r in measure.character_points(spark.createDataFrame(frames_, "tok long, i long, t double, f double"), ["tok"]).collect()}
+    assert got == {0: 112.0, 1: 115.0, 2: 118.0}
