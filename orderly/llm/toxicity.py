@@ -1,14 +1,15 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, written in numpy.
 
-Every word is described by word and character inputs: how much more often the word, and the hashed byte n-grams in it,
-occur in toxic training documents (cross-fitted, so that no training document speaks for its own words). The network
-reads overlapping windows over the whole text, pools its states by attention and gives each window a logit; a document
-is scored by its highest window, calibrated with the number of windows. Documents are bags: in training, the window
-that stands out is the one that carries the label.
-
-The model is fitted on a bounded sample of labelled rows (``max_toxic`` and ``max_clean``, chosen by a hash of the id)
-and broadcast; its size depends on neither the corpus nor the labels. Scoring is a function of one text, so it takes
-one pass without a shuffle, and equal texts get equal scores. Null and empty texts, and texts without words, score 0;
+Every word is described by word and character inputs: learned vectors of the hashed word and of the byte n-grams in it,
+trained with the network, beside how much more often the word and its n-grams occur in toxic training documents
+(cross-fitted, so that no training document speaks for its own words). The network reads overlapping windows over the
+whole text, pools its states by attention and gives each window a logit; a document is scored by its highest window,
+calibrated with the number of windows. Documents are bags: in training, the window that stands out carries the label.
+
+The model is fitted on a bounded sample of labelled rows (``max_toxic`` and ``max_clean``, chosen by a hash of the id, of
+texts of up to ``max_bytes``) and broadcast; its size depends on neither the corpus nor the labels. Scoring is a function of one text, so it takes
+one pass without a shuffle. Sums are taken in one order and windows in blocks of one shape, so that a text's score doesn't
+depend on what shares its batch: equal texts get equal scores. Null and empty texts, and texts without words, score 0;
 so does everything where the sample lacks one of the two labels. Rows that repeat are scored alike; label rows with
 null ids or labels are left out, and of several labels for an id the highest counts. Input columns other than id and text are ignored.
 """
@@ -25,18 +26,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderly.session import bounded_batches
+
 WINDOW = 48
 STRIDE = 32
 HIDDEN = 8
 THRESHOLD = 0.3
-MAX_TOXIC = 800
-MAX_CLEAN = 1600
+MAX_TOXIC = 1500
+MAX_CLEAN = 3000
+MAX_BYTES = 32_768
 FOLDS = 4
 WORD_SLOTS = 1 << 17
 GRAMS = ((3, 1 << 15), (5, 1 << 17))
 STRIP = b".,;:!?\"'()[]{}*%$&#|<>-_"
-INPUTS = 1 + 2 * len(GRAMS) + 1
-CACHE_WORDS = 150_000
+SCALARS = 1 + 2 * len(GRAMS) + 1
+VECTOR = 4
+WORD_VECTORS = GRAM_VECTORS = 1 << 14
+INPUTS = SCALARS + 2 * VECTOR
+CACHE_WORDS = 100_000
+WINDOW_BLOCK = 512
+CALIBRATION = 5  # one document in so many of the sample calibrates the scores and trains nothing else
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -70,8 +79,8 @@ class Odds:
     word: np.ndarray
     grams: list[np.ndarray]
 
-    def inputs(self, words: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(words), INPUTS), np.float32)
+    def scalars(self, words: list[bytes]) -> np.ndarray:
+        out = np.zeros((len(words), SCALARS), np.float32)
         if not words:
             return out
         word, grams = slots_of(words)
@@ -139,8 +148,38 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+@dataclass
+class Slots:
+    """Rows of the vector tables for a list of words: one word vector each, and the grams' with the place where each word's begin."""
+
+    word: np.ndarray
+    gram: np.ndarray
+    begin: np.ndarray
+
+    @staticmethod
+    def of(words: list[bytes]) -> Slots:
+        word, grams = slots_of(words)
+        slot, begin = grams[-1]
+        return Slots(word % WORD_VECTORS, slot % GRAM_VECTORS, begin)
+
+    def counts(self) -> np.ndarray:
+        return np.diff(np.append(self.begin, len(self.gram)))
+
+    def pick(self, rows: np.ndarray) -> Slots:
+        counts = self.counts()[rows]
+        begin = np.cumsum(counts) - counts
+        at = np.repeat(self.begin[rows] - begin, counts) + np.arange(counts.sum())
+        return Slots(self.word[rows], self.gram[at], begin)
+
+
+def times(rows: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """rows @ table, every sum in the same order, so that a row's result doesn't depend on the rows beside it (a matrix
+    product may order its sums by place and shape)."""
+    return np.einsum("nh,hk->nk", rows, table)
+
+
 class Network:
-    """Two gated recurrent layers (forward, backward), attention over their states, one logit."""
+    """Word and gram vectors, two gated recurrent layers (forward, backward), attention over their states, one logit."""
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -152,10 +191,19 @@ class Network:
             "o": rng.normal(0, 0.3, 2 * h).astype(np.float32),
             "b": np.zeros(1, np.float32),
         }
+        self.words = rng.normal(0, 0.1, (WORD_VECTORS, VECTOR)).astype(np.float32)
+        self.grams = rng.normal(0, 0.1, (GRAM_VECTORS, VECTOR)).astype(np.float32)
+
+    def inputs(self, scalars: np.ndarray, slots: Slots) -> np.ndarray:
+        """Inputs of words: the scalars, the word's vector and the mean of its grams' vectors."""
+        if not len(scalars):
+            return np.zeros((0, INPUTS), np.float32)
+        mean = np.add.reduceat(self.grams[slots.gram], slots.begin) / slots.counts()[:, None].astype(np.float32)
+        return np.concatenate([scalars, self.words[slots.word], mean], 1)
 
     def project(self, inputs: np.ndarray) -> np.ndarray:
         """The gates' shares of inputs, for both directions: (2, words, 3 hidden)."""
-        return np.stack([inputs @ self.w["x"][d] for d in (0, 1)])
+        return np.stack([times(inputs, self.w["x"][d]) for d in (0, 1)])
 
     def forward(self, gates: np.ndarray, places: np.ndarray, keep: list | None = None) -> np.ndarray:
         """Logits of windows: gates has a last row of zeros for the places beyond a text's end."""
@@ -166,7 +214,7 @@ class Network:
             u = self.w["u"][d]
             for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
                 g = gates[d][places[:, t]]
-                r = state @ u
+                r = times(state, u)
                 zr = sigmoid(g[:, : 2 * h] + r[:, : 2 * h])
                 z, reset, inner = zr[:, :h], zr[:, h:], r[:, 2 * h :]
                 c = np.tanh(g[:, 2 * h :] + reset * inner)
@@ -174,25 +222,28 @@ class Network:
                     keep.append((d, t, state, z, reset, inner, c))
                 state = state + z * (c - state)
                 states[t, :, d * h : (d + 1) * h] = state
-        score = np.where(places.T >= 0, states @ self.w["v"], -1e9)
+        score = np.where(places.T >= 0, (states * self.w["v"]).sum(2), -1e9)
         share = np.exp(score - score.max(0))
         share /= share.sum(0)
-        pooled = np.einsum("tn,tnh->nh", share, states)
+        pooled = share[0][:, None] * states[0]
+        for t in range(1, steps):
+            pooled += share[t][:, None] * states[t]
         if keep is not None:
             keep.append((states, share, pooled))
-        return pooled @ self.w["o"] + self.w["b"][0]
-
-    def logits(self, inputs: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Logits of many windows, some at a time, with the gates of the words in them only."""
-        out = [np.zeros(0, np.float32)]
-        for k in range(0, len(places), 2048):
-            rows = places[k : k + 2048]
-            used = np.unique(rows[rows >= 0])
-            gates = np.concatenate([self.project(inputs[used]), np.zeros((2, 1, 3 * HIDDEN), np.float32)], 1)
-            out.append(self.forward(gates, np.where(rows >= 0, np.searchsorted(used, rows), -1)))
-        return np.concatenate(out)
+        return (pooled * self.w["o"]).sum(1) + self.w["b"][0]
+
+    def logits(self, gates: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Logits of windows in blocks of one shape, the last filled up with empty windows."""
+        out = np.empty(len(places), np.float32)
+        for k in range(0, len(places), WINDOW_BLOCK):
+            part = places[k : k + WINDOW_BLOCK]
+            full = np.full((WINDOW_BLOCK, places.shape[1]), -1, places.dtype)
+            full[: len(part)] = part
+            out[k : k + len(part)] = self.forward(gates, full)[: len(part)]
+        return out
 
-    def gradients(self, inputs: np.ndarray, places: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, inputs: np.ndarray, places: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of the weights and of the inputs."""
         keep: list = []
         h = HIDDEN
         logit = self.forward(np.concatenate([self.project(inputs), np.zeros((2, 1, 3 * h), np.float32)], 1), places, keep)
@@ -206,6 +257,7 @@ class Network:
         grad["v"] = np.einsum("tn,tnh->h", d_score, states)
         d_states = share[:, :, None] * d_pool + d_score[:, :, None] * self.w["v"]
         padded = np.concatenate([inputs, np.zeros((1, INPUTS), np.float32)])
+        d_gates = np.zeros((2, len(padded), 3 * h), padded.dtype)
         for d in (1, 0):
             carried = np.zeros((len(labels), h), np.float32)
             for dd, t, state, z, reset, inner, c in reversed(keep):
@@ -217,10 +269,13 @@ class Network:
                 dr = dc * inner * reset * (1 - reset)
                 from_input = np.concatenate([dz, dr, dc], 1)
                 from_state = np.concatenate([dz, dr, dc * reset], 1)
-                grad["x"][d] += padded[places[:, t]].T @ from_input
+                np.add.at(d_gates[d], places[:, t], from_input)
                 grad["u"][d] += state.T @ from_state
                 carried = ds * (1 - z) + from_state @ self.w["u"][d].T
-        return grad
+        d_gates[:, -1] = 0  # beyond a text's end nothing is read
+        for d in (0, 1):
+            grad["x"][d] = padded.T @ d_gates[d]
+        return grad, sum(d_gates[d, :-1] @ self.w["x"][d].T for d in (0, 1))
 
 
 @dataclass
@@ -229,34 +284,49 @@ class Model:
     network: Network
     calibration: np.ndarray  # weights of the highest logit, the log number of windows, and 1
 
-    def score(self, texts: list[str | None], cache: dict[bytes, int], rows: list[np.ndarray]) -> np.ndarray:
-        """Scores of whole texts. cache and rows hold the gates of words seen before."""
+    def gates(self, words: list[bytes]) -> np.ndarray:
+        """The gates of words: (2, words, 3 hidden)."""
+        return self.network.project(self.network.inputs(self.odds.scalars(words), Slots.of(words)))
+
+    def score(self, texts: list[str | None], memory: Memory | None = None) -> np.ndarray:
+        """Scores of whole texts. memory holds the gates of words seen before."""
+        memory = memory or Memory()
         docs = [words_of(t) for t in texts]
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-            rows.clear()
-        new = list({w for ws in docs for w in ws if w not in cache})
-        if new:
-            for w in new:
-                cache[w] = len(cache)
-            rows.append(self.network.project(self.odds.inputs(new)))
-        if not rows:
-            return np.zeros(len(texts))
-        if len(rows) > 1:
-            rows[:] = [np.concatenate(rows, 1)]
-        gates = np.concatenate([rows[0], np.zeros((2, 1, 3 * HIDDEN), np.float32)], 1)
-        ids = np.fromiter((cache[w] for ws in docs for w in ws), np.int64, sum(map(len, docs)))
+        known = memory.number
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        new = list({w for ws in docs for w in ws if w not in known})
+        memory.add(new, self.gates(new) if new else None)
+        ids = np.fromiter((known[w] for ws in docs for w in ws), np.int64, sum(map(len, docs)))
         places, owner = windows_of([len(ws) for ws in docs])
+        if not len(places):
+            return np.zeros(len(texts))
         ids = np.append(ids, -1)  # the row of zeros
         top = np.full(len(texts), -np.inf)
-        for k in range(0, len(places), 2048):
-            part = places[k : k + 2048]
-            logit = self.network.forward(gates, ids[part])
-            np.maximum.at(top, owner[k : k + 2048], logit)
+        np.maximum.at(top, owner, self.network.logits(memory.gates, ids[places]))
         many = np.log1p(np.bincount(owner, minlength=len(texts)))
         found = np.isfinite(top)
         a, b, c = self.calibration
-        return np.where(found, sigmoid(a * np.where(found, top, 0) + b * many + c), 0.0)
+        return np.where(found, np.round(sigmoid(a * np.where(found, top, 0) + b * many + c), 6), 0.0)
+
+
+class Memory:
+    """Gates of words by number, in a table that grows by doubling and whose last row is zero."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.gates = np.zeros((2, 1, 3 * HIDDEN), np.float32)
+
+    def add(self, words: list[bytes], gates: np.ndarray | None) -> None:
+        start = len(self.number)
+        if start + len(words) + 1 > self.gates.shape[1]:
+            wider = np.zeros((2, 2 * (start + len(words)) + 1, 3 * HIDDEN), np.float32)
+            wider[:, :start] = self.gates[:, :start]
+            self.gates = wider
+        for k, w in enumerate(words):
+            self.number[w] = start + k
+        if gates is not None:
+            self.gates[:, start : start + len(words)] = gates
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: float = 1e-2) -> np.ndarray:
@@ -272,64 +342,102 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str | None], labels: list[int], epochs: int = 24, batch: int = 128, seed: int = 7) -> Model | None:
-    """A model from labelled texts, or None where a label is missing."""
+def fit(texts: list[str | None], labels: list[int], epochs: int = 12, batch: int = 128, seed: int = 7, vectors: bool = True, recurrent: bool = True) -> Model | None:
+    """A model from labelled texts, or None where a label is missing. Without ``vectors`` words have no learned inputs;
+    without ``recurrent`` the network keeps its first weights and only the calibration is fitted (both for comparison)."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return None
     number: dict[bytes, int] = {}
     ids = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
     lexicon = list(number)
-    del number
+    if not lexicon:
+        return None
+    slots = Slots.of(lexicon)
     parts = [Presence() for _ in range(FOLDS)]
     for k, (ws, label) in enumerate(zip(ids, labels, strict=True)):
         parts[k % FOLDS].add([lexicon[i] for i in np.unique(ws)], int(label))
     whole = Presence()
     for part in parts:
         whole = whole.plus(part)
-    known = []
+    known = np.empty((FOLDS, len(lexicon), SCALARS), np.float32)
     for fold in range(FOLDS):
         rest = Presence()
         for k, part in enumerate(parts):
             if k != fold:
                 rest = rest.plus(part)
         odds = rest.odds()
-        known.append(np.concatenate([odds.inputs(lexicon[k : k + 50_000]) for k in range(0, len(lexicon), 50_000)] or [odds.inputs([])]))
-    flat = np.concatenate([known[k % FOLDS][ws] for k, ws in enumerate(ids)])
+        for k in range(0, len(lexicon), 20_000):
+            known[fold, k : k + 20_000] = odds.scalars(lexicon[k : k + 20_000])
+    known = known.reshape(-1, SCALARS)  # a row for each word as a document of either fold sees it
+    flat = np.concatenate([ws + k % FOLDS * len(lexicon) for k, ws in enumerate(ids)] + [[-1]])
     places, owner = windows_of([len(ws) for ws in ids])
-    del known, lexicon, ids
-    if not len(places):
-        return None
+    del lexicon, ids, parts
+    rows = flat[places]  # -1 beyond a text's end
+    del places, flat
     network, rng = Network(seed), np.random.default_rng(seed)
+    if not vectors:
+        network.words[:] = network.grams[:] = 0
     order = np.argsort(owner, kind="stable")
     first = np.searchsorted(owner[order], np.unique(owner))
-    kinds = y[owner[first]]
+    kinds = y[owner[order][first]]
     weights = np.where(kinds == 1, len(kinds) / (2 * max(1, (kinds == 1).sum())), len(kinds) / (2 * max(1, (kinds == 0).sum())))
-    strong = np.append(flat[:, 0] + flat[:, 3], 0)  # the last stands for places beyond a text's end
-    logit = strong[places].max(1)
+    strong = np.append(known[:, 0] + known[:, 3], 0)
+    logit = np.concatenate([strong[rows[k : k + 4096]].max(1) for k in range(0, len(rows), 4096)])
+
+    def inputs_of(used: np.ndarray) -> tuple[np.ndarray, Slots]:
+        picked = slots.pick(used % len(slots.word))
+        return network.inputs(known[used], picked), picked
+
+    def all_logits() -> np.ndarray:
+        out = []
+        for k in range(0, len(rows), 2048):
+            part = rows[k : k + 2048]
+            used = np.unique(part[part >= 0])
+            gates = np.concatenate([network.project(inputs_of(used)[0]), np.zeros((2, 1, 3 * HIDDEN), np.float32)], 1)
+            out.append(network.logits(gates, np.where(part >= 0, np.searchsorted(used, part), -1)))
+        return np.concatenate(out)
+
+    learn = np.flatnonzero(np.arange(len(kinds)) % CALIBRATION != CALIBRATION - 1)  # the others calibrate
     mean, var = ({k: np.zeros_like(v) for k, v in network.w.items()} for _ in range(2))
+    squares = {"words": np.full(WORD_VECTORS, 1e-6, np.float32), "grams": np.full(GRAM_VECTORS, 1e-6, np.float32)}
     step = 0
-    for epoch in range(epochs):
-        if epoch and epoch % 4 == 0:
-            logit = network.logits(flat, places)
+    for epoch in range(epochs if recurrent else 0):
+        if epoch and epoch % 3 == 0:
+            logit = all_logits()
         best = np.lexsort((-logit, owner))[first]  # the window that stands out in each document
-        mixed = rng.permutation(len(best))
-        for k in range(0, len(best), batch):
+        mixed = rng.permutation(learn)
+        for k in range(0, len(mixed), batch):
             pick = mixed[k : k + batch]
-            rows = places[best[pick]]
-            used = np.unique(rows[rows >= 0])
-            local = np.where(rows >= 0, np.searchsorted(used, rows), len(used))
-            grad = network.gradients(flat[used], np.where(rows >= 0, local, -1), kinds[pick], weights[pick])
+            part = rows[best[pick]]
+            used = np.unique(part[part >= 0])
+            values, picked = inputs_of(used)
+            drop = (rng.random(len(used)) < 0.5).astype(np.float32)[:, None] * 2  # words without their vectors, by turns
+            values[:, SCALARS:] *= drop
+            grad, d_inputs = network.gradients(values, np.where(part >= 0, np.searchsorted(used, part), -1), kinds[pick], weights[pick])
             step += 1
+            rate = 0.01 / (1 + 0.1 * epoch)
             for name, value in grad.items():
                 mean[name] = 0.9 * mean[name] + 0.1 * value
                 var[name] = 0.99 * var[name] + 0.01 * value**2
-                rate = 0.01 / (1 + 0.1 * epoch)
                 network.w[name] -= rate * (mean[name] / (1 - 0.9**step)) / (np.sqrt(var[name] / (1 - 0.99**step)) + 1e-7)
-    logit = network.logits(flat, places)
+            if vectors:
+                d_inputs[:, SCALARS:] *= drop
+                counts = picked.counts()
+                of_gram = np.repeat(d_inputs[:, SCALARS + VECTOR :] / counts[:, None], counts, axis=0)
+                for name, slot, value in (("words", picked.word, d_inputs[:, SCALARS : SCALARS + VECTOR]), ("grams", picked.gram, of_gram)):
+                    total = np.zeros((len(squares[name]), VECTOR), np.float32)
+                    np.add.at(total, slot, value)
+                    squares[name] += (total**2).mean(1)
+                    table = getattr(network, name)
+                    table -= 0.02 * total / np.sqrt(squares[name])[:, None]
+    logit = all_logits()
     top = np.maximum.reduceat(logit[order], first)
     many = np.log1p(np.diff(np.append(first, len(order))))
-    calibration = logistic(np.stack([top, many, np.ones(len(top))], 1), kinds, 1.0)
+    apart = np.setdiff1d(np.arange(len(kinds)), learn)
+    if len(set(kinds[apart])) < 2:
+        apart = np.arange(len(kinds))
+    calibration = logistic(np.stack([top, many, np.ones(len(top))], 1)[apart], kinds[apart], 1.0)
     return Model(whole.odds(), network, calibration)
 
 
@@ -338,9 +446,10 @@ def remainder(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 4
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> tuple[list, list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> tuple[list, list[int]]:
     """Texts and labels of at most so many rows of either kind, by the order of a hash of the id, without those held
-    out. docs: id, text; labels: id, toxic."""
+    out and without texts of over ``max_bytes``. docs: id, text; labels: id, toxic."""
+    docs = docs.where(F.octet_length("text") <= max_bytes)
     known = labels.where("id IS NOT NULL AND toxic IS NOT NULL").where(remainder(F.col("id")) != 2)
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
     chosen = []
@@ -361,6 +470,7 @@ def score(
     out: str = "toxicity",
     max_toxic: int = MAX_TOXIC,
     max_clean: int = MAX_CLEAN,
+    max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """docs with a double column ``out`` (0 to 1, higher: likelier toxic)."""
     model = fit(
@@ -369,15 +479,17 @@ def score(
             labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")),
             max_toxic,
             max_clean,
+            max_bytes,
         )
     )
+    bounded_batches(docs.sparkSession)
     if model is None:
         return docs.withColumn(out, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.DoubleType())
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, cache, rows = shared.value, {}, []
+        model, memory = shared.value, Memory()
         for texts in batches:
             values, found, at = texts.tolist(), [], 0
             while at < len(values):
@@ -385,7 +497,7 @@ def score(
                 while to < len(values) and (to == at or size < 1_500_000):
                     size += len(values[to] or "")
                     to += 1
-                found.append(model.score(values[at:to], cache, rows))
+                found.append(model.score(values[at:to], memory))
                 at = to
             yield pd.Series(np.concatenate(found) if found else np.zeros(0))
 
