@@ -26,15 +26,24 @@ def ranked(candidates: DataFrame, keys: list[str], same: str, order: list[str],
     return unique.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("r") <= most)
 
 
-def parse_syllables(spellings: DataFrame, initials: DataFrame, finals: DataFrame, aliases: DataFrame) -> DataFrame:
-    """spelling, initial, final, ipa and the number of parses: aliases first, then every split whose halves are both in
-    the tables. A spelling is valid where it has exactly one parse; others keep NULLs and their count."""
-    named = spellings.select("spelling").distinct().join(F.broadcast(aliases), "spelling", "left").select("spelling", F.coalesce("alias", "spelling").alias("s"))
-    cut = named.select("*", F.explode(F.sequence(F.lit(0), F.length("s"))).alias("k"))
-    halves = cut.select("spelling", F.left("s", F.col("k")).alias("initial"), F.expr("substring(s, k + 1)").alias("final"))
-    hits = halves.join(F.broadcast(initials), "initial").join(F.broadcast(finals), "final")
-    one = hits.groupBy("spelling").agg(F.count("*").alias("parses"), F.first("initial").alias("initial"), F.first("final").alias("final"), F.first(F.concat("initial_ipa", "final_ipa")).alias("ipa"))
+def parse_syllables(spellings: DataFrame, initials: DataFrame, finals: DataFrame, aliases: DataFrame, specials: DataFrame | None = None, conditioned: DataFrame | None = None) -> DataFrame:
+    """spelling, initial, final, ipa, method and the number of parses. Aliases are resolved first. A whole syllable listed in
+    specials (spelling, final) has no initial; one in conditioned (spelling, initial, final) is split as it says; any other
+    has every split whose halves are both in the tables, and is valid where that is exactly one: the rest keep NULLs and
+    their count."""
+    spark = spellings.sparkSession
+    none = spark.createDataFrame([], "spelling string, initial string, final string")
+    listed = (conditioned if conditioned is not None else none).select("spelling", "initial", "final", F.lit("conditioned").alias("method"), F.lit(1).alias("order"))
+    if specials is not None:
+        listed = listed.unionByName(specials.select("spelling", F.lit("").alias("initial"), "final", F.lit("special").alias("method"), F.lit(0).alias("order")))
+    listed = listed.groupBy("spelling").agg(F.min_by(F.struct("initial", "final", "method"), "order").alias("whole")).withColumnRenamed("spelling", "s")
+    named = spellings.select("spelling").distinct().join(aliases, "spelling", "left").select("spelling", F.coalesce("alias", "spelling").alias("s")).join(listed, "s", "left")
+    ways = F.expr("transform(sequence(0, length(s)), k -> struct(left(s, k) AS initial, substring(s, k + 1) AS final, 'regular' AS method))")
+    cut = named.select("spelling", F.explode(F.when(F.col("whole").isNull(), ways).otherwise(F.array("whole"))).alias("w")).select("spelling", "w.*")
+    hits = cut.join(initials, "initial").join(finals, "final")
+    ipa = F.concat("initial_ipa", "final_ipa")
+    one = hits.groupBy("spelling").agg(F.count("*").alias("parses"), F.first(F.struct("initial", "final", ipa.alias("ipa"), "method")).alias("p"))
     only = F.col("parses") == 1
-    return named.join(one, "spelling", "left").select(
-        "spelling", *[F.when(only, F.col(c)).alias(c) for c in ("initial", "final", "ipa")], F.coalesce("parses", F.lit(0)).alias("parses")
+    return named.select("spelling").join(one, "spelling", "left").select(
+        "spelling", *[F.when(only, F.col(f"p.{c}")).alias(c) for c in ("initial", "final", "ipa", "method")], F.coalesce("parses", F.lit(0)).alias("parses")
     )

@@ -137,15 +137,26 @@ def lexicon(spark, sf):
     return found.groupBy("item_id", "i").agg(F.count("*").alias("hits"), F.count_if("whole").alias("whole"))
 
 
-@query("J10_parse", """WITH i(initial, ii) AS (VALUES ('', ''), ('p', 'p'), ('ph', 'pʰ'), ('t', 't'), ('th', 'tʰ')), f(final, fi) AS (VALUES ('a', 'a'), ('ha', 'ɦa'), ('i', 'i')),
-s AS (SELECT DISTINCT ['pa', 'pha', 'ti', 'tha', 'zo', 'a'][(event_id % 6 + 1)::INT] AS spelling FROM events), c AS (SELECT spelling, initial, final, ii || fi AS ipa FROM s JOIN i ON starts_with(spelling, initial) JOIN f ON substr(spelling, length(initial) + 1) = final)
-SELECT s.spelling, CASE WHEN count(c.final) = 1 THEN max(initial) END AS initial, CASE WHEN count(c.final) = 1 THEN max(final) END AS final, CASE WHEN count(c.final) = 1 THEN max(ipa) END AS ipa, count(c.final) AS parses FROM s LEFT JOIN c ON c.spelling = s.spelling GROUP BY s.spelling""")
+@query("J10_parse", """WITH i(initial, ii) AS (VALUES ('', ''), ('p', 'p'), ('ph', 'pʰ'), ('t', 't'), ('th', 'tʰ'), ('gh', 'ɦ')), f(final, fi) AS (VALUES ('a', 'a'), ('ha', 'ɦa'), ('i', 'i'), ('ng', 'ŋ')),
+x AS (SELECT DISTINCT substr(lower(n_name), 1, 1) AS c FROM nation JOIN customer ON c_nationkey = n_nationkey),
+sp AS (SELECT DISTINCT p || q.c AS spelling FROM x q, (VALUES ('p'), ('ph'), ('t'), ('th'), (''), ('y'), ('n')) v(p) UNION SELECT 'ng' FROM x UNION SELECT 'xx' FROM x),
+s AS (SELECT spelling, CASE WHEN spelling = 'xx' THEN 'pa' ELSE spelling END AS s FROM sp),
+c AS (SELECT spelling, initial, final, ii || fi AS ipa, CASE WHEN s = 'ng' THEN 'special' WHEN s = 'yi' THEN 'conditioned' ELSE 'regular' END AS method FROM s JOIN i ON CASE WHEN s = 'ng' THEN initial = '' WHEN s = 'yi' THEN initial = 'gh' ELSE starts_with(s, initial) END
+  JOIN f ON CASE WHEN s = 'ng' THEN final = 'ng' WHEN s = 'yi' THEN final = 'i' ELSE substr(s, length(initial) + 1) = final END)
+SELECT s.spelling, CASE WHEN count(c.final) = 1 THEN max(initial) END AS initial, CASE WHEN count(c.final) = 1 THEN max(final) END AS final, CASE WHEN count(c.final) = 1 THEN max(ipa) END AS ipa,
+  CASE WHEN count(c.final) = 1 THEN max(method) END AS method, count(c.final) AS parses FROM s LEFT JOIN c ON c.spelling = s.spelling GROUP BY s.spelling""")
 def parse(spark, sf):
-    initials = spark.sql("SELECT * FROM VALUES ('', ''), ('p', 'p'), ('ph', 'pʰ'), ('t', 't'), ('th', 'tʰ') AS t(initial, initial_ipa)")
-    finals = spark.sql("SELECT * FROM VALUES ('a', 'a'), ('ha', 'ɦa'), ('i', 'i') AS t(final, final_ipa)")
+    """Spellings made of seven beginnings and the first letters of the nations that have customers."""
+    initials = spark.sql("SELECT * FROM VALUES ('', ''), ('p', 'p'), ('ph', 'pʰ'), ('t', 't'), ('th', 'tʰ'), ('gh', 'ɦ') AS t(initial, initial_ipa)")
+    finals = spark.sql("SELECT * FROM VALUES ('a', 'a'), ('ha', 'ɦa'), ('i', 'i'), ('ng', 'ŋ') AS t(final, final_ipa)")
     aliases = spark.sql("SELECT * FROM VALUES ('xx', 'pa') AS t(spelling, alias)")
-    spelled = F.element_at(F.array(*map(F.lit, ("pa", "pha", "ti", "tha", "zo", "a"))), (F.col("event_id") % 6 + 1).cast("int"))
-    return X.parse_syllables(table(spark, sf, "events").select(spelled.alias("spelling")), initials, finals, aliases)
+    specials = spark.sql("SELECT * FROM VALUES ('ng', 'ng') AS t(spelling, final)")
+    conditioned = spark.sql("SELECT * FROM VALUES ('yi', 'gh', 'i') AS t(spelling, initial, final)")
+    here = table(spark, sf, "nation").join(table(spark, sf, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
+    letter = here.select(F.lower(F.left("n_name", F.lit(1))).alias("c")).distinct()
+    made = F.transform(F.array(*map(F.lit, ("p", "ph", "t", "th", "", "y", "n"))), lambda p: F.concat(p, "c"))
+    spelled = letter.select(F.explode(F.concat(made, F.array(F.lit("ng"), F.lit("xx")))).alias("spelling"))
+    return X.parse_syllables(spelled, initials, finals, aliases, specials, conditioned)
 
 
 @query("P4_candidates", """SELECT doc_id, n_chars FROM documents WHERE n_chars >= 800 AND n_chars <= 3000 AND length(regexp_extract_all(text, '[.]')::VARCHAR) > 0 AND len(regexp_extract_all(text, '[.]')) > 8""")

@@ -384,6 +384,9 @@ def test_parse_needs_one_reading(spark):
     spelled = spark.createDataFrame([("pa",), ("pha",), ("q",), ("zo",)], "spelling string")
     got = {r.spelling: (r.parses, r.ipa) for r in lexicon.parse_syllables(spelled, initials, finals, aliases).collect()}
     assert got == {"pa": (1, "pa"), "pha": (2, None), "q": (1, "pa"), "zo": (0, None)}
+    specials, conditioned = spark.createDataFrame([("pha", "a")], "spelling string, final string"), spark.createDataFrame([("pa", "ph", "ha")], "spelling string, initial string, final string")
+    got = {r.spelling: (r.initial, r.final, r.method) for r in lexicon.parse_syllables(spelled, initials, finals, aliases, specials, conditioned).collect()}
+    assert got == {"pa": ("ph", "ha", "conditioned"), "pha": ("", "a", "special"), "q": ("ph", "ha", "conditioned"), "zo": (None, None, None)}
 
 
 def test_status_cascade_and_splits(spark):
