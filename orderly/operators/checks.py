@@ -21,8 +21,11 @@ def dense_ids(rows: DataFrame, key: str) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:
-    """One row that does not depend on the order of rows: their number and the sum of their hashes."""
-    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("fingerprint"))
+    """One row that does not depend on the order of rows: their number and the sum of the first 60 bits of their SHA-256. A
+    row is hashed as its cells in text form, each with its length before it, NULL as -1."""
+    cells = [F.concat(F.coalesce(F.length(F.col(c).cast("string")), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in rows.columns]
+    head = F.conv(F.substring(F.sha2(F.concat_ws("|", *cells), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(head), F.lit(0)).cast("string").alias("fingerprint"))
 
 
 def manifest_diff(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -62,6 +62,28 @@ def markdown(spark, sf):
     return rows.select("conv_id", F.col("cells")[0].alias("role"), F.col("cells")[1].alias("n"))
 
 
+@query("K1_json", """SELECT c_custkey, c_name, round(c_acctbal, 6) AS balance FROM customer""")
+def json_sink(spark, sf):
+    """Strict JSON, published at once over what was there, and read back."""
+    path = place(spark)
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    W.publish(rows.limit(0), path)
+    W.publish(rows, path)
+    return R.json_lines(spark, path, "c_custkey long, c_name string, c_acctbal double").select("c_custkey", "c_name", r6("c_acctbal").alias("balance"))
+
+
+@query("S6_json_documents", """SELECT conv_id, count(*) AS turns, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id""")
+def json_documents(spark, sf):
+    """A JSON document for every 50 conversations, indented and over many lines, found by a pattern."""
+    path = place(spark)
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", F.length("text").cast("long").alias("n"))).alias("turns"))
+    parts = turns.groupBy(F.floor(F.col("conv_id") / 50).alias("part")).agg(F.to_json(F.struct(F.collect_list(F.struct("conv_id", "turns")).alias("docs")), {"pretty": "true"}).alias("value"))
+    parts.write.partitionBy("part").option("lineSep", "\n").text(path)
+    back = R.json_documents(spark, f"{path}/part=*/*.txt", "docs array<struct<conv_id:long,turns:array<struct<turn:long,n:long>>>>")
+    docs = back.select(F.explode("docs").alias("d")).select("d.*")
+    return docs.select("conv_id", F.size("turns").cast("long").alias("turns"), F.expr("aggregate(turns, 0L, (s, t) -> s + coalesce(t.n, 0L))").alias("chars"))
+
+
 @query("K3_csv_union", """SELECT 'a' AS kind, s_suppkey AS key, s_name AS name, NULL::VARCHAR AS tags FROM supplier UNION ALL SELECT 'b', c_custkey, NULL, '["' || c_name || '","' || c_nationkey || '"]' FROM customer""")
 def csv_union(spark, sf):
     path = place(spark)

@@ -32,7 +32,10 @@ def targets(spark, sf):
     return D.targets(runs, "rec").withColumns({c: r6(c) for c in ("time", "prominence", "start", "end")})
 
 
-@query("early_stop")
+@query("early_stop", """WITH RECURSIVE {FR}, st AS (SELECT DISTINCT rec, 0::BIGINT AS i, 'Infinity'::DOUBLE AS best, 0 AS stale, -1::BIGINT AS stopped FROM fr
+  UNION ALL SELECT s.rec, f.i, CASE WHEN s.stopped < 0 AND f.value < s.best - 0.5 THEN f.value ELSE s.best END, CASE WHEN s.stopped >= 0 THEN s.stale WHEN f.value < s.best - 0.5 THEN 0 ELSE s.stale + 1 END,
+    CASE WHEN s.stopped >= 0 THEN s.stopped WHEN f.value >= s.best - 0.5 AND s.stale + 1 >= 8 THEN f.i ELSE -1 END FROM st s JOIN fr f ON f.rec = s.rec AND f.i = s.i + 1)
+SELECT rec, round(best, 6) AS best, stale::INT AS stale, stopped AS stopped_at FROM st QUALIFY row_number() OVER (PARTITION BY rec ORDER BY i DESC) = 1""")
 def early_stop(spark, sf):
     """Events of a user as evaluations: the value is the loss."""
     fr = frames(spark, sf).groupBy("rec").agg(F.sort_array(F.collect_list(F.struct(F.col("i").alias("step"), "value"))).alias("p"))
@@ -76,6 +79,16 @@ def stream_sliding(spark, sf):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", r6("total").alias("total"))
 
 
+@query("K9_append_log", """SELECT user_id, event_id, event_type FROM events""")
+def append_log(spark, sf):
+    """The events as a JSON log that only grows, written by a stream and tailed by another one."""
+    base = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    L.append_log(event_stream(spark, sf).select("user_id", "event_id", "event_type"), f"{base}/log", f"{base}/one").trigger(availableNow=True).start().awaitTermination()
+    tailed = L.tail(spark, f"{base}/log", "user_id long, event_id long, event_type string", 100)
+    tailed.writeStream.format("parquet").trigger(availableNow=True).option("path", f"{base}/out").option("checkpointLocation", f"{base}/two").start().awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 @query("stream_session", """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '2 hours' THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
 SELECT user_id, min(ts)::TIMESTAMP AS start, max(ts)::TIMESTAMP + INTERVAL '2 hours' AS "end", count(*) AS n FROM s GROUP BY user_id, k""")

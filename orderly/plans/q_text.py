@@ -9,7 +9,7 @@ from orderly.functions import scalar as S
 from orderly.operators import checks as K
 from orderly.operators import lexicon as X
 from orderly.operators import split as P
-from orderly.plans.base import frames, query, r6
+from orderly.plans.base import frames, micros, query, r6
 from orderly.sources.tables import table
 
 
@@ -232,9 +232,12 @@ def row_counts(spark, sf):
     return table(spark, sf, "documents").agg(F.count("*").alias("docs"), F.count_if(F.col("n_chars") == F.length("text")).alias("exact"))
 
 
-@query("V5_fingerprint")
+@query("V5_fingerprint", """WITH e AS (SELECT event_id, user_id, event_type, props, epoch_us(ts) AS us, round(value * 100)::BIGINT AS cents FROM events),
+h AS (SELECT ('0x' || substr(sha256(concat_ws('|', """ + ", ".join(f"length({c}::VARCHAR) || ':' || {c}::VARCHAR" for c in ("event_id", "user_id", "event_type", "props", "us", "cents")) + """)), 1, 15))::BIGINT AS h FROM e)
+SELECT count(*) AS n, sum(h)::VARCHAR AS fingerprint FROM h""")
 def fingerprint(spark, sf):
-    return K.fingerprint(table(spark, sf, "events"))
+    cents = F.round(F.col("value") * 100).cast("long").alias("cents")
+    return K.fingerprint(table(spark, sf, "events").select("event_id", "user_id", "event_type", "props", micros(F.col("ts")).alias("us"), cents))
 
 
 @query("V7_tiling", """WITH c AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS whole, sum(length(text)) AS n FROM conversations GROUP BY conv_id) SELECT conv_id, n::BIGINT = length(whole) AS tiles, sha256(whole) AS h FROM c""")
