@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderly.llm.components import components
-from orderly.session import materialize, release
+from orderly.session import bounded_batches, materialize, release
 
 # The low bits of a key: the band of the pairs that it serves, and whether it comes from a segment with neighbourhoods.
 BAND_BITS = 11
@@ -252,14 +252,18 @@ def candidates(rows: DataFrame, light: int = LIGHT) -> tuple[DataFrame, DataFram
     return pairs, many.select(*rows.columns)
 
 
+def unlike(a: str, b: str, percent: int) -> str:
+    """SQL: sizes or parity sketches of two sets (structs of n, band and bits) rule out that they are similar."""
+    group = f"greatest({a}.band, {b}.band)"
+    flipped = f"aggregate(zip_with({a}.bits[{group} - {a}.band], {b}.bits[{group} - {b}.band], (x, y) -> bit_count(x ^ y)), 0, (acc, c) -> acc + c)"
+    far = f"100 * least({a}.n, {b}.n) < {percent} * greatest({a}.n, {b}.n)"
+    return f"CASE WHEN {far} THEN true ELSE {100 + percent} * {flipped} > {100 - percent} * ({a}.n + {b}.n) END"
+
+
 def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and parity sketches do not rule out. sets: fp, n, band, bits."""
     left, right = (sets.select(F.col("fp").alias(s), F.struct("n", "band", "bits").alias(f"s{s}")) for s in "ab")
-    met = pairs.join(left, "a").join(right, "b")
-    group = "greatest(sa.band, sb.band)"
-    flipped = f"aggregate(zip_with(sa.bits[{group} - sa.band], sb.bits[{group} - sb.band], (x, y) -> bit_count(x ^ y)), 0, (acc, c) -> acc + c)"
-    near = f"100 * least(sa.n, sb.n) >= {percent} * greatest(sa.n, sb.n)"
-    return met.where(f"CASE WHEN {near} THEN {100 + percent} * {flipped} <= {100 - percent} * (sa.n + sb.n) ELSE false END").select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(f"NOT {unlike('sa', 'sb', percent)}").select("a", "b")
 
 
 def token_sets(texts: DataFrame, often: DataFrame, asked: DataFrame, words: int) -> DataFrame:
@@ -290,36 +294,95 @@ def open_buckets(heavy: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def rarest(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, fp, n, i): of each set the first shingles in the order of rarity, of which it shares one with any set
-    similar to it. n is the set's size and i the shingle's place, from 0."""
+    """(key, fp, n, i): of each set those among its first shingles in the order of rarity that another set has too; a set
+    shares one of them with any set similar to it. n is the set's size and i the shingle's place, from 0. Shingles of
+    one set alone (most) come first in that order and are only counted."""
     tokens = sets.select("fp", F.size("tokens").alias("n"), F.explode("tokens").alias("key"))
-    often = tokens.groupBy("key").count()
+    often = materialize(tokens.groupBy("key").count().where("count > 1"))
     ranked = tokens.join(often, "key").groupBy("fp", "n").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("t"))
-    first = F.expr(f"cast(n - ceil(n * {percent} / 100) + 1 as int)")
-    return ranked.select(F.posexplode(F.slice("t", F.lit(1), first)).alias("i", "t"), "fp", "n").select("t.key", "fp", "n", "i")
-
-
-def within(rest: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """The similar pairs (a, b) between components inside open buckets. rest: key, fp, root, n, i, c. A bucket is cut
+    alone = F.col("n") - F.size("t")
+    first = F.greatest(F.expr(f"cast(n - ceil(n * {percent} / 100) + 1 as int)") - alone, F.lit(0))
+    some = ranked.select(F.posexplode(F.slice("t", F.lit(1), first)).alias("i", "t"), "fp", "n", alone.alias("alone"))
+    return some.select("t.key", "fp", "n", (F.col("i") + F.col("alone")).alias("i"))
+
+
+def likely(one: pd.DataFrame, two: pd.DataFrame, percent: int) -> np.ndarray:
+    """Which rows of one and two (fp, root, n, i, band, bits) may be similar: of different components, near in size, with few
+    enough rarer shingles before the shared one, and with parity sketches near enough."""
+    n, m = one["n"].to_numpy(np.int64)[:, None], two["n"].to_numpy(np.int64)[None]
+    before = one["i"].to_numpy(np.int64)[:, None] + two["i"].to_numpy(np.int64)[None]
+    may = (one["root"].to_numpy()[:, None] != two["root"].to_numpy()[None]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    may &= (100 + percent) * before <= (100 - percent) * (n + m)
+    bands = [np.asarray(x["band"], np.int64) for x in (one, two)]
+    for a in np.unique(bands[0]):
+        for b in np.unique(bands[1]):
+            rows, columns = np.flatnonzero(bands[0] == a), np.flatnonzero(bands[1] == b)
+            if abs(a - b) > 1:
+                may[np.ix_(rows, columns)] = False
+                continue
+            left, right = (np.array([x["bits"].iloc[k][max(a, b) - own] for k in at]).view(np.uint64) for x, at, own in ((one, rows, a), (two, columns, b)))
+            for k, row in enumerate(rows):
+                may[row, columns] &= (100 + percent) * np.bitwise_count(left[k] ^ right).sum(1) <= (100 - percent) * (n[row, 0] + m[0, columns])
+    return may
+
+
+def linked(one: pd.DataFrame, two: pd.DataFrame, may: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of fingerprints that are similar, by their whole token sets; pairs that earlier ones connect are passed over."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            x = up[x] = up.get(y, y)
+        return x
+
+    found = []
+    for r, c in zip(*np.nonzero(may), strict=True):
+        a, b = find(one["root"].iloc[r]), find(two["root"].iloc[c])
+        if a != b:
+            s, t = one["tokens"].iloc[r], two["tokens"].iloc[c]
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            if 100 * both >= percent * (len(s) + len(t) - both):
+                up[max(a, b)] = min(a, b)
+                x, y = int(one["fp"].iloc[r]), int(two["fp"].iloc[c])
+                found.append((min(x, y), max(x, y)))
+    return found
+
+
+def within(rest: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Similar pairs (a, b) that connect the components inside open buckets. rest: key, fp, root, n, i, c. A bucket is cut
     into blocks of about ``block`` sets, and two blocks meet under a key of their own, so the pairs of a large bucket
-    are dealt to many tasks. What passes is verified on the spot, so that near misses are never written out as pairs."""
+    are dealt to many tasks, each of two blocks at most. Sketches are compared first; only rows that some sketch leaves
+    possible carry their tokens to the exact comparison. What passes is verified on the spot, so that neither near misses nor
+    all pairs of a group of copies are ever written out."""
     blocks = F.ceil(F.col("c") / block).cast("int")
-    cut = rest.join(sets, "fp").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    left = cut.withColumn("to", F.explode(F.sequence("block", F.col("blocks") - 1))).select("key", F.col("block").alias("from"), "to", "fp", "root", "n", "i", "tokens")
-    right = cut.withColumn("from", F.explode(F.sequence(F.lit(0), "block"))).select(
-        "key", "from", F.col("block").alias("to"), *[F.col(c).alias(f"{c}_b") for c in ("fp", "root", "n", "i", "tokens")]
-    )
-    # At the first shingle that two sets share, the i and i_b rarer ones before it differ.
-    near = f"100 * least(n, n_b) >= {percent} * greatest(n, n_b) AND {100 + percent} * (i + i_b) <= {100 - percent} * (n + n_b)"
-    alike = f"{100 + percent} * size(array_intersect(tokens, tokens_b)) >= {percent} * (n + n_b)"
-    once = F.expr("`from` != `to` OR fp < fp_b")
-    met = left.join(right, ["key", "from", "to"]).where(once & F.expr(f"root != root_b AND {near} AND {alike}"))
-    return met.select(F.least("fp", "fp_b").alias("a"), F.greatest("fp", "fp_b").alias("b")).distinct()
+    cut = rest.join(reps.select("fp", "band", "bits"), "fp").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    pair = F.struct(F.least("block", "other").alias("from"), F.greatest("block", "other").alias("to"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", pair.alias("p"), "block", "fp", "root", "n", "i", "band", "bits")
+    fields = "key long, `from` int, `to` int, block int, fp long, root long, n long, i int, band int, bits array<array<bigint>>"
+
+    def sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
+        rows = rows.sort_values("fp")
+        one, two = rows[rows["block"] == rows["from"]], rows[rows["block"] == rows["to"]]
+        may = likely(one, two, percent)
+        return one, two, np.triu(may, 1) if rows["from"].iloc[0] == rows["to"].iloc[0] else may
+
+    def possible_rows(rows: pd.DataFrame) -> pd.DataFrame:
+        one, two, may = sides(rows)
+        return pd.concat([one[may.any(1)], two[may.any(0)]]).drop_duplicates("fp")
+
+    def similar(rows: pd.DataFrame) -> pd.DataFrame:
+        one, two, may = sides(rows)
+        return pd.DataFrame(linked(one, two, may, percent), columns=["a", "b"])
+
+    where = ["key", "from", "to"]
+    active = materialize(met.select("key", "p.*", "block", "fp", "root", "n", "i", "band", "bits").groupBy(*where).applyInPandas(possible_rows, fields))
+    return active.join(sets, "fp").groupBy(*where).applyInPandas(similar, "a long, b long").distinct()
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, light: int = LIGHT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """One row per row of docs: id, h (a hash of the text) and fp (NULL: no shingles). And one row per set: fp, n, root
     (shared by the sets of a component) and least, the component's least id."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(text_hash(text_col).alias("h"), F.col(text_col).alias("text"))
     members = materialize(docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("h")))
     often = materialize(members.groupBy("h").count().where("count > 1").select("h"))
@@ -350,7 +413,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(possible(pairs, reps, percent), sets, percent))
         roots = components(links)
         rest = open_buckets(heavy, roots)
-        found = materialize(within(rest, sets, percent, block))
+        found = materialize(within(rest, reps, sets, percent, block))
         if found.limit(1).count():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
         release(pairs, rest, sets, found)
