@@ -98,7 +98,7 @@ class Presence:
 
     def __init__(self) -> None:
         self.docs = np.zeros(2)
-        self.tables = [np.zeros((2, n)) for n in (WORD_SLOTS, *(s for _, s in GRAMS))]
+        self.tables = [np.zeros((2, n), np.float32) for n in (WORD_SLOTS, *(s for _, s in GRAMS))]
 
     def add(self, words: list[bytes], label: int) -> None:
         """Count a document of these words."""
@@ -370,7 +370,7 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 12, batch: int
         for k in range(0, len(lexicon), 20_000):
             known[fold, k : k + 20_000] = odds.scalars(lexicon[k : k + 20_000])
     known = known.reshape(-1, SCALARS)  # a row for each word as a document of either fold sees it
-    flat = np.concatenate([ws + k % FOLDS * len(lexicon) for k, ws in enumerate(ids)] + [[-1]])
+    flat = np.concatenate([ws + np.int32(k % FOLDS * len(lexicon)) for k, ws in enumerate(ids)] + [np.array([-1], np.int32)])
     places, owner = windows_of([len(ws) for ws in ids])
     del lexicon, ids, parts
     rows = flat[places]  # -1 beyond a text's end
