@@ -4,12 +4,13 @@ Documents become pieces of at most ``capacity`` tokens (only longer ones are cut
 The histogram of piece lengths has at most ``capacity`` entries whatever the corpus holds, so it is the one thing
 that goes to the driver. There the configuration LP (fewest sequences whose patterns cover the histogram) is solved
 by multiplicative weights: lengths that patterns cover too little gain weight, and an integer knapsack dynamic
-program finds the pattern worth most under the weights. The averaged solution is rounded down to whole patterns; the
-few pieces left over are packed longest first, each sequence filled as full as a subset-sum program can. The plan
+program finds the pattern worth most under the weights. The averaged solution is rounded down to whole patterns and the
+program solved again for the rest; the few pieces that no rounding takes are packed longest first, each sequence by a
+bounded knapsack with the program's prices. The plan
 says, for each length, which ranks of its pieces go to which run of sequences; pieces look their place up by rank.
 
 Null texts count as empty, which is a document of the end token alone. Repeated rows are packed once each. An empty
-table gives an empty result. Ranks are dealt over salted blocks, so a length that a third of all pieces share is
+table gives an empty result. Ranks are dealt over salted blocks of bounded size, so a length that a third of all pieces share is
 numbered in parallel. Only the id and text columns are read; others may have any name.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderly.session import materialize
+from orderly.session import bounded_batches, materialize
 
 CAPACITY = 1024
 END_ID = 2
@@ -33,6 +34,11 @@ ROUNDS = 60
 ETA = 0.3
 TOLERANCE = 0.03
 PATTERNS_A_ROUND = 400
+RESOLVES = 6
+ROUND_UP = 0.4
+PRICE_SHARE = 0.6
+BLOCK_ROWS = 65_536
+RANK_BITS = 40
 
 PIECE = T.ArrayType(
     T.StructType(
@@ -98,6 +104,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 )
             yield pd.Series(out)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col), F.explode(encoded(F.col(text_col).cast("string"))).alias("p")).select(id_col, "p.*")
 
 
@@ -117,8 +124,8 @@ def knapsack(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.
     return best, pick
 
 
-def fractional(counts: dict[int, int], capacity: int, rounds: int, eta: float) -> list[tuple[dict[int, int], float]]:
-    """Patterns with their fractional numbers of uses, by multiplicative weights over the covering rows. One knapsack
+def fractional(counts: dict[int, int], capacity: int, rounds: int, eta: float) -> tuple[list[tuple[dict[int, int], float]], dict[int, float]]:
+    """Patterns with their fractional numbers of uses and the lengths' prices, by multiplicative weights over the covering rows. One knapsack
     prices the best pattern with each length in it; a round uses those within a few per cent of the best."""
     lengths = np.array(sorted(counts))
     need = np.array([counts[n] for n in lengths], float)
@@ -149,49 +156,48 @@ def fractional(counts: dict[int, int], capacity: int, rounds: int, eta: float) -
         price = price * np.exp(-eta * gain / need)
         price *= (need @ (lengths / capacity)) / (need @ price)
     scale = 1 / max(1.0, float(np.median(covered / need)))
-    return [(dict(k), v * scale) for k, v in used.items()]
-
-
-def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
-    """A pattern that holds the longest piece left and fills the rest as far as the counts allow (subset sums)."""
-    first = max(counts)
-    pattern = {first: 1}
-    room = capacity - first
-    reach, steps = 1, []
-    mask = (1 << (room + 1)) - 1
-    for n in sorted((n for n in counts if n <= room), reverse=True):
-        left = min(counts[n] - (n == first), room // n)
-        part = 1
-        while left > 0:  # powers of two, so that many equal lengths cost few shifts
-            take = min(part, left)
-            steps.append((n, take, reach))
-            reach |= (reach << (n * take)) & mask
-            left -= take
+    return [(dict(k), v * scale) for k, v in used.items()], dict(zip(lengths.tolist(), (price * capacity / lengths).tolist(), strict=True))
+
+
+def fills(left: dict[int, int], capacity: int, price: dict[int, float]) -> list[tuple[int, int, np.ndarray]]:
+    """Steps of a bounded knapsack that fills every room as far as the pieces left allow, among equal fills with the
+    longest and dearest pieces: (length, number taken at once, which rooms take the step). Numbers are powers of two, so that many equal
+    lengths are few steps."""
+    best = np.zeros(capacity + 1)
+    steps = []
+    for n in sorted(left):
+        number, part = min(left[n], capacity // n), 1
+        while number > 0:
+            take = min(part, number)
+            worth = best[: capacity + 1 - n * take] + take * n * (1 + PRICE_SHARE * n / capacity * price.get(n, 1.0))
+            better = np.zeros(capacity + 1, bool)
+            better[n * take :] = worth > best[n * take :] + 1e-12
+            best[n * take :] = np.where(better[n * take :], worth, best[n * take :])
+            steps.append((n, take, better))
+            number -= take
             part *= 2
-        if reach >> room & 1:
-            break
-    at = reach.bit_length() - 1
-    for n, take, before in reversed(steps):
-        if not before >> at & 1:
-            at -= n * take
+    return steps
+
+
+def filling(steps: list[tuple[int, int, np.ndarray]], room: int) -> dict[int, int]:
+    """The pieces that fill a room."""
+    pattern: dict[int, int] = {}
+    for n, take, better in reversed(steps):
+        if better[room]:
             pattern[n] = pattern.get(n, 0) + take
+            room -= n * take
     return pattern
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, eta: float = ETA) -> list[tuple[dict[int, int], int]]:
-    """Patterns with whole numbers of uses that hold every piece of the histogram exactly once: the linear program
-    rounded down and filled up, or the filling alone where rounding costs so much that it needs strictly fewer sequences."""
-    part = {n: c for n, c in counts.items() if 0 < c and n < capacity}
-    tries = [filled(counts, capacity, fractional(part, capacity, rounds, eta))] if part and rounds else []
-    tries.append(filled(counts, capacity, []))
-    return min(tries, key=lambda p: sum(times for _, times in p))
-
-
-def filled(counts: dict[int, int], capacity: int, solution: list[tuple[dict[int, int], float]]) -> list[tuple[dict[int, int], int]]:
+    """Patterns with whole numbers of uses that hold every piece of the histogram exactly once. The linear program's
+    full patterns are rounded down, and the program is solved again for what that leaves until rounding yields little;
+    then its patterns are used once each, most used first, as far as the pieces last; the rest is filled by a knapsack
+    that prefers the lengths that the program holds dear."""
     left = {n: c for n, c in counts.items() if c > 0}
     out: list[tuple[dict[int, int], int]] = []
 
-    def use(pattern: dict[int, int], most: float) -> None:
+    def use(pattern: dict[int, int], most: float) -> int:
         times = int(min([most, *(left.get(n, 0) // k for n, k in pattern.items())]))
         if times > 0:
             out.append((pattern, times))
@@ -199,12 +205,30 @@ def filled(counts: dict[int, int], capacity: int, solution: list[tuple[dict[int,
                 left[n] -= k * times
                 if not left[n]:
                     del left[n]
+        return max(0, times)
 
-    for pattern, x in sorted(solution, key=lambda p: (-p[1], sorted(p[0].items()))):
-        if sum(n * k for n, k in pattern.items()) == capacity:  # others are left to the filling
-            use(pattern, np.floor(x + 1e-9))
+    use({capacity: 1}, float("inf"))
+    price: dict[int, float] = {}
+    for _ in range(RESOLVES):
+        if not left:
+            break
+        solution, price = fractional(left, capacity, rounds, eta)
+        full = sorted(((p, x) for p, x in solution if sum(n * k for n, k in p.items()) == capacity), key=lambda s: (-s[1], sorted(s[0].items())))
+        gained = sum(use(p, np.floor(x + 1e-9)) for p, x in full)
+        if gained < 0.2 * sum(x for _, x in solution):
+            for pattern, x in full:
+                if x >= ROUND_UP:
+                    use(pattern, 1)
+            break
     while left:
-        use(fullest(left, capacity), float("inf"))
+        longest = max(left)
+        steps = fills({n: c - (n == longest) for n, c in left.items()}, capacity, price)
+        for n in sorted(left, reverse=True):
+            if n in left:
+                pattern = filling(steps, capacity - n)
+                pattern[n] = pattern.get(n, 0) + 1
+                if n == longest or sum(m * k for m, k in pattern.items()) == capacity:
+                    use(pattern, float("inf"))  # not at all where others took the pieces
     return out
 
 
@@ -223,39 +247,35 @@ def placements(patterns: list[tuple[dict[int, int], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first_rank", "each", "first_sequence", "offset"])
 
 
-def place(rows: DataFrame, capacity: int = CAPACITY, blocks: int = 64, rounds: int = ROUNDS) -> DataFrame:
-    """rows (with a long column ``length``) plus sequence_id and offset. Rows are ranked within their length in
-    ``blocks`` salted blocks; block counts (at most capacity x blocks numbers) give each block its first rank."""
+def place(rows: DataFrame, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS, rounds: int = ROUNDS) -> DataFrame:
+    """rows (with a long column ``length``) plus sequence_id and offset, which replace columns of these names. Rows are
+    ranked within their length in salted blocks of about ``block_rows``; the driver sees a number for each length."""
     spark = rows.sparkSession
-    keys = [c for c in rows.columns if c != "length"]
-    salted = rows.withColumn("__block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
-    sizes = salted.groupBy("length", "__block").count().toPandas()
-    if sizes.empty:
+    rows = rows.drop("sequence_id", "offset")
+    counts = {int(r["length"]): int(r["count"]) for r in rows.groupBy("length").count().collect()}
+    if not counts:
         return rows.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
-    sizes = sizes.sort_values(["length", "__block"])
-    sizes["first"] = sizes.groupby("length")["count"].cumsum() - sizes["count"]
-    first = {(n, b): f for n, b, f in zip(sizes["length"], sizes["__block"], sizes["first"], strict=True)}
-    counts = {int(n): int(c) for n, c in sizes.groupby("length")["count"].sum().items()}
-    runs = {n: g.to_numpy() for n, g in placements(plan(counts, capacity, rounds)).groupby("length")[["first_rank", "each", "first_sequence", "offset"]]}
-    shared = spark.sparkContext.broadcast((first, runs))  # bounded by the capacity, not by the rows
-    ranked = salted.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__block").orderBy(*keys)) - 1)
-    schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-
-    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, runs = shared.value
-        for batch in batches:
-            sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            start = np.array([first[k] for k in zip(batch["length"], batch["__block"], strict=True)], np.int64)
-            rank = batch["__rank"].to_numpy(np.int64) + start
-            for n, where in batch.groupby("length").indices.items():
-                run = runs[n]
-                at = np.searchsorted(run[:, 0], rank[where], "right") - 1
-                into = rank[where] - run[at, 0]
-                sequence[where] = run[at, 2] + into // run[at, 1]
-                offset[where] = run[at, 3] + into % run[at, 1] * n
-            yield batch.drop(columns=["__block", "__rank"]).assign(sequence_id=sequence, offset=offset)[schema.fieldNames()]
-
-    return ranked.mapInPandas(placed, schema)
+    runs = placements(plan(counts, capacity, rounds)).sort_values(["length", "first_rank"])
+    starts = (runs["length"].to_numpy(np.int64) << RANK_BITS) + runs["first_rank"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast((starts, runs[["first_rank", "each", "first_sequence", "offset"]].to_numpy(np.int64)))
+    cut = spark.createDataFrame([(n, -(-c // block_rows)) for n, c in counts.items()], "n long, blocks long")
+    # The rows stand in a struct, so that no name of theirs meets one of these; both tables have a row for each length at most.
+    salted = rows.select(F.struct("*").alias("row"), F.col("length").alias("n")).join(F.broadcast(cut), "n")
+    salted = salted.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")))
+    sizes = salted.groupBy("n", "block").count()
+    sizes = sizes.select("n", "block", (F.sum("count").over(Window.partitionBy("n").orderBy("block")) - F.col("count")).alias("before"))
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("n", "block").orderBy("row")) - 1)
+
+    @F.pandas_udf("sequence_id long, offset long")
+    def placed(n: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        starts, runs = shared.value
+        length, rank = n.to_numpy(np.int64), rank.to_numpy(np.int64)
+        first, each, sequence, offset = runs[np.searchsorted(starts, (length << RANK_BITS) + rank, "right") - 1].T
+        into = rank - first
+        return pd.DataFrame({"sequence_id": sequence + into // each, "offset": offset + into % each * length})
+
+    found = ranked.join(sizes, ["n", "block"]).withColumn("place", placed("n", F.col("rank") + F.col("before")))
+    return found.select("row.*", "place.*")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
