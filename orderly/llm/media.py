@@ -3,8 +3,8 @@
 A payload of bytes is kept as the coded samples of a WAV file: mu-law or A-law (one byte a sample) or IMA ADPCM (blocks
 of a header and two samples a byte). Stored bytes are read back by parsing the container; companded samples expand by
 lookup tables of 256 entries, ADPCM blocks are decoded together, one numpy step for the same position of all blocks.
-PCM is resampled from 8 to 16 kHz by a half-band filter (the even samples are the input, odd ones lie between) and can
-be stored as 16-bit WAV.
+PCM is resampled from 8 to 16 kHz by a half-band filter (the even samples are the input, odd ones lie between) and
+stored as 16-bit WAV; features are computed from the samples in that file.
 
 The codec follows from the payload (crc32 modulo 3), so equal texts give equal media. Null texts count as empty, and
 an empty payload is one block of padding. Any bytes are valid input to every decoder: step indices beyond the table are clamped.
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderly.session import bounded_batches
+
 UNIT = 192
 RATE = 8000
 MULAW, ALAW, ADPCM = 7, 6, 17
@@ -146,13 +148,15 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 
 MEDIA = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 DIGEST = T.StructType(
-    [T.StructField(n, t) for n, t in (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()))]
+    [T.StructField(n, t) for n, t in (("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("pcm_bytes", T.LongType()), ("pcm_sha256", T.StringType()))]
 )
 
 
 def encode_text(docs: DataFrame, text_col: str = "text", out: str = "media") -> DataFrame:
     """docs with a struct column ``out``: n_bytes of the text and the media file that holds it."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf(MEDIA)
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -165,15 +169,46 @@ def encode_text(docs: DataFrame, text_col: str = "text", out: str = "media") ->
     return docs.withColumn(out, coded.asNondeterministic()(F.col(text_col).cast("string")))
 
 
+def decode_all(media: list[bytes | None]) -> list[np.ndarray | None]:
+    """16-bit PCM at 8 kHz of WAV files. The ADPCM blocks of all files are decoded together, about a megabyte at a time."""
+    out: list[np.ndarray | None] = [None] * len(media)
+    group: list[tuple[int, bytes]] = []
+
+    def flush() -> None:
+        blocks = np.frombuffer(b"".join(data for _, data in group), np.uint8).reshape(-1, UNIT)
+        ends = np.cumsum([len(data) // UNIT for _, data in group])
+        for (i, _), samples in zip(group, np.split(decode_blocks(blocks), ends[:-1]), strict=True):
+            out[i] = samples.reshape(-1)
+        group.clear()
+
+    size = 0
+    for i, stored in enumerate(media):
+        if stored is None:
+            continue
+        codec, data = read_wav(stored)
+        if codec != ADPCM:
+            out[i] = decode(codec, data)
+            continue
+        group.append((i, data))
+        size += len(data)
+        if size > 1_000_000:
+            flush()
+            size = 0
+    if group:
+        flush()
+    return out
+
+
 def decode_media(docs: DataFrame, media_col: str = "media", out: str = "pcm") -> DataFrame:
     """docs with a binary column ``out``: the media resampled to 16 kHz, as a 16-bit WAV file (null for null media)."""
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf(T.BinaryType())
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for media in batches:
-            yield pd.Series([None if m is None else pcm_wav(resample(decode(*read_wav(m))), 2 * RATE) for m in media], dtype=object)
+            yield pd.Series([None if pcm is None else pcm_wav(resample(pcm), 2 * RATE) for pcm in decode_all(media.tolist())], dtype=object)
 
-    return docs.withColumn(out, decoded(F.col(media_col)))
+    return docs.withColumn(out, decoded.asNondeterministic()(F.col(media_col)))
 
 
 def features(codec: int, samples: np.ndarray) -> str:
@@ -184,44 +219,21 @@ def features(codec: int, samples: np.ndarray) -> str:
     return f"{NAMES[codec]};samples={len(wide)};rms={rms:.3f};peak={int(np.abs(wide).max(initial=0))};crossings={crossings};crc32={zlib.crc32(samples.astype('<i2').tobytes())}"
 
 
-def digest(docs: DataFrame, media_col: str = "media", out: str = "digest") -> DataFrame:
-    """docs with a struct column ``out``: what reading the stored bytes back gives. ADPCM files of a batch are decoded
-    together, about a megabyte of blocks at a time."""
+def digest(docs: DataFrame, media_col: str = "media", pcm_col: str = "pcm", out: str = "digest") -> DataFrame:
+    """docs with a struct column ``out``: what reading the stored bytes of media and PCM back gives (null media: null)."""
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf(DIGEST)
-    def digested(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for media in batches:
-            read = [read_wav(m) for m in media]
-            found: dict[int, str] = {}
-            group: list[int] = []
-
-            def flush(read: list = read, found: dict = found) -> None:
-                if group:
-                    blocks = np.frombuffer(b"".join(read[i][1] for i in group), np.uint8).reshape(-1, UNIT)
-                    samples, at = decode_blocks(blocks), 0
-                    for i in group:
-                        n = len(read[i][1]) // UNIT
-                        found[i] = features(ADPCM, resample(samples[at : at + n].reshape(-1)))
-                        at += n
-                    group.clear()
-
-            size = 0
-            for i, (codec, data) in enumerate(read):
-                if codec == ADPCM:
-                    group.append(i)
-                    size += len(data)
-                    if size > 1_000_000:
-                        flush()
-                        size = 0
-                else:
-                    found[i] = features(codec, resample(decode(codec, data)))
-            flush()
-            yield pd.DataFrame(
-                [
-                    (len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-16:]), len(m), hashlib.sha256(m).hexdigest(), found[i])
-                    for i, (m, (_, d)) in enumerate(zip(media, read, strict=True))
-                ],
-                columns=DIGEST.fieldNames(),
-            )
-
-    return docs.withColumn(out, digested.asNondeterministic()(F.col(media_col)))
+    def digested(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for media, pcm in batches:
+            rows = []
+            for m, p in zip(media, pcm, strict=True):
+                if m is None or p is None:
+                    rows.append((None,) * len(DIGEST))
+                    continue
+                codec, data = read_wav(m)
+                samples = np.frombuffer(read_wav(p)[1], "<i2")
+                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(m), hashlib.sha256(m).hexdigest(), features(codec, samples), len(p), hashlib.sha256(p).hexdigest()))
+            yield pd.DataFrame(rows, columns=DIGEST.fieldNames()).astype({f.name: "Int64" for f in DIGEST.fields if f.dataType == T.LongType()})
+
+    return docs.withColumn(out, digested.asNondeterministic()(F.col(media_col), F.col(pcm_col)))
