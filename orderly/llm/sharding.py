@@ -3,11 +3,12 @@
 Rows with equal texts form a group, which stays together. Groups are summed first (one narrow row each, whatever the
 number of copies) and dealt to buckets by a hash; in every bucket the differencing method keeps a heap of partial
 partitions, combines the two of largest spread in opposite order, and ends with one partition into k parts. The
-partitions of the buckets are combined in the same way on the driver: they are k sums for each bucket, and a bucket
-holds ``per_bucket`` groups on average, so what the driver sees is k numbers for so many groups.
+partitions of ``per_node`` buckets are combined in the same way, and those of as many such nodes, up to a single one: a
+level's tasks see k sums for each node below them, and the parts are renamed by joins on the way down. Nothing but the
+number of groups goes to the driver.
 
-Null texts count no bytes and form one group with empty ones. Repeated rows are rows of their own. Slots are dealt
-within a shard over salted blocks, so no shard and no group of copies is ranked in a single task. Input columns other
+Null texts count no bytes and form one group with empty ones. Repeated rows are rows of their own, null ids too. Slots are dealt
+within a shard over salted blocks of about ``block_rows``, so no shard and no group of copies is ranked in a single task. Input columns other
 than id and text are ignored; an empty table gives no rows.
 """
 
@@ -27,7 +28,8 @@ from orderly.session import materialize
 SHARDS = 40
 OVERHEAD = 16
 PER_BUCKET = 20_000
-BLOCKS = 64
+PER_NODE = 500
+BLOCK_ROWS = 65_536
 
 
 def combine(partials: list[np.ndarray]) -> list[np.ndarray]:
@@ -69,6 +71,34 @@ def difference(sizes: np.ndarray, k: int) -> np.ndarray:
     return np.array([p[-1] for p in combine(list(start))], np.int64)
 
 
+def combined(parts: DataFrame, shards: int, per_node: int) -> DataFrame:
+    """From (bucket, part, bytes): (bucket, part, shard), by differencing over the levels of a tree of buckets."""
+    schema = "bucket long, part int, node long, up int, bytes long"
+
+    def joined(ids: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        table = rows.pivot(index="bucket", columns="part", values="bytes").reindex(columns=range(shards)).fillna(0).sort_index()
+        order = np.argsort(table.to_numpy(np.int64), axis=1, kind="stable")
+        finals = combine(list(np.take_along_axis(table.to_numpy(np.int64), order, axis=1)))
+        up = np.empty_like(order)
+        np.put_along_axis(up, order, np.array(finals), axis=1)
+        return pd.DataFrame(
+            {"bucket": np.repeat(table.index.to_numpy(np.int64), shards), "part": np.tile(np.arange(shards, dtype=np.int32), len(table)), "node": ids[0], "up": up.reshape(-1).astype(np.int32), "bytes": table.to_numpy(np.int64).reshape(-1)}
+        )
+
+    levels, current = [], parts
+    while True:
+        nodes = current.withColumn("node", F.floor(F.col("bucket") / per_node).cast("long"))
+        levels.append(materialize(nodes.groupBy("node").applyInPandas(joined, schema)))
+        current = levels[-1].groupBy(F.col("node").alias("bucket"), F.col("up").alias("part")).agg(F.sum("bytes").alias("bytes"))
+        if levels[-1].select("node").distinct().limit(2).count() < 2:
+            break
+    names = levels[-1].select("bucket", "part", F.col("up").alias("shard"))
+    for level in reversed(levels[:-1]):
+        above = names.select(F.col("bucket").alias("node"), F.col("part").alias("up"), "shard")
+        names = level.join(above, ["node", "up"]).select("bucket", "part", "shard")
+    return names
+
+
 def shard(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -76,10 +106,10 @@ def shard(
     shards: int = SHARDS,
     overhead: int = OVERHEAD,
     per_bucket: int = PER_BUCKET,
-    blocks: int = BLOCKS,
+    per_node: int = PER_NODE,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """One row per row of docs: id_col, size, text_crc32, shard, slot."""
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     narrow = materialize(
         docs.select(
@@ -89,39 +119,25 @@ def shard(
             F.xxhash64(text).alias("h"),
         )
     )
-    groups = narrow.groupBy("h", "crc", "size").agg(F.sum("size").alias("bytes"))
-    groups = materialize(groups)
+    groups = materialize(narrow.groupBy("h", "crc", "size").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
     buckets = max(1, -(-groups.count() // per_bucket))
-    dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("h", F.lit(5)), F.lit(buckets)).cast("int"))
-    schema = T.StructType([*groups.schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("part", T.IntegerType())])
+    dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("h", F.lit(5)), F.lit(buckets)))
+    schema = T.StructType([*groups.schema.fields, T.StructField("bucket", T.LongType()), T.StructField("part", T.IntegerType())])
 
     def parted(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["bytes", "h", "crc", "size"]).reset_index(drop=True)
         return group.assign(part=difference(group["bytes"].to_numpy(np.int64), shards).astype(np.int32))[schema.fieldNames()]
 
     placed = materialize(dealt.groupBy("bucket").applyInPandas(parted, schema))
-    sums = placed.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes")).toPandas()  # shards x buckets rows
-    table = np.zeros((buckets, shards), np.int64)
-    table[sums["bucket"], sums["part"]] = sums["bytes"]
-    order = np.argsort(table, axis=1, kind="stable")
-    finals = combine([table[b][order[b]] for b in range(buckets)])
-    final = np.empty_like(table)
-    for b in range(buckets):
-        final[b, order[b]] = finals[b]
-    shared = spark.sparkContext.broadcast(final.astype(np.int32))
-
-    @F.pandas_udf(T.IntegerType())
-    def final_of(bucket: pd.Series, part: pd.Series) -> pd.Series:
-        return pd.Series(shared.value[bucket.to_numpy(np.int64), part.to_numpy(np.int64)])
-
-    assigned = placed.select("h", "crc", "size", final_of("bucket", "part").alias("shard"))
-    rows = materialize(
-        narrow.join(assigned, ["h", "crc", "size"]).withColumn("block", F.pmod(F.xxhash64("id", "h", F.lit(11)), F.lit(blocks)).cast("int"))
-    )
-    counts = rows.groupBy("shard", "block").count()  # shards x blocks rows
+    names = combined(placed.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes")), shards, per_node)
+    assigned = materialize(placed.join(names, ["bucket", "part"]).select("h", "crc", "size", "shard", "n"))
+    cut = assigned.groupBy("shard").agg(F.ceil(F.sum("n") / block_rows).alias("blocks"))  # a row for each shard
+    rows = narrow.join(assigned.drop("n"), ["h", "crc", "size"]).join(cut, "shard")
+    rows = materialize(rows.withColumn("block", F.pmod(F.xxhash64("id", "h", F.lit(11)), F.col("blocks"))).drop("blocks"))
+    counts = rows.groupBy("shard", "block").count()
     first = counts.withColumn("first", F.sum("count").over(Window.partitionBy("shard").orderBy("block")) - F.col("count")).drop("count")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "block").orderBy("id", "h")) - 1)
-    return ranked.join(F.broadcast(first), ["shard", "block"]).select(
+    return ranked.join(first, ["shard", "block"]).select(
         F.col("id").alias(id_col),
         "size",
         F.col("crc").alias("text_crc32"),
