@@ -79,7 +79,7 @@ i AS (
     (sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id, sha256(record) ROWS UNBOUNDED PRECEDING) - strlen(record))::BIGINT AS "offset"
   FROM p
 )
-SELECT page_id, file, "offset", length, digest,
+SELECT page_id, file, 0 AS volume, "offset", length, digest,
   CASE WHEN page_id % 64 = 1 THEN sha256(left(record, length(record) - 1) || chr(13)) WHEN page_id % 64 = 2 THEN NULL ELSE digest END AS replica_digest,
   CASE WHEN page_id % 64 = 1 THEN 'changed' WHEN page_id % 64 = 2 THEN 'missing' ELSE 'ok' END AS verdict
 FROM i

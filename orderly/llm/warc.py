@@ -8,8 +8,9 @@ record is ``changed``, ``missing`` (not in the replica), ``extra`` (only there)
 or it compares equal, ``ok``.
 
 Everything is a DataFrame operation on digests: record bytes are hashed where they are read and never shuffled, and
-nothing but the trees' height goes to the driver. Files are bounded by ``per_file`` ids, so a hot host or a page that is often repeated makes no
-larger group than another. Null urls and pages count as empty; pages without an id go to one file of their own.
+nothing but the trees' height goes to the driver. Equal records of an id are laid out as one entry with their number, and
+a file with many more records than ids (an id of many versions, or pages without an id) is cut into volumes, so that no page
+makes a larger group than another. Null urls and pages count as empty; pages without an id are file -1.
 Repeated rows are records of their own. Empty tables give no rows. Other columns are ignored.
 """
 
@@ -42,7 +43,7 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_file: int = PER_FILE, stored: Column | None = None) -> DataFrame:
-    """The index of a replica: id, file, offset, length, digest. stored: the bytes found in the replica's record, from
+    """The index of a replica: id, file, volume, offset, length, digest. stored: the bytes found in the replica's record, from
     the columns id and record (none where the record is lost); by default the record as it was written."""
     rows = pages.select(F.col(id_col).alias("id"), record(F.col(id_col), F.col(url_col), F.col(html_col)).alias("record"))
     rows = rows.withColumn("file", F.coalesce(F.floor(F.col("id") / per_file), F.lit(-1)).cast("long"))
@@ -53,23 +54,34 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.sha2(F.col("record").cast("binary"), 256).alias("written"),
         F.sha2((F.col("record") if stored is None else stored).cast("binary"), 256).alias("digest"),
     )
-    before = Window.partitionBy("file").orderBy("id", "written", "digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.withColumn("offset", F.sum("length").over(before) - F.col("length"))
-    return placed.where("digest IS NOT NULL").select("id", "file", "offset", "length", "digest")
+    entries = materialize(rows.groupBy("id", "file", "length", "written", "digest").agg(F.count("*").alias("copies")))
+    cut = materialize(entries.groupBy("file").agg(F.ceil(F.count("*") / (4 * per_file)).alias("volumes")))
+    volume = F.pmod(F.xxhash64("id", "written"), F.col("volumes")).cast("int")
+    before = Window.partitionBy("file", "volume").orderBy("id", "written").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    span = F.col("length") * F.col("copies")
+    placed = entries.join(cut, "file").withColumn("volume", volume).withColumn("offset", F.sum(span).over(before) - span)
+    found = placed.where("digest IS NOT NULL").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return found.select("id", "file", "volume", (F.col("offset") + F.col("copy") * F.col("length")).alias("offset"), "length", "digest")
+
+
+FILE = ["file", "volume"]
+
+
+def hashed(nodes: DataFrame, below: str, node: Column) -> DataFrame:
+    """file, volume, node and the digest over the nodes (or records) below it, in their order."""
+    pairs = F.sort_array(F.collect_list(F.struct(below, "digest")))
+    text = F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p[below].cast("string"), p["digest"])), "\n")
+    return nodes.groupBy(*FILE, node.alias("node")).agg(F.sha2(text, 256).alias("digest"))
 
 
 def ranges(index: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """The lowest nodes: file, node, digest over the records that begin in the range."""
-    pairs = F.sort_array(F.collect_list(F.struct("offset", "digest")))
-    text = F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p["offset"].cast("string"), p["digest"])), "\n")
-    return index.groupBy("file", F.floor(F.col("offset") / range_bytes).alias("node")).agg(F.sha2(text, 256).alias("digest"))
+    """The lowest nodes: one for the records that begin in each range."""
+    return hashed(index, "offset", F.floor(F.col("offset") / range_bytes))
 
 
 def above(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """The nodes over every ``fanout`` nodes."""
-    pairs = F.sort_array(F.collect_list(F.struct("node", "digest")))
-    text = F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p["node"].cast("string"), p["digest"])), "\n")
-    return nodes.groupBy("file", F.floor(F.col("node") / fanout).alias("node")).agg(F.sha2(text, 256).alias("digest"))
+    return hashed(nodes, "node", F.floor(F.col("node") / fanout))
 
 
 def differing(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,44 +91,32 @@ def differing(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def locate(index: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> DataFrame:
-    """file, offset, l and r (the two digests) of every record that differs, found from the roots down."""
-    trees = []
+    """file, volume, offset, l and r (the two digests) of every record that differs, found from the roots down. Every level
+    of the two trees is written once."""
     deepest = index.select("offset").unionByName(replica.select("offset")).agg(F.max("offset")).first()[0] or 0
-    for side in (index, replica):
-        levels = [materialize(ranges(side, range_bytes))]
-        most = deepest // range_bytes
-        while most > 0:
-            levels.append(above(levels[-1], fanout))
-            most //= fanout
-        trees.append(levels)
-    left, right = trees
-    bad = differing(left[-1], right[-1], ["file", "node"]).select("file", "node")
-    for level in range(len(left) - 2, -1, -1):
-        bad = bad.select("file", F.col("node").alias("parent"))
-
-        def opened(nodes: DataFrame, bad: DataFrame = bad) -> DataFrame:
-            return nodes.withColumn("parent", F.floor(F.col("node") / fanout)).join(bad, ["file", "parent"], "left_semi")
-
-        bad = differing(opened(left[level]), opened(right[level]), ["file", "node"]).select("file", "node")
-    bad = materialize(bad)
-
-    def records(side: DataFrame) -> DataFrame:
-        return side.withColumn("node", F.floor(F.col("offset") / range_bytes)).join(bad, ["file", "node"], "left_semi")
-
-    return differing(records(index), records(replica), ["file", "offset"])
+    levels = [[materialize(ranges(side, range_bytes)) for side in (index, replica)]]
+    most = deepest // range_bytes
+    while most > 0:
+        levels.append([materialize(above(nodes, fanout)) for nodes in levels[-1]])
+        most //= fanout
+    bad = materialize(differing(*levels[-1], [*FILE, "node"]).select(*FILE, "node"))
+    for below in reversed(levels[:-1]):
+        parents = bad.withColumnRenamed("node", "parent")
+        opened = [nodes.withColumn("parent", F.floor(F.col("node") / fanout)).join(parents, [*FILE, "parent"], "left_semi") for nodes in below]
+        bad = materialize(differing(*opened, [*FILE, "node"]).select(*FILE, "node"))
+    records = [side.withColumn("node", F.floor(F.col("offset") / range_bytes)).join(bad, [*FILE, "node"], "left_semi") for side in (index, replica)]
+    return differing(*records, [*FILE, "offset"])
 
 
 def audit(index: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> DataFrame:
-    """One row per record of either side: id, file, offset, length, digest, replica_digest, verdict."""
+    """One row per record of either side: id, file, volume, offset, length, digest, replica_digest, verdict."""
     index, replica = materialize(index), materialize(replica)
     found = materialize(locate(index, replica, range_bytes, fanout))
-    verdict = (
-        F.when(F.col("n").isNull(), "ok").when(F.col("r").isNull(), "missing").otherwise("changed")
-    )
-    known = index.join(found.withColumn("n", F.lit(1)), ["file", "offset"], "left").select(
-        "id", "file", "offset", "length", "digest", F.when(F.col("n").isNull(), F.col("digest")).otherwise(F.col("r")).alias("replica_digest"), verdict.alias("verdict")
-    )
-    only = found.where("l IS NULL").join(replica, ["file", "offset"]).select(
-        "id", "file", "offset", "length", F.lit(None).cast("string").alias("digest"), F.col("digest").alias("replica_digest"), F.lit("extra").alias("verdict")
+    place = [*FILE, "offset"]
+    verdict = F.when(F.col("n").isNull(), "ok").when(F.col("r").isNull(), "missing").otherwise("changed")
+    names = ["id", *place, "length"]
+    known = index.join(found.withColumn("n", F.lit(1)), place, "left").select(
+        *names, "digest", F.when(F.col("n").isNull(), F.col("digest")).otherwise(F.col("r")).alias("replica_digest"), verdict.alias("verdict")
     )
+    only = found.where("l IS NULL").join(replica, place).select(*names, F.lit(None).cast("string").alias("digest"), F.col("digest").alias("replica_digest"), F.lit("extra").alias("verdict"))
     return known.unionByName(only)
