@@ -24,8 +24,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    stored = media.digest(media.encode_text(docs).select("doc_id", "media.*"))
-    return stored.select("doc_id", "n_bytes", "digest.*")
+    stored = media.decode_media(media.encode_text(docs).select("doc_id", "media.*"))
+    return media.digest(stored).select("doc_id", "n_bytes", "digest.*")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.assign(table(spark, sf_dir, "documents")).drop("h")
+    return mixing.assign(table(spark, sf_dir, "documents"))
 
 
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -137,53 +138,98 @@ def test_differencing_beats_greedy_bounds():
     assert parts.max() - parts.min() < 50 and parts.sum() == sizes.sum()
 
 
-def test_sharding(spark):
+def plain_differencing(sizes, k):
+    """The sums of k-way differencing, kept as lists in full."""
+    heap = [[0] * (k - 1) + [int(n)] for n in sizes]
+    order = list(range(len(heap)))
+    while len(order) > 1:
+        order.sort(key=lambda i: (heap[i][0] - heap[i][-1], i))
+        a, b = order.pop(0), order.pop(0)
+        heap.append(sorted(x + y for x, y in zip(heap[a], reversed(heap[b]), strict=True)))
+        order.append(len(heap) - 1)
+    return heap[order[0]]
+
+
+def test_differencing_against_the_plain_method():
+    rng = random.Random(8)
+    for _ in range(60):
+        k, sizes = rng.randrange(2, 6), [rng.randrange(1, 200) for _ in range(rng.randrange(1, 40))]
+        parts = sharding.difference(np.array(sizes), k)
+        assert np.bincount(parts, sizes, k).astype(int).tolist() == plain_differencing(sizes, k)
+
+
+@pytest.mark.parametrize("per_bucket,per_node", [(60, 500), (7, 3)])
+def test_sharding(spark, per_bucket, per_node):
     rng = random.Random(4)
-    texts = ["x" * rng.randrange(2000) for _ in range(300)] + [None, "", "same text"] + ["same text"] * 80
-    rows = sharding.shard(docs_of(spark, texts), shards=5, per_bucket=60).collect()
-    assert len(rows) == len(texts)
+    texts = ["x" * rng.randrange(2000) for _ in range(300)] + [None, "", "same text", "é" * 900] + ["same text"] * 80
+    docs = docs_of(spark, texts).withColumns({c: F.lit(c) for c in ("h", "crc", "size", "bucket", "part", "shard", "block")})
+    docs = docs.unionByName(docs.where("doc_id IN (3, 301)")).unionByName(docs.where("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = sharding.shard(docs, shards=5, per_bucket=per_bucket, per_node=per_node, block_rows=16).collect()
+    assert len(rows) == len(texts) + 3
     for k in range(5):
         assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
     by_text = {}
     for r in rows:
-        t = texts[r.doc_id] or ""
-        assert (r.size, r.text_crc32) == (len(t) + 16, zlib.crc32(t.encode()))
+        t = texts[7 if r.doc_id is None else r.doc_id] or ""
+        assert (r.size, r.text_crc32) == (len(t.encode()) + 16, zlib.crc32(t.encode()))
         by_text.setdefault(t, set()).add(r.shard)
     assert all(len(s) == 1 for s in by_text.values())
     totals = [sum(r.size for r in rows if r.shard == k) for k in range(5)]
-    assert max(totals) - min(totals) < 600
+    assert max(totals) - min(totals) < (600 if per_bucket == 60 else 2500)
     assert sharding.shard(docs_of(spark, [])).count() == 0
 
 
-def test_temperature_meets_its_limits():
+def entropy(weights):
+    return -sum(w * math.log(w) for w in weights if w > 0)
+
+
+def temperatures(spark, tokens, **limits):
+    rows = mixing.temperature(spark.createDataFrame(list(tokens.items()), "source string, tokens long"), **limits).collect()
+    return {r.source: r.weight for r in rows}, {r.source: r.passes for r in rows}
+
+
+def test_temperature_meets_its_limits(spark):
     tokens = {"big": 100_000, "mid": 20_000, "small": 5_000, None: 1_000, "empty": 0}
-    mix = mixing.temperature(tokens, repeat_limit=3.0, entropy_share=1.0)
-    assert max(mix.passes.values()) == pytest.approx(3.0, rel=1e-6) and mix.passes["big"] == pytest.approx(1.0)
-    assert sum(mix.weights.values()) == pytest.approx(1.0) and mix.weights["empty"] == 0
-    used = {n: tokens[n] * mix.passes[n] for n in tokens}
-    assert all(used[n] / sum(used.values()) == pytest.approx(mix.weights[n]) for n in tokens)
-    even = mixing.temperature(tokens, repeat_limit=1e9, entropy_share=0.9)
-    assert mixing.entropy(list(even.weights.values())) == pytest.approx(0.9 * math.log(4), rel=1e-6)
-    assert mixing.temperature({}).weights == {} and mixing.temperature({"a": 0}).passes == {"a": 1.0}
-
-
-def test_mixing_realises_weights(spark):
-    texts = [" ".join(["w"] * (1 + k % 50)) for k in range(900)] + [None, ""]
-    source = ["big" if k < 700 else "mid" if k < 850 else "small" for k in range(900)] + [None, None]
-    docs = docs_of(spark, texts, source)
+    weights, passes = temperatures(spark, tokens, repeat_limit=3.0, entropy_share=1.0)
+    assert max(passes.values()) == pytest.approx(3.0, rel=1e-6) and passes["big"] == pytest.approx(1.0)
+    assert sum(weights.values()) == pytest.approx(1.0) and weights["empty"] == 0 and passes["empty"] == 1
+    used = {n: tokens[n] * passes[n] for n in tokens}
+    assert all(used[n] / sum(used.values()) == pytest.approx(weights[n]) for n in tokens)
+    even, _ = temperatures(spark, tokens, repeat_limit=1e9, entropy_share=0.9)
+    assert entropy(even.values()) == pytest.approx(0.9 * math.log(4), rel=1e-6)
+    flat, _ = temperatures(spark, tokens, repeat_limit=1e9, entropy_share=1.0)
+    assert [flat[n] for n in tokens] == pytest.approx([0.25] * 4 + [0], abs=1e-6)
+    assert temperatures(spark, {"a": 0}) == ({"a": 0.0}, {"a": 1.0})
+
+
+def test_mixing_realises_weights_as_permutations(spark):
+    texts = [" ".join(["w"] * (1 + k % 50)) for k in range(900)] + [None, "", "w " * 4000]
+    source = ["big" if k < 700 else "mid" if k < 850 else "small" for k in range(900)] + [None, None, "big"]
+    docs = docs_of(spark, texts, source).withColumns({c: F.lit(c) for c in ("number", "row", "block", "at", "pass", "tokens")})
+    docs = docs.unionByName(docs.where("doc_id = 899")).unionByName(docs.where("doc_id = 899"))  # rows that repeat
     rows = mixing.assign(docs, repeat_limit=2.5, entropy_share=1.0, block_tokens=300).collect()
-    assert len(rows) == len(texts) and all(r.copies >= 1 for r in rows)
-    used, weight = {}, {}
-    for r in rows:
-        used[r.source] = used.get(r.source, 0) + r.copies * r.tokens
-        weight[r.source] = r.weight
-    total = sum(used.values())
-    assert all(abs(used[s] / total - weight[s]) < 0.01 for s in used)
+    count = {r.doc_id: r["count"] for r in docs.groupBy("doc_id").count().collect()}
+    total, orders = sum(r.tokens for r in rows), {}
+    for name in {r.source for r in rows}:
+        mine = sorted((r for r in rows if r.source == name), key=lambda r: r["at"])
+        used = sum(r.tokens for r in mine)
+        assert abs(used / total - mine[0].weight) < 0.01 and all(0 <= r["at"] <= 1 for r in mine)
+        assert [r["pass"] for r in mine] == sorted(r["pass"] for r in mine)
+        whole = {d: n for d, n in count.items() if source[d] == name}
+        last = max(r["pass"] for r in mine)
+        for k in range(last + 1):
+            one = [r for r in mine if r["pass"] == k]
+            took = {d: sum(r.doc_id == d for r in one) for d in whole}
+            assert all(took[d] <= whole[d] for d in whole) and (k == last > 0 or took == whole)  # a pass, or the begin of one
+            blocks = [r.block for i, r in enumerate(one) if i == 0 or one[i - 1].block != r.block]
+            assert len(blocks) == len(set(blocks)) or any(r.tokens == 0 for r in one)  # block after block
+            orders[name, k] = blocks
+    assert orders["small", 0][:3] != orders["small", 1][:3]  # each pass in its own order
     mixed = mixing.mix(docs, repeat_limit=2.5, entropy_share=1.0, block_tokens=300)
     assert mixed.columns == docs.columns
     counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
-    assert counts == {r.doc_id: r.copies for r in rows}
-    assert mixing.assign(docs.limit(0)).count() == 0
+    assert counts == {d: sum(r.doc_id == d for r in rows) for d in counts}
+    assert mixing.assign(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
 def test_gradients_against_differences():
@@ -194,12 +240,16 @@ def test_gradients_against_differences():
     places = np.array([[0, 1, 2, 3, -1], [4, 5, 6, 7, 8]])
     labels, weights = np.array([1.0, 0.0]), np.array([1.0, 2.0])
 
-    def loss():
-        gates = np.concatenate([net.project(inputs), np.zeros((2, 1, 3 * toxicity.HIDDEN))], 1)
+    def loss(values=inputs):
+        gates = np.concatenate([net.project(values), np.zeros((2, 1, 3 * toxicity.HIDDEN))], 1)
         p = toxicity.sigmoid(net.forward(gates, places))
         return float((-(labels * np.log(p) + (1 - labels) * np.log(1 - p)) * weights).mean())
 
-    grad = net.gradients(inputs, places, labels, weights)
+    grad, d_inputs = net.gradients(inputs, places, labels, weights)
+    for at in [(0, 0), (3, 2), (8, toxicity.INPUTS - 1)]:
+        step = np.zeros_like(inputs)
+        step[at] = 1e-3
+        assert d_inputs[at] == pytest.approx((loss(inputs + step) - loss(inputs - step)) / 2e-3, abs=2e-3)
     for name, values in net.w.items():
         for at in list(np.ndindex(values.shape))[:: max(1, values.size // 7)]:
             keep = values[at]
@@ -211,6 +261,47 @@ def test_gradients_against_differences():
             assert grad[name][at] == pytest.approx((up - down) / 2e-3, abs=2e-3)
 
 
+def test_forward_pass_against_plain_loops():
+    rng, net = np.random.default_rng(5), toxicity.Network(11)
+    words = [b"some", b"w\xc3\xb6rds", b"", b"here"]
+    scalars, slots, h = rng.normal(size=(4, toxicity.SCALARS)).astype(np.float32), toxicity.Slots.of(words), toxicity.HIDDEN
+    inputs = net.inputs(scalars, slots)
+    ends = [*slots.begin[1:], len(slots.gram)]
+    for k in range(4):
+        grams = [net.grams[g] for g in slots.gram[slots.begin[k] : ends[k]]]
+        assert inputs[k] == pytest.approx([*scalars[k], *net.words[slots.word[k]], *np.mean(grams, axis=0)], rel=1e-5)
+    states = []
+    for d in (0, 1):
+        state, out = [0.0] * h, {}
+        for t in (0, 1, 2, 3) if d == 0 else (3, 2, 1, 0):
+            gate = [sum(inputs[t][j] * net.w["x"][d][j][k] for j in range(toxicity.INPUTS)) for k in range(3 * h)]
+            back = [sum(state[j] * net.w["u"][d][j][k] for j in range(h)) for k in range(3 * h)]
+            z = [1 / (1 + math.exp(-gate[k] - back[k])) for k in range(h)]
+            r = [1 / (1 + math.exp(-gate[h + k] - back[h + k])) for k in range(h)]
+            c = [math.tanh(gate[2 * h + k] + r[k] * back[2 * h + k]) for k in range(h)]
+            state = [state[k] + z[k] * (c[k] - state[k]) for k in range(h)]
+            out[t] = state
+        states.append(out)
+    both = [states[0][t] + states[1][t] for t in range(4)]
+    share = [math.exp(sum(a * b for a, b in zip(s, net.w["v"], strict=True))) for s in both]
+    pooled = [sum(share[t] * both[t][k] for t in range(4)) / sum(share) for k in range(2 * h)]
+    expected = sum(a * b for a, b in zip(pooled, net.w["o"], strict=True)) + net.w["b"][0]
+    gates = np.concatenate([net.project(inputs), np.zeros((2, 1, 3 * h), np.float32)], 1)
+    assert net.logits(gates, np.array([[0, 1, 2, 3]]))[0] == pytest.approx(expected, rel=1e-4)
+
+
+def test_equal_texts_score_alike_in_any_batch():
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 8))) for _ in range(rng.randrange(1, 300))) for _ in range(150)]
+    model = toxicity.fit(texts, [k % 2 for k in range(150)], epochs=2)
+    whole = model.score(texts)
+    mixed = rng.sample(range(150), 150)
+    assert (model.score([texts[k] for k in mixed]) == whole[mixed]).all()
+    assert all(model.score([texts[k]])[0] == whole[k] for k in range(60))
+    memory = toxicity.Memory()
+    assert np.concatenate([model.score([texts[k] for k in mixed[i : i + 7]], memory) for i in range(0, 150, 7)]).tolist() == whole[mixed].tolist()
+
+
 def test_windows_cover_every_word():
     for lengths in ([1], [48], [49], [500, 0, 3]):
         places, owner = toxicity.windows_of(lengths)
@@ -243,12 +334,17 @@ def test_toxicity_learns_and_handles_edges(spark):
 
 def test_fixity_audit(spark):
     rows = [(k, f"http://h/{k % 5}", "x" * (37 * k % 900)) for k in range(600)] + [(None, None, None), (7, "http://h/2", "again"), (7, "http://h/2", "again")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("file", F.lit("mine"))
+    rows += [(9, "http://h/9", f"version {k}") for k in range(700)] + [(None, "u", "y" * 100_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("mine") for c in ("file", "volume", "record", "id", "offset")})
     index = warc.archive(pages, per_file=128)
     bad, gone = F.col("id").isin(5, 300), F.col("id") == 301
     stored = F.when(bad, F.concat("record", F.lit("!"))).when(gone, F.lit(None).cast("string")).otherwise(F.col("record"))
     replica = warc.archive(pages, per_file=128, stored=stored)
-    extra = spark.createDataFrame([(999, 99, 0, 10, "ff")], "id long, file long, offset long, length long, digest string")
+    extra = spark.createDataFrame([(999, 99, 0, 0, 10, "ff")], "id long, file long, volume int, offset long, length long, digest string")
+    layout = index.orderBy("file", "volume", "offset").collect()
+    for one, two in zip(layout, layout[1:]):
+        assert two.offset == (one.offset + one.length if (one.file, one.volume) == (two.file, two.volume) else 0)
+    assert max(Counter((r.file, r.volume) for r in layout).values()) < 600
     out = warc.audit(index, replica.unionByName(extra), range_bytes=1000, fanout=3).collect()
     assert len(out) == len(rows) + 1
     found = {(r.id, r.verdict) for r in out if r.verdict != "ok"}
