@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, and those of small sources again as far as the mix asks for them."""
+    """Every document once, and those of small sources again as far as the mix asks for them, in the order of the mix."""
     return mixing.mix(docs)
 
 
