@@ -7,7 +7,7 @@ whole text, pools its states by attention and gives each window a logit; a docum
 calibrated with the number of windows. Documents are bags: in training, the window that stands out carries the label.
 
 The model is fitted on a bounded sample of labelled rows (``max_toxic`` and ``max_clean``, chosen by a hash of the id, of
-texts of up to ``max_bytes``) and broadcast; its size depends on neither the corpus nor the labels. Scoring is a function of one text, so it takes
+texts of up to ``max_bytes``) by one task on an executor, and broadcast; its size depends on neither the corpus nor the labels. Scoring is a function of one text, so it takes
 one pass without a shuffle. Sums are taken in one order and windows in blocks of one shape, so that a text's score doesn't
 depend on what shares its batch: equal texts get equal scores. Null and empty texts, and texts without words, score 0;
 so does everything where the sample lacks one of the two labels. Rows that repeat are scored alike; label rows with
@@ -16,6 +16,7 @@ null ids or labels are left out, and of several labels for an id the highest cou
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -446,8 +447,8 @@ def remainder(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 4
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> tuple[list, list[int]]:
-    """Texts and labels of at most so many rows of either kind, by the order of a hash of the id, without those held
+def sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """id, text and label of at most so many rows of either kind, by the order of a hash of the id, without those held
     out and without texts of over ``max_bytes``. docs: id, text; labels: id, toxic."""
     docs = docs.where(F.octet_length("text") <= max_bytes)
     known = labels.where("id IS NOT NULL AND toxic IS NOT NULL").where(remainder(F.col("id")) != 2)
@@ -457,8 +458,23 @@ def sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_c
         part = known.where(F.col("toxic") == kind).join(docs.select("id").distinct(), "id")
         chosen.append(part.orderBy(F.xxhash64("id"), "id").limit(most))
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))  # bounded by the two limits
-    rows = docs.join(picked, "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).orderBy(F.xxhash64("id"), "id").collect()
-    return [r["text"] for r in rows], [int(r["toxic"]) for r in rows]
+    return docs.join(picked, "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+
+
+def trained(rows: DataFrame) -> Model | None:
+    """The model fitted to a bounded sample (id, text, toxic). Fitting is one task on an executor: the driver sees neither
+    texts nor inputs, only the model, and a lost executor costs one more run of it with the same outcome."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if parts:
+            known = pd.concat(parts).sort_values(["h", "id"])
+            model = fit(known["text"].tolist(), known["toxic"].astype(int).tolist())
+            if model is not None:
+                yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    found = rows.withColumn("h", F.xxhash64("id")).repartition(1).mapInPandas(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def score(
@@ -473,8 +489,9 @@ def score(
     max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """docs with a double column ``out`` (0 to 1, higher: likelier toxic)."""
-    model = fit(
-        *sample(
+    bounded_batches(docs.sparkSession)
+    model = trained(
+        sample(
             docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")),
             labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")),
             max_toxic,
@@ -482,7 +499,6 @@ def score(
             max_bytes,
         )
     )
-    bounded_batches(docs.sparkSession)
     if model is None:
         return docs.withColumn(out, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
