@@ -199,6 +199,11 @@ def decode_all(media: list[bytes | None]) -> list[np.ndarray | None]:
     return out
 
 
+def pcm_files(media: list[bytes | None]) -> list[bytes | None]:
+    """The files resampled to 16 kHz, as 16-bit WAV files."""
+    return [None if pcm is None else pcm_wav(resample(pcm), 2 * RATE) for pcm in decode_all(media)]
+
+
 def decode_media(docs: DataFrame, media_col: str = "media", out: str = "pcm") -> DataFrame:
     """docs with a binary column ``out``: the media resampled to 16 kHz, as a 16-bit WAV file (null for null media)."""
     bounded_batches(docs.sparkSession)
@@ -206,7 +211,7 @@ def decode_media(docs: DataFrame, media_col: str = "media", out: str = "pcm") ->
     @F.pandas_udf(T.BinaryType())
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for media in batches:
-            yield pd.Series([None if pcm is None else pcm_wav(resample(pcm), 2 * RATE) for pcm in decode_all(media.tolist())], dtype=object)
+            yield pd.Series(pcm_files(media.tolist()), dtype=object)
 
     return docs.withColumn(out, decoded.asNondeterministic()(F.col(media_col)))
 
@@ -219,21 +224,37 @@ def features(codec: int, samples: np.ndarray) -> str:
     return f"{NAMES[codec]};samples={len(wide)};rms={rms:.3f};peak={int(np.abs(wide).max(initial=0))};crossings={crossings};crc32={zlib.crc32(samples.astype('<i2').tobytes())}"
 
 
-def digest(docs: DataFrame, media_col: str = "media", pcm_col: str = "pcm", out: str = "digest") -> DataFrame:
-    """docs with a struct column ``out``: what reading the stored bytes of media and PCM back gives (null media: null)."""
+def digest_rows(media: list[bytes | None], pcm: list[bytes | None]) -> pd.DataFrame:
+    """What reading the stored bytes of media and PCM back gives (null where either is)."""
+    rows = []
+    for m, p in zip(media, pcm, strict=True):
+        if m is None or p is None:
+            rows.append((None,) * len(DIGEST))
+            continue
+        codec, data = read_wav(m)
+        samples = np.frombuffer(read_wav(p)[1], "<i2")
+        rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(m), hashlib.sha256(m).hexdigest(), features(codec, samples), len(p), hashlib.sha256(p).hexdigest()))
+    return pd.DataFrame(rows, columns=DIGEST.fieldNames()).astype({f.name: "Int64" for f in DIGEST.fields if f.dataType == T.LongType()})
+
+
+def digest(docs: DataFrame, media_col: str = "media", pcm_col: str | None = None, out: str = "digest") -> DataFrame:
+    """docs with a struct column ``out``: what reading the stored bytes of media and PCM back gives (null media: null). Without
+    ``pcm_col`` the PCM files are made as decode_media makes them and read back in the same task, which spares a
+    column of five times the media's size."""
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf(DIGEST)
-    def digested(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def of_both(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for media, pcm in batches:
-            rows = []
-            for m, p in zip(media, pcm, strict=True):
-                if m is None or p is None:
-                    rows.append((None,) * len(DIGEST))
-                    continue
-                codec, data = read_wav(m)
-                samples = np.frombuffer(read_wav(p)[1], "<i2")
-                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(m), hashlib.sha256(m).hexdigest(), features(codec, samples), len(p), hashlib.sha256(p).hexdigest()))
-            yield pd.DataFrame(rows, columns=DIGEST.fieldNames()).astype({f.name: "Int64" for f in DIGEST.fields if f.dataType == T.LongType()})
-
-    return docs.withColumn(out, digested.asNondeterministic()(F.col(media_col), F.col(pcm_col)))
+            yield digest_rows(media.tolist(), pcm.tolist())
+
+    @F.pandas_udf(DIGEST)
+    def of_media(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for media in batches:
+            files = media.tolist()
+            parts = [files[k : k + 100] for k in range(0, len(files), 100)]  # so that few PCM files are held at a time
+            yield pd.concat([digest_rows(part, pcm_files(part)) for part in parts] or [digest_rows([], [])], ignore_index=True)
+
+    if pcm_col is None:
+        return docs.withColumn(out, of_media.asNondeterministic()(F.col(media_col)))
+    return docs.withColumn(out, of_both.asNondeterministic()(F.col(media_col), F.col(pcm_col)))

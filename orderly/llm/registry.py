@@ -24,7 +24,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    stored = media.decode_media(media.encode_text(docs).select("doc_id", "media.*"))
+    stored = media.encode_text(docs).select("doc_id", "media.*")
     return media.digest(stored).select("doc_id", "n_bytes", "digest.*")
 
 

@@ -103,7 +103,8 @@ def test_resampling_keeps_samples_and_levels():
 
 def test_media_round_trip(spark):
     stored = media.decode_media(media.encode_text(docs_of(spark, EDGES, digest="x", pcm="y")), "media.media")
-    rows = {r.doc_id: r for r in media.digest(stored, "media.media").collect()}
+    rows = {r.doc_id: r for r in media.digest(stored, "media.media", "pcm").collect()}
+    assert {r.doc_id: r.digest for r in media.digest(stored, "media.media").collect()} == {k: r.digest for k, r in rows.items()}
     codecs = set()
     for k, t in enumerate(EDGES):
         data = (t or "").encode()
