@@ -132,7 +132,7 @@ def shard(
     names = combined(placed.groupBy("bucket", "part").agg(F.sum("bytes").alias("bytes")), shards, per_node)
     assigned = materialize(placed.join(names, ["bucket", "part"]).select("h", "crc", "size", "shard", "n"))
     cut = assigned.groupBy("shard").agg(F.ceil(F.sum("n") / block_rows).alias("blocks"))  # a row for each shard
-    rows = narrow.join(assigned.drop("n"), ["h", "crc", "size"]).join(cut, "shard")
+    rows = narrow.join(assigned.drop("n"), ["h", "crc", "size"]).join(F.broadcast(cut), "shard")
     rows = materialize(rows.withColumn("block", F.pmod(F.xxhash64("id", "h", F.lit(11)), F.col("blocks"))).drop("blocks"))
     counts = rows.groupBy("shard", "block").count()
     first = counts.withColumn("first", F.sum("count").over(Window.partitionBy("shard").orderBy("block")) - F.col("count")).drop("count")
