@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderly.llm import chat, jaccard, media, mixing, packing, quality, sharding, sql, toxicity, urls, warc
+from orderly.llm import chat, clusters, jaccard, media, mixing, packing, quality, repair, sharding, sql, toxicity, urls, warc
 from orderly.sources.tables import table
 
 
@@ -82,6 +82,14 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited.withColumnRenamed("id", "page_id")
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audit(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
@@ -100,6 +108,8 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_temperature_mixing": op9_temperature_mixing,
         "op10_warc_fixity": op10_warc_fixity,
+        "op11_structure_repair": op11_structure_repair,
+        "op12_centroid_clustering": op12_centroid_clustering,
         "pipeline": pipeline,
     }
 

@@ -85,7 +85,130 @@ SELECT page_id, file, 0 AS volume, "offset", length, digest,
 FROM i
 """
 
+# A byte-wise crc32 of an ASCII string; the table is the usual one of the reflected polynomial 0xEDB88320.
+_CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+  lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t"""
+
+
+def _crc(text: str) -> str:
+    bytes_ = f"list_transform(string_split({text}, ''), lambda ch: ord(ch)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255::BIGINT) + 1])), 4294967295::BIGINT)"
+
+
+def _least(*ways: str) -> str:
+    return f"list_min(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))"
+
+
+def _edit(cost: str, letter: str, rest: str) -> str:
+    return f"{{'c': {cost} + {rest}.c, 'a': '{letter}' || {rest}.a}}"
+
+
+def _row_ways(state: str, rerole: str, keep: str) -> str:
+    """The cheapest edit of a row in a state: s0 start, s1 after system, s2 after user, s3 after assistant."""
+    return _least(_edit("3", "D", state), f"CASE WHEN fault < 2 THEN {_edit('2 + fault', 'R', rerole)} END", f"CASE WHEN fault < 2 THEN {keep} END")
+
+
+def _kept(*ways: str) -> str:
+    return "CASE " + " ".join(f"WHEN head = '{h}' THEN {_edit('fault', 'K', s)}" for h, s in (w.split() for w in ways)) + " END"
+
+
+OP11 = f"""
+WITH RECURSIVE tab AS ({_CRC_TABLE}),
+raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind
+  FROM conversations, tab
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) FROM raw WHERE kind <> 0)
+),
+rows_ AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS last, left(role, 1) AS head
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS copy FROM damaged)
+),
+f AS (
+  SELECT *, CASE WHEN last = '' THEN 3 WHEN copy > 1 THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault,
+    coalesce(lag(head) OVER (PARTITION BY conv_id ORDER BY i) || head NOT IN ('su', 'ua', 'au'), false) AS bad
+  FROM rows_
+),
+n AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 3) AS blank,
+    count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (bad) AS illegal
+  FROM f GROUP BY conv_id
+),
+dp AS (
+  SELECT conv_id, n AS i, {{'c': 0, 'a': ''}} AS s0, {{'c': 4, 'a': 'II'}} AS s1, {{'c': 2, 'a': 'I'}} AS s2, {{'c': 0, 'a': ''}} AS s3 FROM n
+  UNION ALL
+  SELECT conv_id, i, {_least("t0", _edit("2", "I", "t2"), _edit("4", "II", "t3"))}, {_least("t1", _edit("2", "I", "t2"), _edit("4", "II", "t3"))},
+    {_least("t2", _edit("2", "I", "t3"))}, {_least("t3", _edit("2", "I", "t2"))}
+  FROM (
+    SELECT dp.conv_id, dp.i - 1 AS i, {_row_ways("s0", "s2", _kept("s s1", "u s2"))} AS t0, {_row_ways("s1", "s2", _kept("u s2"))} AS t1,
+      {_row_ways("s2", "s3", _kept("a s3"))} AS t2, {_row_ways("s3", "s2", _kept("u s2"))} AS t3
+    FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i
+  )
+),
+best AS (SELECT conv_id, s0.c AS cost, s0.a AS audit FROM dp WHERE i = 0),
+letters AS (
+  SELECT conv_id, p, letter, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i
+  FROM (SELECT conv_id, unnest(string_split(audit, '')) AS letter, generate_subscripts(string_split(audit, ''), 1) AS p FROM best WHERE audit <> '')
+),
+turns AS (
+  SELECT l.conv_id, p, letter, f.role, CASE WHEN letter = 'I' THEN '' ELSE f.text END AS text,
+    row_number() OVER (PARTITION BY l.conv_id ORDER BY p) AS nth,
+    first_value(letter = 'K' AND f.head = 's') OVER (PARTITION BY l.conv_id ORDER BY p) AS led
+  FROM letters l LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.i WHERE letter <> 'D'
+),
+said AS (
+  SELECT conv_id, sha256(string_agg(
+    CASE WHEN letter = 'K' THEN role WHEN (nth - led::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY p)) AS digest
+  FROM turns GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+  coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN said s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+def _assigned(name: str, centroids: str) -> str:
+    return f"""{name} AS (
+  SELECT rid, min({{'d': list_sum(list_transform(list_zip(k.v, m.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'c': m.c}}) AS best
+  FROM k, {centroids} m GROUP BY rid
+)"""
+
+
+def _moved(name: str, assigned: str, centroids: str) -> str:
+    return f"""{name}_sums AS (
+  SELECT best.c AS c, j, sum(x)::BIGINT AS s, count(*) AS n FROM {assigned} JOIN (SELECT rid, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM k) USING (rid) GROUP BY ALL
+),
+{name} AS (
+  SELECT m.c, coalesce(w.v, m.v) AS v FROM {centroids} m
+  LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM {name}_sums GROUP BY c) w USING (c)
+)"""
+
+
+OP12 = f"""
+WITH k AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rid, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v,
+    sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+),
+c0 AS (SELECT (row_number() OVER (ORDER BY h, v) - 1)::INT AS c, v FROM k ORDER BY h, v LIMIT 16),
+{_assigned("a0", "c0")}, {_moved("c1", "a0", "c0")}, {_assigned("a1", "c1")}, {_moved("c2", "a1", "c1")},
+{_assigned("a2", "c2")}, {_moved("c3", "a2", "c2")}, {_assigned("a3", "c3")}
+SELECT vec_id, best.c AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+  (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a3 JOIN k USING (rid) JOIN c3 ON c3.c = best.c
+"""
+
 ORACLE_SQL = {
+    "op11_structure_repair": OP11,
+    "op12_centroid_clustering": OP12,
     "op7_chat_format": OP7,
     "op10_warc_fixity": OP10,
     "op1_quality_rules": OP1,

@@ -12,6 +12,7 @@ SCHEMAS = {
     "labels": "doc_id long, quality int, toxic int",
     "pages": "page_id long, url string, html string",
     "conversations": "conv_id long, turn long, role string, text string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
 }
 PROSE = [". ".join(f"Line{k} word{k + j} says thing{j} plainly" for j in range(12)) + "." for k in range(0, 400, 20)]
 ROWS = {
@@ -21,6 +22,7 @@ ROWS = {
     "labels": [(k, 1, int(k == 5)) for k in range(20)] + [(None, None, None), (3, 0, None), (3, 1, 1), (999, 0, 1)],
     "pages": [(k, f"https://h{k % 4}.example.net/de/{k}", "<p>x</p>" * k) for k in range(20)] + [(3, None, None), (3, "https://a.com/", "y"), (3, "https://a.com/", "y"), (None, "no scheme", ""), (None, None, "z" * 100_000)],
     "conversations": [(k, t, "user" if t % 2 == 0 else "assistant", f"text {k} {t}") for k in range(4) for t in range(4)] + [(9, 0, None, None), (9, None, "assistant", "</s>"), (None, 1, "user", "a"), (0, 1, "assistant", "text 0 1")],
+    "embeddings": [(k, [float(k + j) for j in range(64)], k) for k in range(20)] + [(3, [0.0] * 64, None), (3, [0.0] * 64, None), (None, [0.5] * 64, 1), (21, None, 1), (22, [], 1), (23, [None] * 64, 1)],
 }
 
 
@@ -43,7 +45,7 @@ def results(spark, tmp_path_factory):
 def test_query_on_messy_tables(results, name):
     rows = results[name]
     docs = len(ROWS["documents"])
-    expected = {"op3_url_filter": len(ROWS["pages"]), "op10_warc_fixity": len(ROWS["pages"]), "op7_chat_format": 7}
+    expected = {"op3_url_filter": len(ROWS["pages"]), "op10_warc_fixity": len(ROWS["pages"]), "op7_chat_format": 7, "op11_structure_repair": 6, "op12_centroid_clustering": 23}
     if name in ("op6_best_fit_packing", "op9_temperature_mixing", "pipeline"):
         assert len(rows) >= (docs if name != "pipeline" else 1)
     elif name == "op10_warc_fixity":
