@@ -5,7 +5,7 @@ from orderly.llm import registry
 
 
 def test_registry():
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in registry.queries() if q.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in registry.queries() if q.startswith("op")}
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
