@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orderly.functions import scalar as S
@@ -23,16 +24,19 @@ def place(spark) -> str:
     return f"{shared_dir(spark)}/io-{uuid.uuid4().hex}"
 
 
+def texts_as_csv(spark, sf):
+    """The folder of documents written as CSV with whole texts, line ends and quotes in them."""
+    path = place(spark)
+    rows = table(spark, sf, "documents").select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("id"), "text", "lang", "source")
+    rows.write.option("header", "true").option("escape", '"').option("quoteAll", "true").option("emptyValue", "").csv(path)
+    return path
+
+
 @query("S2_csv_round_trip", """SELECT doc_id, text, lang FROM documents""")
 def csv_round_trip(spark, sf):
-    """Texts with quotes, commas and line ends through CSV; line ends are written as escapes, as files are split by lines."""
-    path = place(spark)
-    safe = F.replace(F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
-    table(spark, sf, "documents").select("doc_id", safe.alias("text"), "lang").write.option("header", "true").option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
-    back = spark.read.schema("doc_id long, text string, lang string").option("header", "true").option("escape", '"').option("enforceSchema", "false").option("mode", "FAILFAST").option("maxCharsPerColumn", "-1").csv(path)
-    tag = F.lit("\u0000")
-    plain = F.replace(F.replace(F.replace(F.replace("text", F.lit("\\\\"), tag), F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")), tag, F.lit("\\"))
-    return back.select("doc_id", plain.alias("text"), "lang")
+    """Whole texts through CSV, with their quotes, commas and line ends."""
+    back = R.strict_csv(spark, texts_as_csv(spark, sf), ["id", "text", "lang", "source"], "id", "[0-9]{9}")
+    return back.select(F.col("id").cast("long").alias("doc_id"), "text", "lang")
 
 
 @query("S3_lexicon", """SELECT c_name AS word, lower(c_name) AS first, 'csv' AS source FROM customer UNION ALL SELECT p_name, string_split(lower(p_type), ' ')[1], 'tsv' FROM part""")
@@ -198,14 +202,12 @@ def token_distance(spark, sf):
     return words.join(following, "item_id").select("item_id", D.token_distance("w", "v").alias("d"))
 
 
-@query("S2_strict", """SELECT lpad(doc_id::VARCHAR, 9, '0') AS id, lang, source, true AS placed FROM documents""")
+@query("S2_strict", """SELECT lpad(doc_id::VARCHAR, 9, '0') AS id, lang, source, len(regexp_extract_all(text, '\\r\\n|\\n|\\r')) + 1 AS lines, true AS placed FROM documents""")
 def strict_csv(spark, sf):
-    """Rows with ids that fit a pattern and occur once, and the line of its file on which each stands."""
-    path = place(spark)
-    rows = table(spark, sf, "documents").select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("id"), "lang", "source")
-    rows.write.option("header", "true").csv(path)
-    back = R.strict_csv(spark, path, ["id", "lang", "source"], "id", "[0-9]{9}")
-    return back.select("id", "lang", "source", (F.col("line") >= 2).alias("placed"))
+    """Records with ids that fit a pattern and occur once, and the lines of its file on which each stands: every record of a file begins behind the last line of the one before."""
+    back = R.strict_csv(spark, texts_as_csv(spark, sf), ["id", "text", "lang", "source"], "id", "[0-9]{9}")
+    follows = F.col("line") == F.coalesce(F.lag("last_line").over(Window.partitionBy("path").orderBy("record")), F.lit(1)) + 1
+    return back.select("id", "lang", "source", (F.col("last_line") - F.col("line") + 1).alias("lines"), follows.alias("placed"))
 
 
 @query("P21_remap", """WITH w AS (SELECT p_partkey, list_transform(string_split(p_type, ' '), lambda x: CASE WHEN x[1] = 'P' AND len(x) > 1 THEN x[2:] ELSE x END) AS ph FROM part)
