@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderly.session import materialize
+
 MOST_COHORTS = 1000
 
 def summary(rows: DataFrame, by: list[str], value: str, cluster: str, thresholds: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
@@ -76,26 +76,64 @@ def cluster_statistics(rows: DataFrame, clusters: DataFrame, by: str, cluster: s
     )
 
 
-def replicate_sums(statistics: DataFrame, by: str, cluster: str, replicates: int = 2000, seed: int = 20260914, block: int = 50) -> DataFrame:
-    """by, rep, n, total, hits: weighted sums of every cohort in every replicate of a cluster bootstrap. The weight of a
-    cluster in a replicate is Poisson(1), drawn from a stream seeded by cluster and block of replicates, so clusters need never
-    meet in one task, and all cohorts see the same weights."""
-    cohort_type = statistics.schema[by].dataType.simpleString()
-    schema = f"{by} {cohort_type}, rep int, n double, total double, hits double"
-    width = -(-replicates // block)
-
-    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for cohort, part in batch.groupby(by, dropna=False):
-                sums = np.zeros((replicates, 3))
-                values = part[["n", "total", "hits"]].to_numpy(float)
-                for h, row in zip(part["h"], values, strict=True):
-                    rng = np.random.default_rng([seed, int(h) & 0xFFFFFFFF, int(h) >> 32 & 0xFFFFFFFF])
-                    sums += rng.poisson(1.0, width * block)[:replicates, None] * row
-                yield pd.DataFrame({by: cohort, "rep": np.arange(replicates, dtype=np.int32), "n": sums[:, 0], "total": sums[:, 1], "hits": sums[:, 2]})
-
-    hashed = statistics.select(by, "n", "total", "hits", F.xxhash64(cluster).alias("h"))
-    return hashed.mapInPandas(drawn, schema).groupBy(by, "rep").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("hits").alias("hits"))
+def drawn_totals(seed: int, replicates: int, bucket: int, sizes: list[int]) -> np.ndarray:
+    """How many draws of each replicate fall to a bucket's clusters. sizes are the numbers of clusters under the bucket's
+    prefixes, from none of its bits (all clusters) to all of them. Every prefix splits its draws between its two halves by one binomial
+    draw from a stream seeded by the prefix, which both halves repeat."""
+    drawn, bits = np.full(replicates, sizes[0]), len(sizes) - 1
+    for level in range(1, bits + 1):
+        prefix, right = bucket >> (bits - level + 1), bucket >> (bits - level) & 1
+        left = sizes[level - 1] - sizes[level] if right else sizes[level]
+        first = np.random.default_rng([seed, 1, level, prefix]).binomial(drawn, left / sizes[level - 1])
+        drawn = drawn - first if right else first
+    return drawn
+
+
+def drawn_weights(seed: int, bucket: int, start: int, drawn: np.ndarray, clusters: int) -> np.ndarray:
+    """Weights of a bucket's clusters in the replicates from start on, a row for each number of draws."""
+    return np.random.default_rng([seed, 2, bucket, start]).multinomial(drawn, np.full(clusters, 1 / clusters))
+
+
+def replicate_sums(
+    statistics: DataFrame, by: str, cluster: str, replicates: int = 2000, seed: int = 20260914, block: int = 50, within: tuple[str, ...] = (), per_bucket: int = 4096
+) -> DataFrame:
+    """within, by, rep, n, total, hits: weighted sums of every cohort in every replicate of a cluster bootstrap, which draws as many
+    clusters as there are, with replacement. Draws are split down a binary tree over hashed clusters, so the weights of a replicate add up to the
+    number of clusters though no task holds them all: a task has a bucket of about ``per_bucket`` and draws their
+    weights once for all cohorts, ``block`` replicates at a time."""
+    keys = [*within, by]
+    hashed = statistics.withColumn("__h", F.xxhash64(cluster))
+    clusters = materialize(hashed.select("__h", F.col(cluster).alias("__c")).distinct())
+    bits = max(0, int(np.ceil(np.log2(max(clusters.count(), 1) / per_bucket))))
+
+    def prefix(level: Column | int) -> Column:
+        """The first bits of a hash."""
+        return F.shiftrightunsigned("__h", 64 - level) if level else F.lit(0).cast("long")
+
+    counts = clusters.groupBy(prefix(bits).alias("__b")).count()
+    above = counts.select("count", F.posexplode(F.sequence(F.lit(0), F.lit(bits))).alias("__p", "level"), "__b")
+    node = F.expr(f"shiftright(__b, {bits} - level)")
+    sized = above.withColumn("node", node).groupBy("level", "node").agg(F.sum("count").alias("size"))
+    paths = above.select("__b", "level", node.alias("node")).join(sized, ["level", "node"]).groupBy("__b").agg(F.sort_array(F.collect_list(F.struct("level", "size"))).alias("path"))
+
+    def summed(rows: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
+        bucket, sizes = int(path["__b"].iloc[0]), [int(x["size"]) for x in path["path"].iloc[0]]
+        drawn = drawn_totals(seed, replicates, bucket, sizes)
+        rows = rows.assign(place=rows.groupby(["__h", cluster], dropna=False).ngroup())
+        out = []
+        parts = [(key, part["place"].to_numpy(), part[["n", "total", "hits"]].to_numpy(float)) for key, part in rows.groupby(keys, dropna=False)]
+        for start in range(0, replicates, block):
+            weights = drawn_weights(seed, bucket, start, drawn[start : start + block], sizes[-1])
+            for key, place, values in parts:
+                sums = weights[:, place] @ values
+                names = dict(zip(keys, key, strict=True))
+                out.append(pd.DataFrame({**names, "rep": np.arange(start, start + len(sums), dtype=np.int32), "n": sums[:, 0], "total": sums[:, 1], "hits": sums[:, 2]}))
+        return pd.concat(out)
+
+    types = [f"{k} {statistics.schema[k].dataType.simpleString()}" for k in keys]
+    rows = hashed.select(*keys, "n", "total", "hits", cluster, "__h", prefix(bits).alias("__b"))
+    sums = rows.groupBy("__b").cogroup(paths.groupBy("__b")).applyInPandas(summed, ", ".join([*types, "rep int, n double, total double, hits double"]))
+    return sums.groupBy(*keys, "rep").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("hits").alias("hits"))
 
 
 def bootstrap(statistics: DataFrame, by: str, cluster: str, replicates: int = 2000, seed: int = 20260914, block: int = 50) -> DataFrame:
@@ -107,25 +145,28 @@ def bootstrap(statistics: DataFrame, by: str, cluster: str, replicates: int = 20
     )
 
 
-def contrasts(statistics: DataFrame, by: str, cluster: str, terms: dict[str, dict[str, int]], replicates: int = 2000, seed: int = 20260914, block: int = 50) -> DataFrame:
-    """by, and for mean and share the estimate and its percentile interval, of every term: a sum of cohorts with signs, formed
-    within each replicate. defined counts the replicates in which all its cohorts have rows; the others have no value."""
-    reps = replicate_sums(statistics, by, cluster, replicates, seed, block)
+def contrasts(
+    statistics: DataFrame, by: str, cluster: str, terms: dict[str, dict[str, int]], replicates: int = 2000, seed: int = 20260914, block: int = 50, within: tuple[str, ...] = ()
+) -> DataFrame:
+    """within, by, and for mean and share the estimate and its percentile interval, of every term: a sum of cohorts with signs, formed
+    within each replicate. defined counts the replicates in which all its cohorts have rows; the others have no value. All cohorts and
+    all groups of within see the same weights."""
+    reps = replicate_sums(statistics, by, cluster, replicates, seed, block, within)
     sums = [F.sum(c).cast("double").alias(c) for c in ("n", "total", "hits")]
-    whole = statistics.groupBy(by).agg(F.lit(-1).alias("rep"), *sums)
+    whole = statistics.groupBy(*within, by).agg(F.lit(-1).alias("rep"), *sums)
     cohorts = sorted({c for signs in terms.values() for c in signs})
     rates = {"mean": F.try_divide("total", "n"), "share": F.try_divide("hits", "n")}
     of = {(m, c): f"{m}_{k}" for m in rates for k, c in enumerate(cohorts)}
-    wide = reps.unionByName(whole).groupBy("rep").agg(*[F.max(F.when(F.col(by) == c, rates[m])).alias(name) for (m, c), name in of.items()])
+    wide = reps.unionByName(whole).groupBy(*within, "rep").agg(*[F.max(F.when(F.col(by) == c, rates[m])).alias(name) for (m, c), name in of.items()])
 
     def value(metric: str, signs: dict[str, int]) -> Column:
         first, *rest = [F.col(of[metric, c]) * sign for c, sign in signs.items()]
         return sum(rest, first).alias(metric)
 
     rows = F.array(*[F.struct(F.lit(t).alias(by), *[value(m, signs) for m in rates]) for t, signs in terms.items()])
-    long = wide.select("rep", F.inline(rows))
+    long = wide.select(*within, "rep", F.inline(rows))
     drawn = {m: F.when(F.col("rep") >= 0, F.col(m)) for m in rates}
-    return long.groupBy(by).agg(
+    return long.groupBy(*within, by).agg(
         *[
             c
             for m in rates

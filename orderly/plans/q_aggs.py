@@ -159,8 +159,8 @@ def bootstrap_ci(spark, sf):
     }
     rows, sources = cohorts(spark, sf), table(spark, sf, "documents")
     strict = rows.withColumn("d_st", F.when(F.col("doc_id") % 7 != 0, F.col("d_st")))
-    found = [C.contrasts(C.cluster_statistics(r, sources, "grp", "source", "d_st"), "grp", "source", terms).select(F.lit(v).alias("variant"), "*") for v, r in (("agreement", rows), ("strict", strict))]
-    return found[0].unionByName(found[1])
+    both = [C.cluster_statistics(r, sources, "grp", "source", "d_st").withColumn("variant", F.lit(v)) for v, r in (("agreement", rows), ("strict", strict))]
+    return C.contrasts(both[0].unionByName(both[1]), "grp", "source", terms, within=("variant",))
 
 
 @query("A22_extremes", """WITH {FR} SELECT kind, arg_max(eid, (value, eid)) AS at_max, arg_min(eid, (value, eid)) AS at_min FROM fr GROUP BY kind""")
