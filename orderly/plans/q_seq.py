@@ -12,7 +12,9 @@ from orderly.operators import seqdp as D
 from orderly.plans.base import frames, query, r6
 from orderly.session import shared_dir
 from orderly.sources.tables import table
+from orderly.streaming import joins as SJ
 from orderly.streaming import logs as L
+from orderly.streaming import processors as SP
 
 
 @query("FDP1_ctc_alignment")
@@ -104,6 +106,70 @@ def stream_latest(spark, sf):
     return out.select("user_id", "event_id", "event_type", r6("value").alias("value"))
 
 
+@query("stream_changes", """WITH e AS (SELECT user_id, event_id, event_type, lag(event_type) OVER w AS was, count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over_
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id, event_type FROM e WHERE coalesce(over_, 0) = 0 AND event_type IS DISTINCT FROM was""")
+def stream_changes(spark, sf):
+    """The states of every user as they change, until the first error."""
+    rows = event_stream(spark, sf).select("user_id", "event_id", "event_type")
+    return drained(spark, L.changes(rows, "user_id", "event_id", "event_type", ("error",)), "append", ("user_id", "event_id"))
+
+
+@query("stream_event_join", """SELECT c.user_id, c.event_id AS click, p.event_id AS purchase FROM events c JOIN events p ON p.user_id = c.user_id AND p.ts > c.ts AND p.ts <= c.ts + INTERVAL '3 hours'
+WHERE c.event_type = 'click' AND p.event_type = 'purchase'""")
+def stream_event_join(spark, sf):
+    """Purchases within three hours of a click of the same user: both streams in event time, into the sink that holds every batch once."""
+    rows = event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    clicks = rows.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click"), F.col("ts").alias("clicked"))
+    purchases = rows.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase"), F.col("ts").alias("bought"))
+    pairs = SJ.interval_join(clicks, purchases, "user_id", "clicked", "bought", "3 hours", "1 day").select("user_id", "click", "purchase")
+    base = f"{shared_dir(spark)}/join-{uuid.uuid4().hex}"
+    SJ.exactly_once(pairs, f"{base}/out", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return SJ.committed(spark, f"{base}/out", pairs.schema).drop("batch")
+
+
+def restarted(spark, parts, build, keys):
+    """The last version of each key that a stream gives when parts arrive as one file folder each, and it is started anew for every part from the state it
+    had left."""
+    base = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
+    for number, part in enumerate(parts):
+        part.write.parquet(f"{base}/in/part={number}")
+        stream = build(spark.readStream.schema(part.schema).option("recursiveFileLookup", "true").parquet(f"{base}/in"))
+        SJ.exactly_once(stream, f"{base}/out", f"{base}/state", "update").trigger(availableNow=True).start().awaitTermination()
+    out = SJ.committed(spark, f"{base}/out", stream.schema)
+    names = [c for c in out.columns if c not in (*keys, "batch")]
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*names), "batch").alias("last")).select(*keys, "last.*")
+
+
+@query("stream_early_stop", """WITH RECURSIVE e AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, epoch_us(ts) / 1e6::DOUBLE AS moment, value FROM events),
+st AS (SELECT DISTINCT run, 0::BIGINT AS i, NULL::DOUBLE AS moment, 'Infinity'::DOUBLE AS best, 0::BIGINT AS stale, -1::BIGINT AS stopped, 0.0::DOUBLE AS elapsed FROM e
+  UNION ALL SELECT run, i, moment, best, stale, CASE WHEN stale >= 8 OR elapsed >= 1209600 THEN i ELSE -1 END, elapsed FROM (
+    SELECT s.run, e.i, e.moment, CASE WHEN e.value < s.best - 0.5 THEN e.value ELSE s.best END AS best,
+      CASE WHEN e.value < s.best - 0.5 THEN 0 WHEN e.i > 5 THEN s.stale + 1 ELSE s.stale END AS stale,
+      s.elapsed + CASE WHEN e.moment - s.moment <= 172800 THEN e.moment - s.moment ELSE 0 END AS elapsed
+    FROM st s JOIN e ON e.run = s.run AND e.i = s.i + 1 WHERE s.stopped < 0)),
+l AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY run ORDER BY i DESC) = 1)
+SELECT run, i AS step, round(best, 6) AS best, stale, stopped AS stopped_at, CASE WHEN stale >= 8 THEN 'early_stopping' WHEN stopped >= 0 THEN 'wall_time_limit'
+  WHEN moment + 172800 <= (SELECT max(moment) FROM e) - 3600 THEN 'silence' ELSE '' END AS reason, round(elapsed, 3) AS elapsed FROM l""")
+def stream_early_stop(spark, sf):
+    """Events of a user as evaluations of a run, with five steps before staleness counts, a budget of two weeks without gaps over two days, and an end on silence. The stream is started anew
+    in the middle."""
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    middle = rows.agg(F.expr("timestamp_micros(bigint((min(unix_micros(ts)) + max(unix_micros(ts))) / 2))").alias("m")).first()["m"]
+    parts = [rows.where(F.col("ts") <= F.lit(middle)), rows.where(F.col("ts") > F.lit(middle))]
+    found = restarted(spark, parts, lambda s: SP.monitored(s, "1 hour", 0.5, 8, 5, 14 * 86_400.0, 2 * 86_400.0), ("run",))
+    return found.select("run", "step", r6("best").alias("best"), "stale", "stopped_at", "reason", F.round("elapsed", 3).alias("elapsed"))
+
+
+@query("stream_fallback", """WITH l AS (SELECT user_id, event_type, arg_max(value, event_id) AS v FROM events WHERE event_type <> 'error' GROUP BY 1, 2)
+SELECT user_id AS key, event_type AS source, round(v, 6) AS value FROM l QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END) = 1""")
+def stream_fallback(spark, sf):
+    """The last value of every user: of the signups if there is one, else of the purchases, else of the clicks. The stream is started anew in the middle."""
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("event_type").alias("source"), "value")
+    middle = rows.agg(F.expr("(min(id) + max(id)) / 2").alias("m")).first()["m"]
+    found = restarted(spark, [rows.where(F.col("id") <= middle), rows.where(F.col("id") > middle)], lambda s: SP.first_source(s, ("signup", "purchase", "click")), ("key",))
+    return found.select("key", "source", r6("value").alias("value"))
+
+
 @query("latest_snapshot", """SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) = 1""")
 def latest_snapshot(spark, sf):
     return L.latest(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id")

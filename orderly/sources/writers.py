@@ -20,21 +20,32 @@ def json(df: DataFrame, path: str) -> None:
     df.select(*checks).write.json(path)
 
 
-def publish(df: DataFrame, path: str) -> None:
-    """JSON lines that appear under ``path`` all at once: written beside it first, then renamed. What was there before goes
-    only when the new folder is complete, and a write that fails leaves it as it was."""
-    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    json(df, fresh)
-    spark = df.sparkSession
+def replace_folder(spark, fresh: str, path: str) -> None:
+    """Move a complete folder to path. What was there before goes when the new one is in place, and comes back if that fails."""
     new, old, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, f"{fresh}.old", path))
     files = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if files.exists(target):
-        files.rename(target, old)
-    if not files.rename(new, target):
+    there = files.exists(target)
+    if there and not files.rename(target, old):
+        raise OSError(f"could not move {path} away")
+    if not moved(files, new, target):
+        if there:
+            files.rename(old, target)
         raise OSError(f"could not move {fresh} to {path}")
     files.delete(old, True)
 
 
+def moved(files, new, target) -> bool:
+    return files.rename(new, target)
+
+
+def publish(df: DataFrame, path: str) -> None:
+    """JSON lines that appear under ``path`` all at once: written beside it first, then renamed. A write or a move that fails leaves what
+    was there before."""
+    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    json(df, fresh)
+    replace_folder(df.sparkSession, fresh, path)
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Nested cells as JSON text."""
     nested = (T.ArrayType, T.StructType, T.MapType)
