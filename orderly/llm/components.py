@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderly.session import materialize
+from orderly.session import materialize, release
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
     current = materialize(edges.select("a", "b").where("a != b").distinct())
     seen = None
     while True:
-        current = materialize(_stars(_stars(current, True), False))
+        before, current = current, materialize(_stars(_stars(current, True), False))
+        release(before)
         now = current.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == seen:
             break

@@ -236,9 +236,9 @@ def signatures(texts: DataFrame, words: int, percent: int) -> DataFrame:
     return texts.withColumn("s", signed.asNondeterministic()(F.col("text").cast("string"))).select("h", "s.*")
 
 
-def candidates(rows: DataFrame, light: int = LIGHT) -> tuple[DataFrame, DataFrame]:
-    """From distinct (key, fp, ...): candidate pairs (a, b), a < b, and the rows of buckets too large to offer all their
-    pairs. Keys are counted first, so that those of a single set (most) are neither sorted nor kept, and the rows of
+def candidates(rows: DataFrame, light: int = LIGHT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From distinct (key, fp, ...): candidate pairs (a, b), a < b, the rows of buckets too large to offer all their
+    pairs, and the table behind those rows, to be released when they have been read. Keys are counted first, so that those of a single set (most) are neither sorted nor kept, and the rows of
     one hot key may be split between tasks."""
     counts = materialize(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
     shared = materialize(rows.join(counts, "key"))
@@ -249,7 +249,8 @@ def candidates(rows: DataFrame, light: int = LIGHT) -> tuple[DataFrame, DataFram
     first = materialize(many.groupBy("key").agg(F.min("fp").alias("a")))
     starred = many.join(first, "key").select("a", F.col("fp").alias("b")).where("a < b")
     pairs = materialize(few.select(F.explode(every).alias("p")).select("p.*").unionByName(starred).distinct())
-    return pairs, many.select(*rows.columns)
+    release(first)
+    return pairs, many.select(*rows.columns), shared
 
 
 def unlike(a: str, b: str, percent: int) -> str:
@@ -290,7 +291,10 @@ def open_buckets(heavy: DataFrame, roots: DataFrame) -> DataFrame:
     number of sets in the bucket."""
     named = heavy.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     several = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c")).where("r0 != r1")
-    return materialize(named.join(materialize(several.select("key", "c")), "key"))
+    several = materialize(several.select("key", "c"))
+    rows = materialize(named.join(several, "key"))
+    release(several)
+    return rows
 
 
 def rarest(sets: DataFrame, percent: int) -> DataFrame:
@@ -391,38 +395,45 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     reps = materialize(full.drop("keys").groupBy("fp", "n", "band").agg(F.min_by(F.struct("h", "spare", "deep", "bits"), "h").alias("s"), F.count("*").alias("c")).select("fp", "n", "band", "s.*", "c"))
     twice = materialize(reps.where("c > 1").select(F.col("fp").alias("same"), F.col("h").alias("kept")))
     once = full.select("fp", "h", "keys").join(twice, (F.col("fp") == F.col("same")) & (F.col("h") != F.col("kept")), "left_anti")
-    pairs, heavy = candidates(once.select(F.explode("keys").alias("key"), "fp"), light)
+    pairs, heavy, shared = candidates(once.select(F.explode("keys").alias("key"), "fp"), light)
+    plain = members
     members = materialize(members.join(signed.select("h", "fp"), "h"))
-    release(signed)
+    release(signed, plain, twice)
 
     maybe = materialize(possible(pairs, reps, percent))
     asked = materialize(maybe.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(reps, "fp").select("fp", "h"))
     sets = token_sets(texts, often, asked, words)
-    roots = components(materialize(verified(maybe, sets, percent)))
-    release(pairs, maybe, asked, sets)
+    links = materialize(verified(maybe, sets, percent))
+    roots = components(links)
+    release(pairs, maybe, asked, sets, links)
 
     at = F.shiftright(F.col("key"), 1).bitwiseAND((1 << BAND_BITS) - 1).cast("int")
     kind = F.col("key").bitwiseAND(1)
-    left = open_buckets(heavy, roots).groupBy("fp", at.alias("at")).agg(F.count_if(kind == 0).alias("plain"), F.count_if(kind == 1).alias("deep_keys"))
+    opened = open_buckets(heavy, roots)
+    release(shared)
+    left = opened.groupBy("fp", at.alias("at")).agg(F.count_if(kind == 0).alias("plain"), F.count_if(kind == 1).alias("deep_keys"))
     depends = left.join(reps, "fp").where("plain + 2 * least(deep_keys, deep[at - band]) > spare[at - band]")
     weak = reps.where(F.array_min("spare") < 0)
     hard = materialize(depends.select("fp", "h").unionByName(weak.select("fp", "h")).distinct())
+    release(opened)
     if hard.limit(1).count():
         sets = token_sets(texts, often, hard, words)
-        pairs, heavy = candidates(rarest(sets, percent), light)
+        pairs, heavy, shared = candidates(rarest(sets, percent), light)
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified(possible(pairs, reps, percent), sets, percent))
         roots = components(links)
         rest = open_buckets(heavy, roots)
         found = materialize(within(rest, reps, sets, percent, block))
         if found.limit(1).count():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
-        release(pairs, rest, sets, found)
+        release(pairs, shared, rest, sets, found)
 
     least = members.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id"))
     rooted = reps.select("fp", "n").join(least, "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     rooted = materialize(rooted.withColumn("root", F.coalesce("root", "fp")))
     named = materialize(rooted.groupBy("root").agg(F.min("id").alias("least")))
-    return members, materialize(rooted.drop("id").join(named, "root").select("fp", "n", "root", "least"))
+    sets = materialize(rooted.drop("id").join(named, "root").select("fp", "n", "root", "least"))
+    release(often, hard, reps, rooted, named)
+    return members, sets
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, light: int = LIGHT, block: int = BLOCK) -> DataFrame:
@@ -440,6 +451,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeat id and text one stays, that with the least other columns; null ids without shingles are nobody's copies."""
     members, sets = grouped(docs, id_col, text_col, words, percent)
     found = materialize(members.join(sets.select("fp", "root"), "fp", "left").select("id", "h", "root"))
+    release(members, sets)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id1"), F.col("h").alias("h1")))
     best = materialize(found.where("root IS NOT NULL").groupBy("root").agg(first.alias("b")).select("root", "b.id1", "b.h1"))
     gone = materialize(found.join(best, "root").where("NOT (id <=> id1 AND h = h1)").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct())
@@ -447,6 +459,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = docs.join(gone, same, "left_anti")
     often = found.groupBy("id", "h").agg(F.count("*").alias("c"), F.max("root").alias("root")).where("c > 1 AND (root IS NOT NULL OR id IS NOT NULL)")
     often = materialize(often.select(F.col("id").alias("__id"), F.col("h").alias("__h")))
+    release(found, best)
     if often.limit(1).count():
         one = kept.join(often, same, "left_semi").groupBy(F.col(id_col).alias("__id"), text_hash(text_col).alias("__h"))
         one = one.agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")

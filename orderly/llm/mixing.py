@@ -2,7 +2,8 @@
 
 Source i has the share p_i of all tokens. Its weight is p_i^a / sum p^a; the exponent a is found by bisection as the
 least (most even mix) at which the weights' entropy is at most the target and no source is repeated more often than
-the limit. The budget is the least for which the source that is repeated least is used once in full, so no document is
+the limit. The target lies between the entropy of the shares and the greatest possible, by default half-way, so shares that
+are not equal are always evened out. The budget is the least for which the source that is repeated least is used once in full, so no document is
 lost. Each source is a number of whole passes and a part of one more: its documents are dealt to blocks of about
 ``block_tokens`` tokens by a hash of id and text, every pass takes the blocks in a permutation of its own, and in a block
 each document has a place by a hash that differs from pass to pass. The last pass takes the documents whose place lies
@@ -26,20 +27,21 @@ from orderly.operators.quantiles import dealt_by_range
 from orderly.session import materialize, release
 
 REPEAT_LIMIT = 1.5
-ENTROPY_SHARE = 0.98
+EVENNESS = 0.5
 BLOCK_TOKENS = 50_000
 SEED = 17
 GRID = 16
 
 
-def exponent_of(shares: DataFrame, repeat_limit: float, entropy_share: float) -> float:
-    """The least exponent in [0, 1] at which the entropy of the weights is at most ``entropy_share`` of the greatest
-    possible (or that of the shares, if higher) and no source is passed through more than ``repeat_limit`` times.
+def exponent_of(shares: DataFrame, repeat_limit: float, entropy_share: float | None, evenness: float = EVENNESS) -> float:
+    """The least exponent in [0, 1] at which the entropy of the weights is at most the target and no source is passed through more than
+    ``repeat_limit`` times. The target is ``entropy_share`` of the greatest possible entropy (or that of the shares, if higher); without it, the target lies the part ``evenness`` of the way from the shares' to the greatest.
     shares: lp, the logarithm of each source's share. Each round tries a grid inside the bracket in one aggregation."""
     ends = shares.agg(F.count("*").alias("n"), F.min("lp").alias("low"), F.max("lp").alias("high"), F.sum(-F.col("lp") * F.exp("lp")).alias("entropy")).first()
     if not ends["n"]:
         return 1.0
-    target = max(ends["entropy"], entropy_share * math.log(ends["n"])) + 1e-12
+    most = math.log(ends["n"])
+    target = (ends["entropy"] + evenness * max(0.0, most - ends["entropy"]) if entropy_share is None else max(ends["entropy"], entropy_share * most)) + 1e-12
     low, high = max(0.0, 1 - math.log(repeat_limit) / max(ends["high"] - ends["low"], 1e-300)), 1.0
     for _ in range(10):
         tries = [low + (high - low) * k / GRID for k in range(GRID + 1)]
@@ -54,7 +56,7 @@ def exponent_of(shares: DataFrame, repeat_limit: float, entropy_share: float) ->
     return high
 
 
-def temperature(tokens: DataFrame, repeat_limit: float = REPEAT_LIMIT, entropy_share: float = ENTROPY_SHARE) -> DataFrame:
+def temperature(tokens: DataFrame, repeat_limit: float = REPEAT_LIMIT, entropy_share: float | None = None) -> DataFrame:
     """tokens (source, tokens) with weight and passes: the share of the mix and how often it goes through the source.
     Sources without tokens have the weight 0 and one pass."""
     known = tokens.where("tokens > 0")
@@ -75,7 +77,7 @@ def token_count(text: Column) -> Column:
 def scheduled(
     rows: DataFrame,
     repeat_limit: float = REPEAT_LIMIT,
-    entropy_share: float = ENTROPY_SHARE,
+    entropy_share: float | None = None,
     block_tokens: int = BLOCK_TOKENS,
     seed: int = SEED,
 ) -> DataFrame:

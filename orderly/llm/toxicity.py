@@ -46,7 +46,9 @@ WORD_VECTORS = GRAM_VECTORS = 1 << 14
 INPUTS = SCALARS + 2 * VECTOR
 CACHE_WORDS = 100_000
 WINDOW_BLOCK = 512
-CALIBRATION = 5  # one document in so many of the sample calibrates the scores and trains nothing else
+CALIBRATION = 5  # one document in so many of the sample calibrates the scores and trains nothing else,
+FEW = 20  # unless fewer of them than this are toxic: then all train and all calibrate
+BATCH, STEPS = (8, 128), 20  # documents a step: least and most; steps an epoch at least
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -343,7 +345,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str | None], labels: list[int], epochs: int = 12, batch: int = 128, seed: int = 7, vectors: bool = True, recurrent: bool = True) -> Model | None:
+def fit(texts: list[str | None], labels: list[int], epochs: int = 12, batch: int | None = None, seed: int = 7, vectors: bool = True, recurrent: bool = True) -> Model | None:
     """A model from labelled texts, or None where a label is missing. Without ``vectors`` words have no learned inputs;
     without ``recurrent`` the network keeps its first weights and only the calibration is fitted (both for comparison)."""
     y = np.array(labels, float)
@@ -399,7 +401,10 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 12, batch: int
             out.append(network.logits(gates, np.where(part >= 0, np.searchsorted(used, part), -1)))
         return np.concatenate(out)
 
-    learn = np.flatnonzero(np.arange(len(kinds)) % CALIBRATION != CALIBRATION - 1)  # the others calibrate
+    apart = np.arange(len(kinds)) % CALIBRATION == CALIBRATION - 1
+    few = kinds[apart].sum() < FEW or (kinds[apart] == 0).sum() < FEW
+    learn = np.flatnonzero(~apart | few)  # the others calibrate
+    batch = batch or min(BATCH[1], max(BATCH[0], len(kinds) // STEPS))
     mean, var = ({k: np.zeros_like(v) for k, v in network.w.items()} for _ in range(2))
     squares = {"words": np.full(WORD_VECTORS, 1e-6, np.float32), "grams": np.full(GRAM_VECTORS, 1e-6, np.float32)}
     step = 0
@@ -435,9 +440,7 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 12, batch: int
     logit = all_logits()
     top = np.maximum.reduceat(logit[order], first)
     many = np.log1p(np.diff(np.append(first, len(order))))
-    apart = np.setdiff1d(np.arange(len(kinds)), learn)
-    if len(set(kinds[apart])) < 2:
-        apart = np.arange(len(kinds))
+    apart = np.flatnonzero(apart | few)
     calibration = logistic(np.stack([top, many, np.ones(len(top))], 1)[apart], kinds[apart], 1.0)
     return Model(whole.odds(), network, calibration)
 
