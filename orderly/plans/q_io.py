@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import struct
 import uuid
 
 import numpy as np
@@ -14,7 +16,8 @@ from orderly.operators import intervals as I
 from orderly.operators import seqdp as D
 from orderly.operators.quantiles import exact
 from orderly.plans.base import frames, query, r6, tokens
-from orderly.session import shared_dir
+from orderly.session import materialize, shared_dir
+from orderly.sources import files as B
 from orderly.sources import readers as R
 from orderly.sources import writers as W
 from orderly.sources.tables import table
@@ -284,3 +287,84 @@ def compatible(spark, sf):
     other = d.select(F.col("doc_id").alias("id"), F.col("lang").alias("l"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("lang").eqNullSafe(F.col("l"))
     return d.join(other, F.col("doc_id") == F.col("id"), "full_outer").agg((F.count("*") == F.count_if(same)).alias("same"), F.count("*").alias("n"))
+
+
+def put(folder: str, name: str, data: bytes, at: int = 0) -> int:
+    """Bytes into a file of the shared folder, which executors see as a local one, from a place on: what a lost attempt left behind it goes. Gives the size."""
+    where = folder.removeprefix("file:").replace("///", "/", 1)
+    os.makedirs(where, exist_ok=True)
+    with open(f"{where}/{name}", "r+b" if at else "wb") as f:
+        f.seek(at)
+        f.truncate()
+        f.write(data)
+        return f.tell()
+
+
+@query("S14_tail", """SELECT event_id, user_id, event_type FROM events""")
+def tail_growing_files(spark, sf):
+    """Events in JSON logs that grow while a stream tails them by bytes, with broken lines, and with a last line that is torn when the stream first reads it. The stream is
+    started anew for each of three parts."""
+    base = place(spark)
+    rows = table(spark, sf, "events").select("event_id", "user_id", "event_type").withColumn("log", F.pmod(F.xxhash64("event_id"), F.lit(4)))
+    stream = B.parsed_json(B.tail_lines(spark, f"{base}/logs", ".jsonl", 1 << 20), "event_id long, user_id long, event_type string")
+    ends = {}
+
+    def grow(part: int, ends: dict[int, int]):
+        """Adds a part's lines to a log. All but the last part end within a line, which the next one takes up."""
+
+        def add(group: pd.DataFrame) -> pd.DataFrame:
+            log = int(group["log"].iloc[0])
+            head = b'": 3, "odd": true}\n' if ends.get(log) else b""  # makes the torn line one without an event
+            data = head + b"no json\n" + "\n".join(group["line"]).encode() + b"\n" + (b"" if part == 2 else b'{"event')
+            return pd.DataFrame({"log": [log], "size": [put(f"{base}/logs", f"{log}.jsonl", data, ends.get(log, 0))]})
+
+        return add
+
+    for part in range(3):
+        some = rows.where(F.pmod("event_id", F.lit(3)) == part).select("log", F.to_json(F.struct("event_id", "user_id", "event_type")).alias("line"))
+        ends = ends | {r["log"]: r["size"] for r in materialize(some.groupBy("log").applyInPandas(grow(part, ends), "log long, size long")).collect()}  # four logs
+        stream.writeStream.format("parquet").trigger(availableNow=True).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").where("event_id IS NOT NULL")
+
+
+VECTORS_A_FILE = 100
+
+
+def vectors_as_files(spark, sf, wav: bool) -> str:
+    """The folder of files that hold 100 vectors each, 64 numbers of 4 bytes a vector, or of 2 bytes behind the header of a WAV file."""
+    base = place(spark)
+    rows = table(spark, sf, "embeddings").select((F.floor(F.col("vec_id") / VECTORS_A_FILE)).alias("file"), "vec_id", "embedding")
+
+    def write(group: pd.DataFrame) -> pd.DataFrame:
+        values = np.stack(group.sort_values("vec_id")["embedding"].to_numpy())
+        data, name = values.astype("<f4").tobytes(), f"{int(group['file'].iloc[0]):06d}"
+        if wav:
+            data = np.rint(values * 1000).astype("<i2").tobytes()
+            rate, channels = 8000 + int(group["file"].iloc[0]), 2
+            data = b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, channels, rate, rate * 4, 4, 16) + b"data" + struct.pack("<I", len(data)) + data
+        put(base, f"{name}.{'wav' if wav else 'f32'}", data)
+        return pd.DataFrame({"n": [len(data)]})
+
+    materialize(rows.groupBy("file").applyInPandas(write, "n long"))
+    return base
+
+
+@query("S10_range_scan", """WITH v AS (SELECT vec_id, embedding, row_number() OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) - 1 AS k FROM embeddings)
+SELECT (vec_id // 100)::BIGINT AS file, k, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM v WHERE k BETWEEN 20 AND 39""")
+def range_scan(spark, sf):
+    """The vectors 20 to 39 of every file, by seeking to their bytes."""
+    size = 256
+    found = B.byte_ranges(spark, vectors_as_files(spark, sf, False), size, ".f32").where((F.col("start") >= 20 * size) & (F.col("start") < 40 * size))
+
+    @F.pandas_udf("double")
+    def total(content: pd.Series) -> pd.Series:
+        return content.map(lambda b: float(np.frombuffer(b, "<f4").astype(float).sum()))
+
+    file = F.regexp_extract("path", r"(\d+)\.f32$", 1).cast("long")
+    return found.select(file.alias("file"), F.expr(f"start div {size}").alias("k"), F.round(total("content"), 4).alias("total"))
+
+
+@query("S11_headers", """SELECT (vec_id // 100)::BIGINT AS file, 2::BIGINT AS channels, 8000 + (vec_id // 100)::BIGINT AS rate, 16::BIGINT AS bits, (count(*) * 32)::BIGINT AS frames FROM embeddings GROUP BY vec_id // 100""")
+def headers(spark, sf):
+    found = B.wav_headers(spark, vectors_as_files(spark, sf, True))
+    return found.select(F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("file"), "channels", "rate", "bits", "frames")
