@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orderly.functions import scalar as S
 from orderly.operators import checks as K
 from orderly.operators import lexicon as X
+from orderly.operators import spelling as X2
 from orderly.operators import split as P
 from orderly.plans.base import frames, micros, query, r6
 from orderly.sources.tables import table
@@ -159,6 +162,39 @@ def parse(spark, sf):
     return X.parse_syllables(spelled, initials, finals, aliases, specials, conditioned)
 
 
+MEDIALS, VOWELS = ("", "i", "u"), {"a": "ɑ", "e": "ɛ", "o": "ɔ", "i": "i", "u": "u"}
+CODAS = {"": "", "n": "\u0303", "ng": "ŋ", "h": "ʔ", "q": "k", "s": "s", "t": "t", "r": "ɹ"}
+ONSETS = {"": "", "b": "b", "p": "pʰ", "d": "d", "t": "tʰ", "l": "l", "s": "s", "si": "ɕ", "n": "n", "gh": "ɦ", "th": "θ", "w": "w"}
+SQL_LIST = lambda d: ", ".join(f"('{k}', '{v}')" for k, v in d.items())
+
+
+def syllables() -> X2.Scheme:
+    """A scheme whose finals are a medial, a vowel and a coda: 120 of them."""
+    finals = {m + v + c: unicodedata.normalize("NFC", {"": "", "i": "j", "u": "w"}[m] + ipa + end) for m in MEDIALS for v, ipa in VOWELS.items() for c, end in CODAS.items()}
+    return X2.Scheme(ONSETS, finals | {"m": "m\u0329"}, {"m": "m", "un": "m"}, {"ed": ("gh", "et")}, {"of": "o", "and": "an"})
+
+
+@query("F17_convert", f"""WITH o(o, oi) AS (VALUES {SQL_LIST(ONSETS)}), m(m, mi) AS (VALUES ('', ''), ('i', 'j'), ('u', 'w')), v(v, vi) AS (VALUES {SQL_LIST(VOWELS)}), c(c, ci) AS (VALUES {SQL_LIST(CODAS)}),
+f AS (SELECT m || v || c AS f, mi || vi || ci AS fi, length(mi) + 1 + CASE WHEN c IN ('', 'n') THEN 0 ELSE 1 END AS n FROM m, v, c UNION ALL SELECT 'm', 'm' || chr(809), 1),
+w AS (SELECT o || f AS s, o, f, oi || fi AS ipa, n + CASE WHEN oi = '' THEN 0 ELSE 1 END AS n, count(*) OVER (PARTITION BY o || f) AS ways FROM o, f),
+whole(s, o, f, method) AS (VALUES ('m', '', 'm', 'special'), ('un', '', 'm', 'special'), ('ed', 'gh', 'et', 'conditioned')),
+known AS (SELECT s, o, f, ipa, n, ways, 'regular' AS method FROM w WHERE s NOT IN (SELECT s FROM whole)
+  UNION ALL SELECT whole.s, whole.o, whole.f, oi || fi, n + CASE WHEN oi = '' THEN 0 ELSE 1 END, 1, method FROM whole JOIN o USING (o) JOIN f USING (f)),
+one AS (SELECT s, max(ways) AS ways, max(ipa) AS ipa, max(n) AS n, max(method) AS method FROM known GROUP BY s),
+t AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[^ \\n\\r\\t]+')) AS raw FROM conversations),
+p AS (SELECT *, CASE s WHEN 'of' THEN 'o' WHEN 'and' THEN 'an' ELSE s END AS named FROM (SELECT *, regexp_extract(raw, '^([a-zɡ]+)[0-9]*$', 1) AS s FROM t)),
+j AS (SELECT p.*, one.ipa, one.n, one.method, CASE WHEN p.s = '' THEN 'malformed' WHEN one.s IS NULL THEN 'unknown' WHEN ways > 1 THEN 'ambiguous' END AS error FROM p LEFT JOIN one ON one.s = p.named)
+SELECT conv_id, turn, coalesce(error, method) AS outcome, count(*) AS tokens, coalesce(sum(n) FILTER (error IS NULL), 0)::BIGINT AS phones, coalesce(string_agg(DISTINCT nfc_normalize(ipa), ' ' ORDER BY nfc_normalize(ipa)) FILTER (error IS NULL), '') AS ipa
+FROM j GROUP BY conv_id, turn, outcome""")
+def converted(spark, sf):
+    """Every turn as an utterance: how many of its words are syllables of the scheme or fail, the phones they take up, and their transcriptions."""
+    found = X2.convert(table(spark, sf, "conversations").select("conv_id", "turn", F.lower("text").alias("text")), "text", syllables())
+    each = found.select("conv_id", "turn", F.explode("syllables").alias("s")).select("conv_id", "turn", "s.*")
+    return each.groupBy("conv_id", "turn", F.coalesce("error", "method").alias("outcome")).agg(
+        F.count("*").alias("tokens"), F.sum(F.col("end") - F.col("start")).alias("phones"), F.array_join(F.sort_array(F.collect_set("ipa")), " ").alias("ipa")
+    )
+
+
 @query("P4_candidates", """SELECT doc_id, n_chars FROM documents WHERE n_chars >= 800 AND n_chars <= 3000 AND length(regexp_extract_all(text, '[.]')::VARCHAR) > 0 AND len(regexp_extract_all(text, '[.]')) > 8""")
 def candidates(spark, sf):
     dots = F.regexp_count("text", F.lit("[.]"))
