@@ -8,27 +8,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderly.operators.quantiles import exact_by
 from orderly.session import materialize
 
 MOST_COHORTS = 1000
 
+def measures(rows: DataFrame, by: list[Column], value: Column, cluster: Column | None, shares: dict[str, float], sums: list[Column]) -> DataFrame:
+    """by, sums (aggregates of ``v``), the named quantiles of the value and, if a cluster is given, the number of clusters with a value. No group meets in one task: quantiles
+    go over ranges of values where groups are large, clusters are made distinct before they are counted."""
+    fields = [F.struct(*by).alias("g"), value.alias("v"), *([cluster.alias("c")] if cluster is not None else [])]
+    narrow = materialize(rows.select(*fields))
+    out = narrow.groupBy("g").agg(*sums).join(exact_by(narrow, "g", F.col("v"), shares, written=True), "g", "left")
+    if cluster is not None:
+        met = narrow.where("v IS NOT NULL AND c IS NOT NULL").select("g", "c").distinct().groupBy("g").agg(F.count("*").alias("clusters"))
+        out = out.join(met, "g", "left").withColumn("clusters", F.coalesce("clusters", F.lit(0).cast("long")))
+    return out.select("g.*", *[c for c in out.columns if c != "g"])
+
+
 def summary(rows: DataFrame, by: list[str], value: str, cluster: str, thresholds: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
     """Per cohort: population, measured (value not NULL) and its share, clusters, median, mean, 90th percentile, and
     counts and shares of values at or above each threshold (shares of the measured; NULL where there are none)."""
-    v = F.col(value)
+    v = F.col("v")
     hits = [F.count_if(v >= k) for k in thresholds]
     n = F.count(v)
-    return rows.groupBy(*by).agg(
-        F.count("*").alias("total"),
-        n.alias("measured"),
-        (n / F.count("*")).alias("measured_fraction"),
-        F.count_distinct(F.when(v.isNotNull(), F.col(cluster))).alias("clusters"),
-        F.percentile(v, F.lit(0.5)).alias("median"),
-        F.avg(v).alias("mean"),
-        F.percentile(v, F.lit(0.9)).alias("p90"),
-        *[h.alias(f"n_ge_{k:g}") for h, k in zip(hits, thresholds, strict=True)],
-        *[F.try_divide(h, n).alias(f"fraction_ge_{k:g}") for h, k in zip(hits, thresholds, strict=True)],
-    )
+    sums = [F.count("*").alias("total"), n.alias("measured"), (n / F.count("*")).alias("measured_fraction"), F.avg(v).alias("mean")]
+    counts = [h.alias(f"n_ge_{k:g}") for h, k in zip(hits, thresholds, strict=True)]
+    parts = [F.try_divide(h, n).alias(f"fraction_ge_{k:g}") for h, k in zip(hits, thresholds, strict=True)]
+    found = measures(rows, [F.col(c) for c in by], F.col(value), F.col(cluster), {"median": 0.5, "p90": 0.9}, [*sums, *counts, *parts])
+    order = [*by, "total", "measured", "measured_fraction", "clusters", "median", "mean", "p90"]
+    return found.select(*order, *[c for c in found.columns if c not in order])
 
 
 def top_values(rows: DataFrame, by: list[str], value: str, order: list[str], k: int = 5) -> DataFrame:
@@ -42,14 +50,9 @@ def top_values(rows: DataFrame, by: list[str], value: str, order: list[str], k:
 def breakdowns(rows: DataFrame, by: str, fields: list[str], value: str, cluster: str) -> DataFrame:
     """One-dimensional breakdowns of every field within ``by``."""
     stacked = rows.select(by, value, cluster, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("level")) for f in fields])).alias("x"))
-    v = F.col(value)
-    return stacked.groupBy(by, F.col("x.field").alias("field"), F.col("x.level").alias("level")).agg(
-        F.count(v).alias("n"),
-        F.count_distinct(F.when(v.isNotNull(), F.col(cluster))).alias("clusters"),
-        F.percentile(v, F.lit(0.5)).alias("median"),
-        F.avg(v).alias("mean"),
-        F.count_if(v >= 2).alias("n_ge_2"),
-    )
+    v, keys = F.col("v"), [F.col(by), F.col("x.field").alias("field"), F.col("x.level").alias("level")]
+    sums = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.count_if(v >= 2).alias("n_ge_2")]
+    return measures(stacked, keys, F.col(value), F.col(cluster), {"median": 0.5}, sums).select(by, "field", "level", "n", "clusters", "median", "mean", "n_ge_2")
 
 
 def error_rates(rows: DataFrame, group: str, errors: str, length: str) -> DataFrame:

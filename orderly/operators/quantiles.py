@@ -42,8 +42,9 @@ def value_at(values: DataFrame, rank: int, n: int, most: int) -> tuple[float, fl
 
 
 def exact(df: DataFrame, value: Column, shares: tuple[float, ...], most: int = MOST) -> list[float | None]:
-    """Quantiles of the values that are not NULL, linear between neighbours; None where there are none."""
-    values = df.select(value.cast("double").alias("v")).where("v IS NOT NULL")
+    """Quantiles of the values that are not NULL, linear between neighbours; None where there are none. What leads to the values runs once: they
+    are written to the shared folder."""
+    values = materialize(df.select(value.cast("double").alias("v")).where("v IS NOT NULL"))
     n = values.count()
     if n <= most:
         row = values.agg(F.percentile("v", F.array(*[F.lit(float(s)) for s in shares])).alias("q")).first()
@@ -72,10 +73,12 @@ def dealt_by_range(rows: DataFrame, group: str, order: list[str], weight: Column
     return joined.withColumn("upto", F.col("upto") + F.col("__start")).drop("__w", "__p", "__g", "__q", "__start")
 
 
-def exact_by(df: DataFrame, group: str, value: Column, shares: dict[str, float], most: int = MOST) -> DataFrame:
+def exact_by(df: DataFrame, group: str, value: Column, shares: dict[str, float], most: int = MOST, written: bool = False) -> DataFrame:
     """group with a column for each of the named quantiles of its values that are not NULL. Groups of up to ``most``
-    values are aggregated as they are; larger ones are counted by value and ranked over ranges of values."""
+    values are aggregated as they are; larger ones are counted by value and ranked over ranges of values. What leads to the values runs once: they are written to the
+    shared folder, unless df is a table already (``written``)."""
     values = df.select(group, value.cast("double").alias("v")).where("v IS NOT NULL")
+    values = values if written else materialize(values)
     largest = values.groupBy(group).count().agg(F.max("count")).first()[0] or 0
     if largest <= most:
         return values.groupBy(group).agg(*[F.percentile("v", F.lit(float(s))).alias(n) for n, s in shares.items()])

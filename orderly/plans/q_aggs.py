@@ -56,10 +56,10 @@ def segment_stats(spark, sf):
 
 @query("A8_tumbling", """WITH {FR} SELECT us // 600000000 AS win, count(*) AS n, round(median(value), 6) AS p50, round(exp(quantile_cont(ln(nullif(value, 0)), 0.05)), 6) AS p5, round(exp(quantile_cont(ln(nullif(value, 0)), 0.95)), 6) AS p95 FROM fr GROUP BY 1""")
 def tumbling(spark, sf):
-    log = F.log("value")
-    return frames(spark, sf).groupBy(F.expr("us div 600000000").alias("win")).agg(
-        F.count("*").alias("n"), r6(F.percentile("value", F.lit(0.5))).alias("p50"), r6(F.exp(F.percentile(log, F.lit(0.05)))).alias("p5"), r6(F.exp(F.percentile(log, F.lit(0.95)))).alias("p95")
-    )
+    fr = frames(spark, sf).select(F.expr("us div 600000000").alias("win"), "value")
+    counted = C.measures(fr, [F.col("win")], F.col("value"), None, {"p50": 0.5}, [F.count("*").alias("n")])
+    ends = exact_by(fr, "win", F.log("value"), {"p5": 0.05, "p95": 0.95})
+    return counted.join(ends, "win", "left").select("win", "n", r6("p50").alias("p50"), r6(F.exp("p5")).alias("p5"), r6(F.exp("p95")).alias("p95"))
 
 
 @query("A9_cohorts", f"""WITH {COH} SELECT grp, count(*) AS total, count(d_st) AS measured, round(count(d_st) / count(*), 6) AS measured_fraction, count(DISTINCT CASE WHEN d_st IS NOT NULL THEN source END) AS clusters,

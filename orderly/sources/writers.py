@@ -100,8 +100,10 @@ def read_text_grid(text: Column) -> Column:
     )
 
 
-def markdown(df: DataFrame, order: list[str]) -> DataFrame:
-    """One row: a report table of a small result, as text."""
+def markdown(df: DataFrame, order: list[str], most: int = 10_000) -> DataFrame:
+    """One row: a report table of a small result, as text. More than ``most`` rows are an error: a report is read by people, and one text holds it."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a report of more than {most} rows")
     cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("pending")) for c in df.columns]), F.lit(" |"))
     rows = df.agg(F.sort_array(F.collect_list(F.struct(*order, cells.alias("__cells")))).alias("r"))
     head = "\n".join(("| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)))
