@@ -19,6 +19,25 @@ def occurrences(texts: DataFrame, lexicon: DataFrame, text_id: str, text: str) -
     return chars.join(words, "char").withColumn("whole", whole).drop("near")
 
 
+def hits(texts: DataFrame, lexicon: DataFrame, text_id: str, text: str) -> DataFrame:
+    """text_id, i, hits and whole of every character of every text that lexicon words have: at how many places of words it stands, and in how many words that stand
+    there in full. The same as counting occurrences(), without a row for each: places are counted by character first, and only where the first two
+    characters of some word stand is the text compared with words, of the lengths that begin so."""
+    words = lexicon.where("word != ''").groupBy("word").agg(F.count("*").alias("times"))
+    reach = words.agg(F.max(F.length("word"))).first()[0] or 1
+    places = words.select("times", F.explode(F.split("word", "")).alias("char")).where("char != ''").groupBy("char").agg(F.sum("times").alias("n"))
+    near = F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("char"), F.substring(F.col(text), i + 1, F.lit(reach)).alias("near")))
+    chars = texts.select(text_id, F.posexplode(near).alias("i", "c")).select(text_id, "i", "c.*").where("char != ''")
+    counted = chars.join(F.broadcast(places), "char").groupBy(text_id, "i").agg(F.sum("n").alias("hits"))  # a row for each character that words have
+    heads = words.select(F.left("word", F.lit(2)).alias("head"), F.length("word").alias("size")).groupBy("head").agg(F.collect_set("size").alias("sizes"))
+    begun = chars.select(text_id, "i", "near", F.explode(F.array_distinct(F.array(F.left("near", F.lit(2)), F.left("near", F.lit(1))))).alias("head")).join(heads, "head")
+    stands = begun.select(text_id, "i", "near", F.explode("sizes").alias("size")).where(F.length("near") >= F.col("size"))
+    stands = stands.withColumn("word", F.left("near", F.col("size"))).join(words, "word")
+    covered = stands.select(text_id, F.explode(F.sequence("i", F.col("i") + F.col("size") - 1)).alias("i"), "times")
+    full = covered.groupBy(text_id, "i").agg(F.sum("times").alias("whole"))
+    return counted.join(full, [text_id, "i"], "left").select(text_id, "i", "hits", F.coalesce("whole", F.lit(0).cast("long")).alias("whole"))
+
+
 def ranked(candidates: DataFrame, keys: list[str], same: str, order: list[str], most: int = 6) -> DataFrame:
     """The first of equal candidates (``same``) and of those the first ``most`` in order, with their rank r."""
     first = Window.partitionBy(*keys, same).orderBy(*order)

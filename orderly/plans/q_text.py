@@ -136,8 +136,7 @@ SELECT item_id, i, count(*) AS hits, count(*) FILTER (WHERE whole) AS whole FROM
 def lexicon(spark, sf):
     texts = table(spark, sf, "benchmark").select("item_id", F.col("text"))
     words = table(spark, sf, "nation").select(F.lower("n_name").alias("word"))
-    found = X.occurrences(texts, words, "item_id", "text")
-    return found.groupBy("item_id", "i").agg(F.count("*").alias("hits"), F.count_if("whole").alias("whole"))
+    return X.hits(texts, words, "item_id", "text")
 
 
 @query("J10_parse", """WITH i(initial, ii) AS (VALUES ('', ''), ('p', 'p'), ('ph', 'pʰ'), ('t', 't'), ('th', 'tʰ'), ('gh', 'ɦ')), f(final, fi) AS (VALUES ('a', 'a'), ('ha', 'ɦa'), ('i', 'i'), ('ng', 'ŋ')),
