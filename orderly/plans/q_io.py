@@ -17,6 +17,7 @@ from orderly.operators import seqdp as D
 from orderly.operators.quantiles import exact
 from orderly.plans.base import frames, query, r6, tokens
 from orderly.session import materialize, shared_dir
+from orderly.sources import archives as Z
 from orderly.sources import files as B
 from orderly.sources import readers as R
 from orderly.sources import writers as W
@@ -368,3 +369,22 @@ def range_scan(spark, sf):
 def headers(spark, sf):
     found = B.wav_headers(spark, vectors_as_files(spark, sf, True))
     return found.select(F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("file"), "channels", "rate", "bits", "frames")
+
+
+@query("K7_S8_archives", """WITH {FR}, v AS (SELECT rec, i - 1 AS row, eid, t FROM fr) SELECT rec, row, eid, round(t, 6) AS t FROM v
+UNION ALL SELECT vec_id // 100, row_number() OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) - 1, vec_id, round(embedding[3]::DOUBLE, 6) FROM embeddings""")
+def archives(spark, sf):
+    """Frames and vectors as archives of arrays, compressed ones and stored ones, of which two arrays are read back."""
+    base = place(spark)
+    fr = frames(spark, sf).select("rec", (F.col("i") - 1).alias("row"), "eid", "t", F.coalesce("f", F.lit(float("nan"))).alias("f"), "kind")
+    Z.write_archives(fr, "rec", "row", ["eid", "t", "f", "kind"], f"{base}/packed", 50)
+    order = F.row_number().over(Window.partitionBy(F.expr("vec_id div 100")).orderBy("vec_id")) - 1
+    vectors = table(spark, sf, "embeddings").select(F.expr("vec_id div 100").alias("rec"), order.alias("row"), F.col("vec_id").alias("eid"), "embedding", "label")
+    Z.write_archives(vectors, "rec", "row", ["label", "eid", "embedding"], f"{base}/stored", 1_000, compress=False)
+    one = Z.read_archives(spark, f"{base}/packed", "eid long, t double")
+    two = Z.read_archives(spark, f"{base}/stored", "eid long, embedding array<float>", rows_per_partition=30)
+    file = F.regexp_extract("path", r"(\d+)-(\d+)\.npz$", 1).cast("long").alias("rec")
+    part = F.regexp_extract("path", r"(\d+)-(\d+)\.npz$", 2).cast("long")
+    return one.select(file, (part * 50 + F.col("row")).alias("row"), "eid", r6("t").alias("t")).unionByName(
+        two.select(file, "row", "eid", r6(F.col("embedding")[2].cast("double")).alias("t"))
+    )
