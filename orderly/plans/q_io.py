@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orderly.functions import scalar as S
+from orderly.functions import tables as TF
 from orderly.operators import intervals as I
 from orderly.operators import seqdp as D
 from orderly.operators.quantiles import exact
@@ -70,6 +71,20 @@ def markdown(spark, sf):
     return rows.select("conv_id", F.col("cells")[0].alias("role"), F.col("cells")[1].alias("n"))
 
 
+@query("S15_lateral", """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, length(text)) + 2 AS line, role, length(text)::VARCHAR AS n FROM conversations""")
+def markdown_in_sql(spark, sf):
+    """The same tables through SQL: a table function over whole texts with LATERAL, and one over their lines by PARTITION BY, which must agree."""
+    TF.register(spark)
+    row = F.struct("turn", "role", F.length("text").alias("n"))
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("r"))
+    body = F.array_join(F.transform("r", lambda x: F.concat(F.lit("| "), x["role"], F.lit(" | "), x["n"].cast("string"), F.lit(" |"))), "\n")
+    texts = c.select("conv_id", F.concat_ws("\n", F.lit("# turns"), F.lit("| role | n |"), F.lit("|:---|---:|"), body, F.lit("end")).alias("text"))
+    lines = texts.select("conv_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    one = spark.sql("SELECT t.conv_id, p.line, p.role, p.n FROM {t} t, LATERAL pipe_rows(t.text, 'role | n') p", t=texts)
+    two = spark.sql("SELECT conv_id, line, role, n FROM pipe_lines(TABLE(SELECT conv_id, line, text FROM {l}) PARTITION BY conv_id ORDER BY (line), 'role | n')", l=lines)
+    return one.intersectAll(two)
+
+
 @query("K1_json", """SELECT c_custkey, c_name, round(c_acctbal, 6) AS balance FROM customer""")
 def json_sink(spark, sf):
     """Strict JSON, published at once over what was there, and read back."""
