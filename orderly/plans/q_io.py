@@ -213,7 +213,11 @@ def budgets(spark, sf):
     return fr.select("eid", r6(S.budget_left(elapsed, 6000.0, 6500.0)).alias("left_s"), passed.alias("after"))
 
 
-@query("FDP4_token_distance")
+@query("FDP4_token_distance", """WITH RECURSIVE p AS (SELECT x.item_id, string_split(x.text, ' ') AS a, string_split(y.text, ' ') AS b FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id + 1),
+d AS (SELECT item_id, 0::BIGINT AS i, range(0, len(b) + 1) AS c FROM p
+  UNION ALL SELECT item_id, i, list_transform(range(1, len(w) + 1), lambda j: list_min(list_transform(w[1:j], lambda v, k: v - k)) + j) FROM (
+    SELECT d.item_id, d.i + 1 AS i, list_prepend(d.i + 1, list_transform(range(1, len(b) + 1), lambda j: least(c[j] + (b[j] <> a[d.i + 1])::INT, c[j + 1] + 1))) AS w FROM d JOIN p USING (item_id) WHERE d.i < len(a)))
+SELECT item_id, c[len(b) + 1]::INT AS d FROM d JOIN p USING (item_id) WHERE i = len(a)""")
 def token_distance(spark, sf):
     """Edit distance of neighbouring texts, word by word."""
     words = table(spark, sf, "benchmark").select("item_id", F.split("text", " ").alias("w"))
