@@ -143,6 +143,27 @@ def text_grid(spark, sf):
     return grids.select("rec", F.explode(W.read_text_grid(F.col("text"))).alias("x")).select("rec", r6("x.xmin").alias("xmin"), r6("x.xmax").alias("xmax"), "x.label")
 
 
+@query("K10_tiers", """WITH {FR}, {TOK}, s AS (SELECT rec, tok, a AS xmin, a + 0.07::DOUBLE AS xmax FROM tok), e AS (SELECT rec, max(t) + 1 AS stop FROM fr GROUP BY rec),
+iv AS (SELECT rec, 1 AS number, 'tokens' AS tier, xmin, xmax, 'say "' || tok || '"' AS label FROM s UNION ALL SELECT rec, 3, 'halves', xmin, xmin + 0.035::DOUBLE, '[' || tok || ']' FROM s),
+g AS (SELECT rec, number, tier, coalesce(lag(xmax) OVER (PARTITION BY rec, number ORDER BY xmin), 0) AS lo, xmin AS hi FROM iv UNION ALL SELECT iv.rec, number, tier, max(xmax), max(stop) FROM iv JOIN e ON e.rec = iv.rec GROUP BY iv.rec, number, tier
+  UNION ALL SELECT e.rec, x.number, x.tier, 0, stop FROM e, (VALUES (1, 'tokens'), (3, 'halves'), (4, 'notes')) x(number, tier) WHERE x.number = 4 OR e.rec NOT IN (SELECT rec FROM s)),
+a AS (SELECT rec, number, tier, 'interval' AS kind, xmin, xmax, label FROM iv UNION ALL SELECT rec, number, tier, 'interval', lo, hi, '' FROM g WHERE hi > lo UNION ALL SELECT rec, 2, 'onsets', 'point', xmin, xmin, tok::VARCHAR FROM s)
+SELECT rec, number::INT AS number, tier, kind, round(xmin, 6) AS xmin, round(xmax, 6) AS xmax, label FROM a""")
+def tiers(spark, sf):
+    """Grids of four tiers: tokens, their onsets as points, their first halves, and one without entries; written and read back."""
+    fr = frames(spark, sf)
+    tok, a = F.col("tok").cast("string"), F.col("a")
+    t = tokens(fr)
+    rows = [
+        t.select("rec", F.lit("tokens").alias("tier"), a.alias("xmin"), (a + F.lit(0.07)).alias("xmax"), F.concat(F.lit('say "'), tok, F.lit('"')).alias("label")),
+        t.select("rec", F.lit("onsets").alias("tier"), a.alias("xmin"), a.alias("xmax"), tok.alias("label")),
+        t.select("rec", F.lit("halves").alias("tier"), a.alias("xmin"), (a + F.lit(0.035)).alias("xmax"), F.concat(F.lit("["), tok, F.lit("]")).alias("label")),
+    ]
+    spans = fr.groupBy("rec").agg(F.lit(0.0).alias("from"), (F.max("t") + 1).alias("to"))
+    grids = W.tiered_grids(rows[0].unionByName(rows[1]).unionByName(rows[2]), spans, "rec", [("tokens", "interval"), ("onsets", "point"), ("halves", "interval"), ("notes", "interval")])
+    return grids.select("rec", F.inline(W.read_tiers("text"))).withColumns({c: r6(c) for c in ("xmin", "xmax")})
+
+
 @query("K14_report", """WITH {FR}, c AS (SELECT kind, count(*) AS n FROM fr GROUP BY kind) SELECT '| kind | n |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || kind || ' | ' || n || ' |', chr(10) ORDER BY kind) AS report FROM c""")
 def report(spark, sf):
     return W.markdown(frames(spark, sf).groupBy("kind").agg(F.count("*").alias("n")), ["kind"])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,6 +88,69 @@ def text_grids(tiles: DataFrame, key: str) -> DataFrame:
     return grouped.select(key, F.concat_ws("\n", *head, *tier, F.array_join(body, "\n")).alias("text"))
 
 
+def tiered_grids(rows: DataFrame, spans: DataFrame, key: str, tiers: list[tuple[str, str]]) -> DataFrame:
+    """key and the text of a grid of several tiers, in the long form. tiers: names in order, each "interval" or "point". rows: key, tier, xmin, xmax, label; a point stands at xmin, and
+    points at one time become one, their labels in order and with a semicolon between. Between intervals, which must be disjoint, stand ones without a label. spans: key,
+    from, to, a row for each grid; tiers without rows are there all the same. Line ends in labels are written as spaces."""
+    number = lambda c: F.format_string("%.9f", c)
+    names = F.array(*[F.struct(F.lit(k).alias("at"), F.lit(n).alias("tier"), F.lit(kind).alias("kind")) for k, (n, kind) in enumerate(tiers, 1)])
+    every = spans.select(key, F.col("from"), F.col("to"), F.inline(names))
+    text = F.regexp_replace(F.coalesce("label", F.lit("")), r"[\r\n]+", " ")
+    known = rows.select(F.col(key).alias("__key"), F.col("tier").alias("__tier"), "xmin", "xmax", text.alias("label")).join(every, F.col("__key").eqNullSafe(F.col(key)) & (F.col("__tier") == F.col("tier")))
+    order = Window.partitionBy(key, "at").orderBy("xmin")
+    inside = known.where("kind = 'interval'")
+    gaps = inside.select(key, "at", F.coalesce(F.lag("xmax").over(order), "from").alias("lo"), F.col("xmin").alias("hi"))
+    rest = every.where("kind = 'interval'").join(inside.groupBy(F.col(key).alias("__key"), F.col("at").alias("__at")).agg(F.max("xmax").alias("last")), F.col(key).eqNullSafe(F.col("__key")) & (F.col("at") == F.col("__at")), "left")
+    gaps = gaps.unionByName(rest.select(key, "at", F.coalesce("last", "from").alias("lo"), F.col("to").alias("hi"))).where("hi > lo")
+    points = known.where("kind = 'point'").groupBy(key, "at", "xmin").agg(F.array_join(F.sort_array(F.collect_list("label")), "; ").alias("label"))
+    entries = inside.select(key, "at", "xmin", "xmax", "label").unionByName(gaps.select(key, "at", F.col("lo").alias("xmin"), F.col("hi").alias("xmax"), F.lit("").alias("label")))
+    entries = entries.unionByName(points.select(key, "at", "xmin", F.col("xmin").alias("xmax"), "label"))
+    listed = entries.groupBy(F.col(key).alias("__key"), F.col("at").alias("__at")).agg(F.sort_array(F.collect_list(F.struct("xmin", "xmax", "label"))).alias("e"))
+    full = every.join(listed, F.col(key).eqNullSafe(F.col("__key")) & (F.col("at") == F.col("__at")), "left").withColumn("e", F.coalesce("e", F.array().cast(listed.schema["e"].dataType)))
+    interval = F.col("kind") == "interval"
+    lines = F.transform(
+        "e",
+        lambda x, i: F.when(
+            interval, F.concat_ws("\n", F.concat(F.lit("        intervals ["), i + 1, F.lit("]:")), F.concat(F.lit("            xmin = "), number(x["xmin"])), F.concat(F.lit("            xmax = "), number(x["xmax"])), F.concat(F.lit("            text = "), quoted(x["label"])))
+        ).otherwise(F.concat_ws("\n", F.concat(F.lit("        points ["), i + 1, F.lit("]:")), F.concat(F.lit("            number = "), number(x["xmin"])), F.concat(F.lit("            mark = "), quoted(x["label"])))),
+    )
+    head = [
+        F.concat(F.lit("    item ["), "at", F.lit("]:")), F.concat(F.lit("        class = "), quoted(F.when(interval, "IntervalTier").otherwise("TextTier"))), F.concat(F.lit("        name = "), quoted(F.col("tier"))),
+        F.concat(F.lit("        xmin = "), number(F.col("from"))), F.concat(F.lit("        xmax = "), number(F.col("to"))),
+        F.concat(F.when(interval, "        intervals: size = ").otherwise("        points: size = "), F.size("e")),
+    ]
+    tier = F.array_join(F.concat(F.array(*head), lines), "\n")
+    grids = full.withColumn("tier_text", tier).groupBy(key, "from", "to").agg(F.sort_array(F.collect_list(F.struct("at", "tier_text"))).alias("t"))
+    top = ['File type = "ooTextFile"', 'Object class = "TextGrid"', ""]
+    start = [*map(F.lit, top), F.concat(F.lit("xmin = "), number(F.col("from"))), F.concat(F.lit("xmax = "), number(F.col("to"))), F.lit("tiers? <exists>"), F.concat(F.lit("size = "), F.size("t")), F.lit("item []:")]
+    return grids.select(key, F.array_join(F.concat(F.array(*start), F.transform("t", lambda x: x["tier_text"])), "\n").alias("text"))
+
+
+GRID_TOKEN = re.compile(r'"((?:[^"]|"")*)"|\[[^\]]*\]|(?<![\w.])(-?\d+(?:\.\d+)?)')
+
+
+def grid_entries(text: str | None) -> list[tuple[int, str, str, float, float, str]]:
+    """(tier from 1, name, kind, xmin, xmax, label) of the entries of a grid, of the long form or the short one, whose values come in the same order."""
+    found = [m for m in GRID_TOKEN.finditer(text or "") if not m[0].startswith("[")]
+    values = iter([m[1].replace('""', '"') if m[0].startswith('"') else float(m[2]) for m in found][4:])  # behind the file's type, the object's and the span
+    out = []
+    for at in range(1, int(next(values, 0)) + 1):
+        kind, name, _, _, size = (next(values) for _ in range(5))
+        for _ in range(int(size)):
+            start = next(values)
+            end = next(values) if kind == "IntervalTier" else start
+            out.append((at, name, "interval" if kind == "IntervalTier" else "point", start, end, next(values)))
+    return out
+
+
+ENTRY = T.StructType([T.StructField(n, t) for n, t in (("number", T.IntegerType()), ("tier", T.StringType()), ("kind", T.StringType()), ("xmin", T.DoubleType()), ("xmax", T.DoubleType()), ("label", T.StringType()))])
+
+
+@F.pandas_udf(T.ArrayType(ENTRY))
+def read_tiers(texts: pd.Series) -> pd.Series:
+    return texts.map(grid_entries)
+
+
 def read_text_grid(text: Column) -> Column:
     """(xmin, xmax, label) of the single tier of such a text."""
     lines = F.split(text, "\n", -1)
