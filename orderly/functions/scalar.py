@@ -157,3 +157,22 @@ def private_json(names: tuple[str, ...]):
 @F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
+
+
+def python_round(value: Column, places: int) -> Column:
+    """The nearest number with so many decimal places, as Python's round() has it: decided on the binary value itself, and halves that are exact go to
+    the even digit. The product with the power of ten is taken with its error (each factor split in two halves of bits), so a value a hair below a half is
+    not taken for one. Beyond 2^52 units of the last place a value is its own rounding; NULL, NaN and infinities stay."""
+    scale, split = float(10**places), 134_217_729.0  # the fixed value 2^27 + 1
+    high_s = scale * split - (scale * split - scale)
+    low_s = scale - high_s
+    product = value * F.lit(scale)
+    high = value * F.lit(split) - (value * F.lit(split) - value)
+    low = value - high
+    error = ((high * high_s - product) + high * low_s + low * high_s) + low * low_s
+    floor = F.floor(product).cast("double")
+    rest = product - floor
+    even = floor % 2 == 0
+    up = F.when(rest != 0.5, rest > 0.5).when(error != 0, error > 0).otherwise(~even)
+    small = F.abs(product) < float(2**52)
+    return F.when(small & (product != 0), F.when(up, floor + 1).otherwise(floor) / F.lit(scale)).otherwise(value)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderly.functions.scalar import python_round
+
 
 def json(df: DataFrame, path: str) -> None:
     """JSON lines; a NaN or infinite number is an error."""
@@ -63,8 +65,8 @@ def csv_union(tables: list[DataFrame], path: str) -> None:
 
 
 def csv_rounded(df: DataFrame, path: str, places: dict[str, int], sep: str = ",") -> None:
-    """Gzip CSV (or TSV) with columns rounded to so many places, NULL as blank."""
-    df.withColumns({c: F.round(c, n) for c, n in places.items()}).write.option("header", "true").option("sep", sep).option("compression", "gzip").csv(path)
+    """Gzip CSV (or TSV) with columns rounded to so many places as Python does it, NULL as blank."""
+    df.withColumns({c: python_round(F.col(c), n) for c, n in places.items()}).write.option("header", "true").option("sep", sep).option("compression", "gzip").csv(path)
 
 
 def json_by(df: DataFrame, path: str, column: str) -> None:
