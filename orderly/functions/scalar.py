@@ -125,6 +125,11 @@ def html_escape(value: Column) -> Column:
     return value
 
 
+def base64_text(value: Column) -> Column:
+    """The UTF-8 bytes of a text in base64, on one line: Spark breaks it after 76 characters."""
+    return F.replace(F.base64(value.cast("binary")), F.lit("\r\n"), F.lit(""))
+
+
 def budget_left(elapsed: Column, inner: float, outer: float) -> Column:
     """Seconds that remain of a run: at most ``inner``, and nothing beyond ``outer`` since the start."""
     return F.greatest(F.lit(0.0), F.least(F.lit(inner), outer - elapsed))

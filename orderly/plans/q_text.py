@@ -51,7 +51,7 @@ def json(spark, sf):
 
 @query("F16_escape", """SELECT page_id, replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS shown, base64(encode(url)) AS b64 FROM pages""")
 def escape(spark, sf):
-    return table(spark, sf, "pages").select("page_id", S.html_escape(F.col("url")).alias("shown"), F.base64(F.col("url").cast("binary")).alias("b64"))
+    return table(spark, sf, "pages").select("page_id", S.html_escape(F.col("url")).alias("shown"), S.base64_text(F.col("url")).alias("b64"))
 
 
 @query("F18_rime_window", """WITH w AS (SELECT p_partkey, string_split(p_type, ' ') AS ph FROM part) SELECT p_partkey, array_to_string(list_filter(ph[2:], lambda x: x[1] <> 'P'), '-') AS rime FROM w""")
