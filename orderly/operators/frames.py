@@ -5,12 +5,14 @@ window is partitioned by the recording, so frames of different recordings never
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderly.functions import scalar as S
-from orderly.operators.quantiles import exact
+from orderly.operators.quantiles import neighbours
 
 
 def by(rec: str = "rec", i: str = "i") -> Window:
@@ -137,16 +139,23 @@ def moving_rms(frames: DataFrame, value: str, half: int, zero_padded: bool = Fal
     return frames.withColumn(f"{value}_rms", F.sqrt(total / width))
 
 
-def log_bounds(frames: DataFrame, value: str = "f", low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """One row: lo and hi, quantiles taken in the logarithm (linear interpolation)."""
-    lo, hi = exact(frames, F.log(value), (low, high))
-    return frames.sparkSession.range(1).select(F.exp(F.lit(lo).cast("double")).alias("lo"), F.exp(F.lit(hi).cast("double")).alias("hi"))
+def log_bounds(frames: DataFrame, value: str = "f", low: float = 0.05, high: float = 0.95, bands: int = 5) -> DataFrame:
+    """One row: lo and hi, quantiles taken in the logarithm (linear interpolation), and the edges between them. Values equal to a bound are common, and whether they lie beyond it hangs on the last
+    bit; so these few logarithms are those of the C library, as in databases, not of Java's, which round otherwise."""
+    ends = []
+    for found in neighbours(frames, F.when(F.col(value) > 0, F.col(value)), (low, high)):
+        ends.append(None if found is None else math.exp(math.log(found[0]) * (1 - found[2]) + math.log(found[1]) * found[2]))
+    edges = None
+    if None not in ends:
+        first, last = map(math.log, ends)
+        edges = [math.exp(first + k * (last - first) / bands) for k in range(bands + 1)]
+    return frames.sparkSession.createDataFrame([(*ends, edges)], "lo double, hi double, edges array<double>")
 
 
 def five_level(frames: DataFrame, bounds: DataFrame) -> DataFrame:
-    """level, t_value and saturated for every frame; bounds is one row, so it is broadcast."""
-    joined = frames.crossJoin(F.broadcast(bounds)).withColumn("edges", S.log_edges(F.col("lo"), F.col("hi")))
-    return joined.withColumns(
+    """level, t_value and saturated for every frame; bounds is one row, so it is broadcast. Edges that it doesn't have follow from lo and hi."""
+    bounds = bounds if "edges" in bounds.columns else bounds.withColumn("edges", S.log_edges(F.col("lo"), F.col("hi")))
+    return frames.crossJoin(F.broadcast(bounds)).withColumns(
         {
             "level": S.band(F.col("f"), F.col("edges")),
             "t_value": S.t_value(F.col("f"), F.col("lo"), F.col("hi")),

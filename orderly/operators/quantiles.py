@@ -58,6 +58,23 @@ def exact(df: DataFrame, value: Column, shares: tuple[float, ...], most: int = M
     return out
 
 
+def neighbours(df: DataFrame, value: Column, shares: tuple[float, ...], most: int = MOST) -> list[tuple[float, float, float] | None]:
+    """For each quantile, the values on both sides of its place and how far it lies between them; None where there are none. For quantiles of a rising function of the values:
+    that function is taken of these two."""
+    values = materialize(df.select(value.cast("double").alias("v")).where("v IS NOT NULL"))
+    n = values.count()
+    if not n:
+        return [None] * len(shares)
+    places = [share * (n - 1) for share in shares]
+    ranks = [min(int(place), n - 1) for place in places]
+    if n <= most:
+        listed = values.agg(F.array_sort(F.collect_list("v")).alias("v"))
+        found = listed.select(*[F.array(F.get("v", F.lit(r)), F.get("v", F.lit(min(r + 1, n - 1)))) for r in ranks]).first()
+    else:
+        found = [value_at(values, rank, n, most) for rank in ranks]
+    return [(a, b, place - rank) for (a, b), place, rank in zip(found, places, ranks, strict=True)]
+
+
 def dealt_by_range(rows: DataFrame, group: str, order: list[str], weight: Column) -> DataFrame:
     """rows with upto, the running total of the weight within their group in the given order, and whole, the group's total.
     Ranges of (group, order) are summed one by one and what lies before each is added, so no group is sorted in one task."""

@@ -16,3 +16,21 @@ def test_base64_of_long_texts_is_one_line(spark):
     text = "é" * 200
     found = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(S.base64_text(F.col("t"))).collect()
     assert [r[0] for r in found] == [base64.b64encode(text.encode()).decode(), None, ""]
+
+
+def test_log_bounds_are_those_of_the_c_library(spark):
+    """Java's exp(log(v)) is off by one bit less or more at these values, so v would lie within a bound that it lies beyond, or the reverse."""
+    for v in (200.0625, 200.1125, 200.205, 200.31):
+        rows = spark.createDataFrame([(v,)] * 3, "f double")
+        bounds = frames.log_bounds(rows)
+        want = math.exp(math.log(v))
+        assert bounds.first()["lo"] == bounds.first()["hi"] == want
+        assert [r.saturated for r in frames.five_level(rows, bounds).collect()] == [v != want] * 3
+
+
+def test_log_bounds_between_values_and_without_any(spark):
+    rows = spark.createDataFrame([(100.0 + k,) for k in range(11)] + [(None,), (0.0,)], "f double")
+    bounds = frames.log_bounds(rows).first()
+    assert bounds["lo"] == math.exp(math.log(100) * 0.5 + math.log(101) * 0.5) and len(bounds["edges"]) == 6
+    empty = frames.log_bounds(rows.where("f < 0")).first()
+    assert (empty["lo"], empty["hi"], empty["edges"]) == (None, None, None)
