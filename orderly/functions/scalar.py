@@ -104,6 +104,12 @@ def feasible_frames(labels: Column) -> Column:
     return F.size(labels) + F.size(same)
 
 
+def ordered_avg(value: str, order: str) -> Column:
+    """The mean of the values of a short group, added up in their order, whatever the plan: for means that are compared with a threshold, where the last bit decides. NULLs are left out."""
+    pairs = F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(order, value))))
+    return F.try_divide(F.aggregate(pairs, F.lit(0.0), lambda total, p: total + p[value]), F.size(pairs))
+
+
 def learning_rate(step: Column, warm: int, total: int, peak: float) -> Column:
     """Linear warm-up, then linear decay to nothing."""
     return F.when(step < warm, peak * (step + 1) / warm).otherwise(peak * F.greatest(F.lit(0.0), (total - step) / F.lit(float(max(1, total - warm)))))

@@ -223,7 +223,7 @@ def classes(spark, sf):
 
 @query("P14_weak", """WITH {FR} SELECT rec, (i - 1) // 12 AS tok, round(avg(strength), 6) AS score, round(max(strength), 6) AS peak FROM fr GROUP BY 1, 2 HAVING avg(strength) < 0.4 OR max(strength) < 0.8""")
 def weak(spark, sf):
-    g = frames(spark, sf).groupBy("rec", F.expr("(i - 1) div 12").alias("tok")).agg(F.avg("strength").alias("score"), F.max("strength").alias("peak"))
+    g = frames(spark, sf).groupBy("rec", F.expr("(i - 1) div 12").alias("tok")).agg(S.ordered_avg("strength", "i").alias("score"), F.max("strength").alias("peak"))
     return g.where("score < 0.4 OR peak < 0.8").select("rec", "tok", r6("score").alias("score"), r6("peak").alias("peak"))
 
 
