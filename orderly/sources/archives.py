@@ -11,8 +11,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +29,8 @@ STORED, DEFLATED = 0, 8
 MAGIC = b"\x93NUMPY"
 READ = 1 << 20
 ROWS = 1 << 16
+# Folders of more files than FEW: small files are not opened when a scan is planned, and are read in bundles of so many bytes and files.
+FEW, SMALL, BUNDLE_BYTES, BUNDLE_FILES = 1_000, 1 << 20, 16 << 20, 1_000
 
 
 @dataclass
@@ -119,11 +121,18 @@ def described(stream: Stream) -> tuple[np.dtype, tuple[int, ...]]:
 
 
 @dataclass
-class Rows(InputPartition):
+class Rows:
+    """A range of an archive's rows, or with end=None all of them."""
+
     path: str
     size: int
     start: int
-    end: int
+    end: int | None
+
+
+@dataclass
+class Bundle(InputPartition):
+    parts: list[Rows]
 
 
 class ArchiveReader(DataSourceReader):
@@ -145,29 +154,52 @@ class ArchiveReader(DataSourceReader):
             raise ValueError("arrays of different lengths")
         return streams, [k for k, _ in found], [s for _, s in found], all(m.method == STORED for m in members)
 
-    def partitions(self) -> list[Rows]:
+    def ranges(self, path: str, size: int) -> list[Rows]:
         """Stored arrays are cut into ranges of rows; an archive with a compressed one that is asked for is read as a whole."""
         files, _ = place(self.path)
-        out = []
-        for path, size in listed(self.path, self.suffix):
-            with files.open_input_file(path) as f:
-                _, _, shapes, stored = self.opened(f, size)
-            n = shapes[0][0] if shapes else 0
-            step = self.most if stored else max(n, 1)
-            out += [Rows(path, size, at, min(at + step, n)) for at in range(0, n, step)]
-        return out or [Rows("", 0, 0, 0)]
-
-    def read(self, part: Rows) -> Iterator[pa.RecordBatch]:
-        if part.end <= part.start:
-            return
+        with files.open_input_file(path) as f:
+            _, _, shapes, stored = self.opened(f, size)
+        n = shapes[0][0] if shapes else 0
+        step = self.most if stored else max(n, 1)
+        return [Rows(path, size, at, min(at + step, n)) for at in range(0, n, step)]
+
+    def partitions(self) -> list[Bundle]:
+        """Short ranges, and small archives of a folder of many, share a partition: neither tasks nor what planning opens are as many as the files."""
+        found = listed(self.path, self.suffix)
+        many, out, load, whole = len(found) > FEW, [], 0, False
+        for path, size in found:
+            closed = many and size <= SMALL
+            for part in [Rows(path, size, 0, None)] if closed else self.ranges(path, size):
+                own, most = (size, BUNDLE_BYTES) if closed else (part.end - part.start, self.most)
+                if not out or closed != whole or load + own > most or len(out[-1].parts) >= BUNDLE_FILES:
+                    out.append(Bundle([]))
+                    load, whole = 0, closed
+                out[-1].parts.append(part)
+                load += own
+        return out or [Bundle([])]
+
+    def read(self, bundle: Bundle) -> Iterator[pa.RecordBatch]:
         files, _ = place(self.path)
+        gathered, held = [], 0
+        for part in bundle.parts:
+            for batch in self.rows(files, part):
+                gathered.append(batch)
+                held += len(batch)
+                if held >= ROWS or len(gathered) >= BUNDLE_FILES:
+                    yield from pa.Table.from_batches(gathered).combine_chunks().to_batches()
+                    gathered, held = [], 0
+        if gathered:
+            yield from pa.Table.from_batches(gathered).combine_chunks().to_batches()
+
+    def rows(self, files: fs.FileSystem, part: Rows) -> Iterator[pa.RecordBatch]:
         with files.open_input_file(part.path) as f:
             streams, kinds, shapes, _ = self.opened(f, part.size)
+            end = part.end if part.end is not None else shapes[0][0] if shapes else 0
             sizes = [k.itemsize * int(np.prod(s[1:])) for k, s in zip(kinds, shapes, strict=True)]
             for stream, size in zip(streams, sizes, strict=True):
                 stream.skip(part.start * size)
-            for at in range(part.start, part.end, ROWS):
-                n = min(ROWS, part.end - at)
+            for at in range(part.start, end, ROWS):
+                n = min(ROWS, end - at)
                 columns = {"path": pa.array([part.path] * n, pa.string()), "row": pa.array(np.arange(at, at + n), pa.int64())}
                 for x, stream, size, kind, shape in zip(self.fields, streams, sizes, kinds, shapes, strict=True):
                     values = np.frombuffer(stream.read(n * size), kind)
@@ -228,21 +260,41 @@ def write_archives(df: DataFrame, key: str, index: str, columns: list[str], path
     hold none. A file appears whole, and a repeated task replaces it by the same bytes; a key with most of the rows has many files, not a large one."""
     files, where = place(path)
 
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("__index")
-        arrays = {}
+    def put(key: str, part: int, held: list[pa.RecordBatch]) -> str:
+        rows, arrays = pa.Table.from_batches(held), {}
         for c in columns:
-            values = rows[c].to_numpy()
+            values = rows.column(c).combine_chunks().to_numpy(zero_copy_only=False)
             if values.dtype == object:
                 values = np.stack([np.asarray(v) for v in values]) if isinstance(values[0], list | np.ndarray) else np.array(values.tolist(), str)
             arrays[c] = values
-        name = f"{rows['__key'].iloc[0]}-{int(rows['__part'].iloc[0]):05d}.npz"
+        name = f"{key}-{int(part):05d}.npz"
         files.create_dir(where, recursive=True)
         fresh = f"{where}/_{uuid.uuid4().hex}"
         with files.open_output_stream(fresh) as f:
             f.write(packed(arrays, compress))
         files.move(fresh, f"{where}/{name}")
-        return pd.DataFrame({"name": [name]})
+        return name
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by key, part and index; those of one file are held."""
+        now, held, names = None, [], []
+        for batch in batches:
+            places = list(zip(batch.column("__key").to_pylist(), batch.column("__part").to_pylist(), strict=True))
+            cuts = [0, *(i for i in range(1, len(places)) if places[i] != places[i - 1]), len(places)]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if end > start:
+                    if held and places[start] != now:
+                        names.append(put(*now, held))
+                        held = []
+                    now = places[start]
+                    held.append(batch.slice(start, end - start))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
+            names = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([put(*now, held)])], ["name"])
 
     parts = df.select(F.col(key).cast("string").alias("__key"), F.col(index).alias("__index"), F.floor(F.col(index) / rows_a_file).alias("__part"), *columns)
-    materialize(parts.groupBy("__key", "__part").applyInPandas(write, "name string"))
+    # The number is given, so the files aren't written by as few tasks as their bytes would make.
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    dealt = parts.repartition(tasks, "__key", "__part").sortWithinPartitions("__key", "__part", "__index")
+    materialize(dealt.mapInArrow(write, "name string"))

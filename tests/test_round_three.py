@@ -46,3 +46,34 @@ def test_means_are_added_up_in_order(spark):
         rows = [(k, v) for k, v in enumerate(order)]
         rows = rows[1::2] + rows[::2][::-1] + [(50, None)]
         assert spark.createDataFrame(rows, "i long, v double").repartition(5).agg(S.ordered_avg("v", "i")).first()[0] == total / 12
+
+
+def test_many_small_archives_share_partitions(tmp_path, monkeypatch):
+    """Planning opens none of them, and the tasks are far fewer than the files."""
+    monkeypatch.setattr(archives, "FEW", 20)
+    monkeypatch.setattr(archives, "BUNDLE_FILES", 30)
+    for k in range(100):
+        np.savez_compressed(tmp_path / f"{k:03d}.npz", t=np.arange(k % 4) + 10.0 * k)
+    np.savez(tmp_path / "zz.npz", t=np.arange(300_000.0))
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("row", T.LongType()), T.StructField("t", T.DoubleType())])
+    source = archives.ArchiveReader({"path": str(tmp_path), "rowsPerPartition": "100000"}, schema)
+    opened, true = [], archives.ArchiveReader.opened
+    monkeypatch.setattr(archives.ArchiveReader, "opened", lambda self, f, size: (opened.append(1), true(self, f, size))[1])
+    parts = source.partitions()
+    assert len(opened) == 1 and len(parts) == 4 + 3  # four bundles, and the large one in three ranges
+    rows = [r for p in parts for b in source.read(p) for r in b.to_pylist()]
+    small = [(r["path"][-7:-4], r["row"], r["t"]) for r in rows if not r["path"].endswith("zz.npz")]
+    assert small == [(f"{k:03d}", i, 10.0 * k + i) for k in range(100) for i in range(k % 4)]
+    assert [r["t"] for r in rows if r["path"].endswith("zz.npz")] == list(range(300_000))
+
+
+def test_archives_are_written_by_many_tasks(spark, tmp_path):
+    df = spark.range(64).select((F.col("id") % 16).alias("k"), F.floor(F.col("id") / 16).alias("at"), F.col("id").cast("double").alias("v"))
+    seen = []
+    true = archives.materialize
+    archives.materialize = lambda d: (seen.append(d.select(F.spark_partition_id()).distinct().count()), true(d))[1]
+    try:
+        archives.write_archives(df, "k", "at", ["v"], str(tmp_path / "out"), 4)
+    finally:
+        archives.materialize = true
+    assert seen[0] > 1 and len(list((tmp_path / "out").iterdir())) == 16
