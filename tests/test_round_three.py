@@ -77,3 +77,13 @@ def test_archives_are_written_by_many_tasks(spark, tmp_path):
     finally:
         archives.materialize = true
     assert seen[0] > 1 and len(list((tmp_path / "out").iterdir())) == 16
+
+
+def test_state_comes_with_the_rows_of_a_key(spark, tmp_path):
+    """No calls to the state store for each key: the time of these streams went with the number of keys."""
+    from orderly.streaming import processors
+
+    rows = spark.readStream.schema("key long, run long, id long, source string, value double, ts timestamp").parquet(str(tmp_path))
+    for found in (processors.first_source(rows, ("a", "b")), processors.monitored(rows.select("run", "id", "ts", "value"), "1 hour", 0.5, 8, 5, 9.0, 9.0)):
+        plan = found._jdf.queryExecution().logical().toString()
+        assert "WithState" in plan and "TransformWithState" not in plan
