@@ -62,6 +62,7 @@ CHUNK = 16_384  # distinct (context, byte) pairs a step
 HISTORY = b"\0\0\0\0\0 "
 SEGMENT = 65_536
 BLOCK_BYTES = 1 << 21
+PIECE = 1 << 16  # of the distinct keys of a block, or of counted words, that are worked on at once
 MULTIPLIERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -184,21 +185,25 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str, classes: dict[bytes
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [(Counter(), Counter()) for _ in range(CLASSES)]
 
-        def flushed() -> pa.RecordBatch:
-            rows = [(w, k, learned[w], learned[w] + held[w]) for k, (held, learned) in enumerate(found) for w in learned.keys() | held.keys()]
-            for pair in found:
-                pair[0].clear()
-                pair[1].clear()
-            types = [pa.binary(), pa.int32(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["word", "k", "c", "n"])
+        def flushed() -> Iterator[pa.RecordBatch]:
+            """One class after another, so that little stands beside the counts."""
+            for k, (held, learned) in enumerate(found):
+                words = list(learned.keys() | held.keys())
+                for start in range(0, len(words), PIECE):
+                    part = words[start : start + PIECE]
+                    c = np.fromiter((learned[w] for w in part), np.int64, len(part))
+                    n = c + np.fromiter((held[w] for w in part), np.int64, len(part))
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(np.full(len(part), k, np.int32)), pa.array(c), pa.array(n)], ["word", "k", "c", "n"])
+                held.clear()
+                learned.clear()
 
         for batch in batches:
             for text, learn in zip(batch.column("text"), batch.column("learn").to_pylist(), strict=True):
                 for k, words in runs(text.as_py(), classes):
                     found[k][learn].update(words)
                 if sum(len(c) for pair in found for c in pair) > most:
-                    yield flushed()
-        yield flushed()
+                    yield from flushed()
+        yield from flushed()
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"), (remainder(F.col(id_col)) != HELD_OUT).alias("learn"))
     by_class = rows.mapInArrow(counted, "word binary, k int, c long, n long").repartition("word")
@@ -318,11 +323,14 @@ class Mixer:
         out = np.zeros(len(units))
         for keys, owner in blocks(units):
             distinct, place = np.unique(keys, return_inverse=True)
-            base, total = bases(distinct), np.zeros(len(distinct))
-            for node, bit in bits(distinct):
-                odds, gate = self.inputs(base, node)
-                p = np.clip(self.chance(self.mixed(odds, gate, node), gate), 1e-6, 1 - 1e-6)
-                total += np.log10(np.where(bit == 1, p, 1 - p))
+            total = np.zeros(len(distinct))
+            for start in range(0, len(distinct), PIECE):
+                part = distinct[start : start + PIECE]
+                base = bases(part)
+                for node, bit in bits(part):
+                    odds, gate = self.inputs(base, node)
+                    p = np.clip(self.chance(self.mixed(odds, gate, node), gate), 1e-6, 1 - 1e-6)
+                    total[start : start + PIECE] += np.log10(np.where(bit == 1, p, 1 - p))
             out += np.bincount(owner, total[place], len(units))
         return out
 
@@ -378,14 +386,16 @@ def slot_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, ones = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
-        for part, c, _ in gathered(batches):
-            for keys, _ in blocks(units_of(part, c)):
+        for words_of, c, _ in gathered(batches):
+            for keys, _ in blocks(units_of(words_of, c)):
                 distinct, weight = np.unique(keys, return_counts=True)
-                base = bases(distinct)
-                for node, bit in bits(distinct):
-                    for row in slots(base, node):
-                        np.add.at(seen, row, weight)
-                        np.add.at(ones, row[bit == 1], weight[bit == 1])
+                for start in range(0, len(distinct), PIECE):
+                    part, load = distinct[start : start + PIECE], weight[start : start + PIECE]
+                    base = bases(part)
+                    for node, bit in bits(part):
+                        for row in slots(base, node):
+                            np.add.at(seen, row, load)
+                            np.add.at(ones, row[bit == 1], load[bit == 1])
         met = np.flatnonzero(seen)
         for start in range(0, len(met), 1 << 18):
             at = met[start : start + (1 << 18)]

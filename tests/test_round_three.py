@@ -87,3 +87,16 @@ def test_state_comes_with_the_rows_of_a_key(spark, tmp_path):
     for found in (processors.first_source(rows, ("a", "b")), processors.monitored(rows.select("run", "id", "ts", "value"), "1 hour", 0.5, 8, 5, 9.0, 9.0)):
         plan = found._jdf.queryExecution().logical().toString()
         assert "WithState" in plan and "TransformWithState" not in plan
+
+
+def test_scores_do_not_depend_on_the_pieces_worked_on(monkeypatch):
+    from orderly.llm import contextmix as cm
+
+    rng = np.random.default_rng(1)
+    units = [(int(rng.integers(cm.CLASSES)), bytes(rng.integers(97, 110, int(rng.integers(1, 9))).astype(np.uint8))) for _ in range(500)]
+    seen = rng.integers(0, 9, cm.SLOTS).astype(np.float32)
+    model = cm.Mixer(seen, np.floor(seen / 2))
+    whole, widths, true = model.log10(units), [], cm.bases
+    monkeypatch.setattr(cm, "PIECE", 100)
+    monkeypatch.setattr(cm, "bases", lambda keys: (widths.append(len(keys)), true(keys))[1])
+    assert np.array_equal(model.log10(units), whole) and max(widths) == 100
