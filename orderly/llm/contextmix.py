@@ -22,8 +22,9 @@ of any length are scored whole, in segments.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -48,6 +49,7 @@ WITH_CLASS = 3  # up to this order contexts are told apart by class
 SLOT_BITS = (11, 19, 20, 20, 20, 21)
 OFFSETS = tuple(int(x) for x in np.cumsum([0, *[1 << b for b in SLOT_BITS]]))
 SLOTS = OFFSETS[-1]
+RANGE = 1 << 14  # of slots whose counts travel together
 PRIOR = 0.4  # added to both counts of a slot
 LIMIT = 13.0  # of log odds
 STEPS = (1, 2, 4, 16)  # counts at which the longest seen order counts as better known
@@ -159,9 +161,9 @@ def grouped(together: np.ndarray) -> list[list[int]]:
     return sorted(groups, key=lambda g: (-together[g, g].sum(), g))[: CLASSES - 1]
 
 
-def word_classes(docs: DataFrame, id_col: str, text_col: str) -> dict[bytes, int]:
-    """A class from 1 for frequent words, from the training rows: words that share their documents share a class."""
-    words = frequent_words(docs, id_col, text_col)
+def word_classes(docs: DataFrame, id_col: str, text_col: str, words: list[bytes] | None = None) -> dict[bytes, int]:
+    """A class from 1 for frequent words (or those given), from the training rows: words that share their documents share a class."""
+    words = frequent_words(docs, id_col, text_col) if words is None else words
     place, m = {w: i for i, w in enumerate(words)}, len(words)
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,6 +281,16 @@ def bits(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 class Mixer:
     """Slot counts, the weights of both gates, and the refinement table."""
 
+    size = SLOTS
+
+    @staticmethod
+    def contexts(keys: np.ndarray) -> list[np.ndarray]:
+        return bases(keys)
+
+    @staticmethod
+    def places(base: list[np.ndarray], node: np.ndarray) -> np.ndarray:
+        return slots(base, node)
+
     def __init__(self, seen: np.ndarray, ones: np.ndarray, weights: np.ndarray | None = None, cells: np.ndarray | None = None):
         self.seen, self.ones = seen, ones  # float32, by slot
         if weights is None:
@@ -292,14 +304,19 @@ class Mixer:
 
     def inputs(self, base: list[np.ndarray], node: np.ndarray, bit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(log odds by order, first gate). With the bit given, its own occurrence is taken out of the counts."""
-        at = slots(base, node)
+        at = self.places(base, node)
         n, ones = self.seen[at], self.ones[at]
         if bit is not None:
             n, ones = np.maximum(n - 1, 0), np.maximum(ones - bit, 0)
-        odds = np.log((ones + np.float32(PRIOR)) / (np.maximum(n - ones, 0) + np.float32(PRIOR)))
+        odds = self.log_odds(n, ones)
         longest = len(ORDERS) - 1 - np.argmax(n[::-1] > 0, axis=0)
         known = np.take_along_axis(n, longest[None], axis=0)[0]
-        return np.clip(odds, -LIMIT, LIMIT), longest * len(STEPS) + np.maximum(np.searchsorted(STEPS, known, side="right") - 1, 0)
+        return odds, longest * len(STEPS) + np.maximum(np.searchsorted(STEPS, known, side="right") - 1, 0)
+
+    @staticmethod
+    def log_odds(n: np.ndarray, ones: np.ndarray) -> np.ndarray:
+        odds = np.log((ones + np.float32(PRIOR)) / (np.maximum(n - ones, 0) + np.float32(PRIOR)))
+        return np.clip(odds, -LIMIT, LIMIT)
 
     def mixed(self, odds: np.ndarray, gate: np.ndarray, node: np.ndarray) -> np.ndarray:
         weights = (self.weights[gate] + self.weights[GATES + node.astype(np.int64)]).astype(np.float32)
@@ -323,42 +340,49 @@ class Mixer:
         out = np.zeros(len(units))
         for keys, owner in blocks(units):
             distinct, place = np.unique(keys, return_inverse=True)
-            total = np.zeros(len(distinct))
-            for start in range(0, len(distinct), PIECE):
-                part = distinct[start : start + PIECE]
-                base = bases(part)
-                for node, bit in bits(part):
-                    odds, gate = self.inputs(base, node)
-                    p = np.clip(self.chance(self.mixed(odds, gate, node), gate), 1e-6, 1 - 1e-6)
-                    total[start : start + PIECE] += np.log10(np.where(bit == 1, p, 1 - p))
-            out += np.bincount(owner, total[place], len(units))
+            out += np.bincount(owner, self.log10_of(distinct)[place], len(units))
         return out
 
+    def log10_of(self, keys: np.ndarray) -> np.ndarray:
+        """The log10 probability of each key's byte after its context."""
+        total = np.ones(len(keys))
+        for start in range(0, len(keys), PIECE):
+            part = keys[start : start + PIECE]
+            base = self.contexts(part)
+            for node, bit in bits(part):
+                odds, gate = self.inputs(base, node)
+                p = np.clip(self.chance(self.mixed(odds, gate, node), gate), 1e-6, 1 - 1e-6)
+                total[start : start + PIECE] *= np.where(bit == 1, p, 1 - p)
+        return np.log10(total)
+
     def learn(self, units: list[tuple[int, bytes]], mass: np.ndarray, cells: np.ndarray | None) -> None:
         """Online steps on the units. mass gets the occurrences by gate; cells, if given, the refinement's counts."""
         for keys, _ in blocks(units):
-            distinct, weight = np.unique(keys, return_counts=True)
-            order = np.random.default_rng(len(distinct)).permutation(len(distinct))
-            for start in range(0, len(order), CHUNK):
-                part = order[start : start + CHUNK]
-                base, w = bases(distinct[part]), weight[part]
-                for node, bit in bits(distinct[part]):
-                    odds, gate = self.inputs(base, node, bit)
-                    mixed = self.mixed(odds, gate, node)
-                    pull = w * (bit - 1 / (1 + np.exp(-mixed)))
-                    both = np.concatenate([gate, GATES + node.astype(np.int64)])
-                    load = np.bincount(both, np.concatenate([w, w]), len(self.weights))
-                    step = np.stack([np.bincount(both, np.tile(pull * odds[k], 2), len(self.weights)) for k in range(len(ORDERS))], axis=1)
-                    step /= np.maximum(load, 1)[:, None]
-                    self.squares += step**2
-                    self.weights = self.weights + RATE * step / np.sqrt(self.squares)
-                    mass += load
-                    if cells is not None:
-                        low, share = self.cell(mixed)
-                        for at, part_of in ((low, 1 - share), (low + 1, share)):
-                            index = gate * CELLS + at
-                            cells[0] += np.bincount(index, w * part_of, GATES * CELLS).reshape(GATES, CELLS)
-                            cells[1] += np.bincount(index, w * part_of * bit, GATES * CELLS).reshape(GATES, CELLS)
+            self.learn_keys(*np.unique(keys, return_counts=True), mass, cells)
+
+    def learn_keys(self, distinct: np.ndarray, weight: np.ndarray, mass: np.ndarray, cells: np.ndarray | None) -> None:
+        """Online steps on distinct keys that occur so often."""
+        order = np.random.default_rng(len(distinct)).permutation(len(distinct))
+        for start in range(0, len(order), CHUNK):
+            part = order[start : start + CHUNK]
+            base, w = self.contexts(distinct[part]), weight[part]
+            for node, bit in bits(distinct[part]):
+                odds, gate = self.inputs(base, node, bit)
+                mixed = self.mixed(odds, gate, node)
+                pull = w * (bit - 1 / (1 + np.exp(-mixed)))
+                both = np.concatenate([gate, GATES + node.astype(np.int64)])
+                load = np.bincount(both, np.concatenate([w, w]), len(self.weights))
+                step = np.stack([np.bincount(both, np.tile(pull * odds[k], 2), len(self.weights)) for k in range(len(ORDERS))], axis=1)
+                step /= np.maximum(load, 1)[:, None]
+                self.squares += step**2
+                self.weights = self.weights + RATE * step / np.sqrt(self.squares)
+                mass += load
+                if cells is not None:
+                    low, share = self.cell(mixed)
+                    for at, part_of in ((low, 1 - share), (low + 1, share)):
+                        index = gate * CELLS + at
+                        cells[0] += np.bincount(index, w * part_of, GATES * CELLS).reshape(GATES, CELLS)
+                        cells[1] += np.bincount(index, w * part_of * bit, GATES * CELLS).reshape(GATES, CELLS)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
@@ -381,62 +405,86 @@ def units_of(words: list[bytes], counts: np.ndarray) -> list[tuple[int, bytes]]:
     return [(k, words[i]) for i, k in zip(*(x.tolist() for x in np.nonzero(counts)), strict=True)]
 
 
-def slot_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """How many of the distinct words by class met each slot, and how many with a 1; at most SLOTS rows come to the driver."""
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, ones = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
-        for words_of, c, _ in gathered(batches):
-            for keys, _ in blocks(units_of(words_of, c)):
-                distinct, weight = np.unique(keys, return_counts=True)
-                for start in range(0, len(distinct), PIECE):
-                    part, load = distinct[start : start + PIECE], weight[start : start + PIECE]
-                    base = bases(part)
-                    for node, bit in bits(part):
-                        for row in slots(base, node):
-                            np.add.at(seen, row, load)
-                            np.add.at(ones, row[bit == 1], load[bit == 1])
-        met = np.flatnonzero(seen)
-        for start in range(0, len(met), 1 << 18):
-            at = met[start : start + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at]), pa.array(ones[at])], ["slot", "seen", "ones"])
-
-    parts = words.select("word", "c", "n").mapInArrow(summed, "slot int, seen long, ones long")
-    total = parts.groupBy("slot").agg(F.sum("seen").cast("float").alias("seen"), F.sum("ones").cast("float").alias("ones")).toArrow()
-    seen, ones = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
-    at = total.column("slot").to_numpy()
-    seen[at], ones[at] = total.column("seen").to_numpy(), total.column("ones").to_numpy()
-    return seen, ones
-
-
-def train(words: DataFrame, rounds: int = ROUNDS) -> Mixer:
-    """The mixer of a table (word, c, n). A round moves as many numbers a task as there are weights and cells."""
-    context = words.sparkSession.sparkContext
-    model = Mixer(*slot_counts(words))
-    counts = context.broadcast((model.seen, model.ones))
+def word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(distinct keys, how often) of the distinct words by class in a table (word, c, n), in blocks."""
+    for words, c, _ in gathered(batches):
+        for keys, _ in blocks(units_of(words, c)):
+            yield np.unique(keys, return_counts=True)
+
+
+Read = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]]
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    return zlib.compress(numbers.tobytes(), 1)
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), kind)
+
+
+def slot_counts(table: DataFrame, read: Read = word_keys, mixer: type[Mixer] = Mixer) -> tuple[np.ndarray, np.ndarray]:
+    """How often the keys that ``read`` finds in a table's batches met each slot, and how often with a 1. Tasks pass on their counts by ranges of
+    slots, which are added up in a shuffle; as many numbers as there are slots come to the driver."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, ones = np.zeros((2, -(-mixer.size // RANGE) * RANGE), np.int64)
+        for distinct, weight in read(batches):
+            for start in range(0, len(distinct), PIECE):
+                part, load = distinct[start : start + PIECE], weight[start : start + PIECE]
+                base = mixer.contexts(part)
+                for node, bit in bits(part):
+                    for row in mixer.places(base, node):
+                        np.add.at(seen, row, load)
+                        np.add.at(ones, row[bit == 1], load[bit == 1])
+        seen, ones = seen.reshape(-1, RANGE), ones.reshape(-1, RANGE)
+        for at in np.flatnonzero(seen.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed(seen[at])]), pa.array([packed(ones[at])])], ["at", "seen", "ones"])
+
+    def added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, RANGE), np.int64)
+        for batch in batches:
+            for which, name in enumerate(("seen", "ones")):
+                for part in batch.column(name):
+                    total[which] += unpacked(part.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), *(pa.array([packed(x.astype(np.float32))]) for x in total)], ["at", "seen", "ones"])
+
+    form = "at int, seen binary, ones binary"
+    total = table.mapInArrow(counted, form).groupBy("at").applyInArrow(added, form).toArrow()
+    seen, ones = np.zeros((2, -(-mixer.size // RANGE), RANGE), np.float32)
+    for at, *both in zip(*(total.column(x) for x in ("at", "seen", "ones")), strict=True):
+        seen[at.as_py()], ones[at.as_py()] = (unpacked(x.as_py(), np.float32) for x in both)
+    return seen.reshape(-1)[: mixer.size], ones.reshape(-1)[: mixer.size]
+
+
+def train(table: DataFrame, rounds: int = ROUNDS, read: Read = word_keys, mixer: type[Mixer] = Mixer) -> Mixer:
+    """The mixer of a table, (word, c, n) or what else ``read`` finds keys in. A round moves as many numbers a task as there are weights and cells."""
+    context = table.sparkSession.sparkContext
+    model = mixer(*slot_counts(table, read, mixer))
+    counts = context.broadcast((packed(model.seen), packed(model.ones)))
     for number in range(rounds):
         now, last = model.weights, number == rounds - 1
 
         def steps(batches: Iterator[pa.RecordBatch], now: np.ndarray = now, last: bool = last) -> Iterator[pa.RecordBatch]:
-            own = Mixer(*counts.value, weights=now)
+            own = mixer(*(unpacked(x, np.float32) for x in counts.value), weights=now)
             mass, cells = np.zeros(len(now)), np.zeros((2, GATES, CELLS)) if last else None
-            for part, c, _ in gathered(batches):
-                own.learn(units_of(part, c), mass, cells)
+            for distinct, weight in read(batches):
+                own.learn_keys(distinct, weight, mass, cells)
             load = np.repeat(mass, len(ORDERS))
             value = own.weights.reshape(-1) * load
             if last:
                 value, load = np.concatenate([value, cells.reshape(-1)]), np.concatenate([load, np.ones(cells.size)])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value)), pa.int32()), pa.array(value), pa.array(load)], ["at", "value", "load"])
 
-        parts = words.select("word", "c", "n").mapInArrow(steps, "at int, value double, load double")
+        parts = table.mapInArrow(steps, "at int, value double, load double")
         rows = parts.groupBy("at").agg(F.sum("value").alias("value"), F.sum("load").alias("load")).collect()
         value, load = np.zeros((2, now.size + 2 * GATES * CELLS))
         for r in rows:
             value[r["at"]], load[r["at"]] = r["value"], r["load"]
         averaged = np.where(load[: now.size] > 0, value[: now.size] / np.maximum(load[: now.size], 1), now.reshape(-1)).reshape(now.shape)
         cells = model.cells + value[now.size :].reshape(model.cells.shape) if last else None
-        model = Mixer(model.seen, model.ones, averaged, cells)
-    counts.unpersist()
+        model = mixer(model.seen, model.ones, averaged, cells)
+    counts.destroy()
     return model
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderly.llm import chat, clusters, contextmix, jaccard, media, mixing, packing, quality, repair, sharding, sql, toxicity, urls, warc
+from orderly.llm import chat, clusters, jaccard, media, mixing, packing, quality, repair, sharding, sql, textmix, toxicity, urls, warc
 from orderly.sources.tables import table
 
 
@@ -91,7 +91,7 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contextmix.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return textmix.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
