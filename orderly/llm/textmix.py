@@ -6,8 +6,8 @@ predicted by the mixed predictors, and nothing else takes part in the score.
 
 What is gathered. A byte with its longest context is one integer, a key. Keys are counted in the tasks and then over all training rows in a
 shuffle, so slots, steps of the weights and refinement take each distinct key once, with its number of occurrences. The slots (a fixed number)
-and weights are the model that every task is sent; there a key's bits are mixed once and kept in a table of fixed size, whose entries the latest
-key takes over. Distinct words are counted for the base score alone: the COMMON commonest are looked up where the texts are read, the others
+and weights are the model that every task is sent. The commonest keys (a fixed number) are scored once for all tasks; the others are where they occur,
+and kept in a table of fixed size, whose entries the latest key takes over. Distinct words are counted for the base score alone: the COMMON commonest are looked up where the texts are read, the others
 travel to the table of words, so no word is a hot key of that join.
 
 Null texts are empty; an empty text is its end alone. A null id counts as the empty string in the split. Repeated rows are scored one by one (and
@@ -23,6 +23,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,9 @@ COMMON = 200_000
 MOST_KEYS = 3_000_000  # distinct ones that a task counts before it passes them on
 TEXTS_BYTES = 1 << 19  # of texts that are worked on at once
 SORTED = 1 << 22  # keys that are sorted at once
-KEPT_BITS = (17, 22)
+BUCKET = 1 << 22  # bytes of text for each bucket of keys
+FIXED, FIXED_BITS = 2_500_000, 22  # commonest keys that are scored beforehand, and the size of their table
+KEPT_BITS = (18,)
 STEP = 1 << 14  # keys that are scored at once, in a processor's cache
 STEPPED = 1 << 18  # keys in whose permutation steps are taken
 
@@ -67,8 +70,11 @@ class Block:
 
     def keys(self, classes: dict[bytes, int]) -> np.ndarray:
         """For every byte of the words and the space behind each: class, the six bytes before and the byte itself as one integer."""
-        coded = np.frombuffer(b" ".join([*self.tokens, b""]), np.uint8).astype(np.uint64)
-        self.lengths = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens)) + 1
+        data = np.frombuffer(b" ".join([*self.tokens, b""]), np.uint8)
+        coded = data.astype(np.uint64)
+        self.lengths = np.diff(np.flatnonzero(data == np.uint8(SPACE)), prepend=-1)
+        if len(self.lengths) > len(self.tokens):  # what stands before a stretch may hold spaces
+            self.lengths = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens)) + 1
         self.real = np.ones(len(self.tokens), bool)
         self.real[self.begins] = False
         own = np.fromiter(map(classes.get, self.tokens, repeat(0)), np.uint64, len(self.tokens))
@@ -154,15 +160,36 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return key[first], np.add.reduceat(np.concatenate(counts)[order], first) if len(first) else np.zeros(0, np.int64)
 
 
-def key_counts(docs: DataFrame, id_col: str, text_col: str, classes: dict[bytes, int], most: int = MOST_KEYS) -> DataFrame:
-    """(key, n) of the training rows: how often a byte follows its longest context."""
+def bucket_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    mixed = keys * MULTIPLIERS[0]
+    return ((mixed ^ (mixed >> np.uint64(32))) * MULTIPLIERS[1]) >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones and so on, which compress better."""
+    return numbers.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def numbers_of(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).reshape(-1)
+
+
+def key_counts(docs: DataFrame, id_col: str, text_col: str, classes: dict[bytes, int], most: int = MOST_KEYS, bucket_bits: int = 6) -> DataFrame:
+    """(key, n) of the training rows: how often a byte follows its longest context. Tasks pass on what they have counted by hashed buckets of
+    keys, each as two columns of numbers; a bucket is added up at once, so there should be about one for every BUCKET bytes of text."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, size = [], [], 0
 
         def passed() -> Iterator[pa.RecordBatch]:
-            for start in range(0, len(keys[0]), PIECE):
-                yield pa.RecordBatch.from_arrays([pa.array(x[0][start : start + PIECE].view(np.int64)) for x in (keys, counts)], ["key", "n"])
+            key, n = keys[0], counts[0]
+            bucket = bucket_of(key, bucket_bits).astype(np.uint16 if bucket_bits <= 16 else np.uint32)
+            order = np.argsort(bucket, kind="stable")
+            key, n, bucket = key[order], n[order].astype(np.int64), bucket[order]
+            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]).tolist()
+            for start, stop in zip(starts, [*starts[1:], len(key)], strict=True):
+                both = [pa.array([planes(x[start:stop])], pa.binary()) for x in (key, n)]
+                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[start])], pa.int32()), *both], ["bucket", "keys", "counts"])
 
         def sorted_at_once() -> Iterator[np.ndarray]:
             found, held = [], 0
@@ -190,8 +217,18 @@ def key_counts(docs: DataFrame, id_col: str, text_col: str, classes: dict[bytes,
             keys, counts = ([x] for x in summed(keys, counts))
             yield from passed()
 
+    def added(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = [], []
+        for batch in batches:
+            for found, name, kind in ((keys, "keys", np.uint64), (counts, "counts", np.int64)):
+                found += [numbers_of(x.as_py(), kind) for x in batch.column(name)]
+        key, n = summed(keys, counts)
+        for start in range(0, len(key), PIECE):
+            yield pa.RecordBatch.from_arrays([pa.array(x[start : start + PIECE].view(np.int64)) for x in (key, n)], ["key", "n"])
+
     rows = docs.where(remainder(F.col(id_col)) != HELD_OUT).select(F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).sortWithinPartitions("key")  # steps come in the same order in every run
+    parts = rows.mapInArrow(counted, "bucket int, keys binary, counts binary")
+    return parts.groupBy("bucket").applyInArrow(added, "key long, n long")  # sorted by bucket and key, so steps come in the same order in every run
 
 
 def counted_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -277,33 +314,91 @@ class Trained:
         return np.log10(total)
 
 
+def places_of(keys: np.ndarray, shift: np.uint64) -> np.ndarray:
+    mixed = keys * MULTIPLIERS[0]
+    mixed ^= mixed >> np.uint64(31)
+    mixed *= MULTIPLIERS[1]
+    mixed >>= shift
+    return mixed.view(np.int64)
+
+
 class Kept:
-    """The log10 probabilities of keys, kept in a small table that stays in a processor's cache and in a larger one. Later keys take the places of
-    earlier ones."""
+    """The log10 probabilities of keys: those of the commonest in a table that stays as it is, where a key stands in its own place or the one
+    beside it; the others in small tables, where later keys take the places of earlier ones."""
 
-    def __init__(self, model: Trained, bits: tuple[int, int] = KEPT_BITS):
+    def __init__(self, model: Trained, bits: Sequence[int] = KEPT_BITS, common: tuple[np.ndarray, np.ndarray] | None = None, common_bits: int = FIXED_BITS):
+        """common: keys, the commonest last, and their log10 probabilities."""
         self.model = model
         self.tables = [(np.uint64(64 - b), np.full(1 << b, ~np.uint64(0)), np.zeros(1 << b, np.float32)) for b in bits]  # no key has all bits
+        keys, values = common or (np.zeros(0, np.uint64), np.zeros(0, np.float32))
+        common_bits = common_bits if len(keys) else 1
+        self.shift, self.held, self.values = np.uint64(64 - common_bits), np.full(1 << common_bits, ~np.uint64(0)), np.zeros(1 << common_bits, np.float32)
+        at = places_of(keys, self.shift)
+        self.held[at], self.values[at] = keys, values
+        lost = np.flatnonzero(self.held[at] != keys)
+        lost = lost[self.held[at[lost] ^ 1] == ~np.uint64(0)]
+        self.held[at[lost] ^ 1], self.values[at[lost] ^ 1] = keys[lost], values[lost]
+
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        out, others = np.empty(len(keys), np.float32), [np.zeros(0, np.int64)]
+        for start in range(0, len(keys), STEP):
+            part = keys[start : start + STEP]
+            at = places_of(part, self.shift)
+            found = self.values.take(at)
+            missed = np.flatnonzero(self.held.take(at) != part)
+            beside = at[missed] ^ 1
+            found[missed] = self.values.take(beside)
+            others.append(missed[self.held.take(beside) != part[missed]] + start)
+            out[start : start + STEP] = found
+        missed = np.concatenate(others)
+        if len(missed):
+            out[missed] = self.rarer(keys[missed])
+        return out
 
-    def log10(self, keys: np.ndarray, level: int = 0) -> np.ndarray:
+    def rarer(self, keys: np.ndarray, level: int = 0) -> np.ndarray:
         if level == len(self.tables):
             return self.model.log10_of(keys).astype(np.float32)
         shift, held, values = self.tables[level]
-        mixed = keys * MULTIPLIERS[0]
-        at = (((mixed ^ (mixed >> np.uint64(31))) * MULTIPLIERS[1]) >> shift).view(np.int64)
+        at = places_of(keys, shift)
         out = values[at]
         missed = np.flatnonzero(held[at] != keys)
         if len(missed):
             asked = keys[missed]
             if level:  # distinct already
-                out[missed] = found = self.log10(asked, level + 1)
+                out[missed] = found = self.rarer(asked, level + 1)
             else:
                 new, _ = distinct(asked)
-                out[missed] = found = self.log10(new, level + 1)[np.searchsorted(new, asked)]
+                out[missed] = found = self.rarer(new, level + 1)[np.searchsorted(new, asked)]
             held[at[missed]], values[at[missed]] = asked, found
         return out
 
 
+def common_keys(keys: DataFrame, tables: Broadcast, most: int = FIXED) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, log10 probabilities) of the commonest keys, ``most`` at most, the commonest last (by eighths of a doubling): those
+    counted more often than a bound that a histogram gives. Their scores are worked out once, in the tasks."""
+    step = F.floor(F.log2("n") * 8).cast("short")  # eighths of a doubling
+    least, held = None, 0
+    for r in sorted(keys.groupBy(step.alias("step")).count().collect(), reverse=True):
+        held += r["count"]
+        if held > most:
+            break
+        least = r["step"]
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Trained(*tables.value)
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            lp = pa.array(model.log10_of(key.view(np.uint64)).astype(np.float32))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("step"), lp], ["key", "step", "lp"])
+
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.float32)
+    found = keys.select("key", step.alias("step")).where(F.col("step") >= least).mapInArrow(scored, "key long, step short, lp float").toArrow()
+    key, steps, lp = (found.column(x).to_numpy() for x in ("key", "step", "lp"))
+    order = np.argsort(steps, kind="stable")
+    return key[order].view(np.uint64), lp[order]
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
     """One row per row of docs: id_col, held_out, n_tokens, n_known, train_tokens, base_score (the unigram model's), score (this model's log10
     probability), n_bytes (of the words, with a byte behind each) and bits_per_byte."""
@@ -313,11 +408,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", commo
     short = counted.where(F.octet_length("word") <= LONGEST_SHARED)
     frequent = short.where((F.col("c") > 0) & (F.col("word") != F.lit(END))).orderBy(F.desc("c"), "word").limit(FREQUENT)
     classes = word_classes(docs, id_col, text_col, [bytes(r["word"]) for r in frequent.collect()])
-    keys = materialize(key_counts(docs, id_col, text_col, classes))
+    learned, different, coded = (int(x or 0) for x in counted.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.sum(F.col("c") * (F.octet_length("word") + 1))).first())
+    keys = materialize(key_counts(docs, id_col, text_col, classes, bucket_bits=max(4, (coded // BUCKET).bit_length())))
     model = train(keys, read=counted_keys, mixer=TextMixer)
-    release(keys)
     shipped = spark.sparkContext.broadcast(Trained.tables(model))
-    learned, different = (int(x or 0) for x in counted.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first())
+    del model
+    common_scores = spark.sparkContext.broadcast(common_keys(keys, shipped))
+    release(keys)
     floor = float(learned + different + 1)
     table = short.orderBy(F.desc("n"), "word").limit(common).select("word", "c").toArrow()
     words, c = table.column("word").to_pylist(), table.column("c").to_numpy()
@@ -327,7 +424,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", commo
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["row", "id", "n_tokens", "n_bytes", "n_known", "base_score", "score", "word", "tf"]
         near, far, values = looked_at.value
-        kept = Kept(Trained(*shipped.value))
+        kept = Kept(Trained(*shipped.value), common=common_scores.value)
 
         def sums(texts: Sequence[str | None]) -> tuple[list[np.ndarray], Counter]:
             """n_tokens, n_bytes, n_known, base and score by text, and how often rare words are in them."""
