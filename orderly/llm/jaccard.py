@@ -34,7 +34,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -238,11 +238,10 @@ def signatures(texts: DataFrame, words: int, percent: int) -> DataFrame:
 
 def candidates(rows: DataFrame, light: int = LIGHT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From distinct (key, fp, ...): candidate pairs (a, b), a < b, the rows of buckets too large to offer all their
-    pairs, and the table behind those rows, to be released when they have been read. Keys are counted first, so that those of a single set (most) are neither sorted nor kept, and the rows of
-    one hot key may be split between tasks."""
-    counts = materialize(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
-    shared = materialize(rows.join(counts, "key"))
-    release(counts)
+    pairs, and the table behind those rows, to be released when they have been read. The rows are shuffled once, whatever
+    their number: keys are counted where they have been brought together, and those of a single set (most) are not kept. A hot key
+    adds at most a row a set to one task, which counts them in a buffer that spills."""
+    shared = materialize(rows.withColumn("c", F.count("*").over(Window.partitionBy("key"))).where("c > 1"))
     few = shared.where(F.col("c") <= light).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("f"))
     every = F.flatten(F.transform("f", lambda a, i: F.transform(F.slice("f", i + 2, F.lit(light)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     many = shared.where(F.col("c") > light)
