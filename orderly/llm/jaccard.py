@@ -46,6 +46,8 @@ BAND_BITS = 11
 KEY_BITS = BAND_BITS + 1
 LIGHT = 8
 BLOCK = 256
+# The bits by which rows are sifted: half a million numbers are sent to every executor at most.
+SIFT_BITS = 1 << 25
 # What the cost model takes for granted, in units of a written key: the texts that share a part with a given one, evenly
 # spread in similarity (some for every text, and more the shorter it is); the cost of a candidate pair, and per token of one that has to be
 # compared whole; the share of texts that hold a popular passage, and the cost per token of a set left to the exact way.
@@ -205,10 +207,21 @@ def text_hash(text_col: str) -> Column:
     return F.xxhash64(F.col(text_col).cast("string"))
 
 
+def sifted(rows: DataFrame, hashed: Column, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose hash is in wanted (one column of hashes), with a few others, and the rest, of which none is. Only a
+    bit of each wanted hash is sent to the tasks, in a table of bounded size, so that texts needn't be shuffled to be told apart."""
+    bit = F.pmod(F.col(wanted.columns[0]), F.lit(SIFT_BITS))
+    one = lambda at: F.expr(f"shiftleft(1L, cast({at} & 63 as int))")
+    words = wanted.select(bit.alias("__bit")).groupBy(F.shiftright("__bit", 6).alias("__word")).agg(F.bit_or(one("__bit")).alias("__bits"))
+    marked = rows.withColumn("__at", F.pmod(hashed, F.lit(SIFT_BITS))).join(F.broadcast(words), F.shiftright("__at", 6) == F.col("__word"), "left")
+    found = F.coalesce(F.col("__bits").bitwiseAND(one("__at")) != 0, F.lit(False))
+    return marked.where(found).select(*rows.columns), marked.where(~found).select(*rows.columns)
+
+
 def one_of_each(texts: DataFrame, often: DataFrame) -> DataFrame:
     """(h, text): one row for every h of texts; often has the h that occur more than once."""
-    alone = texts.join(often, "h", "left_anti")
-    return alone.unionByName(texts.join(often, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text")))
+    some, alone = sifted(texts, F.col("h"), often)
+    return alone.unionByName(some.groupBy("h").agg(F.first("text").alias("text")))
 
 
 def signatures(texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -273,7 +286,7 @@ def token_sets(texts: DataFrame, often: DataFrame, asked: DataFrame, words: int)
     def tokens(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, words).view(np.int64) for t in texts])
 
-    found = one_of_each(texts.join(asked, "h", "left_semi"), often).join(asked, "h")
+    found = one_of_each(sifted(texts, F.col("h"), asked.select("h"))[0], often).join(asked, "h")
     return materialize(found.select("fp", tokens(F.col("text").cast("string")).alias("tokens")))
 
 
@@ -455,7 +468,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = materialize(found.where("root IS NOT NULL").groupBy("root").agg(first.alias("b")).select("root", "b.id1", "b.h1"))
     gone = materialize(found.join(best, "root").where("NOT (id <=> id1 AND h = h1)").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct())
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (text_hash(text_col) == F.col("__h"))
-    kept = docs.join(gone, same, "left_anti")
+    marks = gone.select(F.xxhash64("__id", "__h").alias("mark"))
+    both = F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))
+    spared = sifted(found, F.xxhash64("id", "h"), marks)[0].join(gone, both, "left_anti")
+    spared = materialize(spared.select(F.col("id").alias("__id"), F.col("h").alias("__h")))
+    some, others = sifted(docs, F.xxhash64(F.col(id_col), text_hash(text_col)), marks)
+    kept = others.unionByName(some.join(spared, same, "left_semi"))
     often = found.groupBy("id", "h").agg(F.count("*").alias("c"), F.max("root").alias("root")).where("c > 1 AND (root IS NOT NULL OR id IS NOT NULL)")
     often = materialize(often.select(F.col("id").alias("__id"), F.col("h").alias("__h")))
     release(found, best)
